@@ -33,7 +33,7 @@ def exact_metrics(gold: DataFrame, pred: DataFrame, extra: list[str] | None = No
     """scope (a label, micro or macro), tp, fp, fn, precision, recall, f1 by ``extra``.
 
     Labels that do not occur count zero; macro is the plain mean over the three labels and
-    holds no counts.
+    has zero counts.
     """
     extra = extra or []
     spark = gold.sparkSession
@@ -45,7 +45,7 @@ def exact_metrics(gold: DataFrame, pred: DataFrame, extra: list[str] | None = No
     by = with_prf(dim.join(per, [*extra, "label"], "left").withColumns(zero)).withColumnRenamed("label", "scope")
     micro = with_prf(by.groupBy(*extra).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("scope", F.lit("micro")))
     macro = by.groupBy(*extra).agg(*[(F.sum(c) / len(LABELS)).alias(c) for c in ("precision", "recall", "f1")])
-    macro = macro.withColumns({"scope": F.lit("macro"), "tp": F.lit(None).cast("long"), "fp": F.lit(None).cast("long"), "fn": F.lit(None).cast("long")})
+    macro = macro.withColumns({"scope": F.lit("macro"), "tp": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "fn": F.lit(0).cast("long")})
     cols = [*extra, "scope", "tp", "fp", "fn", "precision", "recall", "f1"]
     return by.select(*cols).unionByName(micro.select(*cols)).unionByName(macro.select(*cols))
 

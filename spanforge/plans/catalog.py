@@ -70,7 +70,7 @@ bl AS (SELECT dim.label AS scope, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp,
 al AS (SELECT * FROM bl UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM bl),
 m AS (SELECT *, {PRF} FROM al), f AS (SELECT *, {F1} AS f1 FROM m),
 o AS (SELECT scope, tp, fp, fn, precision_, recall_, f1 FROM f UNION ALL
-SELECT 'macro', NULL, NULL, NULL, sum(precision_) / 3, sum(recall_) / 3, sum(f1) / 3 FROM f WHERE scope <> 'micro')
+SELECT 'macro', 0, 0, 0, sum(precision_) / 3, sum(recall_) / 3, sum(f1) / 3 FROM f WHERE scope <> 'micro')
 SELECT scope, tp, fp, fn, {R("precision_", "precision")}, {R("recall_", "recall")}, {R("f1", "f1")} FROM o""")
 def exact_span_metrics(spark, d):
     _, gold, pred = vw.both(spark, d)
