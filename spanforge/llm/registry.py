@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import byte_cnn, language_id, line_winnow, link_trust, pfair_mix, piece_bpe, posting_ann, simhash_bk, threshold_topk, toxicity
-from spanforge.llm.common import fold_of, table
+from spanforge.llm.common import at_random, fold_of, table
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, text, label of the labelled rows of ``docs`` (the documents table)."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    return docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")), "doc_id")
+def labelled(spark: SparkSession, sf_dir: str, label: str, max_docs: int, train: Column | None = None) -> DataFrame:
+    """doc_id, text, label of at most ``max_docs`` labelled documents for which ``train`` holds.
+
+    They are chosen by a hash of doc_id among the labels alone; the chosen ids, a bounded
+    number, are then broadcast, so no text is shuffled.
+    """
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull())
+    chosen = at_random("doc_id", max_docs, rows if train is None else rows.filter(train))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def op1_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def op4_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 3) == 1
-    model = toxicity.train(labelled(spark, sf_dir, "toxic").filter(~held_out))
+    model = toxicity.train(labelled(spark, sf_dir, "toxic", toxicity.MAX_TRAIN_DOCS, ~held_out))
     scored = toxicity.score(table(spark, sf_dir, "documents"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -59,7 +64,7 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 5) == 0
-    model = byte_cnn.train(labelled(spark, sf_dir, "quality").filter(~held_out))
+    model = byte_cnn.train(labelled(spark, sf_dir, "quality", byte_cnn.MAX_TRAIN_DOCS, ~held_out))
     scored = byte_cnn.score(table(spark, sf_dir, "documents"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
