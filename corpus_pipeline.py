@@ -19,7 +19,7 @@ SHINGLE, BITS, RADIUS = 5, 256, 44
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality probability is 0.3 or more."""
-    model = byte_cnn.train(labelled(spark, sf_dir, "quality"))
+    model = byte_cnn.train(labelled(spark, sf_dir, "quality", byte_cnn.MAX_TRAIN_DOCS))
     return byte_cnn.score(docs, model, docs.columns).filter("score >= 0.3").select(*docs.columns)
 
 
