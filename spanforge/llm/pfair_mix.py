@@ -24,7 +24,7 @@ clash with the new ones, which replace them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 8
@@ -77,21 +77,30 @@ def numbered(rows: DataFrame, group: str, order: list[str], bucket_rows: int = B
     return out.withColumn("number", F.col("_start") + F.col("_within")).drop("_within", "_g", "_b", "_start", "_bucket")
 
 
-def schedule(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` with block, release, deadline, slot and position.
+NEW = ["block", "release", "deadline", "slot", "position"]
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; rows that agree in it and in doc_id are copies."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
+
+
+def places(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, row_hash, block, release, deadline, slot and position of every row.
 
-    position numbers all rows from 0 in the mixed order.
+    position numbers all rows from 0 in the mixed order. Texts are only hashed: what is
+    shuffled are these few numbers.
     """
     weights = WEIGHTS if weights is None else weights
     if default < 1 or any(w < 1 for w in weights.values()) or block < 1:
         raise ValueError("parts and block must be positive")
-    new = ["block", "release", "deadline", "slot", "position"]
-    rows = docs.drop(*new).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumns({"_hash": F.xxhash64("doc_id"), "_tie": F.xxhash64("text")})
+    rows = docs.drop(*NEW).select("doc_id", "source", row_hash(docs).alias("row_hash"))
+    rows = rows.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_hash": F.xxhash64("doc_id")})
     named = F.create_map(*[F.lit(x) for k in weights.items() for x in k]) if weights else None
     parts = F.lit(default) if named is None else F.coalesce(F.try_element_at(named, F.col("source")), F.lit(default))
     sources = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n")).withColumn("parts", parts.cast("long"))
     period = period_schedule(sources.select("source", "parts")).withColumnsRenamed({"source": "_s", "slot": "_slot"})
-    rows = numbered(rows, "_source", ["_hash", "doc_id", "_tie"])
+    rows = numbered(rows, "_source", ["_hash", "doc_id", "row_hash"])
     rows = rows.withColumn("block", F.expr(f"number div {block}"))
     share = period.select("_s", "parts", "period").distinct()
     rows = rows.join(share, F.col("_source") == F.col("_s")).drop("_s")
@@ -111,4 +120,21 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, default: in
     inner = F.coalesce(F.sum("_size").over(Window.partitionBy("_cycle").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.select("slot", "_cycle", inner.alias("_inner")).join(cycles, "_cycle").select("slot", (F.col("_base") + F.col("_inner")).alias("_first"))
     rows = rows.join(slots, "slot").withColumn("position", F.col("_first") + F.expr(f"number % {block}"))
-    return rows.select(*docs.drop(*new).columns, *new)
+    return rows.select("doc_id", "source", "row_hash", *NEW)
+
+
+def schedule(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` with block, release, deadline, slot and position.
+
+    Whole rows are shuffled once, by (doc_id, row hash), to meet their places; the copies of
+    an equal row take the copies' places in turn.
+    """
+    held = F.sort_array(F.collect_list(F.struct("position", "block", "release", "deadline", "slot"))).alias("_at")
+    at = places(docs, weights, default, block).groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(held)
+    rows = docs.drop(*NEW)
+    names = rows.columns
+    rows = rows.withColumns({"_rid": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_row": row_hash(docs)})
+    at = at.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_rid", "_row").orderBy("_row")))
+    out = rows.join(at, (rows["_rid"] == at["_id"]) & (rows["_row"] == at["_hash"])).withColumn("_p", F.element_at("_at", F.col("_k")))
+    return out.select(*names, *[F.col(f"_p.{n}").alias(n) for n in NEW])

@@ -46,7 +46,7 @@ def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = pfair_mix.schedule(table(spark, sf_dir, "documents"))
+    mixed = pfair_mix.places(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "block", "release", "deadline", "slot", "position")
 
 
