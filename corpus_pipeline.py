@@ -42,8 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the Pfair schedule."""
-    mixed = pfair_mix.schedule(docs)
-    return materialize(mixed, "mixed").orderBy("position").select(*docs.columns)
+    return pfair_mix.schedule(docs).orderBy("position").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
