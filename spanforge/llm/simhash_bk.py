@@ -237,7 +237,7 @@ def links(classes: DataFrame, radius: int, band_bits: int = 16, layouts: int = 1
         if held:
             yield flush([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    dealt = rows.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi")
+    dealt = rows.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cid")  # the least id of a group is its root in every band
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -248,8 +248,12 @@ def components(edges: DataFrame) -> DataFrame:
     its label; both sides of a join are plain columns, so a large star is split by the
     adaptive skew join. Ends when a round changes nothing.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = materialize(both, "links")
+    links = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    # one contraction first: each id keeps the link to its least neighbour, and the others move there
+    near = links.groupBy("a").agg(F.min("b").alias("r"))
+    moved = links.join(near, "a").filter("b <> r").select(F.greatest("b", "r").alias("a"), F.least("b", "r").alias("b"))
+    few = near.withColumnRenamed("r", "b").union(moved).distinct()
+    both = materialize(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     label = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("cid"), F.least("a", "low").alias("root"))
     label = materialize(label, "labels")
     while True:
