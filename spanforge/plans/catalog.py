@@ -126,13 +126,13 @@ def offset_modes(spark, d):
     return sc.offset_modes(sc.offset_pairs(gold, pred))
 
 
-@query(f"""WITH {SPANS}, x AS (SELECT DISTINCT doc_id FROM gold WHERE doc_id % 3 <> 0), y AS (SELECT DISTINCT doc_id FROM pred WHERE doc_id % 4 <> 0),
+@query(f"""WITH {SPANS}, x AS (SELECT DISTINCT doc_id FROM labels), y AS (SELECT DISTINCT doc_id FROM pred),
 a AS (SELECT doc_id AS k, 'missing' AS side FROM x ANTI JOIN y USING (doc_id) ORDER BY 1 LIMIT 5), b AS (SELECT doc_id AS k, 'extra' AS side FROM y ANTI JOIN x USING (doc_id) ORDER BY 1 LIMIT 5)
 SELECT side, k AS doc_id FROM a UNION ALL SELECT side, k FROM b""")
 def hash_set_diff(spark, d):
-    """Keys of gold without predictions and the reverse, where each side lost some documents."""
-    _, gold, pred = vw.both(spark, d)
-    return sc.missing_keys(gold.filter("doc_id % 3 <> 0"), pred.filter("doc_id % 4 <> 0"), "doc_id").select("side", "doc_id")
+    """The first labelled documents without a predicted span, and the reverse."""
+    _, _, pred = vw.both(spark, d)
+    return sc.missing_keys(vw.table(spark, d, "labels"), pred, "doc_id").select("side", "doc_id")
 
 
 # sequences
@@ -443,23 +443,24 @@ _LEX = [("the that", "ORG"), ("that", "NAME"), ("the", "GEO"), ("und der", "ORG"
 _LEXSQL = ", ".join(f"('{s}', '{label}', {k})" for k, (s, label) in enumerate(_LEX))
 
 
-@query(f"""WITH lex(w, label, k) AS (VALUES {_LEXSQL}), x AS (SELECT doc_id, text FROM documents),
-i AS (SELECT doc_id, text, label, w, unnest(range(1, length(text) + 1)) AS i FROM x JOIN lex ON contains(text, w)),
-h AS (SELECT doc_id, label, i - 1 AS s, i - 1 + length(w) AS e FROM i WHERE substr(text, i, length(w)) = w AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '^\\p{{L}}$'))),
+@query(f"""WITH lex(w, label, k) AS (VALUES {_LEXSQL}),
+x AS (SELECT doc_id, label, w, string_split(text, w) AS ps FROM documents JOIN lex ON contains(text, w)),
+p AS (SELECT doc_id, label, w, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i, len(ps) AS n FROM x),
+c AS (SELECT *, sum(length(piece) + length(w)) OVER (PARTITION BY doc_id, w ORDER BY i) - length(w) AS s FROM p),
+h AS (SELECT doc_id, label, CAST(s AS BIGINT) AS s, CAST(s + length(w) AS BIGINT) AS e FROM c WHERE i < n AND CASE WHEN piece = '' THEN i = 1 ELSE NOT regexp_matches(right(piece, 1), '^\\p{{L}}$') END),
 a AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, s := s, r := CASE label WHEN 'ORG' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END, label := label, e := e))) AS arr FROM h GROUP BY doc_id),
-t AS ({fold("a", "a.s < x.e AND x.s < a.e")}) SELECT v.label AS label, count(*) AS n, CAST(sum(v.s) AS BIGINT) AS sum_s FROM t GROUP BY 1""".replace("FROM documents)", "FROM documents WHERE n_chars < 1500)"))
+t AS ({fold("a", "a.s < x.e AND x.s < a.e")}) SELECT v.label AS label, count(*) AS n, CAST(sum(v.s) AS BIGINT) AS sum_s FROM t GROUP BY 1""")
 def gazetteer_hits(spark, d):
-    """Lexicon hits of the short documents (a length predicate of the feature: a request's text is short)."""
-    docs = vw.documents(spark, d).filter("n_chars < 1500").select("doc_id", "text")
+    docs = vw.documents(spark, d).select("doc_id", "text")
     return etl.gazetteer_spans(docs, _LEX).groupBy("label").agg(F.count("*").alias("n"), F.sum("start").alias("sum_s"))
 
 
-@query("""WITH g AS (SELECT DISTINCT doc_id FROM labels), x AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0),
+@query("""WITH g AS (SELECT DISTINCT doc_id FROM labels), x AS (SELECT doc_id FROM documents),
 f AS (SELECT doc_id FROM x ANTI JOIN g USING (doc_id) ORDER BY md5('42|' || doc_id), doc_id LIMIT 200)
 SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM f) AS extra, (SELECT count(*) FROM g) + (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM x SEMI JOIN g USING (doc_id)) AS skipped, (SELECT CAST(sum(doc_id) AS BIGINT) FROM f) AS sum_extra""")
 def train_mix(spark, d):
     gold = vw.table(spark, d, "labels").select("doc_id").distinct()
-    out, n = etl.mix(gold, vw.documents(spark, d).filter("doc_id % 2 = 0").select("doc_id"), "doc_id", 200, 42)
+    out, n = etl.mix(gold, vw.documents(spark, d).select("doc_id"), "doc_id", 200, 42)
     return n.crossJoin(out.filter("part = 'extra'").agg(F.sum("doc_id").alias("sum_extra")))
 
 
