@@ -117,12 +117,16 @@ def word_count(text: Column) -> Column:
 def word_starts(text: Column, needle: Column) -> Column:
     """Offsets of all hits of ``needle``, overlapping ones too, that no letter precedes.
 
-    ``split`` by the literal finds the gaps between hits that do not overlap; a hit that
-    overlaps the last one is found by looking one character on, so candidates come from
-    positions of the first character only.
+    The text is split before each hit, so one pass finds them in texts of any length;
+    offsets are the running lengths of the pieces.
     """
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(needle) + 1, F.lit(1))), lambda i: (F.substring(text, i, F.length(needle)) == needle) & ~F.substring(text, i - 1, F.when(i > 1, 1).otherwise(0)).rlike(r"^\p{L}$"))
-    return F.when((F.length(needle) > 0) & (F.length(needle) <= F.length(text)), F.transform(hits, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    quoted = F.concat(F.lit(r"(?<!\p{L})(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["hits"], F.array(acc["at"])).alias("hits"))
+    hits = F.aggregate(F.split(text, quoted, -1), begin, step, lambda acc: acc["hits"])
+    # the first piece is a hit only if the text starts with one
+    hits = F.when(F.startswith(text, needle), hits).otherwise(F.slice(hits, F.lit(2), F.greatest(F.size(hits), F.lit(1))))
+    return F.when((F.length(needle) > 0) & (F.length(needle) <= F.length(text)), hits).otherwise(F.array().cast("array<int>"))
 
 
 def locate_mention(text: Column, mention: Column) -> Column:

@@ -58,6 +58,15 @@ def test_normal_form_and_scripts(spark):
     assert one(spark, "aXa Xa", lambda t: tx.word_starts(t, F.lit("Xa"))) == [4]
 
 
+@pytest.mark.parametrize("needle", ["ab", "a a", "a", ". .", "x.", "\\E", "(", "😀a", "о"])
+def test_word_starts_against_brute_force(spark, needle):
+    texts = ["", None, "ab", "ab ab abab xab ab", "a a a a", ". . . .", "x.x.", r"\E\E a\E", "((a(", "😀a😀a é😀a", "о оо 1о", "ab " * 2000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.word_starts(F.col("t"), F.lit(needle)).alias("x")).collect()
+    for r in rows:
+        t = texts[r["i"]] or ""
+        assert r["x"] == [k for k in range(len(t)) if t.startswith(needle, k) and not (k and t[k - 1].isalpha())], t[:20]
+
+
 def test_greedy_selection(spark):
     got = rows(sp.select_flat(spans(spark, ("ORG", 0, 5), ("NAME", 3, 9), ("GEO", 0, 5), ("GEO", 9, 10), ("ORG", 4, 4))))
     assert got == [(1, "GEO", 9, 10), (1, "NAME", 3, 9)]
