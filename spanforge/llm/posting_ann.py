@@ -209,6 +209,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
     drawn = np.array([r["vec"] for r in at_random("vec_id", sample, rows).collect()])
     index = spark.sparkContext.broadcast(Index(drawn, norm, n))
     asking = rows.filter(is_query(every))
+    # what is stored as floats is shuffled as floats; scores are computed in double precision
+    stored = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    width = np.float32 if stored == "float" else np.float64
 
     def sizes(batches: Iterator[pa.RecordBatch], homes: bool) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.value.graph.centers), np.int64)
@@ -237,7 +240,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
                     first, parts, cuts = plan.value[h]
                     out += [(i, h, first + int(salt[i] % parts), c) for c in range(cuts)]
             i, h, bin_, cut = (np.array(c, np.int64) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), lists(x[i]), pa.array(h), pa.array(bin_), pa.array(cut)], names=["vec_id", "vec", "list", "bin", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), lists(x[i].astype(width)), pa.array(h), pa.array(bin_), pa.array(cut)], names=["vec_id", "vec", "list", "bin", "part"])
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,19 +258,19 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
                 out += [(i, bin_, int(salt[i] % own[0]), own[1:]) for bin_, own in bins.items()]
             if out:
                 i = np.array([o[0] for o in out])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), lists(x[i]), pa.array([o[3] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["vec_id", "vec", "lists", "bin", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), lists(x[i].astype(width)), pa.array([o[3] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["vec_id", "vec", "lists", "bin", "part"])
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             ids, first, back = np.unique(left.column("vec_id").to_numpy(), return_index=True, return_inverse=True)
-            x = matrix(left.column("vec"))
+            x = matrix(left.column("vec")).astype(np.float64)
             _, home = np.unique(left.column("list").to_numpy(), return_inverse=True)
             names = {v: j for j, v in enumerate(np.unique(left.column("list").to_numpy()).tolist())}
             member = np.zeros((len(names), len(ids)), np.float32)
             member[home, back] = 1
             x = x[first]
-            q, own = matrix(right.column("vec")), right.column("vec_id").to_numpy()
+            q, own = matrix(right.column("vec")).astype(np.float64), right.column("vec_id").to_numpy()
             reads = right.column("lists").to_pylist()
             for a in range(0, len(q), 128):
                 ask = np.zeros((min(128, len(q) - a), len(names)), np.float32)
@@ -287,7 +290,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
         return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     salted = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("salt")
-    entries = rows.select("vec_id", "vec", salted).mapInArrow(deal_entries, "vec_id long, vec array<double>, list long, bin long, part long")
-    queries = asking.select("vec_id", "vec", salted).mapInArrow(deal_queries, "vec_id long, vec array<double>, lists array<long>, bin long, part long")
+    entries = rows.select("vec_id", "vec", salted).mapInArrow(deal_entries, f"vec_id long, vec array<{stored}>, list long, bin long, part long")
+    queries = asking.select("vec_id", "vec", salted).mapInArrow(deal_queries, f"vec_id long, vec array<{stored}>, lists array<long>, bin long, part long")
     found = entries.groupBy("bin", "part").cogroup(queries.groupBy("bin", "part")).applyInArrow(cell, "query_id long, vec_id long, score double")
     return merged(found, k)
