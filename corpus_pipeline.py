@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_cnn, line_winnow, pfair_mix, piece_bpe, simhash_bk
+from spanforge.llm import byte_cnn, jaccard_join, line_winnow, pfair_mix, piece_bpe
 from spanforge.llm.common import materialize, table
 from spanforge.llm.registry import labelled
 
-#: 256-bit fingerprints of five-word shingles: a Jaccard similarity of 0.8 differs in about 39 bits
-SHINGLE, BITS, RADIUS = 5, 256, 44
+#: near-duplicates have a Jaccard similarity of LEAST / 5 or more between their five-word shingles
+SHINGLE, LEAST = 5, 4
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = simhash_bk.near_duplicates(docs, SHINGLE, RADIUS, BITS, band_bits=16, layouts=2)
+    found = jaccard_join.near_duplicates(docs, SHINGLE, LEAST)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     # rows that share a doc_id are one document; documents without an id cannot be told apart and stay
     same = docs.withColumn("_th", F.xxhash64("text"))

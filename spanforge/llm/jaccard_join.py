@@ -1,0 +1,229 @@
+"""Near-duplicates by the exact Jaccard similarity of whole shingle sets.
+
+Two texts link when the sets of their shingles (64-bit hashes, see ``simhash_bk``) have a
+similarity of ``least`` / 5 or more, and a component is what links reach.
+
+Candidates come from a prefix filter, which misses nothing: with all sets in one common
+order, two sets that link share one of the first ``n - ceil(least * n / 5) + 1`` shingles
+of both, and their first shared shingle leaves enough of both sets behind it. Shingles
+that a sample shows to be common come last in the order, so that few sets meet at them;
+which ones that are changes the work but not the result. Every candidate is then decided
+by the intersection of the two whole sets.
+
+Equal sets are one class from the start. Classes that meet at a shingle are first compared
+with the least of them only, and the links so found joined to components; then all
+other pairs that do not lie in one component yet. So a large group of near copies gives
+about one pair a member, not all pairs.
+
+Defined cases: null and empty texts and texts without a word have the empty set, and are
+one class. Texts of fewer words than a shingle are one shingle. Repeated rows and equal
+doc_ids are kept; null doc_ids take part, but never represent a component that has
+another. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanforge.llm.common import materialize, spread
+from spanforge.llm.simhash_bk import components, shingle_hashes
+
+SAMPLE_SETS = 8_000
+COMMON = 100_000
+PAIR_BLOCK = 2_000_000
+FILTER_BITS = 1 << 25
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, cid (hash of the set), shingles (sorted array of longs) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in b.column("text").to_pylist()]
+            cid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cid), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "cid", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, cid long, shingles array<long>")
+
+
+def common_shingles(sets: DataFrame, n: int) -> np.ndarray:
+    """Shingles that stand in four sets of a sample or more, a bounded number, sorted."""
+    every = max(1, n // SAMPLE_SETS)
+    seen = sets.filter(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").count()
+    found = seen.filter("count >= 4").orderBy(F.desc("count"), "s").limit(COMMON).select("s").collect()
+    return np.sort(np.array([r["s"] for r in found], np.int64))
+
+
+def prefixes(sets: DataFrame, least: int, common: np.ndarray) -> DataFrame:
+    """s, cid, n (shingles of the set), at (place in the common order) of the shingles in the prefixes."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        done: set[int] = set()  # a task gives equal sets once
+        for b in batches:
+            cids, lists = b.column("cid").to_numpy(), b.column("shingles")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            is_late = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat if len(late) else np.zeros(len(flat), bool)
+            out: list[np.ndarray] = []
+            some: list[int] = []
+            for k, c in enumerate(cids.tolist()):
+                n = int(ends[k + 1] - ends[k])
+                if not n or c in done:
+                    continue
+                done.add(c)
+                some.append(k)
+                s, last = flat[ends[k] : ends[k + 1]], is_late[ends[k] : ends[k + 1]]
+                out.append(np.concatenate((s[~last], s[last]))[: n - -(-least * n // 5) + 1])
+            size, held = np.diff(ends).astype(np.int64), np.array([len(x) for x in out], np.int64)
+            s = np.concatenate(out) if out else np.empty(0, np.int64)
+            at = np.arange(len(s)) - np.repeat(np.cumsum(held) - held, held)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.repeat(cids[some], held)), pa.array(np.repeat(size[some], held).astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "cid", "n", "at"])
+
+    return sets.select("cid", "shingles").mapInArrow(run, "s long, cid long, n int, at int")
+
+
+def may_link(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Pairs of rows whose sizes, and what follows their shared shingle, allow a link."""
+    total = n[a] + n[b]
+    rest = np.minimum(n[a] - at[a], n[b] - at[b])
+    return (5 * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])) & ((5 + least) * rest >= least * total)
+
+
+def pairs_in_order(s: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one shingle and two groups, some at a time; rows are sorted by (s, group)."""
+    n = len(s)
+    new = np.flatnonzero((s[1:] != s[:-1]) | (group[1:] != group[:-1])) + 1
+    last = np.append(new, n)
+    after = last[np.searchsorted(last, np.arange(n), side="right")]  # where the row's group ends
+    new = np.flatnonzero(s[1:] != s[:-1]) + 1
+    last = np.append(new, n)
+    end = last[np.searchsorted(last, np.arange(n), side="right")]
+    count = end - after
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIR_BLOCK, side="right")))
+        c = count[lo:hi]
+        a = np.repeat(np.arange(lo, hi), c)
+        yield a, np.repeat(after[lo:hi] - (np.cumsum(c) - c), c) + np.arange(len(a))
+        lo = hi
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], least_rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by the first column, with all rows of one value together."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+        if sum(len(x[0]) for x in held) >= least_rows:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            if cut:
+                yield [c[:cut] for c in cols]
+            held = [[c[cut:] for c in cols]]
+            least_rows = max(200_000, 2 * len(held[0][0]))
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """``rows`` of shingles that two sets or more hold, with head, head_n, head_at of the least cid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s", "cid", "n", "at"]
+        for cols in whole_runs(batches, names):
+            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            cols = [c[new] for c in cols]  # equal sets of several tasks
+            s = cols[0]
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            size = np.diff(np.append(first, len(s)))
+            keep, head = np.repeat(size > 1, size), np.repeat(first, size)
+            every = [c[keep] for c in cols] + [c[head[keep]] for c in cols[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in every], names=[*names, "head", "head_n", "head_at"])
+
+    schema = "s long, cid long, n int, at int, head long, head_n int, head_at int"
+    return rows.repartition("s").sortWithinPartitions("s", "cid").mapInArrow(run, schema)
+
+
+def cross_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """a, b: classes of two components that meet at a shingle and may link; rows: s, root, cid, n, at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, root, cid, n, at in whole_runs(batches, ["s", "root", "cid", "n", "at"]):
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            for a, b in pairs_in_order(s, root):
+                ok = may_link(n, at, a, b, least)
+                two = np.sort(np.stack((cid[a[ok]], cid[b[ok]]), 1), axis=1)
+                two = np.unique(two, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+
+    return rows.select("s", "root", "cid", "n", "at").repartition("s").sortWithinPartitions("s", "root", "cid").mapInArrow(run, "a long, b long").distinct()
+
+
+def only_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cid, shingles, once each, of the classes in ``pairs`` (and of few others), so few sets are shuffled.
+
+    The filter is a bitmap of bounded size over hashes; a clash only lets a set pass.
+    """
+    bit = F.pmod(F.xxhash64(F.lit(1), "cid"), F.lit(FILTER_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(bit.alias("bit"))
+    found = ids.groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toArrow()
+    held = np.zeros(FILTER_BITS // 32, np.uint32)
+    held[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    shared = sets.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for b in batches:
+            at, cids = b.column("bit").to_numpy(), b.column("cid").to_numpy()
+            keep = []
+            for k in np.flatnonzero(shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).tolist():
+                if (c := int(cids[k])) not in done:
+                    done.add(c)
+                    keep.append(k)
+            yield b.select(["cid", "shingles"]).take(pa.array(keep, pa.int64()))
+
+    # tasks give equal sets once each; the join deals by cid anyway
+    return sets.select("cid", "shingles", bit.alias("bit")).mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs a, b whose whole sets have the similarity."""
+    pairs = materialize(pairs, "pairs")
+    sets = only_of(sets, pairs)
+    one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    same = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter(same * (5 + least) >= (F.size("set_a") + F.size("set_b")) * least).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 4) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the component) for every row."""
+    rows = materialize(shingle_sets(docs, shingle), "shingle-sets")
+    classes = materialize(rows.groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
+    sets = rows.select("cid", "shingles")
+    common = common_shingles(sets, classes.count())
+    meet = materialize(met(prefixes(sets, least, common)), "prefixes")
+    rest = F.least(F.col("n") - F.col("at"), F.col("head_n") - F.col("head_at"))
+    fits = (5 * F.least("n", "head_n") >= least * F.greatest("n", "head_n")) & ((5 + least) * rest >= least * (F.col("n") + F.col("head_n")))
+    stars = meet.filter((F.col("cid") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    edges = materialize(verified(stars, sets, least), "links")
+    root = components(edges)
+    labelled = meet.select("s", "cid", "n", "at").join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    more = materialize(verified(cross_pairs(labelled, least), sets, least), "links")
+    root = components(edges.unionByName(more))
+    of = classes.select("cid", "rep").join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    names = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = of.join(names, "root").select("cid", "component_id")
+    return rows.select("doc_id", "cid").join(of, "cid").select("doc_id", "component_id")
