@@ -6,6 +6,7 @@ documents that go on, with their columns, and the last one the tokens.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +46,28 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair_mix.schedule(docs).orderBy("position").select(*docs.columns)
 
 
+def written_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with position: the number of the row in the order in which its files were written.
+
+    Rereading deals files to tasks in another order, so the place comes from the number of
+    the file and of the row in it. Only one row a file is ordered in one task.
+    """
+    try:
+        rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        rows.schema  # noqa: B018  (frames that were not read from files have no such columns)
+    except AnalysisException:
+        rows = docs.withColumn("_id", F.monotonically_increasing_id())
+        rows = rows.withColumns({"_file": F.shiftright("_id", 33).cast("string"), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    part = F.coalesce(F.regexp_extract("_file", r"(?:^|/part-)(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    sizes = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n")).withColumn("_part", part)
+    before = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias("position"))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_ids, lossless of all documents."""
-    return piece_bpe.encode_documents(docs, piece_bpe.load())
+    """doc_id, ids, n_ids, lossless and position (place in the mixed order, from 0) of all documents."""
+    return piece_bpe.encode_documents(written_order(docs), piece_bpe.load(), carry=("position",))
 
 
 STAGES = [

@@ -319,8 +319,8 @@ def _encoder(proto: bytes, dropout: float, seed: int, variants: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, check: bool = True) -> DataFrame:
-    """doc_id, ids (array<int>), n_ids, lossless (the ids decode to the very text) of every row."""
+def encode_documents(docs: DataFrame, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, check: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (array<int>), n_ids, lossless (the ids decode to the very text) and the columns ``carry`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(proto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +335,11 @@ def encode_documents(docs: DataFrame, proto: bytes, dropout: float = DROPOUT, se
                 texts = b.column("text").to_pylist()
                 ids = encoder.encode(texts, b.column("key").to_pylist())
                 good = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)] if check else [None] * len(texts)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if i is None else len(i) for i in ids], pa.int32()), pa.array(good, pa.bool_())], names=["doc_id", "ids", "n_ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if i is None else len(i) for i in ids], pa.int32()), pa.array(good, pa.bool_()), *map(b.column, carry)], names=["doc_id", "ids", "n_ids", "lossless", *carry])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("key"))
-    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>, n_ids int, lossless boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("key"), *carry)
+    schema = "doc_id long, ids array<int>, n_ids int, lossless boolean"
+    return spread(rows).mapInArrow(run, ", ".join([schema, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]]))
 
 
 def decode_documents(rows: DataFrame, proto: bytes) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("spanforge.llm")
 
-from spanforge.llm import jaccard_join  # noqa: E402
+from spanforge.llm import jaccard_join, pfair_mix  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +58,16 @@ def test_near_duplicates_are_those_of_jaccard_08(spark):
     kept = {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(want.values())
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_mixed_order_reaches_the_tokens(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [f"text {i} " + "word " * (i * 37 % 400) for i in range(300)]
+    docs = frame(spark, texts)
+    want = {r["doc_id"]: r["position"] for r in pfair_mix.places(docs).collect()}
+    path = str(tmp_path / "mixed")
+    mixed = pfair_mix.schedule(docs).repartitionByRange(7, "position").sortWithinPartitions("position")
+    mixed.select(*docs.columns).write.parquet(path)
+    got = pipeline.tokenize(spark, spark.read.parquet(path), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["position"] for r in got} == want and len(got) == len(texts)
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
