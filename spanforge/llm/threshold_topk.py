@@ -13,7 +13,8 @@ every row of the bin has been read, no bound is needed.
 
 Defined cases: null vectors, vectors with null or non-finite components, null ids and
 vectors of another than the most frequent dimension take no part; zero vectors do. Rows
-with equal vec_id and vector count once. With fewer than k candidates all are returned;
+with equal vec_id and vector count once, and rows of one vec_id that score the same for a
+query are one neighbour of it. With fewer than k candidates all are returned;
 an empty table gives an empty result. Whole numbers are summed as 64-bit integers.
 """
 
@@ -36,6 +37,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids = ids
+        self.repeats = len(np.unique(ids)) < len(ids)
         big = float(np.abs(rows).max()) if rows.size else 0.0
         most = big * big * max(rows.shape[1], 1)
         # the narrowest type in which every partial sum is exact
@@ -43,6 +45,14 @@ class SortedLists:
         self.order = np.ascontiguousarray(np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32))
         self.value = np.take_along_axis(rows, self.order.T.astype(np.int64), 0).T
 
+    def _single(self, have: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """One of the rows of each vec_id and score."""
+        if not self.repeats:
+            return have
+        have = have[np.lexsort((scores[have], self.ids[have]))]
+        same = (self.ids[have[1:]] == self.ids[have[:-1]]) & (scores[have[1:]] == scores[have[:-1]])
+        return have[np.append(True, ~same)] if len(have) else have
+
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """ids and scores of the k best rows but the query's own, and how deep was read."""
         n = len(self.ids)
@@ -64,7 +74,7 @@ class SortedLists:
             new = np.flatnonzero(was & ~fresh)
             scores[new] = self.rows[new] @ q
             last = depth
-            have = np.flatnonzero(other & ~fresh)
+            have = self._single(np.flatnonzero(other & ~fresh), scores)
             if not fresh.any():
                 break
             if len(have) >= k:
@@ -88,6 +98,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, en
     rows, dim, n, norm = clean(vectors, zero=True)
     bins, parts = max(1, math.ceil(n / entry_limit)), max(1, math.ceil(n / every / query_limit))
     whole = rows.select("vec_id", F.expr(f"transform(vec, x -> cast(floor({scale}D * x) as long))").alias("vec"))
+    whole = whole.dropDuplicates(["vec_id", "vec"])  # else the copies of a row fill one bin
     entries = whole.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(bins)).alias("bin"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
     queries = whole.filter(is_query(every)).select("vec_id", "vec", F.explode(F.expr(f"sequence(0L, {bins - 1}L)")).alias("bin"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("spanforge.llm")
 
-from spanforge.llm import jaccard_join, pfair_mix  # noqa: E402
+from spanforge.llm import jaccard_join, pfair_mix, threshold_topk  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +72,25 @@ def test_mixed_order_reaches_the_tokens(spark, tmp_path):
     got = pipeline.tokenize(spark, spark.read.parquet(path), str(tmp_path)).collect()
     assert {r["doc_id"]: r["position"] for r in got} == want and len(got) == len(texts)
     assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+
+
+def test_repeated_vectors_count_once(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(80, 8)).astype(np.float32)
+    ids = list(range(80))
+    rows = [(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    w = np.floor(64 * x.astype(float)).astype(int)
+    first = np.lexsort((np.arange(80), -(w @ w[0])))
+    often = [int(i) for i in first if i][:3]
+    rows += [rows[i] for i in often for _ in range(30)] + [rows[0]] * 3
+    also = [float(c) for c in x[often[0]] + np.float32(2**-12)]  # same id, another vector of the same whole numbers or nearly so
+    rows += [(often[0], also)] * 2
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = threshold_topk.search(frame_, k=6, entry_limit=64).collect()
+    every = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    for q in range(0, 80, 20):
+        true = sorted({(-int(v @ w[q]), i) for i, v in every if i != q})[:6]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(true)]
+    # rows of one id that differ but score the same are one neighbour
+    lists = threshold_topk.SortedLists(np.array([1, 1, 1, 2, 3]), np.array([[5, 0], [5, 1], [5, 2], [4, 0], [3, 0]]))
+    assert lists.top(np.array([1, 0]), -1, 2)[0].tolist() == [1, 2]
