@@ -71,7 +71,7 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_winnow.dedup_lines(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
+    return cut.select("doc_id", "n_deleted", F.md5("text").alias("text_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -92,29 +92,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 OP10_SQL = r"""
-WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
-  FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, text, line, s, len(list_filter(regexp_split_to_array(s, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS n FROM l),
-c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM w WHERE n > 0),
-a AS (
-  SELECT doc_id, line AS lo,
-         max(line) OVER f AS hi, sum(n) OVER f AS words, string_agg(s, chr(10)) OVER f AS content
-  FROM (SELECT *, CAST(upto - n AS BIGINT) AS before FROM c)
-  WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-b AS (
-  SELECT doc_id, min(line) OVER f AS lo, line AS hi, sum(n) OVER f AS words, string_agg(s, chr(10)) OVER f AS content
-  FROM (SELECT doc_id, line, s, n, CAST(upto AS BIGINT) AS upto FROM c)
-  WINDOW f AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
-v AS (SELECT * FROM a WHERE words >= 50 UNION SELECT * FROM b WHERE words >= 50),
-p AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, lo) AS k,
-             first_value(doc_id) OVER (PARTITION BY content ORDER BY doc_id, lo) AS d0, first_value(lo) OVER (PARTITION BY content ORDER BY doc_id, lo) AS l0 FROM v),
-g AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS line FROM p WHERE doc_id > d0 OR (doc_id = d0 AND lo > l0)),
-t AS (
-  SELECT w.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted,
-         coalesce(string_agg(CASE WHEN g.line IS NULL THEN s END, chr(10) ORDER BY w.line), '') AS kept
-  FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.line = w.line GROUP BY w.doc_id)
-SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_deleted AS INTEGER) AS n_deleted, md5(kept) AS text_md5 FROM t
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*') AS t FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, t, len(t) AS n, list_transform(t, lambda x: rtrim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS w FROM d WHERE len(t) > 0),
+s AS (SELECT doc_id, n, unnest(list_prepend(0, list_filter(list_transform(t, lambda x, i: CASE WHEN contains(x, chr(10)) OR right(w[i], 1) IN ('.', '!', '?') THEN i END), lambda i: i IS NOT NULL AND i < n))) AS a FROM e),
+c AS (SELECT doc_id, unnest(range(a, b, 32)) AS a FROM (SELECT doc_id, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS b FROM s)),
+g AS (SELECT doc_id, a, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c),
+h AS (SELECT g.doc_id, a, left(md5(array_to_string(w[a + 1 : coalesce(b, n)], ' ')), 16) AS h FROM g JOIN e USING (doc_id)),
+x AS (SELECT *, lead(h) OVER o AS nxt, lag(h) OVER o AS prv FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+f AS (SELECT doc_id, a, h, min(struct_pack(d := doc_id, a := a)) OVER (PARTITION BY h) AS p FROM x WHERE (nxt IS NULL AND prv IS NULL) OR h <= nxt OR h <= prv),
+l AS (SELECT DISTINCT doc_id AS q, p.d AS p, a - p.a AS shift FROM f WHERE doc_id > p.d OR (doc_id = p.d AND a > p.a)),
+w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM e),
+m AS (SELECT q, p, shift, y.k FROM l JOIN w y ON y.doc_id = q JOIN w z ON z.doc_id = p AND z.k = y.k - shift AND z.word = y.word),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY q, p, shift ORDER BY k) AS island FROM m),
+r AS (SELECT q, min(k) AS lo, max(k) AS hi FROM i GROUP BY q, p, shift, island HAVING count(*) >= 50),
+gone AS (SELECT DISTINCT q AS doc_id, unnest(range(lo, hi + 1)) AS k FROM r),
+tok AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) - 1 AS k FROM e),
+kept AS (SELECT tok.doc_id, count(gone.k) AS n_deleted, coalesce(string_agg(CASE WHEN gone.k IS NULL THEN x END, '' ORDER BY tok.k), '') AS rest FROM tok LEFT JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_deleted, 0) AS INTEGER) AS n_deleted, md5(CASE WHEN coalesce(n_deleted, 0) = 0 THEN text ELSE regexp_extract(text, '^[ \t\n\x0B\f\r]*') || rest END) AS text_md5
+FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
