@@ -2,24 +2,29 @@
 
 Each source's documents form blocks. With weight w (a share of all slots), block i of a
 source is released at slot floor(i / w) and due by slot ceil((i + 1) / w); every slot
-goes to the released block with the earliest deadline (ties: the smaller source index).
-While every source has blocks, each source's number of blocks after any number of slots
-differs from its weight's share by less than one block.
+goes to a released block with the earliest deadline. While every source has blocks, each
+source's number of blocks after any number of slots differs from its weight's share by
+less than one block.
 
 Weights are integer parts of a whole of ``sum(parts)`` slots, so the schedule repeats
-after that many slots. One period is laid out by a fold over its slots in SQL, and block
-i takes slot ``i div parts * period + slot_of(i mod parts)``. Blocks need only their
-number within their source for that; no task orders a whole source, since documents are
-numbered by two-level counts: hash buckets of bounded size within a source, and a
-running sum over the buckets. Documents are numbered in the order of a hash of doc_id.
+after that many slots. Sources of equal parts are one class, whose blocks are those of its
+members in turn; a block's window as one of the class lies within its window as one of
+its member, so it is enough to schedule the few classes (ties: the class of fewer parts).
+One period is laid out by a fold in SQL. Its first pass keeps only the state at every
+``STRIDE``-th slot, the second lays out the stretches in between side by side.
+
+Documents are numbered within their source in the order of the MD5 of doc_id, by a bucket
+of that digest and a running sum over the buckets. All sources have the same buckets, so
+that many that ``BUCKET_ROWS`` rows of all fall in one; rows are dealt by (source, bucket),
+and no task sees a whole source. Places are running sums over the slots, in three levels.
 
 When a source has run out, its slots are left empty and the others go on in the same
 order, so every document gets exactly one place and none is dropped or repeated.
 
 Defined cases: a null source is the source ``''``. Sources without a weight get
 ``default`` parts. Parts must be positive. Equal rows get places one after another. An
-empty table gives an empty result. Further columns stay as they are, unless their names
-clash with the new ones, which replace them.
+empty table gives an empty result. Further columns stay as they are, whatever their names,
+but for those of the new ones, which replace them.
 """
 
 from __future__ import annotations
@@ -27,54 +32,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import materialize
+
 BLOCK = 8
 BUCKET_ROWS = 20_000
+STRIDE = 1_000
+FAN = 1_024
 #: integer parts of the production mix; a source that is not named has the default
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src5": 2, "src7": 2}
 DEFAULT = 1
 
 
-def period_schedule(sources: DataFrame) -> DataFrame:
-    """source, parts, period, turn (0 .. parts - 1), slot of one period; sources: source, parts.
+def period_schedule(classes: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """parts, period, turn (0 .. width - 1), slot of one period; classes: parts, width (slots a period).
 
-    The fold's state is the slots so far; a source's next block is the count of its
-    slots, so releases and deadlines follow from it in whole numbers.
+    The fold's state is the number of slots each class has had; releases and deadlines
+    follow from it in whole numbers. classes has a row for each distinct number of parts.
     """
-    all_sources = sources.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "parts"))).alias("s"), F.sum("parts").cast("long").alias("period"))
-    # the fold needs its choice twice, so each step is a let-binding over a one-element array
-    fold = """
-      aggregate(
-        sequence(0, cast(period as int) - 1),
-        struct(transform(s, x -> 0L) as done, cast(array() as array<int>) as plan),
-        (acc, t) -> transform(
-          array(array_min(transform(
-            filter(sequence(0, size(s) - 1), k -> acc.done[k] < s[k].parts and acc.done[k] * period div s[k].parts <= t),
-            k -> struct((acc.done[k] * period + period + s[k].parts - 1) div s[k].parts as due, k as k))).k),
-          c -> struct(transform(acc.done, (d, k) -> if(k = c, d + 1L, d)) as done, concat(acc.plan, array(c)) as plan))[0],
+    whole = classes.groupBy().agg(F.sort_array(F.collect_list(F.struct("parts", "width"))).alias("s"), F.sum("width").cast("long").alias("period")).filter("period > 0")
+    choice = """array_min(transform(
+        filter(sequence(0, size(s) - 1), k -> acc.done[k] < s[k].width and acc.done[k] * period div s[k].width <= t),
+        k -> struct((acc.done[k] * period + period + s[k].width - 1) div s[k].width as due, k as k))).k"""
+    # the choice is needed twice, so each step is a let-binding over a one-element array
+    after = "transform(acc.done, (d, k) -> if(k = c, d + 1L, d))"
+    marks = f"""
+      aggregate(sequence(0L, period - 1),
+        struct(transform(s, x -> 0L) as done, cast(array() as array<array<bigint>>) as marks),
+        (acc, t) -> transform(array({choice}),
+          c -> struct({after} as done, if(t % {stride} = 0, concat(acc.marks, array(acc.done)), acc.marks) as marks))[0],
+        acc -> acc.marks)"""
+    parts = whole.select("s", "period", F.posexplode(F.expr(marks)).alias("i", "done"))
+    plan = f"""
+      aggregate(sequence(i * {stride}L, least((i + 1) * {stride}L, period) - 1),
+        struct(done as done, cast(array() as array<struct<k: int, turn: bigint>>) as plan),
+        (acc, t) -> transform(array({choice}),
+          c -> struct({after} as done, concat(acc.plan, array(struct(c as k, acc.done[c] as turn))) as plan))[0],
         acc -> acc.plan)"""
-    plan = all_sources.filter("period > 0").select("s", "period", F.expr(fold).alias("plan"))
-    slots = plan.select("s", "period", F.posexplode("plan").alias("slot", "k")).select("period", "slot", F.expr("s[k].source").alias("source"), F.expr("s[k].parts").alias("parts"))
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1  # over one period only
-    return slots.select("source", "parts", "period", turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"))
+    laid = parts.repartition(F.col("i")).select("s", "period", "i", F.posexplode(F.expr(plan)).alias("j", "x"))
+    return laid.select(F.expr("s[x.k].parts").alias("parts"), "period", F.col("x.turn").alias("turn"), (F.col("i") * stride + F.col("j")).cast("long").alias("slot"))
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` with ``number``, from 0 within ``group``, without one task for a whole group.
+def numbered(rows: DataFrame, group: str, key: str, order: list[str], buckets: int, about: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``number``, from 0 within ``group``, in the order of the MD5 of ``key`` and of ``order``.
 
-    Buckets are ranges of the first order column (a hash), so the number follows that
-    order; a large group has more buckets.
+    Rows are dealt by group and bucket, a range of the digest, never by the group alone. The
+    columns of ``about``, one row a group, reach the rows by way of the buckets.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).select(F.col(group).alias("_group"), F.ceil(F.col("_n") / bucket_rows).alias("_buckets"))
-    cut = rows.join(sizes, rows[group] == sizes["_group"]).drop("_group")
-    # the hash as a share of its range, times the number of buckets
-    cut = cut.withColumn("_bucket", F.least(F.floor((F.col(order[0]) / 18446744073709551616.0 + 0.5) * F.col("_buckets")), F.col("_buckets") - 1)).drop("_buckets")
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-    starts = starts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
-    out = cut.withColumn("_within", within)
-    out = out.join(starts, (out[group] == starts["_g"]) & (out["_bucket"] == starts["_b"]))
-    return out.withColumn("number", F.col("_start") + F.col("_within")).drop("_within", "_g", "_b", "_start", "_bucket")
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = rows.withColumn("_digest", digest)
+    rows = rows.withColumn("_bucket", (F.conv(F.left("_digest", F.lit(8)), 16, 10).cast("long") * buckets / (1 << 32)).cast("long"))
+    dealt = rows.repartition(group, "_bucket")
+    sizes = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if about is not None:
+        starts = starts.join(about, group)
+    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_digest", *order)) - 1
+    out = dealt.withColumn("_within", within).join(starts, [group, "_bucket"])
+    return out.withColumn("number", F.col("_start") + F.col("_within")).drop("_digest", "_bucket", "_within", "_start")
+
+
+def running_sum(sizes: DataFrame, key: str, levels: int = 3) -> DataFrame:
+    """key, first: the sum of ``size`` over all smaller keys (keys are unique, not negative)."""
+    if not levels:
+        before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)  # keys / FAN ** 3
+        return sizes.select(key, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    dealt = sizes.withColumn("_up", F.expr(f"{key} div {FAN}")).repartition("_up")
+    base = running_sum(dealt.groupBy("_up").agg(F.sum("size").alias("size")), "_up", levels - 1).withColumnRenamed("first", "_base")
+    before = Window.partitionBy("_up").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = dealt.withColumn("_in", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return inner.join(base, "_up").select(key, (F.col("_base") + F.col("_in")).alias("first"))
 
 
 NEW = ["block", "release", "deadline", "slot", "position"]
@@ -85,7 +112,17 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
 
 
-def places(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT, block: int = BLOCK) -> DataFrame:
+def source_slots(sources: DataFrame, buckets: int) -> DataFrame:
+    """source, parts, period, slots (of one period, in order); sources: source, parts."""
+    members = numbered(sources, "parts", "source", ["source"], buckets)
+    classes = members.groupBy("parts").agg(F.count("*").alias("members"))
+    plan = period_schedule(classes.select("parts", (F.col("parts") * F.col("members")).alias("width")))
+    plan = plan.join(classes, "parts").select("parts", "period", F.expr("turn % members").alias("number"), F.expr("turn div members").alias("turn"), "slot")
+    held = plan.groupBy("parts", "number").agg(F.first("period").alias("period"), F.sort_array(F.collect_list("slot")).alias("slots"))
+    return members.join(held, ["parts", "number"]).select("source", "parts", "period", "slots")
+
+
+def places(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, source, row_hash, block, release, deadline, slot and position of every row.
 
     position numbers all rows from 0 in the mixed order. Texts are only hashed: what is
@@ -94,47 +131,35 @@ def places(docs: DataFrame, weights: dict[str, int] | None = None, default: int
     weights = WEIGHTS if weights is None else weights
     if default < 1 or any(w < 1 for w in weights.values()) or block < 1:
         raise ValueError("parts and block must be positive")
-    rows = docs.drop(*NEW).select("doc_id", "source", row_hash(docs).alias("row_hash"))
-    rows = rows.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_hash": F.xxhash64("doc_id")})
+    rows = docs.select("doc_id", "source", row_hash(docs).alias("row_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"))
+    rows = materialize(rows, "mix-rows")
+    buckets = max(1, -(-rows.count() // bucket_rows))
     named = F.create_map(*[F.lit(x) for k in weights.items() for x in k]) if weights else None
     parts = F.lit(default) if named is None else F.coalesce(F.try_element_at(named, F.col("source")), F.lit(default))
-    sources = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n")).withColumn("parts", parts.cast("long"))
-    period = period_schedule(sources.select("source", "parts")).withColumnsRenamed({"source": "_s", "slot": "_slot"})
-    rows = numbered(rows, "_source", ["_hash", "doc_id", "row_hash"])
-    rows = rows.withColumn("block", F.expr(f"number div {block}"))
-    share = period.select("_s", "parts", "period").distinct()
-    rows = rows.join(share, F.col("_source") == F.col("_s")).drop("_s")
-    rows = rows.withColumn("turn", F.expr("block % parts")).withColumn("_of", F.col("_source"))
-    rows = rows.join(period.select(F.col("_s").alias("_of"), "turn", "_slot"), ["_of", "turn"])
+    sources = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n")).select("source", parts.cast("long").alias("parts"))
+    slots = materialize(source_slots(sources, buckets), "mix-sources").withColumnRenamed("source", "_source")
+    rows = numbered(rows, "_source", "doc_id", ["doc_id", "row_hash"], buckets, slots).withColumn("block", F.expr(f"number div {block}"))
     rows = rows.withColumns({
-        "slot": F.expr("block div parts * period + _slot"),
+        "slot": F.expr("block div parts * period + get(slots, cast(block % parts as int))"),
         "release": F.expr("block * period div parts"),
         "deadline": F.expr("(block * period + period + parts - 1) div parts"),
     })
-    # places: a running sum of block sizes, over periods and then within each period
-    slots = rows.groupBy("slot").agg(F.count("*").alias("_size"), F.first("period").alias("_period"))
-    slots = slots.withColumn("_cycle", F.expr("slot div _period"))
-    cycles = slots.groupBy("_cycle").agg(F.sum("_size").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_cycle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cycles = cycles.select("_cycle", before.alias("_base"))
-    inner = F.coalesce(F.sum("_size").over(Window.partitionBy("_cycle").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = slots.select("slot", "_cycle", inner.alias("_inner")).join(cycles, "_cycle").select("slot", (F.col("_base") + F.col("_inner")).alias("_first"))
-    rows = rows.join(slots, "slot").withColumn("position", F.col("_first") + F.expr(f"number % {block}"))
+    rows = materialize(rows.select("doc_id", "source", "row_hash", "number", "block", "release", "deadline", "slot"), "mix-numbers")
+    first = running_sum(rows.groupBy("slot").agg(F.count("*").alias("size")), "slot")
+    rows = rows.join(first, "slot").withColumn("position", F.col("first") + F.expr(f"number % {block}"))
     return rows.select("doc_id", "source", "row_hash", *NEW)
 
 
 def schedule(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with block, release, deadline, slot and position.
 
-    Whole rows are shuffled once, by (doc_id, row hash), to meet their places; the copies of
-    an equal row take the copies' places in turn.
+    Whole rows are shuffled once, by (doc_id, row hash), to meet their places. Rows that agree
+    in both are equal, so one of them stands for all, and each place takes a copy of it.
     """
-    held = F.sort_array(F.collect_list(F.struct("position", "block", "release", "deadline", "slot"))).alias("_at")
-    at = places(docs, weights, default, block).groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(held)
-    rows = docs.drop(*NEW)
-    names = rows.columns
-    rows = rows.withColumns({"_rid": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_row": row_hash(docs)})
-    at = at.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_rid", "_row").orderBy("_row")))
-    out = rows.join(at, (rows["_rid"] == at["_id"]) & (rows["_row"] == at["_hash"])).withColumn("_p", F.element_at("_at", F.col("_k")))
-    return out.select(*names, *[F.col(f"_p.{n}").alias(n) for n in NEW])
+    names = [c for c in docs.columns if c not in NEW]
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_id")
+    at = places(docs, weights, default, block).select(key("doc_id"), F.col("row_hash").alias("_hash"), F.struct(*NEW).alias("_at"))
+    rows = docs.select(key("doc_id"), row_hash(docs).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    one = rows.repartition("_id", "_hash").dropDuplicates(["_id", "_hash"])
+    out = one.join(at, ["_id", "_hash"])
+    return out.select(*[F.col(f"_row.`{c}`") for c in names], *[F.col(f"_at.{n}").alias(n) for n in NEW])

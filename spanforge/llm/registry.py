@@ -91,6 +91,25 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP6_SQL = """
+WITH RECURSIVE src AS (SELECT coalesce(source, '') AS s, {parts} AS parts FROM documents GROUP BY 1, 2),
+cls AS (SELECT parts, count(*) AS c, parts * count(*) AS width FROM src GROUP BY 1),
+cfg AS (SELECT list(CAST(width AS BIGINT) ORDER BY parts) AS w, CAST(sum(width) AS BIGINT) AS p FROM cls),
+sim AS (
+  SELECT CAST(0 AS BIGINT) AS t, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS turn FROM cfg
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = c THEN d + 1 ELSE d END), c, done[c] FROM (
+    SELECT t, done, list_sort(list_filter(list_transform(w, lambda x, i: CASE WHEN done[i] < x AND done[i] * p // x <= t THEN struct_pack(due := (done[i] * p + p + x - 1) // x, i := i) END), lambda z: z IS NOT NULL))[1].i AS c
+    FROM sim, cfg WHERE t < p)),
+k AS (SELECT parts, c, row_number() OVER (ORDER BY parts) AS pick FROM cls),
+plan AS (SELECT parts, turn % c AS member, turn // c AS r, t - 1 AS slot FROM sim JOIN k USING (pick) WHERE t > 0),
+mem AS (SELECT s, parts, row_number() OVER (PARTITION BY parts ORDER BY md5(s), s) - 1 AS member FROM src),
+d AS (SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n FROM documents),
+b AS (SELECT doc_id, source, parts, n, n // 8 AS block, (n // 8) // parts * p + slot AS slot, p FROM d JOIN mem USING (s) JOIN plan USING (parts, member), cfg WHERE plan.r = (n // 8) % parts)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(block * p // parts AS BIGINT) AS release, CAST((block * p + p + parts - 1) // parts AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot,
+       CAST(row_number() OVER (ORDER BY slot, n % 8) - 1 AS BIGINT) AS position FROM b
+""".format(parts="CASE source " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in pfair_mix.WEIGHTS.items()) + f" ELSE {pfair_mix.DEFAULT} END")
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*') AS t FROM documents WHERE text IS NOT NULL),
 e AS (SELECT doc_id, t, len(t) AS n, list_transform(t, lambda x: rtrim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS w FROM d WHERE len(t) > 0),
@@ -114,4 +133,4 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_topk": OP3_SQL, "op10_line_winnow": OP10_SQL}
+    return {"op3_threshold_topk": OP3_SQL, "op6_pfair_mix": OP6_SQL, "op10_line_winnow": OP10_SQL}
