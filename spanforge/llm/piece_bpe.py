@@ -1,29 +1,31 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The agenda holds every adjacent pair of symbols whose concatenation is a piece. The best
-pair (highest score, leftmost on ties) is merged until none is left; a candidate is
-skipped for good when a keyed hash of (seed, variant, word, its first and last character)
-falls under the dropout rate. Rate 0 gives the model's own segmentation. A merge never
-crosses two neighbouring characters that no piece holds side by side, so a text is cut
-there first and each cut word is encoded alone, many words at a time.
+pair (highest score, leftmost on ties) comes up and is merged, until none is left; with
+the dropout rate it is skipped for good instead. Which candidates are skipped is a keyed
+hash of (seed, key of the row, number of the word, number of earlier skips in the word):
+it gives how many candidates pass before the next one is skipped, which is the same as an
+own draw for each candidate. So every word of every row has its own skips, and equal rows
+always get equal ids. Rate 0 gives the model's own segmentation.
 
-The variant is a keyed hash of (seed, key of the row, number of the run of ``RUN``
-words) modulo ``variants``. Equal words thus get up to ``variants`` different
-segmentations within and across documents, equal rows always get equal ones, and encoded
-words can be kept for the next document.
+A merge never crosses two neighbouring characters that no piece holds side by side, so a
+text is cut there first and each cut word is encoded alone. What comes of a word and its
+skips is kept as a tree, so words that have been met need no agenda, only look-ups.
 
 Spaces are written as U+2581 with one in front of a text, and characters without a piece
 become bytes. U+2581 in the text itself is written as bytes, so it comes back as it was,
-and ``decode(encode(text)) == text`` holds for every text.
+and ``decode(encode(text)) == text`` holds for every text of valid Unicode.
 
-Defined cases: null gives a null list, empty text the empty list; decoding likewise.
-Model files are read by the driver and shared with the tasks; only BPE models with byte
-pieces are taken. Repeated rows and columns of other names do not matter.
+Defined cases: null gives a null list, empty text the empty list; decoding likewise. A
+text of any length is cut some characters at a time. Model files are read by the driver
+and shared with the tasks; only BPE models with byte pieces are taken. Repeated rows and
+columns of other names do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gc
+import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,12 +39,12 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-KEEP_WORDS = 400_000
-RUN = 64
+DROPOUT, SEED = 0.1, 17
+KEEP_NODES = 600_000
 BLOCK_CHARS = 2_000_000
+BLOCK_WORDS = 200_000
 SPACE = "▁"
-_LITERAL = "\U0010ffff"  # stands for a U+2581 of the text until it is written as bytes
+_LITERAL = "\ud800"  # stands for a U+2581 of the text until it is written as bytes; no text holds a lone surrogate
 _NONE = np.int32(2**31 - 1)
 
 
@@ -70,6 +72,9 @@ class PieceModel:
                 self.raw.append(p.replace(SPACE, " ").encode())
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte pieces")
+        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
         # the symbols: pieces, and characters of pieces that are no pieces themselves
         symbols = dict(pieces)
         for c in sorted({c for p in pieces for c in p}):
@@ -108,6 +113,29 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.pair_rank[at], _NONE)
 
+    def cut_long(self, text: str, size: int = BLOCK_CHARS) -> Iterator[list[str]]:
+        """``cut`` of a text of any length, some characters at a time."""
+        at = 0
+        while at < len(text):
+            reach = size
+            while True:
+                words = self.cut(text[at : at + reach])
+                if at + reach >= len(text):
+                    at = len(text)
+                elif len(words) > 1:  # the last word may go on
+                    at += reach - len(words.pop())
+                else:
+                    reach *= 2
+                    continue
+                break
+            yield words
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The bytes that these ids stand for."""
+        size = self.raw_size[ids]
+        upto = np.cumsum(size)
+        return self.raw_flat[np.repeat(self.raw_first[ids] - (upto - size), size) + np.arange(int(upto[-1]) if len(ids) else 0)].tobytes()
+
     def cut(self, text: str) -> list[str]:
         """The words of an escaped text, none of whose merges crosses a cut."""
         if not text:
@@ -124,24 +152,77 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Growing:
+    """An array with room to grow; ``a`` is its filled part."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.empty(1024, dtype), 0
+
+    @property
+    def a(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def extend(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.held):
+            self.held = np.concatenate((self.a, np.empty(n, self.held.dtype)))
+        self.held[self.n : n] = more
+        self.n = n
+
+
 class Encoder:
-    """Encodes texts with one model, rate and seed; keeps words it has encoded."""
+    """Encodes texts with one model, rate and seed; keeps the outcomes of words it has met.
 
-    def __init__(self, model: PieceModel, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep: int = KEEP_WORDS):
-        self.model, self.dropout, self.seed, self.keep = model, dropout, seed, keep
-        self.variants = variants if dropout > 0 else 1
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.held = 0
+    A node is a word with the numbers of the candidates that were skipped in it. It holds
+    the ids, the number of candidates that came up after its last skip, and for each of
+    them the node in which that one is skipped as well (-1: not met yet).
+    """
 
-    def _skips(self, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        if self.dropout <= 0:
-            return np.zeros(first.shape, bool)
-        h = _mixed(key + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
+    def __init__(self, model: PieceModel, dropout: float = DROPOUT, seed: int = SEED, keep: int = KEEP_NODES):
+        self.model, self.dropout, self.seed, self.keep = model, dropout, seed, keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.word: list[str] = []
+        self.path: list[tuple[int, ...]] = []
+        self.first, self.size, self.left, self.base = (_Growing(np.int64) for _ in range(4))
+        self.ids, self.child = _Growing(np.int32), _Growing(np.int64)
+
+    def gaps(self, key: np.ndarray, skips: int) -> np.ndarray:
+        """How many candidates pass before the next one is skipped, after ``skips`` skips in a word of this key."""
+        if self.dropout >= 1:
+            return np.zeros(len(key), np.int64)
+        with np.errstate(over="ignore"):
+            h = _mixed(key + np.uint64(skips + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
+        u = ((h >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+        return np.minimum(np.floor(np.log(u) / np.log1p(-self.dropout)), 2.0**40).astype(np.int64)
 
-    def merge(self, words: list[str], variants: list[int]) -> list[tuple[int, ...]]:
-        """The ids of each word under its variant."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def word_keys(self, key: int, first: int, count: int) -> np.ndarray:
+        """The keys of a row's words number ``first`` on."""
+        with np.errstate(over="ignore"):
+            row = _mixed(np.array([(key ^ (self.seed * 0x2545F4914F6CDD1D)) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+            return _mixed(row + np.arange(first, first + count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def add(self, words: list[str], paths: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes of these words and skips."""
+        found = self.merge(words, paths)
+        new = np.arange(len(self.word), len(self.word) + len(words))
+        self.word += words
+        self.path += paths
+        sizes = np.array([len(ids) for ids, _ in found], np.int64)
+        left = np.array([n for _, n in found], np.int64)
+        self.first.extend(self.ids.n + np.cumsum(sizes) - sizes)
+        self.size.extend(sizes)
+        self.left.extend(left)
+        self.base.extend(self.child.n + np.cumsum(left) - left)
+        self.ids.extend(np.fromiter(chain.from_iterable(ids for ids, _ in found), np.int32, int(sizes.sum())))
+        self.child.extend(np.full(int(left.sum()) if self.dropout > 0 else 0, -1, np.int64))
+        return new
+
+    def merge(self, words: list[str], paths: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int]]:
+        """Per word: its ids when the candidates of these numbers are skipped, and how many came up after the last of them."""
+        out: list[tuple[tuple[int, ...], int]] = [((), 0)] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(order):  # words of like length together, in a bounded table
@@ -151,17 +232,14 @@ class Encoder:
                 stop += 1
             ids = order[at:stop]
             if len(ids) == 1 and longest > 2048:
-                out[ids[0]] = self._merge_long(words[ids[0]], variants[ids[0]])
+                out[ids[0]] = self._merge_long(words[ids[0]], paths[ids[0]])
             else:
-                for i, found in zip(ids, self._merge_table([words[i] for i in ids], [variants[i] for i in ids]), strict=True):
+                for i, found in zip(ids, self._merge_table([words[i] for i in ids], [paths[i] for i in ids]), strict=True):
                     out[i] = found
             at = stop
         return out
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & 0xFFFFFFFF)
-
-    def _merge_table(self, words: list[str], variants: list[int]) -> list[tuple[int, ...]]:
+    def _merge_table(self, words: list[str], paths: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int]]:
         m = self.model
         count = np.array([len(w) for w in words])
         wide = int(count.max())
@@ -170,13 +248,14 @@ class Encoder:
         code[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = np.where(inside, m.char_code[code], np.int32(-1))
         place = m.char_place[code]
-        key = np.array([self._key(w, v) for w, v in zip(words, variants, strict=True)], np.uint64)
-        last = np.broadcast_to(np.arange(wide, dtype=np.int32), sym.shape).copy()  # of each symbol, in characters
+        start = np.broadcast_to(np.arange(wide, dtype=np.int32), sym.shape).copy()  # of each symbol, in characters
         rank = np.full(sym.shape, _NONE, np.int32)
         if wide > 1:
-            r = np.where(inside[:, 1:], m.char_rank[place[:, :-1], place[:, 1:]], _NONE)
-            r[self._skips(key[:, None], last[:, :-1], last[:, 1:])] = _NONE
-            rank[:, :-1] = r
+            rank[:, :-1] = np.where(inside[:, 1:], m.char_rank[place[:, :-1], place[:, 1:]], _NONE)
+        skips = np.full((len(words), max(map(len, paths)) + 1), -1, np.int64)
+        for i, path in enumerate(paths):
+            skips[i, : len(path)] = path
+        taken, skipped = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         live = np.arange(len(words))
         cols = np.arange(max(wide - 1, 0))
         while wide > 1:
@@ -186,70 +265,67 @@ class Encoder:
             live, best, low = live[going], best[going], low[going]
             if not len(live):
                 break
-            sym[live, best] = m.of_rank[low]
-            last[live, best] = last[live, best + 1]
+            skip = skips[live, skipped[live]] == taken[live]
+            taken[live] += 1
+            rank[live[skip], best[skip]] = _NONE
+            skipped[live[skip]] += 1
+            row, best, low = live[~skip], best[~skip], low[~skip]
+            if not len(row):
+                continue
+            sym[row, best] = m.of_rank[low]
             # close the gap: everything right of the merged pair moves one to the left
-            src = live[:, None] * wide + (cols + (cols > best[:, None]))
-            for table, fill in ((sym, -1), (last, 0), (rank, _NONE)):
+            src = row[:, None] * wide + (cols + (cols > best[:, None]))
+            for table, fill in ((sym, -1), (rank, _NONE)):
                 moved = table.ravel()[src]
-                table[live, :-1] = moved
-                table[live, -1] = fill
-            count[live] -= 1
+                table[row, :-1] = moved
+                table[row, -1] = fill
+            moved = start.ravel()[src]
+            start[row, :-1] = moved
+            count[row] -= 1
             for side in (0, 1):
                 at = best - side
-                ok = (at >= 0) & (at + 1 < count[live])
-                row, col = live[ok], at[ok]
-                r = m.look_up(sym[row, col], sym[row, col + 1])
-                start = np.where(col > 0, last[row, col - 1] + 1, 0)
-                r[self._skips(key[row], start, last[row, col + 1])] = _NONE
-                rank[row, col] = r
+                ok = (at >= 0) & (at + 1 < count[row])
+                r, c = row[ok], at[ok]
+                rank[r, c] = m.look_up(sym[r, c], sym[r, c + 1])
                 if not side:
-                    rank[live[~ok], at[~ok]] = _NONE
+                    rank[row[~ok], at[~ok]] = _NONE
+        # a shifted start belongs to the symbol it moved with, and the merged one keeps its own
         whole = ((sym >= 0) & m.is_piece[sym]).sum(1) == count
         rows, counts = sym.tolist(), count.tolist()
+        left = (taken - np.array([p[-1] + 1 if p else 0 for p in paths])).tolist()
         out = []
         for i, plain in enumerate(whole.tolist()):
-            if plain:
-                out.append(tuple(rows[i][: counts[i]]))
-            else:
-                first = np.concatenate(([0], last[i, : counts[i] - 1] + 1))
-                out.append(self._ids(sym[i, : counts[i]], first, words[i]))
+            ids = tuple(rows[i][: counts[i]]) if plain else self._ids(sym[i, : counts[i]], start[i, : counts[i]], words[i])
+            out.append((ids, left[i]))
         return out
 
-    def _merge_long(self, word: str, variant: int) -> tuple[int, ...]:
+    def _merge_long(self, word: str, path: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
         """The same agenda as a heap, for a word too long for a table."""
-        import heapq
-
         m, n = self.model, len(word)
         code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = m.char_code[code].tolist()
-        key = np.uint64(self._key(word, variant))
         last, prev, succ = list(range(n)), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            r = int(m.look_up(np.array([sym[i]]), np.array([sym[j]]))[0])
-            if r < _NONE and not self._skips(key, np.array([i]), np.array([last[j]]))[0]:
-                heapq.heappush(heap, (r, i, j, last[j]))
-
-        with np.errstate(over="ignore"):
-            r = m.look_up(np.array(sym[:-1]), np.array(sym[1:]))
-            r[self._skips(key, np.arange(n - 1), np.arange(1, n))] = _NONE
-        heap = [(a, i, i + 1, i + 1) for i, a in enumerate(r.tolist()) if a < _NONE]
+        first = m.look_up(np.array(sym[:-1]), np.array(sym[1:]))
+        heap = [(r, i, i + 1, i + 1) for i, r in enumerate(first.tolist()) if r < _NONE]
         heapq.heapify(heap)
-        alive = [True] * n
+        alive, skips, taken = [True] * n, set(path), 0
         while heap:
             r, i, j, end = heapq.heappop(heap)
             if not (alive[i] and alive[j] and succ[i] == j and last[j] == end) or last[i] != j - 1:
                 continue
+            taken += 1
+            if taken - 1 in skips:
+                continue
             sym[i], last[i], alive[j], succ[i] = int(m.of_rank[r]), end, False, succ[j]
             if succ[i] >= 0:
                 prev[succ[i]] = i
-                offer(i, succ[i])
-            if prev[i] >= 0:
-                offer(prev[i], i)
-        first = [i for i in range(n) if alive[i]]
-        return self._ids(np.array([sym[i] for i in first]), np.array(first), word)
+            for a, b in ((i, succ[i]), (prev[i], i)):
+                if a >= 0 and b >= 0:
+                    r = int(m.look_up(np.array([sym[a]]), np.array([sym[b]]))[0])
+                    if r < _NONE:
+                        heapq.heappush(heap, (r, a, b, last[b]))
+        at = [i for i in range(n) if alive[i]]
+        return self._ids(np.array([sym[i] for i in at]), np.array(at), word), taken - (path[-1] + 1 if path else 0)
 
     def _ids(self, sym: np.ndarray, first: np.ndarray, word: str) -> tuple[int, ...]:
         m = self.model
@@ -264,40 +340,80 @@ class Encoder:
                 out += m.byte_ids[list((SPACE if c == _LITERAL else c).encode("utf-8", "surrogatepass"))].tolist()
         return tuple(out)
 
-    def encode(self, texts: list[str | None], keys: list[int]) -> list[list[int] | None]:
-        """Ids of each text; ``keys`` are the rows' keys for the choice of variants."""
-        runs: list[list[tuple[int, list[str]]]] = []
-        missing: dict[tuple[str, int], None] = {}
+    def _nodes(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """The node of every word under its key."""
         known = self.known
-        for text, key in zip(texts, keys, strict=True):
-            own: list[tuple[int, list[str]]] = []
-            if text:
-                words = self.model.cut(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE))
-                h = _mixed(np.arange(len(words) // RUN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key ^ (self.seed * 0x2545F4914F6CDD1D)) & 0xFFFFFFFFFFFFFFFF))
-                for k, v in enumerate((h % np.uint64(self.variants)).tolist()):
-                    run = words[k * RUN : k * RUN + RUN]
-                    own.append((v, run))
-                    new = set(run).difference(known[v])
-                    if new:
-                        missing.update(dict.fromkeys([(w, v) for w in run if w in new]))
-            runs.append(own)
-        if missing:
-            with np.errstate(over="ignore"):
-                found = self.merge([w for w, _ in missing], [v for _, v in missing])
-            for (w, v), ids in zip(missing, found, strict=True):
-                known[v][w] = ids
-            self.held += len(missing)
-        get = [k.__getitem__ for k in known]
-        out = [None if text is None else list(chain.from_iterable(chain.from_iterable(map(get[v], run) for v, run in own))) for text, own in zip(texts, runs, strict=True)]
-        if self.held > self.keep:
-            self.known, self.held = [{} for _ in range(self.variants)], 0
-        return out
+        found = [known.get(w, -1) for w in words]
+        node = np.array(found, np.int64)
+        missing = np.flatnonzero(node < 0)
+        if len(missing):
+            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
+            known.update(zip(new, self.add(new, [()] * len(new)).tolist(), strict=True))
+            node[missing] = [known[words[i]] for i in missing.tolist()]
+        if self.dropout <= 0:
+            return node
+        live, skips = np.arange(len(node)), 0
+        while len(live):
+            gap = self.gaps(keys[live], skips)
+            hit = gap < self.left.a[node[live]]
+            live, gap = live[hit], gap[hit]
+            at = self.base.a[node[live]] + gap
+            fresh = np.flatnonzero(self.child.a[at] < 0)
+            if len(fresh):
+                slot, one = np.unique(at[fresh], return_index=True)
+                of, on = node[live[fresh[one]]].tolist(), gap[fresh[one]].tolist()
+                paths = [(*self.path[k], (self.path[k][-1] + 1 if self.path[k] else 0) + g) for k, g in zip(of, on, strict=True)]
+                made = self.add([self.word[k] for k in of], paths)
+                self.child.a[slot] = made
+            node[live] = self.child.a[at]
+            skips += 1
+        return node
+
+    def encode_flat(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the number of ids of each text."""
+        parts: list[np.ndarray] = []
+        sizes = np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        held: list[tuple[int, int]] = []  # text, words
+        own: list[np.ndarray] = []
+
+        def flush() -> None:
+            if not words:
+                return
+            node = self._nodes(words, np.concatenate(own))
+            size = self.size.a[node]
+            upto = np.cumsum(size)
+            parts.append(self.ids.a[np.repeat(self.first.a[node] - (upto - size), size) + np.arange(upto[-1])])
+            at = 0
+            for t, n in held:
+                sizes[t] += upto[at + n - 1] - (upto[at - 1] if at else 0)
+                at += n
+            words.clear(), held.clear(), own.clear()
+            if len(self.word) > self.keep:
+                self._forget()
+
+        for t, (text, key) in enumerate(zip(texts, keys, strict=True)):
+            number = 0
+            for some in self.model.cut_long(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)) if text else ():
+                words += some
+                held.append((t, len(some)))
+                own.append(self.word_keys(key, number, len(some)))
+                number += len(some)
+                if len(words) > BLOCK_WORDS:
+                    flush()
+        flush()
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), sizes
 
-    def decode(self, ids: list[int] | None) -> str | None:
+    def encode(self, texts: list[str | None], keys: list[int]) -> list[list[int] | None]:
+        """Ids of each text; ``keys`` are the rows' keys for the skips."""
+        flat, sizes = self.encode_flat(texts, keys)
+        ends = np.cumsum(sizes)
+        return [None if text is None else flat[e - n : e].tolist() for text, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)]
+
+    def decode(self, ids: list[int] | np.ndarray | None) -> str | None:
         if ids is None:
             return None
-        raw = self.model.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        text = self.model.bytes_of(np.asarray(ids, np.int64)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -310,34 +426,38 @@ def load(path: str = MODEL) -> bytes:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(proto: bytes, dropout: float, seed: int, variants: int) -> Encoder:
+def _encoder(proto: bytes, dropout: float, seed: int) -> Encoder:
     """This worker's encoder; the next task finds the words it has encoded."""
-    key = (xxhash.xxh64_intdigest(proto), dropout, seed, variants)
+    key = (xxhash.xxh64_intdigest(proto), dropout, seed)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(PieceModel(proto), dropout, seed, variants)
+        _ENCODERS[key] = Encoder(PieceModel(proto), dropout, seed)
     return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, check: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, check: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids (array<int>), n_ids, lossless (the ids decode to the very text) and the columns ``carry`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(proto)
+    kept = [f"carry{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, dropout, seed, variants)
+        encoder = _encoder(shared.value, dropout, seed)
         gc.disable()  # nothing here is cyclic, and passes over the kept words cost much
         for batch in batches:
-            at, sizes = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            while at < batch.num_rows:  # so many characters at a time, or one longer text
-                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_CHARS, side="right")))
+            at, chars = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while at < batch.num_rows:  # so many bytes at a time, or one longer text
+                stop = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BLOCK_CHARS, side="right")))
                 b = batch.slice(at, stop - at)
                 at = stop
                 texts = b.column("text").to_pylist()
-                ids = encoder.encode(texts, b.column("key").to_pylist())
-                good = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)] if check else [None] * len(texts)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([None if i is None else len(i) for i in ids], pa.int32()), pa.array(good, pa.bool_()), *map(b.column, carry)], names=["doc_id", "ids", "n_ids", "lossless", *carry])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("key"), *carry)
+                flat, sizes = encoder.encode_flat(texts, b.column("key").to_pylist())
+                ends = np.cumsum(sizes)
+                none = np.array([t is None for t in texts], bool)
+                good = [encoder.decode(flat[e - n : e]) == t if t is not None else True for t, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)] if check else [None] * len(texts)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(good, pa.bool_()), *map(b.column, kept)], names=["doc_id", "ids", "n_ids", "lossless", *carry])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, kept, strict=True)])
     schema = "doc_id long, ids array<int>, n_ids int, lossless boolean"
     return spread(rows).mapInArrow(run, ", ".join([schema, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]]))
 
