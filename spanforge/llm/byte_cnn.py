@@ -5,9 +5,11 @@ together cover the whole document. Their outputs are rectified and max-pooled in
 chunk; mean, maximum and minimum over the chunks feed one logistic unit.
 
 Defined cases: null and empty texts count as one chunk of zero bytes and get that
-chunk's probability. Texts shorter than a filter are padded with zero bytes. Without
+chunk's probability. Texts are padded with zero bytes to whole filter steps, so the last
+bytes lie under a filter too. Very long texts are read some chunks at a time. Without
 labelled rows of both classes every score is the share of label 1 (0.5 without any).
-Repeated rows are scored one by one; further columns do not matter.
+Repeated rows are scored one by one, ties have no meaning here, further columns, also one
+named ``score``, do not matter, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from spanforge.llm.common import at_random, spread
 
 WIDTH, STEP, FILTERS = 8, 3, 24
 CHUNK, OVERLAP = 512, 32
+PER, HOP = (CHUNK - WIDTH) // STEP + 1, (CHUNK - OVERLAP) // STEP  # filter positions of a chunk, and from one chunk to the next
+GROUP = 512  # chunks at a time, so that a text of any length needs bounded memory
 MAX_TRAIN_DOCS = 1600
-MAX_TRAIN_CHUNKS = 24
 
 
 class ByteCnn:
@@ -39,14 +42,13 @@ class ByteCnn:
 
     @staticmethod
     def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The padded bytes, and the first filter position of each chunk."""
+        """The bytes, padded so that the last filter position ends with them, and the first position of each chunk."""
         raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-        if len(raw) < CHUNK:
-            raw = np.concatenate((raw, np.zeros(max(WIDTH - len(raw), 0), np.uint8)))
+        pad = max(WIDTH - len(raw), 0) or (WIDTH - len(raw)) % STEP
+        if pad:
+            raw = np.concatenate((raw, np.zeros(pad, np.uint8)))
         last = (len(raw) - WIDTH) // STEP + 1
-        per, hop = (CHUNK - WIDTH) // STEP + 1, (CHUNK - OVERLAP) // STEP
-        starts = np.arange(0, max(last - (per - hop), 1), hop)
-        return raw, starts
+        return raw, np.arange(0, max(last - (PER - HOP), 1), HOP)
 
     def _responses(self, raw: np.ndarray) -> np.ndarray:
         n = (len(raw) - WIDTH) // STEP + 1
@@ -56,22 +58,71 @@ class ByteCnn:
         return out
 
     def pooled(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Chunks x filters: the greatest response of each filter in each chunk."""
-        z = self._responses(raw)
-        per, hop = (CHUNK - WIDTH) // STEP + 1, (CHUNK - OVERLAP) // STEP
-        own = np.maximum.reduceat(z, starts, axis=0)
-        if len(starts) > 1:  # a chunk also holds the first positions of the next one
-            head = np.stack([z[s : s + per - hop].max(0) for s in starts[1:]])
-            own[:-1] = np.maximum(own[:-1], head)
-        return np.maximum(own + self.bias, 0)
+        """Chunks x filters: the greatest response of each filter in each chunk, some chunks at a time."""
+        out = np.empty((len(starts), self.taps.shape[2]), np.float32)
+        for at in range(0, len(starts), GROUP):
+            own = starts[at : at + GROUP]
+            z = self._responses(raw[own[0] * STEP : (own[-1] + PER - 1) * STEP + WIDTH])
+            local = own - own[0]
+            top = np.maximum.reduceat(z, local, axis=0)
+            if len(own) > 1:  # a chunk also holds the first positions of the next one
+                head = np.stack([z[s : s + PER - HOP].max(0) for s in local[1:]])
+                top[:-1] = np.maximum(top[:-1], head)
+            out[at : at + GROUP] = top
+        return np.maximum(out + self.bias, 0)
+
+    def _tops(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest response of each filter in each chunk (without bias), and its position."""
+        n = (len(raw) - WIDTH) // STEP + 1
+        top, where = (np.empty((len(starts), self.taps.shape[2]), t) for t in (np.float32, np.int64))
+        for at in range(0, len(starts), GROUP):
+            pos = starts[at : at + GROUP, None] + np.arange(PER)
+            inside = pos < n
+            pos = np.minimum(pos, n - 1)
+            z = self.taps[0][raw[pos * STEP]]
+            for j in range(1, WIDTH):
+                z += self.taps[j][raw[pos * STEP + j]]
+            z[~inside] = -np.inf
+            best = z.argmax(1)
+            top[at : at + GROUP] = np.take_along_axis(z, best[:, None], 1)[:, 0]
+            where[at : at + GROUP] = starts[at : at + GROUP, None] + best
+        return top, where
 
     def probability(self, text: str | None) -> float:
         p = self.pooled(*self.chunks(text))
         x = np.concatenate((p.mean(0), p.max(0), p.min(0)))
         return float(1 / (1 + np.exp(-np.clip(float(x @ self.top + self.base[0]), -30, 30))))
 
+    def gradient(self, prepared: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss, by taps, bias, top and base; each maximum passes it on to its position."""
+        nf = self.taps.shape[2]
+        tops, places = zip(*[self._tops(*x) for x in prepared], strict=True)
+        sizes = np.array([len(t) for t in tops])
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        p = np.maximum(np.concatenate(tops) + self.bias, 0)
+        mean = np.add.reduceat(p, begin) / sizes[:, None]
+        high, low = np.maximum.reduceat(p, begin), np.minimum.reduceat(p, begin)
+        x = np.concatenate((mean, high, low), 1)
+        out = 1 / (1 + np.exp(-np.clip(x @ self.top + self.base, -30, 30)))
+        g = ((out - y) / len(y)).astype(np.float32)
+        gx = g[:, None] * self.top
+        doc = np.repeat(np.arange(len(y)), sizes)
+        ends_at = [(p == x[doc]).astype(np.float32) for x in (high, low)]
+        most, least = (e / np.add.reduceat(e, begin)[doc] for e in ends_at)  # equal chunks share
+        gp = gx[doc, :nf] / sizes[doc, None]
+        gp = gp + gx[doc, nf : 2 * nf] * most + gx[doc, 2 * nf :] * least
+        gp = np.where(p > 0, gp, 0)
+        cells = np.empty((WIDTH, *p.shape), np.int64)
+        for (raw, _), where, a, e in zip(prepared, places, begin, ends, strict=True):
+            for j in range(WIDTH):
+                cells[j, a:e] = raw[where * STEP + j]
+        cells = cells * nf + np.arange(nf)
+        taps = np.stack([np.bincount(c.ravel(), gp.ravel(), 256 * nf).reshape(256, nf) for c in cells])
+        return [taps, gp.sum(0), x.T @ g, np.array([g.sum()])]
+
     def fit(self, texts: list[str | None], labels: list[int], epochs: int = 12, rate: float = 0.01, batch: int = 32, seed: int = 0) -> "ByteCnn":
-        """Adam on the log loss; the gradient passes each maximum to its position."""
+        """Adam on the log loss, over the same chunks that scoring reads: all of them."""
         y = np.asarray(labels, np.float32)
         share = float(y.mean()) if len(y) else 0.5
         self.base[0] = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
@@ -80,59 +131,20 @@ class ByteCnn:
                 self.base[0] = 0
             return self
         rng = np.random.default_rng(seed)
-        per = (CHUNK - WIDTH) // STEP + 1
-        prepared = []
-        for t in texts:
-            raw, starts = self.chunks(t)
-            if len(starts) > MAX_TRAIN_CHUNKS:  # an even spread of chunks over the whole text
-                starts = starts[np.linspace(0, len(starts) - 1, MAX_TRAIN_CHUNKS).astype(int)]
-            block = np.zeros((len(starts), (per - 1) * STEP + WIDTH), np.uint8)
-            lens = np.empty(len(starts), int)
-            for i, s in enumerate(starts):
-                part = raw[s * STEP : s * STEP + block.shape[1]]
-                block[i, : len(part)] = part
-                lens[i] = max((len(part) - WIDTH) // STEP + 1, 1)
-            prepared.append((block, lens))
+        prepared = [self.chunks(t) for t in texts]
+        self.top += rng.normal(0, 0.1, self.top.shape).astype(np.float32)
         params = [self.taps, self.bias, self.top, self.base]
+        decay = [1e-5, 0, 1e-4, 0]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        nf = self.taps.shape[2]
         for epoch in range(epochs):
             order = rng.permutation(len(prepared))
             for at in range(0, len(order), batch):
                 ids = order[at : at + batch]
-                blocks, lens = np.concatenate([prepared[i][0] for i in ids]), np.concatenate([prepared[i][1] for i in ids])
-                sizes = np.array([len(prepared[i][1]) for i in ids])
-                ends = np.cumsum(sizes)
-                begin = ends - sizes
-                z = self.taps[0][blocks[:, 0 : (per - 1) * STEP + 1 : STEP]]
-                for j in range(1, WIDTH):
-                    z += self.taps[j][blocks[:, j : j + (per - 1) * STEP + 1 : STEP]]
-                short = np.flatnonzero(lens < per)
-                for c in short:
-                    z[c, lens[c] :] = -1e9
-                where = z.argmax(1)
-                p = np.maximum(np.take_along_axis(z, where[:, None], 1)[:, 0] + self.bias, 0)
-                mean = np.add.reduceat(p, begin) / sizes[:, None]
-                high, low = np.maximum.reduceat(p, begin), np.minimum.reduceat(p, begin)
-                x = np.concatenate((mean, high, low), 1)
-                out = 1 / (1 + np.exp(-np.clip(x @ self.top + self.base, -30, 30)))
-                g = ((out - y[ids]) / len(ids)).astype(np.float32)
-                gx = g[:, None] * self.top
-                doc = np.repeat(np.arange(len(ids)), sizes)
-                gp = gx[doc, :nf] / sizes[doc, None]
-                gp = gp + gx[doc, nf : 2 * nf] * (p == high[doc]) + gx[doc, 2 * nf :] * (p == low[doc])
-                gp = np.where(p > 0, gp, 0)
-                grad_taps = np.zeros_like(self.taps)
-                rows, filt = np.arange(len(blocks))[:, None], np.broadcast_to(np.arange(nf), where.shape)
-                for j in range(WIDTH):
-                    cell = blocks[rows, where * STEP + j].astype(np.int64) * nf + filt
-                    grad_taps[j] = np.bincount(cell.ravel(), gp.ravel(), 256 * nf).reshape(256, nf)
-                grads = [grad_taps + 1e-5 * self.taps, gp.sum(0), x.T @ g + 1e-4 * self.top, np.array([g.sum()])]
+                grads = self.gradient([prepared[i] for i in ids], y[ids])
                 step += 1
                 lr = rate * min(1, 2 * (1 - epoch / epochs))
                 for k, (w, d) in enumerate(zip(params, grads, strict=True)):
-                    if step == 1 and k == 2 and not self.top.any():
-                        w += rng.normal(0, 0.1, w.shape).astype(np.float32)
+                    d = d + decay[k] * w
                     first[k] = 0.9 * first[k] + 0.1 * d
                     second[k] = 0.99 * second[k] + 0.01 * d * d
                     w -= (lr * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -149,17 +161,19 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ByteCnn:
     return ByteCnn().fit([r[1] for r in rows], [r[2] for r in rows])
 
 
-def score(docs: DataFrame, model: ByteCnn, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id by default) and the score of every row."""
-    keep = keep or ["doc_id"]
+def score(docs: DataFrame, model: ByteCnn, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id by default) and the score, called ``name``, of every row."""
+    keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
     names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").cast("string").alias("text_"))
+    schema = rows.drop("text_").schema.add("score_", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for b in batches:
-            p = pa.array([net.probability(t) for t in b.column("_text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], p], names=[*keep, "score"])
+            p = pa.array([net.probability(t) for t in b.column("text_").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], p], names=[*names, "score_"])
 
-    return spread(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text"))).mapInArrow(run, schema)
+    done = spread(rows).mapInArrow(run, schema)
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("score_").alias(name))
