@@ -4,10 +4,11 @@ Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
 greatest norm, which is zero for queries. Balanced k-means over a bounded sample gives
 the centroids; each vector goes to the posting list of its nearest centroid, and vectors
 near a boundary (distance within ``CLOSURE`` of the nearest) to up to ``REPLICAS`` lists.
-Centroids are searched through an in-memory neighbour graph. A query reads the lists
-whose centroids lie within a ratio of its nearest centroid's distance; the ratio is the
-least that reaches ``TARGET`` of the true neighbours of queries within the sample.
-Candidates are ranked by their exact inner product in double precision.
+Centroids are searched by best-first walks with a bounded beam on an in-memory neighbour
+graph. A query reads the lists whose centroids lie within a ratio of its nearest
+centroid's distance; the ratio is the least that reaches ``TARGET`` of the true neighbours
+of queries in the sample. A list is scored for the queries that read it only, and
+candidates are ranked by their exact inner product in double precision.
 
 Lists are packed into bins of bounded size; a list that is larger (a vector may be very
 common) is cut into parts by a hash of vec_id, and a query reads all parts. Only the
@@ -31,38 +32,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import at_random
-from spanforge.llm.vectors import ENTRY_LIMIT, QUERY_LIMIT, best_k, clean, is_query, lists, matrix, merged
+from spanforge.llm.vectors import ENTRY_LIMIT, QUERY_LIMIT, clean, is_query, lists, matrix, merged
 
-SAMPLE = 16_000
+SAMPLE, PER_LIST = 16_000, 4
 LIST_SIZE = 160
-MAX_LISTS = 4_096
+MAX_LISTS = 65_536
 REPLICAS, CLOSURE = 3, 1.08
 DEGREE = 24
-TARGET = 0.985
+TARGET = 0.92
 BATCH = 1_024
+BLOCK_CELLS = 4_000_000  # scores held at once
 
 
-def balanced_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
-    """k-means whose large clusters repel: a cluster's distances grow with its size."""
+def balanced_centroids(x: np.ndarray, k: int, radius: float, rounds: int = 10, seed: int = 0) -> np.ndarray:
+    """k-means on a sphere, whose large clusters repel: a cluster's distances grow with its size.
+
+    Means are put back on the sphere; else the mean of a large cluster, which lies near the
+    middle, would be the nearest to everything.
+    """
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), k, replace=False)].copy()
-    square = (x * x).sum(1)
-    load = np.zeros(k)
+    load = np.zeros(k, np.float32)
     for _ in range(rounds):
-        d = square[:, None] - 2 * (x @ centers.T) + (centers * centers).sum(1)
-        own = (d + 0.25 * d.mean() * load).argmin(1)
+        own = np.empty(len(x), np.int64)
+        for a in range(0, len(x), 4 * BATCH):
+            near = x[a : a + 4 * BATCH] @ centers.T
+            own[a : a + 4 * BATCH] = (near - near.std() * load).argmax(1)
         size = np.bincount(own, minlength=k)
-        load = np.clip(size / max(len(x) / k, 1e-9) - 1, -0.5, 2)
+        load += (0.3 * np.clip(size / max(len(x) / k, 1e-9) - 1, -1, 2)).astype(np.float32)
         sums = np.zeros_like(centers)
         np.add.at(sums, own, x)
         full = size > 0
-        centers[full] = sums[full] / size[full, None]
+        norm = np.sqrt((sums[full] * sums[full]).sum(1, keepdims=True))
+        centers[full] = sums[full] / np.maximum(norm, 1e-12) * radius
         centers[~full] = x[rng.choice(len(x), int((~full).sum()))]
     return centers
 
 
 class CentroidGraph:
-    """Nearest centroids by best-first search on a neighbour graph, many points at a time."""
+    """Nearest centroids by best-first search with a bounded beam on a neighbour graph, many points at a time."""
 
     def __init__(self, centers: np.ndarray, degree: int = DEGREE):
         self.centers = centers
@@ -71,71 +79,99 @@ class CentroidGraph:
         self.links = np.empty((k, 0), np.int64)
         if k > 1:
             deg = min(degree, k - 1)
-            d = self.square[:, None] - 2 * (centers @ centers.T) + self.square
-            np.fill_diagonal(d, np.inf)
-            near = np.argpartition(d, deg - 1, 1)[:, :deg]
+            near = np.empty((k, deg), np.int64)
+            for a in range(0, k, BATCH):
+                d = self.square - 2 * (centers[a : a + BATCH] @ centers.T)
+                d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+                near[a : a + BATCH] = np.argpartition(d, deg - 1, 1)[:, :deg]
             ring = np.stack(((np.arange(k) + 1) % k, (np.arange(k) + k // 2) % k), 1)  # keeps the graph in one piece
             self.links = np.concatenate((near, ring), 1)
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
+        self.visited = 0  # distances computed so far
 
-    def search(self, x: np.ndarray, width: int, wave: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """Per point: the ``width`` nearest centroids found and their distances, nearest first."""
+    def _distances(self, x: np.ndarray, own: np.ndarray, node: np.ndarray) -> np.ndarray:
+        self.visited += node.size
+        return own[:, None] - 2 * np.matmul(self.centers[node], x[:, :, None])[:, :, 0] + self.square[node]
+
+    def search(self, x: np.ndarray, width: int, wave: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Per point: the ``width`` nearest centroids found (fewer if there are fewer) and their distances, nearest first."""
         n, k = len(x), len(self.centers)
         width = min(width, k)
         own = (x * x).sum(1)
-        d = np.full((n, k), np.inf)
-        d[:, self.entries] = own[:, None] - 2 * (x @ self.centers[self.entries].T) + self.square[self.entries]
-        todo = d.copy()  # what is not expanded yet
+        beam = np.broadcast_to(self.entries, (n, len(self.entries))).copy()
+        d = self._distances(x, own, beam)
+        open_ = np.ones(beam.shape, bool)
+        room = min(k, max(width, len(self.entries)))
+        beam = np.concatenate((beam, np.full((n, room - beam.shape[1]), -1)), 1)
+        d = np.concatenate((d, np.full((n, room - d.shape[1]), np.inf)), 1)
+        open_ = np.concatenate((open_, np.zeros((n, room - open_.shape[1]), bool)), 1)
         going = np.arange(n)
-        while len(going) and k > 1:
-            step = min(wave, k)
-            pick = np.argpartition(todo[going], step - 1, 1)[:, :step] if step < k else np.broadcast_to(np.arange(k), (len(going), k))
-            at = np.take_along_axis(todo[going], pick, 1)
-            reach = np.partition(d[going], width - 1, 1)[:, width - 1]
-            useful = at < np.minimum(reach, np.inf)[:, None]
-            useful |= np.isfinite(at) & ~np.isfinite(reach)[:, None]
-            rows, cols = np.nonzero(useful)
-            if not len(rows):
+        while k > 1:
+            going = going[open_[going].any(1)]
+            if not len(going):
                 break
-            who, node = going[rows], pick[rows, cols]
-            todo[who, node] = np.inf
-            seen = np.zeros((n, k), bool)
-            seen[np.repeat(who, self.links.shape[1]), self.links[node].ravel()] = True
-            seen &= ~np.isfinite(d)
-            who, node = np.nonzero(seen)
-            if len(who):
-                new = own[who] - 2 * np.einsum("ij,ij->i", x[who], self.centers[node]) + self.square[node]
-                d[who, node] = new
-                todo[who, node] = new
-            going = going[np.unique(rows)]
+            step = min(wave, room)
+            rest = np.where(open_[going], d[going], np.inf)
+            pick = np.argpartition(rest, step - 1, 1)[:, :step] if step < room else np.broadcast_to(np.arange(room), rest.shape)
+            useful = np.isfinite(np.take_along_axis(rest, pick, 1))
+            node = np.where(useful, np.take_along_axis(beam[going], pick, 1), -1)
+            marks = open_[going]
+            np.put_along_axis(marks, pick, False, 1)
+            new = np.where(node[:, :, None] >= 0, self.links[node], -1).reshape(len(going), -1)
+            # a node in the beam comes before its copies among the new ones
+            both = np.concatenate((beam[going], new), 1)
+            order = np.argsort(both, 1, kind="stable")
+            both = np.take_along_axis(both, order, 1)
+            twice = np.zeros(both.shape, bool)
+            twice[:, 1:] = both[:, 1:] == both[:, :-1]
+            twice |= both < 0
+            was = order < room
+            near = np.full(both.shape, np.inf)
+            near[was] = np.take_along_axis(np.concatenate((d[going], np.full(new.shape, np.inf)), 1), order, 1)[was]
+            near[twice] = np.inf
+            fresh = ~was & ~twice
+            row, col = np.nonzero(fresh)
+            if len(row):
+                self.visited += len(row)
+                at = both[row, col]
+                near[row, col] = own[going[row]] - 2 * np.einsum("ij,ij->i", x[going[row]], self.centers[at]) + self.square[at]
+            flags = np.take_along_axis(np.concatenate((marks, np.ones(new.shape, bool)), 1), order, 1) & np.isfinite(near)
+            keep = np.argpartition(near, room - 1, 1)[:, :room] if room < near.shape[1] else np.broadcast_to(np.arange(room), near.shape)
+            beam[going], d[going], open_[going] = (np.take_along_axis(t, keep, 1) for t in (both, near, flags))
         best = np.argsort(d, 1, kind="stable")[:, :width]
-        return best, np.sqrt(np.maximum(np.take_along_axis(d, best, 1), 0))
+        return np.take_along_axis(beam, best, 1), np.sqrt(np.maximum(np.take_along_axis(d, best, 1), 0))
+
+
+def list_count(n: int) -> int:
+    """Posting lists for n vectors: of about ``LIST_SIZE`` vectors, up to ``MAX_LISTS`` of them."""
+    return max(1, min(MAX_LISTS, math.ceil(n / LIST_SIZE)))
 
 
 class Index:
-    """Centroids, their graph, and the pruning ratio."""
+    """Centroids, their graph, the pruning ratio, and how many lists a query reads at most."""
 
-    def __init__(self, sample: np.ndarray, norm: float, n: int, seed: int = 0):
+    def __init__(self, sample: np.ndarray, norm: float, n: int, target: float = TARGET, seed: int = 0):
         self.norm = norm
         x = self.lift(sample)
-        k = max(1, min(MAX_LISTS, len(x), math.ceil(n / LIST_SIZE)))
-        self.graph = CentroidGraph(balanced_centroids(x, k, seed=seed))
+        k = min(list_count(n), len(x))
+        self.graph = CentroidGraph(balanced_centroids(x, k, norm, seed=seed))
         self.floor = 0.0  # a query closer to a centroid than is usual reads as if it were at the usual distance
-        self.ratio = self._fit_ratio(sample, x)
+        self.ratio, self.width = self._fit(sample, x, target, n)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))
         return np.concatenate((x, rest[:, None]), 1).astype(np.float32)
 
-    @staticmethod
-    def flat(x: np.ndarray) -> np.ndarray:
+    def flat(self, x: np.ndarray) -> np.ndarray:
+        """Queries, stretched to the same sphere; that does not change which inner products are greater."""
+        x = x * (self.norm / np.sqrt((x * x).sum(1, keepdims=True)))
         return np.concatenate((x, np.zeros((len(x), 1))), 1).astype(np.float32)
 
     def homes(self, x: np.ndarray) -> list[np.ndarray]:
         """The posting lists of each vector."""
         out = []
         for a in range(0, len(x), BATCH):
-            near, d = self.graph.search(self.lift(x[a : a + BATCH]), 3 * REPLICAS)
+            near, d = self.graph.search(self.lift(x[a : a + BATCH]), 4 * REPLICAS)
             ok = d[:, :REPLICAS] <= d[:, :1] * CLOSURE + 1e-12
             out += [row[m] for row, m in zip(near[:, :REPLICAS], ok, strict=True)]
         return out
@@ -144,29 +180,41 @@ class Index:
         """The posting lists that each query reads."""
         out = []
         for a in range(0, len(x), BATCH):
-            near, d = self.graph.search(self.flat(x[a : a + BATCH]), len(self.graph.centers))
+            near, d = self.graph.search(self.flat(x[a : a + BATCH]), self.width)
             ok = d <= np.maximum(d[:, :1], self.floor) * self.ratio + 1e-12
             out += [row[m] for row, m in zip(near, ok, strict=True)]
         return out
 
-    def _fit_ratio(self, sample: np.ndarray, x: np.ndarray, queries: int = 400, k: int = 20) -> float:
-        """The least ratio that reaches TARGET of true neighbours within the sample."""
-        q = sample[:queries]
+    def _fit(self, sample: np.ndarray, x: np.ndarray, target: float, n: int, queries: int = 400, k: int = 20) -> tuple[float, int]:
+        """The least ratio that reaches ``target`` of the true neighbours in the sample, and the lists that nearly all queries then read.
+
+        Of the k nearest of n vectors a sample holds the share that it is of them, so it is
+        that many that are looked for.
+        """
+        q = self.flat(sample[:queries])
         homes = self.homes(sample)
-        width = max(map(len, homes))
-        table = np.array([np.concatenate((h, np.repeat(h[:1], width - len(h)))) for h in homes])
-        near, d = self.graph.search(self.flat(q), len(self.graph.centers))
-        rank = np.empty_like(d)
-        self.floor = float(np.median(d[:, 0]))
-        np.put_along_axis(rank, near, d / np.maximum(np.maximum(d[:, :1], self.floor), 1e-12), 1)
-        scores = q @ sample.T
+        wide = max(map(len, homes))
+        table = np.array([np.concatenate((h, np.repeat(h[:1], wide - len(h)))) for h in homes])
+        d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * (q @ self.graph.centers.T) + self.graph.square, 0))
+        least = d.min(1, keepdims=True)
+        self.floor = float(np.median(least))
+        share = d / np.maximum(np.maximum(least, self.floor), 1e-12)
+        scores = sample[:queries] @ sample.T
         scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
-        k = min(k, len(sample) - 1)
+        k = min(max(1, round(k * len(sample) / n)), len(sample) - 1)
         if k < 1:
-            return 1.0
+            return 1.0, 1
         true = np.argpartition(-scores, k - 1, 1)[:, :k]
-        need = np.take_along_axis(rank[:, None, :], table[true], 2).min(2)
-        return float(np.quantile(need, TARGET))
+        ratio = float(np.quantile(np.take_along_axis(share[:, None, :], table[true], 2).min(2), target))
+        return ratio, int(np.quantile((share <= ratio).sum(1), 0.99)) + 1
+
+
+def few_of_each(x: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k of every set of equal rows: the others cannot be among the k nearest of anything."""
+    _, same = np.unique(x, axis=0, return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    same = same[order]
+    return np.sort(order[np.arange(len(same)) - np.searchsorted(same, same) < k])
 
 
 def _plan(sizes: dict[int, int], reads: dict[int, int], n_queries: int, entry_limit: int, query_limit: int) -> dict[int, tuple[int, int, int]]:
@@ -196,17 +244,19 @@ def _plan(sizes: dict[int, int], reads: dict[int, int], n_queries: int, entry_li
     return plan
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPLE, entry_limit: int = ENTRY_LIMIT, query_limit: int = QUERY_LIMIT) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int | None = None, entry_limit: int = ENTRY_LIMIT, query_limit: int = QUERY_LIMIT) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for every query.
 
     Queries are the rows whose vec_id is divisible by ``every``. The index is fitted to
-    at most ``sample`` vectors (by a hash of vec_id) and holds every vector.
+    at most ``sample`` vectors (by a hash of vec_id; by default 16,000, or four a list, so
+    262,144 at most) and holds every vector.
     """
     spark = vectors.sparkSession
     rows, dim, n, norm = clean(vectors, zero=False)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = np.array([r["vec"] for r in at_random("vec_id", sample, rows).collect()])
+    size = max(SAMPLE, PER_LIST * list_count(n)) if sample is None else sample
+    drawn = matrix(at_random("vec_id", size, rows).select("vec").toArrow().column("vec"))
     index = spark.sparkContext.broadcast(Index(drawn, norm, n))
     asking = rows.filter(is_query(every))
     # what is stored as floats is shuffled as floats; scores are computed in double precision
@@ -261,32 +311,43 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), lists(x[i].astype(width)), pa.array([o[3] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["vec_id", "vec", "lists", "bin", "part"])
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, entry, score
         if left.num_rows and right.num_rows:
-            ids, first, back = np.unique(left.column("vec_id").to_numpy(), return_index=True, return_inverse=True)
-            x = matrix(left.column("vec")).astype(np.float64)
-            _, home = np.unique(left.column("list").to_numpy(), return_inverse=True)
-            names = {v: j for j, v in enumerate(np.unique(left.column("list").to_numpy()).tolist())}
-            member = np.zeros((len(names), len(ids)), np.float32)
-            member[home, back] = 1
-            x = x[first]
+            ids, x, of = left.column("vec_id").to_numpy(), matrix(left.column("vec")).astype(np.float64), left.column("list").to_numpy()
+            order = np.lexsort((ids, of))
+            ids, x, of = ids[order], x[order], of[order]
             q, own = matrix(right.column("vec")).astype(np.float64), right.column("vec_id").to_numpy()
-            reads = right.column("lists").to_pylist()
-            for a in range(0, len(q), 128):
-                ask = np.zeros((min(128, len(q) - a), len(names)), np.float32)
-                for i in range(len(ask)):
-                    ask[i, [names[h] for h in reads[a + i] if h in names]] = 1
-                near = q[a : a + 128] @ x.T
-                near[(ask @ member) == 0] = -np.inf
-                for i, s in enumerate(near):
-                    s[ids == own[a + i]] = -np.inf
-                    low = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    low -= 1e-9 * max(1.0, abs(low)) if np.isfinite(low) else 0
-                    have = np.flatnonzero((s >= low) & np.isfinite(s))
-                    exact = (x[have] * q[a + i]).sum(1)  # equal vectors get equal scores
-                    best = best_k(ids[have], exact, k)
-                    out.append((np.full(len(best), own[a + i], np.int64), ids[have][best], exact[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            asked = right.column("lists").combine_chunks()
+            reader, read = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
+            by = np.argsort(read, kind="stable")
+            reader, read = reader[by], read[by]
+            for name in np.unique(of).tolist():
+                members = np.arange(*np.searchsorted(of, [name, name + 1]))
+                members = members[few_of_each(x[members], k + 1)]
+                who = reader[slice(*np.searchsorted(read, [name, name + 1]))]
+                # a list is scored for the queries that read it, and for no others
+                for a in range(0, len(who), BLOCK_CELLS // len(members) + 1):
+                    some = who[a : a + BLOCK_CELLS // len(members) + 1]
+                    near = q[some] @ x[members].T
+                    near[ids[members] == own[some][:, None]] = -np.inf
+                    if len(members) > k:
+                        low = np.partition(near, len(members) - k, 1)[:, len(members) - k]
+                        low = low - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(low), low, 0)))
+                    else:
+                        low = np.full(len(some), -np.inf)
+                    i, j = np.nonzero((near >= low[:, None]) & np.isfinite(near))
+                    i, j = some[i], members[j]
+                    found.append((i, j, (x[j] * q[i]).sum(1)))  # equal vectors get equal scores
+        cols = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if found:
+            i, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((ids[j], -score, i))
+            i, name, score = i[order], ids[j][order], score[order]
+            new = np.append(True, (i[1:] != i[:-1]) | (name[1:] != name[:-1]) | (score[1:] != score[:-1]))  # replicas
+            i, name, score = i[new], name[new], score[new]
+            first = np.searchsorted(i, i)
+            best = np.arange(len(i)) - first < k
+            cols = [own[i[best]], name[best], score[best]]
         return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     salted = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("salt")
