@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests on one machine, a temporary
-    folder of this machine is taken.
+    Where it is not set, one process alone takes a folder in its warehouse; on a cluster
+    there is no fallback, as a folder of the driver's machine would be lost to the executors.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spanforge-')}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine and one process, as in tests
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/spanforge-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -43,15 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_task: int = 24_000_000) -> DataFrame:
-    """More, smaller partitions where the input has fewer than the session's slots.
-
-    Splitting happens by the scan itself; this only deals the rows anew if the
-    scan gave fewer tasks than the cluster can run at once.
-    """
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew, if it has fewer partitions than the session can run at once."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df if have >= slots else df.repartition(slots)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
 def at_random(key: str, limit: int, df: DataFrame) -> DataFrame:
