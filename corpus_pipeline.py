@@ -10,18 +10,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_cnn, jaccard_join, line_winnow, pfair_mix, piece_bpe
+from spanforge.llm import byte_cnn, line_winnow, pfair_mix, piece_bpe, simhash_bk
 from spanforge.llm.common import materialize, table
 from spanforge.llm.registry import labelled
 
-#: near-duplicates have a Jaccard similarity of LEAST / 5 or more between their five-word shingles
-SHINGLE, LEAST = 5, 4
+#: near-duplicates have a Jaccard similarity of LEAST or more between their sets of five-word shingles
+SHINGLE, LEAST = 5, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality probability is 0.3 or more."""
     model = byte_cnn.train(labelled(spark, sf_dir, "quality", byte_cnn.MAX_TRAIN_DOCS))
-    return byte_cnn.score(docs, model, docs.columns).filter("score >= 0.3").select(*docs.columns)
+    name = "p" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    return byte_cnn.score(docs, model, docs.columns, name).filter(F.col(name) >= 0.3).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +32,18 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = jaccard_join.near_duplicates(docs, SHINGLE, LEAST)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    # rows that share a doc_id are one document; documents without an id cannot be told apart and stay
-    same = docs.withColumn("_th", F.xxhash64("text"))
-    first = Window.partitionBy("doc_id").orderBy("_th")
-    with_id = same.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return with_id.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates: the one with the smallest doc_id, then text hash.
+
+    Rows of one doc_id with different texts are different documents; rows that agree in both
+    are one. Documents without an id come last, and are told apart by their texts.
+    """
+    found = simhash_bk.similar_documents(docs, SHINGLE, LEAST)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("r")
+    key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("")).alias("key")
+    kept = found.groupBy("root").agg(first).select(key(F.col("r.doc_id")), F.col("r.th").alias("th")).distinct()
+    rows = docs.select(key(F.col("doc_id")), F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = rows.join(kept, ["key", "th"], "left_semi").groupBy("key", "th").agg(F.first("row").alias("row"))
+    return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
