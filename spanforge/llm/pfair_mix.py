@@ -97,11 +97,12 @@ def running_sum(sizes: DataFrame, key: str, levels: int = 3) -> DataFrame:
     if not levels:
         before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)  # keys / FAN ** 3
         return sizes.select(key, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    dealt = sizes.withColumn("_up", F.expr(f"{key} div {FAN}")).repartition("_up")
-    base = running_sum(dealt.groupBy("_up").agg(F.sum("size").alias("size")), "_up", levels - 1).withColumnRenamed("first", "_base")
-    before = Window.partitionBy("_up").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    up = f"_up{levels}"
+    dealt = sizes.withColumn(up, F.expr(f"{key} div {FAN}")).repartition(up)
+    base = running_sum(dealt.groupBy(up).agg(F.sum("size").alias("size")), up, levels - 1).withColumnRenamed("first", "_base")
+    before = Window.partitionBy(up).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inner = dealt.withColumn("_in", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    return inner.join(base, "_up").select(key, (F.col("_base") + F.col("_in")).alias("first"))
+    return inner.join(base, up).select(key, (F.col("_base") + F.col("_in")).alias("first"))
 
 
 NEW = ["block", "release", "deadline", "slot", "position"]

@@ -82,17 +82,54 @@ def test_pieces_equal_the_library_and_decode():
         pytest.skip("no model file")
     model, sp = piece_bpe.PieceModel(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
     rng = random.Random(3)
-    texts = ["", " ", "  two  blanks ", "don't (stop)", "naïve Straße 日本語 😀", "aaaa" * 900, "x\ty\n\n", *["".join(rng.choice("abc de.é▁\n") for _ in range(80)) for _ in range(40)]]
+    texts = ["", " ", "  two  blanks ", "don't (stop)", "naïve Straße 日本語 😀", "\U0010ffff▁", "aaaa" * 900, "x\ty\n\n", *["".join(rng.choice("abc de.é▁\n") for _ in range(80)) for _ in range(40)]]
     plain = piece_bpe.Encoder(model, 0.0)
     for t, ids in zip(texts, plain.encode(texts, [0] * len(texts)), strict=True):
         assert plain.decode(ids) == t
-        if "▁" not in t:
+        if "▁" not in t and "\U0010ffff" not in t:
             assert ids == sp.encode(t)
     one, two, other = (piece_bpe.Encoder(model, 0.3, seed) for seed in (1, 1, 2))
     a, b, c = (e.encode(texts, list(range(len(texts)))) for e in (one, two, other))
     assert a == b and a != c
     assert all(one.decode(i) == t for i, t in zip(a, texts, strict=True))
     assert one.encode([None], [1]) == [None]
+    for t, ids in zip(texts, a, strict=True):
+        if len(t) < 200:
+            assert ids == naive_agenda(model, sp, one, t, texts.index(t))
+    # every row draws for itself
+    same = [tuple(i) for i in one.encode(["Internationalization of understanding"] * 200, list(range(200)))]
+    assert len(set(same)) > 60
+    # in pieces of any size a text gives the same ids
+    assert [x for part in model.cut_long("▁ab▁cd▁efgh" * 40, 7) for x in part] == model.cut("▁ab▁cd▁efgh" * 40)
+
+
+def naive_agenda(model, sp, e, text, key):
+    """One candidate after the other, by the definition."""
+    unk, out = sp.unk_id(), []
+    code = lambda s: int(model.char_code[ord(s)]) if len(s) == 1 else sp.piece_to_id(s)
+    words = model.cut("▁" + text.replace("▁", "\ud800").replace(" ", "▁")) if text else []
+    for w, k in zip(words, e.word_keys(key, 0, len(words)), strict=True):
+        sym, dead, taken, skips = [(c, i) for i, c in enumerate(w)], set(), 0, 0
+        stop = int(e.gaps(np.array([k]), 0)[0])
+        while True:
+            ranks = [(int(model.look_up(np.array([code(a[0])]), np.array([code(b[0])]))[0]), i) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (a, b) not in dead]
+            best = min(ranks, default=(2**31 - 1, 0))
+            if best[0] == 2**31 - 1:
+                break
+            i = best[1]
+            if taken == stop:
+                dead.add((sym[i], sym[i + 1]))
+                skips += 1
+                stop = taken + 1 + int(e.gaps(np.array([k]), skips)[0])
+            else:
+                sym[i : i + 2] = [(sym[i][0] + sym[i + 1][0], sym[i][1])]
+            taken += 1
+        for s, _ in sym:
+            if "\ud800" not in s and sp.piece_to_id(s) != unk:
+                out.append(sp.piece_to_id(s))
+            else:
+                out += [int(model.byte_ids[x]) for c in s for x in ("▁" if c == "\ud800" else c).encode()]
+    return out
 
 
 def test_long_words_follow_the_same_agenda():
@@ -101,10 +138,24 @@ def test_long_words_follow_the_same_agenda():
     except OSError:
         pytest.skip("no model file")
     word = "▁" + "thinkingover" * 200
-    for rate in (0.0, 0.2):
-        e = piece_bpe.Encoder(model, rate)
-        with np.errstate(over="ignore"):
-            assert e._merge_long(word, 1) == e._merge_table([word], [1])[0]
+    e = piece_bpe.Encoder(model, 0.2)
+    for path in ((), (3,), (3, 17, 200)):
+        assert e._merge_long(word, path) == e._merge_table([word], [path])[0]
+
+
+def test_pieces_of_whole_tables(spark):
+    try:
+        proto = piece_bpe.load()
+    except OSError:
+        pytest.skip("no model file")
+    docs = frame(spark, [*ODD, "x\U0010ffff▁y"])
+    got = piece_bpe.encode_documents(docs, proto, carry=("n_chars",))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert all(r["lossless"] for r in rows.values()) and rows[1]["ids"] is None and rows[1]["n_ids"] is None and rows[0]["ids"] == []
+    back = {r["doc_id"]: r["text"] for r in piece_bpe.decode_documents(got, proto).collect()}
+    assert back == {i: t for i, t in enumerate([*ODD, "x\U0010ffff▁y"])}
+    assert piece_bpe.encode_documents(docs.limit(0), proto).count() == 0
+    assert piece_bpe.decode_documents(got.limit(0), proto).count() == 0
 
 
 def test_rules_and_hosts(spark):
@@ -177,13 +228,41 @@ def test_mix_is_whole_and_within_one_block(spark):
 
 
 def test_period_is_earliest_deadline_first(spark):
-    parts = {"p": 5, "q": 3, "r": 1}
-    got = {r["slot"]: r["source"] for r in pfair_mix.period_schedule(spark.createDataFrame(list(parts.items()), "source string, parts long")).collect()}
-    done, total = dict.fromkeys(parts, 0), sum(parts.values())
+    width = {1: 6, 3: 9, 5: 5}
+    rows = pfair_mix.period_schedule(spark.createDataFrame(list(width.items()), "parts long, width long"), stride=4).collect()
+    got = {r["slot"]: (r["parts"], r["turn"]) for r in rows}
+    done, total = dict.fromkeys(width, 0), sum(width.values())
     for t in range(total):
-        ready = [(-(-(done[s] + 1) * total // p), s) for s, p in sorted(parts.items()) if done[s] < p and done[s] * total // p <= t]
-        assert got[t] == min(ready)[1]
-        done[got[t]] += 1
+        ready = [(-(-(done[s] + 1) * total // w), s) for s, w in sorted(width.items()) if done[s] < w and done[s] * total // w <= t]
+        assert got[t] == (min(ready)[1], done[min(ready)[1]])
+        done[got[t][0]] += 1
+
+
+def test_mix_of_many_sources_buckets_and_repeated_rows(spark):
+    rows = [(i, f"t{i}", "en", f"s{i % 40}" if i % 3 else "hot", 2) for i in range(900)] + [(7, "same", "en", "hot", 1)] * 30 + [(None, None, None, None, None)] * 5
+    docs = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"lang": "_at", "n_chars": "_row"})
+    for bucket_rows in (20_000, 50):
+        at = pfair_mix.places(docs, {"hot": 5}, block=4, bucket_rows=bucket_rows).collect()
+        assert sorted(r["position"] for r in at) == list(range(len(rows)))
+        assert all(r["release"] <= r["slot"] < r["deadline"] for r in at)
+    out = pfair_mix.schedule(docs, {"hot": 5}, block=4)
+    assert out.columns[:5] == docs.columns
+    got = out.collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, rows))
+    first = {}
+    for r in got:
+        first.setdefault((r["source"], r["block"]), set()).add(r["slot"])
+    assert all(len(x) == 1 for x in first.values()) and len({(s,) for x in first.values() for s in x}) == len(first)
+
+
+def test_running_sums_in_levels(spark):
+    rng = random.Random(9)
+    sizes = {k: rng.randrange(9) for k in rng.sample(range(3_000_000), 300)}
+    got = {r["slot"]: r["first"] for r in pfair_mix.running_sum(spark.createDataFrame(list(sizes.items()), "slot long, size long"), "slot").collect()}
+    upto = 0
+    for k in sorted(sizes):
+        assert got[k] == upto
+        upto += sizes[k]
 
 
 def test_language_profiles(spark):
@@ -255,50 +334,124 @@ def test_byte_network_learns_and_takes_odd_texts(spark):
     assert byte_cnn.ByteCnn().fit([], []).probability("x") == pytest.approx(0.5)
 
 
-def test_chunks_cover_the_text():
+def test_chunks_cover_the_text(monkeypatch):
     net = byte_cnn.ByteCnn()
-    text = "a" * 5000 + "Z" * 8 + "a" * 1000
-    raw, starts = net.chunks(text)
     net.taps[:] = 0
     net.taps[:, ord("Z"), 0] = 1
-    assert net.pooled(raw, starts)[:, 0].max() >= byte_cnn.WIDTH - byte_cnn.STEP + 1
-
-
-def test_lines_against_brute_force(spark):
-    rng = random.Random(7)
-    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 3, 8]))) for _ in range(12)]
-    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 15))) for _ in range(60)] + ODD
-    docs = frame(spark, texts)
-    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, span=10).collect()}
-    wins = []
+    for at in (0, 700, 4999, 5991):
+        text = "a" * at + "Z" * 8 + "a" * (5992 - at)
+        raw, starts = net.chunks(text)
+        assert net.pooled(raw, starts)[:, 0].max() >= byte_cnn.WIDTH - byte_cnn.STEP + 1
+    for n in range(600, 606):  # the last byte counts
+        assert net.pooled(*net.chunks("a" * n + "Z"))[:, 0].max() >= 1
+    text = "".join(random.Random(1).choice("abcZ ") for _ in range(9000))
+    whole = net.pooled(*net.chunks(text))
+    monkeypatch.setattr(byte_cnn, "GROUP", 2)
+    assert (net.pooled(*net.chunks(text)) == whole).all()
+
+
+def test_byte_network_and_gradient_against_loops():
+    rng = np.random.default_rng(0)
+    net = byte_cnn.ByteCnn(filters=2)
+    net.top, net.bias = rng.normal(size=6).astype(np.float32), rng.normal(size=2).astype(np.float32) * 0.1
+    rand = random.Random(2)
+    texts = ["".join(rand.choice("abcdefgh é") for _ in range(n)) for n in (1100, 30, 601)] + ["", "x"]
+    y = np.array([1, 0, 1, 0, 1], np.float32)
+
+    def naive(t):
+        raw, starts = net.chunks(t)
+        n, tops = (len(raw) - 8) // 3 + 1, []
+        for s in starts:
+            z = [[sum(float(net.taps[j, raw[q * 3 + j], f]) for j in range(8)) for f in range(2)] for q in range(s, min(s + byte_cnn.PER, n))]
+            tops.append(np.maximum(np.max(z, 0) + net.bias, 0))
+        x = np.concatenate((np.mean(tops, 0), np.max(tops, 0), np.min(tops, 0)))
+        return 1 / (1 + np.exp(-(x @ net.top + net.base[0])))
+
+    for t in texts:
+        assert net.probability(t) == pytest.approx(naive(t), abs=1e-5)
+    loss = lambda: -np.mean([np.log(net.probability(t) if k else 1 - net.probability(t)) for t, k in zip(texts, y, strict=True)])
+    for w, g in zip([net.taps, net.bias, net.top, net.base], net.gradient([net.chunks(t) for t in texts], y), strict=True):
+        for i in map(tuple, np.argwhere(np.abs(g) > 2e-3)[:5]):
+            old, step = w[i], 1e-3
+            w[i] = old + step
+            up = loss()
+            w[i] = old - step
+            down = loss()
+            w[i] = old
+            assert (up - down) / (2 * step) == pytest.approx(g[i], abs=5e-3)
+
+
+def cut_by_definition(texts, span, longest):
+    """What fingerprints of sentence pieces, aligned with their first place and extended, delete."""
+    import hashlib
+    import re
+
+    cut, first, later = {}, {}, []
+    words = {i: re.findall(r"[^ \t\n\x0b\f\r]+", t or "") for i, t in enumerate(texts)}
     for i, t in enumerate(texts):
-        ls = [(k, x, len(x.split())) for k, x in enumerate((t or "").split("\n")) if x.split()]
-        for ways in ("ahead", "behind"):
-            for a in range(len(ls)):
-                own = ls[a:] if ways == "ahead" else ls[a::-1]
-                n = 0
-                for b, x in enumerate(own):
-                    n += x[2]
-                    if n >= 10:
-                        part = own[: b + 1] if ways == "ahead" else own[b::-1]
-                        wins.append((i, part[0][0], part[-1][0], tuple(p[1] for p in part)))
-                        break
-    first = {}
-    for w in sorted(wins):
-        first.setdefault(w[3], w[:2])
-    gone = {}
-    for w in wins:
-        if w[:2] > first[w[3]]:
-            gone.setdefault(w[0], set()).update(range(w[1], w[2] + 1))
+        tok = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*", t or "")
+        ends = [k + 1 for k, x in enumerate(tok) if "\n" in x or x.rstrip()[-1] in ".!?"]
+        s = [a for a in [0, *ends] if a < len(tok)]
+        if not tok:
+            continue
+        s = [c for a, b in zip(s, [*s[1:], len(tok)], strict=True) for c in range(a, b, longest)]
+        h = [hashlib.md5(" ".join(words[i][a : ([*s[2:], len(tok), len(tok)])[k]]).encode()).hexdigest()[:16] for k, a in enumerate(s)]
+        for k, a in enumerate(s):
+            if len(h) == 1 or (k + 1 < len(h) and h[k] <= h[k + 1]) or (k and h[k] <= h[k - 1]):
+                if h[k] in first:
+                    later.append((i, *first[h[k]][:1], a - first[h[k]][1]))
+                else:
+                    first[h[k]] = (i, a)
+    for q, p, d in set(later):
+        run = []
+        for k in range(len(words[q]) + 1):
+            if k < len(words[q]) and 0 <= k - d < len(words[p]) and words[q][k] == words[p][k - d]:
+                run.append(k)
+            else:
+                if len(run) >= span:
+                    cut.setdefault(q, set()).update(run)
+                run = []
+    return cut, words
+
+
+def test_lines_against_the_definition(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice("abcdefghij") * rng.randrange(1, 4)
+    passage = [" ".join(word() for _ in range(14)) + "." for _ in range(12)]
+    texts = []
+    for i in range(50):
+        own = " ".join(word() + rng.choice(["", "", "", ".", "\n"]) for _ in range(60))
+        some = passage[i % 4 : i % 4 + 6] if i % 2 else []
+        texts.append(f"{own} mid {' '.join(some)} line {own[::-1]}" if some else own)
+    texts += [texts[3], texts[5] + " more", " \n " + texts[7], "For " * 300, *ODD]
+    docs = frame(spark, texts).withColumnsRenamed({"lang": "gone", "source": "th"})
+    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, span=50).collect()}
+    cut, words = cut_by_definition(texts, 50, line_winnow.LONGEST)
+    assert len(cut) > 10
     for i, t in enumerate(texts):
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
-        assert got[i]["text"] == want, i
-    assert any(gone.values())
+        left = None if t is None else [w for k, w in enumerate(words[i]) if k not in cut.get(i, ())]
+        assert (None if got[i]["text"] is None else got[i]["text"].split()) == left, i
+        assert got[i]["n_deleted"] == len(cut.get(i, ()))
+        if i not in cut:
+            assert got[i]["text"] == t
+    assert got[50]["text"] == "" and line_winnow.dedup_lines(docs).columns == [*docs.columns, "n_deleted"]
     twice = docs.unionAll(docs)
-    assert sorted(str(r["text"]) for r in line_winnow.dedup_lines(twice, span=10).collect()) == sorted(2 * [str(r["text"]) for r in got.values()])
+    assert sorted(str(r["text"]) for r in line_winnow.dedup_lines(twice).collect()) == sorted(2 * [str(r["text"]) for r in got.values()])
     assert line_winnow.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_passages_inside_lines_are_found(spark):
+    """Nine tenths of the words of planted passages of 60 to 120 words that start and end inside lines."""
+    rng = random.Random(10)
+    prose = lambda n: " ".join(("".join(rng.choice("abcdefgh") for _ in range(5))) + (rng.choice([".", ".", "!", "?", "\n"]) if rng.random() < 0.1 else "") for _ in range(n))
+    planted = [prose(rng.randrange(60, 120)) for _ in range(12)]
+    texts = [f"{prose(80)} {planted[i % 12]} {prose(80)}" for i in range(60)]
+    got = line_winnow.dedup_lines(frame(spark, texts)).collect()
+    found = sum(r["n_deleted"] for r in got)
+    assert found >= 0.9 * sum(len(planted[i % 12].split()) for i in range(12, 60))
+    assert all(r["n_deleted"] == 0 for r in got if r["doc_id"] < 12)
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)

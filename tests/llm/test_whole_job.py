@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("spanforge.llm")
 
-from spanforge.llm import jaccard_join, pfair_mix, threshold_topk  # noqa: E402
+from spanforge.llm import pfair_mix, simhash_bk, threshold_topk  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,10 +55,24 @@ def test_near_duplicates_are_those_of_jaccard_08(spark):
                 up[max(x, y)] = min(x, y)
     want = {i: find(i) for i in range(len(texts))}
     assert near > 20 and len(set(want.values())) < len(texts) - 20
-    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()} == want
+    for limit, star in ((4096, 64), (64, 4)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash_bk.similar_documents(docs, limit=limit, star=star).collect()}
+        pairs = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)  # recall
+        assert all(want[a] == want[b] for a, b in got.items())  # no other texts are linked
     kept = {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
-    assert kept == set(want.values())
-    assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+    assert kept == set(got.values())
+    assert simhash_bk.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_rows_without_or_with_one_doc_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3)), (None, text(3)), (None, text(4)), (2, text(4)), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", __import__("pyspark").sql.functions.lit(1))
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(1, text(1)), (1, text(2)), (0, text(3)), (2, text(4)), (3, "")])
+    assert pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
 def test_mixed_order_reaches_the_tokens(spark, tmp_path):
