@@ -74,20 +74,6 @@ def error_reading(exact: Column, mismatch: Column, same: Column, diff: Column, m
     )
 
 
-def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
-    """Row-wise softmax of an array at a temperature, shifted by its maximum."""
-    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x.cast("double") - top.cast("double")) / t))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
-
-
-def argmax(p: Column) -> Column:
-    """Zero-based index of the first greatest element."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
-
-
 def bin_of(confidence: Column, n_bins: int) -> Column:
     """Equal-width bin of a confidence in [0, 1]; 1.0 is in the last."""
     c = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1 - 1e-12))
@@ -115,3 +101,35 @@ def wallclock_hours(windows: Column, batch: Column, steps_per_second: Column, ep
 
 def size_product(shape: Column) -> Column:
     return F.aggregate(shape, F.lit(1).cast("long"), lambda a, x: a * x)
+
+
+def gigabytes(size: Column) -> Column:
+    return F.round(size / F.lit(1024.0**3), 3)
+
+
+def hours_text(hours: Column) -> Column:
+    """Whole minutes below one hour, else hours with two decimals; n/a for null."""
+    return F.when(hours.isNull(), "n/a").when(hours < 1, F.format_string("%.0f min", hours * 60)).otherwise(F.format_string("%.2f h", hours))
+
+
+def training_recipe(fit_512: Column, fit_512_saving: Column, fit_256: Column, reserved: Column) -> Column:
+    """struct(verdict, max_length, micro_batch, grad_accum, checkpointing) from the largest batches that fit.
+
+    The columns are the largest batch at 512 tokens, the same with recomputed activations, at
+    256 tokens (null or 0: none fits), and the GB reserved at the one that is taken.
+    """
+    ok = lambda c: F.coalesce(c > 0, F.lit(False))
+    fit = F.when(ok(fit_512), fit_512).when(ok(fit_512_saving), fit_512_saving).when(ok(fit_256), fit_256)
+    length = F.when(ok(fit_512) | ok(fit_512_saving), 512).otherwise(256)
+    gb = F.coalesce(reserved, F.lit(0.0))
+    short = (length == 512) & (fit <= 2)
+    less = F.when((fit >= 16) & (gb >= 4.5), 16).when((fit >= 4) & (gb >= 5.2), F.greatest(F.floor(fit / 2), F.lit(2))).otherwise(fit)
+    micro = F.when(short, fit).otherwise(less).cast("int")
+    verdict = F.when(fit.isNull(), "impossible").when(short, "tight").when((micro >= 8) & (gb <= 5.2), "easy").otherwise("tight")
+    steps = F.when(micro.isNull() | (micro >= 16), 1).otherwise(F.ceil(16 / micro)).cast("int")
+    return F.struct(verdict.alias("verdict"), length.alias("max_length"), F.coalesce(micro, F.lit(0)).alias("micro_batch"), steps.alias("grad_accum"), (~ok(fit_512) & ok(fit_512_saving)).alias("checkpointing"))
+
+
+def json_text(value: Column) -> Column:
+    """Any struct, map or array as JSON, nulls included."""
+    return F.to_json(value, {"ignoreNullFields": "false"})

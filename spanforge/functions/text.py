@@ -15,6 +15,8 @@ LATIN_SUFFIXES = ("lardagi", "laridan", "larining", "lariga", "larida", "lardan"
 CYRILLIC_SUFFIXES = ("лардаги", "ларидан", "ларининг", "ларига", "ларида", "лардан", "ларни", "ларга", "ларда", "нинг", "даги", "дан", "га", "ни", "да", "лар")
 SUFFIXES = LATIN_SUFFIXES + CYRILLIC_SUFFIXES
 WORD = r"\p{L}\p{N}'ʼʻ‘’`´\-‑"
+#: what Python's ``str.isspace`` calls white space, as the inside of a character class
+WHITE = "\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 QUOTES = "«»\"“”()[]{}"
 
 
@@ -31,7 +33,7 @@ def fold_apostrophes(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Folded apostrophes, lower case (with ss for sharp s), single blanks, no outer blanks."""
     folded = F.replace(F.lower(fold_apostrophes(text)), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(folded, r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(folded, f"[{WHITE}]+", " "))
 
 
 def record_hash(source: Column, key: Column, text: Column) -> Column:
@@ -48,19 +50,26 @@ def mid_token(text: Column, at: Column) -> Column:
     return F.when((at > 0) & (at < F.length(text)), is_word_char(F.substring(text, at, F.lit(1))) & is_word_char(F.substring(text, at + 1, F.lit(1)))).otherwise(False)
 
 
-def expand_to_word_edges(text: Column, start: Column, end: Column, reach: int = 256) -> Column:
-    """struct(start, end) grown through word characters on both sides.
+def _run_before(text: Column, at: Column, inside: str, reach: int) -> Column:
+    """How many characters of the class ``inside`` stand right before offset ``at``.
 
-    Only ``reach`` characters on each side are looked at, so the cost does not depend on
-    the text's length; a word that is longer is followed to that far.
+    Most runs are short, so a window of ``reach`` characters is tried first.
     """
+    near = F.length(F.regexp_extract(F.substring(text, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))), rf"[{inside}]*\z", 0))
+    return F.when(near < reach, near).otherwise(F.length(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), at)), f"^[{inside}]*", 0)))
+
+
+def _run_after(text: Column, at: Column, inside: str, reach: int) -> Column:
+    near = F.length(F.regexp_extract(F.substring(text, at + 1, F.lit(reach)), f"^[{inside}]*", 0))
+    return F.when(near < reach, near).otherwise(F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), f"^[{inside}]*", 0)))
+
+
+def expand_to_word_edges(text: Column, start: Column, end: Column, reach: int = 256) -> Column:
+    """struct(start, end) grown through word characters on both sides, however long the word is."""
     n = F.length(text)
     s = F.greatest(F.least(start, n), F.lit(0))
     e = F.greatest(F.least(end, n), s)
-    before = F.substring(text, F.greatest(s - reach, F.lit(0)) + 1, F.least(s, F.lit(reach)))
-    left = F.length(F.regexp_extract(before, rf"[{WORD}]*\z", 0))
-    right = F.length(F.regexp_extract(F.substring(text, e + 1, F.lit(reach)), f"^[{WORD}]*", 0))
-    return F.struct((s - left).alias("start"), (e + right).alias("end"))
+    return F.struct((s - _run_before(text, s, WORD, reach)).alias("start"), (e + _run_after(text, e, WORD, reach)).alias("end"))
 
 
 def attached_suffix(rest: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
@@ -84,7 +93,7 @@ def rewrite_span_end(text: Column, start: Column, end: Column, suffixes: tuple[s
     reason = (
         F.when((start < 0) | (end <= start) | (end > F.length(text)), "invalid")
         .when(end == F.length(text), "eos")
-        .when(nxt.rlike(r"^[ \t\n\x0B\f\r]$"), "space")
+        .when(nxt.rlike(f"^[{WHITE}]$"), "space")
         .when(F.instr(F.lit(QUOTES), nxt) > 0, "quote")
         .when(~is_word_char(last), "punct")
         .when(matched == "", "none")
@@ -94,15 +103,21 @@ def rewrite_span_end(text: Column, start: Column, end: Column, suffixes: tuple[s
     return F.struct(F.when(hit, end + F.length(matched)).otherwise(end).alias("end"), F.when(hit, matched).otherwise("").alias("matched"), reason.alias("reason"))
 
 
+def attach_suffix(text: Column, start: Column, end: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The end of a span, moved over an attached suffix; spans that do not fit the text stay."""
+    return rewrite_span_end(text, start, end, suffixes)["end"]
+
+
 def surface_suffix(surface: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """The suffix that a one-word surface ends with, after over two characters of which the last is a letter or an apostrophe; else ''."""
-    best = "|".join(sorted(suffixes, key=lambda x: (-len(x), x)))
-    found = F.regexp_extract(F.lower(F.trim(surface)), rf"^[^ ]{{2,}}[\p{{L}}'ʼʻ‘’]({best})$", 1)
-    # a lazy stem would prefer long suffixes; a greedy one prefers short ones, so ask each in turn
+    """The suffix that a one-word surface ends with, after over two characters of which the last is a letter or an apostrophe; else ''.
+
+    The longest suffix that fits is taken.
+    """
+    low = F.lower(F.trim(surface))
     out = F.lit("")
     for s in sorted(suffixes, key=lambda x: (len(x), x)):
-        out = F.when(F.lower(F.trim(surface)).rlike(rf"^[^ ]{{2,}}[\p{{L}}'ʼʻ‘’]{s}$"), s).otherwise(out)
-    return F.when(found == "", "").otherwise(out)
+        out = F.when(low.rlike(rf"^[^ ]{{2,}}[\p{{L}}'ʼʻ‘’]{s}$"), s).otherwise(out)
+    return out
 
 
 def script_of(text: Column) -> Column:
@@ -111,22 +126,27 @@ def script_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+"))
+    return F.regexp_count(text, F.lit(f"[^{WHITE}]+"))
 
 
-def word_starts(text: Column, needle: Column) -> Column:
-    """Offsets of all hits of ``needle``, overlapping ones too, that no letter precedes.
+def all_hits(text: Column, needle: Column, before: str = "") -> Column:
+    """Offsets of all hits of ``needle``, overlapping ones too, in ascending order.
 
     The text is split before each hit, so one pass finds them in texts of any length;
-    offsets are the running lengths of the pieces.
+    offsets are the running lengths of the pieces. ``before`` is a look-behind.
     """
-    quoted = F.concat(F.lit(r"(?<!\p{L})(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    quoted = F.concat(F.lit(before + r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
     step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["hits"], F.array(acc["at"])).alias("hits"))
     hits = F.aggregate(F.split(text, quoted, -1), begin, step, lambda acc: acc["hits"])
     # the first piece is a hit only if the text starts with one
     hits = F.when(F.startswith(text, needle), hits).otherwise(F.slice(hits, F.lit(2), F.greatest(F.size(hits), F.lit(1))))
-    return F.when((F.length(needle) > 0) & (F.length(needle) <= F.length(text)), hits).otherwise(F.array().cast("array<int>"))
+    return F.when((F.length(needle) > 0) & F.contains(text, needle), hits).otherwise(F.array().cast("array<int>"))
+
+
+def word_starts(text: Column, needle: Column) -> Column:
+    """Offsets of all hits of ``needle`` that no letter precedes."""
+    return all_hits(text, needle, r"(?<!\p{L})")
 
 
 def locate_mention(text: Column, mention: Column) -> Column:
@@ -155,12 +175,27 @@ def escape_label_value(value: Column) -> Column:
     return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))
 
 
-def neighbour_word(text: Column, start: Column, end: Column, side: str) -> Column:
-    """The word next to a span across blanks and tabs only, or ''."""
+def neighbour_word(text: Column, start: Column, end: Column, side: str, reach: int = 256) -> Column:
+    """struct(start, end) of the word next to a span across blanks and tabs only, or null."""
     if side == "right":
-        return F.regexp_extract(F.substring(text, end + 1, F.lit(256)), rf"^[ \t]+([{WORD}]+)", 1)
-    before = F.substring(text, F.greatest(start - 256, F.lit(0)) + 1, F.least(start, F.lit(256)))
-    return F.regexp_extract(before, rf"([{WORD}]+)[ \t]+\z", 1)
+        gap = _run_after(text, end, " \\t", reach)
+        size = _run_after(text, end + gap, WORD, reach)
+        return F.when((gap > 0) & (size > 0), F.struct((end + gap).alias("start"), (end + gap + size).alias("end")))
+    gap = _run_before(text, start, " \\t", reach)
+    size = _run_before(text, start - gap, WORD, reach)
+    return F.when((gap > 0) & (size > 0), F.struct((start - gap - size).alias("start"), (start - gap).alias("end")))
+
+
+def words_in(text: Column, start: Column, end: Column) -> Column:
+    """array of struct(start, end): the words inside a span."""
+    parts = F.regexp_extract_all(slice_text(text, start, end), F.lit(f"[{WORD}]+|[^{WORD}]+"), 0)
+    begin = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        to = (acc["at"] + F.length(x)).cast("int")
+        return F.struct(to.alias("at"), F.when(x.rlike(f"^[{WORD}]"), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), to.alias("end"))))).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(parts, begin, step, lambda acc: acc["found"])
 
 
 def tensor_bucket(key: Column) -> Column:

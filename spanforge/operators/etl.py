@@ -60,7 +60,7 @@ def token_source(rows: DataFrame, mapping: dict[str, str] = TOKEN_MAP) -> DataFr
     placed = sp.detokenize(rows, "doc_id", "ord", "token").join(rows.select("doc_id", "ord", "tag"), ["doc_id", "ord"])
     label = mapped(tx.tag_type(F.col("tag")), mapping)
     tagged = placed.withColumn("tag", F.when(label.isNull(), "O").otherwise(F.concat(F.when(F.upper("tag").startswith("B"), "B-").otherwise("I-"), label)))
-    return sp.decode_bio(tagged.select("doc_id", "ord", "start", "end", "tag"), end="last")
+    return sp.decode_bio(tagged.select("doc_id", "ord", "start", "end", "tag"), end="last", labels=None)
 
 
 def finalize(spans: DataFrame, docs: DataFrame, rewrite: bool = True) -> DataFrame:
@@ -130,8 +130,11 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def gazetteer_spans(docs: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
-    """Flat hits of a short lexicon at word starts, longer surfaces first, then its order."""
-    hits = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("k"), F.lit(len(s)).alias("n"), tx.word_starts(F.col("text"), F.lit(s)).alias("at")) for k, (s, label) in enumerate(lexicon)])
+    """Flat hits of a short lexicon anywhere in a text: longer surfaces first, then its order, then earlier hits."""
+    lexicon = [(s, label) for s, label in lexicon if s and label in sp.PRIORITY]
+    if not lexicon:
+        return docs.limit(0).select("doc_id", F.lit("").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    hits = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("k"), F.lit(len(s)).alias("n"), tx.all_hits(F.col("text"), F.lit(s)).alias("at")) for k, (s, label) in enumerate(lexicon)])
     rows = docs.filter(F.greatest(*[F.instr("text", s) for s, _ in lexicon], F.lit(0)) > 0).select("doc_id", F.explode(hits).alias("h"))
-    rows = rows.select("doc_id", "h.label", F.explode("h.at").alias("start"), "h.n").select("doc_id", "label", "start", (F.col("start") + F.col("n")).alias("end"))
-    return sp.select_flat(rows)
+    rows = rows.select("doc_id", "h.label", "h.k", F.explode("h.at").alias("start"), "h.n").select("doc_id", "label", "k", "start", (F.col("start") + F.col("n")).alias("end"))
+    return sp.select_flat(rows, order=("k", "start"))

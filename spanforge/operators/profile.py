@@ -19,7 +19,6 @@ def span_error(label: Column, start: Column, end: Column, text: Column) -> Colum
         F.when(~F.coalesce(label.isin(*LABELS), F.lit(False)), "label")
         .when(start.isNull() | end.isNull() | (start < 0) | (start >= end), "offsets")
         .when(end > F.length(text), "length")
-        .when(F.trim(tx.slice_text(text, start, end)) == "", "blank")
     )
 
 
@@ -116,5 +115,93 @@ def bucket_parameters(tensors: DataFrame) -> DataFrame:
     from spanforge.functions.scores import size_product
 
     rows = tensors.select("name", tx.tensor_bucket(F.col("name")).alias("bucket"), size_product(F.col("shape")).alias("n"))
-    out = rows.groupBy("bucket").agg(F.sum("n").alias("parameters"), F.slice(F.array_sort(F.collect_list("name")), 1, 8).alias("examples"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("name"))
+    some = rows.withColumn("k", rank).filter("k <= 8").groupBy("bucket").agg(F.array_sort(F.collect_list("name")).alias("examples"))
+    out = rows.groupBy("bucket").agg(F.sum("n").alias("parameters")).join(some, "bucket")
     return out.withColumn("share", F.col("parameters") / F.sum("parameters").over(Window.partitionBy()))
+
+
+# further corpus profiles
+
+
+def class_shares(spans: DataFrame) -> DataFrame:
+    """label, n, percent of all spans."""
+    n = spans.groupBy("label").agg(F.count("*").alias("n"))
+    return n.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+
+
+def counter(rows: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """key, n: the most frequent first, ties by the key; all or the first ``limit``."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)
+    return n if limit is None else n.limit(limit)
+
+
+def first_examples(rows: DataFrame, keys: list[str], order: list[str], k: int = 8) -> DataFrame:
+    """The first k rows per ``keys`` in a stated order."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order))
+    if not keys:
+        return rows.orderBy(*order).limit(k)
+    return rows.withColumn("_k", rank).filter(F.col("_k") <= k).drop("_k")
+
+
+def unique_surfaces(named: DataFrame) -> DataFrame:
+    """label, surfaces: different surfaces in lower case."""
+    return named.groupBy("label").agg(F.count_distinct(F.lower("surface")).alias("surfaces"))
+
+
+def suffix_counts(named: DataFrame, k: int = 12) -> DataFrame:
+    """label, suffix, n: the most frequent attached suffixes of each label."""
+    n = named.withColumn("suffix", tx.surface_suffix(F.col("surface"))).filter("suffix <> ''").groupBy("label", "suffix").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "suffix"))
+    return n.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def entity_scripts(named: DataFrame) -> DataFrame:
+    return named.groupBy("label", tx.script_of(F.col("surface")).alias("script")).agg(F.count("*").alias("n"))
+
+
+def label_totals(spans: DataFrame) -> DataFrame:
+    """label (or ALL), docs, n: a rollup with its total."""
+    rows = spans.withColumn("label", F.explode(F.array("label", F.lit("ALL"))))
+    return rows.groupBy("label").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("n"))
+
+
+def suffix_selfcheck(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: how often the rewrite of span ends gets a stripped suffix back, and extends spans that have none.
+
+    A suffix counts if over one character is left of the span; apostrophes before it go with it.
+    """
+    rows = spans.join(docs.select("doc_id", "text"), "doc_id")
+    surface = F.lower(tx.slice_text(F.col("text"), F.col("start"), F.col("end")))
+    suffix = F.lit("")
+    for s in sorted(tx.SUFFIXES, key=lambda x: (len(x), x)):
+        suffix = F.when((F.length(surface) > len(s) + 1) & F.endswith(surface, F.lit(s)), s).otherwise(suffix)
+    rows = rows.withColumn("suffix", suffix)
+    stem = F.regexp_replace(tx.slice_text(F.col("text"), F.col("start"), F.col("end") - F.length("suffix")), f"[{tx.APOSTROPHES}]+\\z", "")
+    rows = rows.withColumn("cut", F.when(F.col("suffix") != "", F.col("start") + F.length(stem)).otherwise(F.col("end")))
+    rows = rows.withColumn("r", tx.rewrite_span_end(F.col("text"), F.col("start"), F.col("cut")))
+    has, back, grown = F.col("suffix") != "", (F.col("r.end") == F.col("end")) & (F.col("r.reason") == "extended"), F.col("r.reason") == "extended"
+    return rows.agg(F.count("*").alias("entities"), F.count_if(has).alias("with_suffix"), F.count_if(has & back).alias("recovered"), F.count_if(~has).alias("without_suffix"), F.count_if(~has & grown).alias("false_extend"))
+
+
+def tokens_per_word(rows: DataFrame, by: list[str], text: str = "text", n_tokens: str = "n_tok") -> DataFrame:
+    """by, n, mean tokens a word, mean tokens a character, texts of over 384 and 512 tokens with two special ones."""
+    n = F.greatest(F.col(n_tokens), F.lit(1))
+    words, chars = F.greatest(tx.word_count(F.col(text)), F.lit(1)), F.greatest(F.length(text), F.lit(1))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(n / words).alias("per_word"), F.avg(n / chars).alias("per_char"), F.count_if(n + 2 > 384).alias("over_384"), F.count_if(n + 2 > 512).alias("over_512"))
+
+
+def demo_records(rows: DataFrame, key: str, predicates: dict[str, Column]) -> DataFrame:
+    """name, key: for each predicate in turn the first row that it holds for and that is not taken yet.
+
+    Each step looks for one row only; there are few predicates.
+    """
+    spark, taken = rows.sparkSession, []
+    for name, holds in predicates.items():
+        left = rows.filter(holds)
+        if taken:
+            left = left.filter(~F.col(key).isin(*[t[1] for t in taken]))
+        one = left.orderBy(key).select(key).first()
+        if one:
+            taken.append((name, one[key]))
+    return spark.createDataFrame(taken, f"name string, {key} {rows.schema[key].dataType.simpleString()}")

@@ -36,18 +36,20 @@ def exact_metrics(gold: DataFrame, pred: DataFrame, extra: list[str] | None = No
     has zero counts.
     """
     extra = extra or []
-    spark = gold.sparkSession
-    per = sides(gold, pred, KEYS, extra).groupBy(*extra, "label").agg(*counts())
-    dim = spark.createDataFrame([(x,) for x in LABELS], "label string")
-    if extra:
-        dim = per.select(*extra).distinct().crossJoin(F.broadcast(dim))
-    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("tp", "fp", "fn")}
-    by = with_prf(dim.join(per, [*extra, "label"], "left").withColumns(zero)).withColumnRenamed("label", "scope")
-    micro = with_prf(by.groupBy(*extra).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("scope", F.lit("micro")))
-    macro = by.groupBy(*extra).agg(*[(F.sum(c) / len(LABELS)).alias(c) for c in ("precision", "recall", "f1")])
-    macro = macro.withColumns({"scope": F.lit("macro"), "tp": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "fn": F.lit(0).cast("long")})
-    cols = [*extra, "scope", "tp", "fp", "fn", "precision", "recall", "f1"]
-    return by.select(*cols).unionByName(micro.select(*cols)).unionByName(macro.select(*cols))
+    g, p = F.col("g"), F.col("p")
+    sums = {"tp": g * p, "fp": p * (1 - g), "fn": g * (1 - p)}
+    # one aggregate for all scopes: three sums a label, from which the others follow in the row
+    wide = sides(gold, pred, KEYS, extra).groupBy(*extra).agg(*[F.coalesce(F.sum(F.when(F.col("label") == x, c)), F.lit(0)).cast("long").alias(f"{x}_{n}") for x in LABELS for n, c in sums.items()])
+
+    def scope(name: str, counts_: list[Column]) -> Column:
+        return F.struct(F.lit(name).alias("scope"), *[c.alias(n) for n, c in zip(("tp", "fp", "fn"), counts_, strict=True)], *[c.alias(n) for n, c in zip(("precision", "recall", "f1"), scores.prf(*counts_), strict=True)])
+
+    each = [[F.col(f"{x}_{n}") for n in sums] for x in LABELS]
+    micro = [c[0] + c[1] + c[2] for c in zip(*each, strict=True)]
+    rates = [scores.prf(*c) for c in each]
+    zero = F.lit(0).cast("long")
+    macro = F.struct(F.lit("macro").alias("scope"), *[zero.alias(n) for n in sums], *[((r[0] + r[1] + r[2]) / len(LABELS)).alias(n) for n, r in zip(("precision", "recall", "f1"), zip(*rates, strict=True), strict=True)])
+    return wide.select(*extra, F.explode(F.array(*[scope(x, c) for x, c in zip(LABELS, each, strict=True)], scope("micro", micro), macro)).alias("x")).select(*extra, "x.*")
 
 
 def boundary_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -105,12 +107,17 @@ def error_analysis(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return out.withColumn("reading", error_reading(*[F.col(n) for n in names], F.col("type_accuracy"), F.col("boundary_f1")))
 
 
-def offset_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """doc_id, label, d_start, d_end (predicted less gold) of greedy pairs of spans that are not exact."""
+def offset_pairs(gold: DataFrame, pred: DataFrame, same_label: bool = True) -> DataFrame:
+    """doc_id, label, d_start, d_end (predicted less gold) of greedy pairs of spans that are not exact.
+
+    Pairs of different labels use up their spans, but count only without ``same_label``.
+    """
     both = sides(gold, pred, KEYS).filter("g + p = 1").repartition("doc_id")
     item = F.struct("start", "end", "label")
     held = sp.clusters(both, ["doc_id"]).groupBy("doc_id", "cluster").agg(F.collect_list(F.when(F.col("g") == 1, item)).alias("golds"), F.collect_list(F.when(F.col("p") == 1, item)).alias("preds"))
     pairs = held.select("doc_id", F.explode(sp.greedy_pairs()).alias("x"))
+    if same_label:
+        pairs = pairs.filter("x.g_label = x.p_label")
     return pairs.select("doc_id", F.col("x.g_label").alias("label"), (F.col("x.p_start") - F.col("x.g_start")).alias("d_start"), (F.col("x.p_end") - F.col("x.g_end")).alias("d_end"))
 
 
@@ -121,7 +128,46 @@ def offset_modes(pairs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return sp.mode_of(rows, keys, "d_start").withColumnRenamed("mode", "d_start").join(sp.mode_of(rows, keys, "d_end").withColumnRenamed("mode", "d_end"), keys)
 
 
+def joint_offset_mode(pairs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """extra, d_start, d_end: the most frequent pair of offsets; ties to the smaller moves, then the smaller offsets."""
+    n = pairs.groupBy(*(extra or []), "d_start", "d_end").agg(F.count("*").alias("n"))
+    first = F.max_by(F.struct("d_start", "d_end"), F.struct("n", -(F.abs("d_start") + F.abs("d_end")), -F.col("d_start"), -F.col("d_end"))).alias("m")
+    return n.groupBy(*(extra or [])).agg(first).select(*(extra or []), "m.d_start", "m.d_end")
+
+
 def missing_keys(gold: DataFrame, pred: DataFrame, key: str, limit: int = 5) -> DataFrame:
     """side, key: the first keys that only one side has."""
     only = lambda a, b, n: a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").orderBy(key).limit(limit).withColumn("side", F.lit(n))
     return only(gold, pred, "missing").unionByName(only(pred, gold, "extra"))
+
+
+def key_totals(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys only gold has (missing), only the predictions have (extra), and both."""
+    both = gold.select(key, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(key, F.lit(0).alias("g"), F.lit(1).alias("p"))).groupBy(key).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    return both.agg(F.count_if(F.col("p") == 0).alias("missing"), F.count_if(F.col("g") == 0).alias("extra"), F.count_if(F.col("g") + F.col("p") == 2).alias("both"))
+
+
+def changed_texts(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys whose predicted record carries another text than the gold one; records without a text are taken."""
+    mine = pred.select(key, F.col("text").alias("_t")).filter("_t is not null")
+    return gold.select(key, "text").join(mine, key).filter("_t <> text").select(key)
+
+
+def aligned_records(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, gold entities, predicted entities, one to one; raises on missing, extra or repeated keys and on changed texts.
+
+    gold: key, text, entities; pred: key, entities and perhaps text.
+    """
+    n = key_totals(gold, pred, key).first()
+    if n["missing"] or n["extra"]:
+        some = ", ".join(f"{r['side']} {r[key]}" for r in missing_keys(gold, pred, key).collect())
+        raise ValueError(f"keys differ: {n['missing']} missing, {n['extra']} extra ({some})")
+    for name, df in (("gold", gold), ("predictions", pred)):
+        twice = df.groupBy(key).count().filter("count > 1").orderBy(key).limit(5).collect()
+        if twice:
+            raise ValueError(f"repeated keys in {name}: {', '.join(str(r[key]) for r in twice)}")
+    if "text" in pred.columns:
+        other = changed_texts(gold, pred, key).orderBy(key).limit(5).collect()
+        if other:
+            raise ValueError(f"texts differ: {', '.join(str(r[key]) for r in other)}")
+    return gold.select(key, F.col("entities").alias("gold")).join(pred.select(key, F.col("entities").alias("pred")), key)

@@ -17,13 +17,27 @@ PRIORITY = {"ORG": 0, "NAME": 1, "GEO": 2}
 FLAT_PRIORITY = {"NAME": 0, "ORG": 1, "GEO": 2}
 
 
+#: elements in one running sum; longer arrays are summed stretch by stretch
+STRETCH = 512
+
+
+def with_starts(rows: DataFrame, sizes: str, starts: str) -> DataFrame:
+    """``rows`` with the array of the sums before each element of the array ``sizes``.
+
+    Everything stays in the row, so nothing is shuffled; each step is a column of its own,
+    so that none is computed twice, and stretches keep the time linear.
+    """
+    rows = rows.withColumn("_b", F.expr(f"transform(sequence(0, (size({sizes}) - 1) div {STRETCH}), k -> aggregate(slice({sizes}, cast(k * {STRETCH} as int) + 1, {STRETCH}), array(0), (a, x) -> concat(a, array(element_at(a, -1) + x))))"))
+    rows = rows.withColumn("_e", F.expr("aggregate(_b, array(0), (a, x) -> concat(a, array(element_at(a, -1) + element_at(x, -1))))"))
+    return rows.withColumn(starts, F.expr("flatten(transform(_b, (x, k) -> transform(slice(x, 1, size(x) - 1), v -> v + _e[k])))")).drop("_b", "_e")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, ord, start, end, surface of the pieces between blanks and newlines."""
-    pieces = docs.select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("ord", "surface"))
-    n = F.length("surface")
-    before = F.sum(n + 1).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0)).cast("int")
-    return pieces.select("doc_id", "ord", start.alias("start"), (start + n).alias("end"), "surface").filter("surface <> ''")
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", "[ \n]", -1).alias("p"))
+    rows = with_starts(rows.withColumn("n", F.transform("p", lambda x: F.length(x) + 1)), "n", "s")
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("p", "s")).alias("ord", "x")).filter("x.p <> ''")
+    return rows.select("doc_id", "ord", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.p")).alias("end"), F.col("x.p").alias("surface"))
 
 
 def clusters(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,19 +56,28 @@ def label_rank(label: Column, priority: dict[str, int]) -> Column:
     return out
 
 
-def select_flat(spans: DataFrame, priority: dict[str, int] | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Spans that do not overlap: longer first, then earlier, then by label priority and label.
+def select_flat(spans: DataFrame, priority: dict[str, int] | None = None, keys: tuple[str, ...] = ("doc_id",), order: tuple[str, ...] = ("start", "rank")) -> DataFrame:
+    """Spans that do not overlap: longer first, then by ``order`` (earlier, then label priority), then label.
 
-    Empty or negative spans are dropped. Spans of different ``keys`` do not compete.
+    Empty or negative spans and labels without a priority are dropped. Spans of different
+    ``keys`` do not compete. ``order`` may name further columns of ``spans``.
     """
-    rank = label_rank(F.col("label"), priority or PRIORITY)
-    rows = clusters(spans.filter("start >= 0 and start < end").distinct(), list(keys))
-    item = F.struct((F.col("start") - F.col("end")).alias("size"), F.col("start").alias("start"), rank.alias("rank"), F.col("label").alias("label"), F.col("end").alias("end"))
+    priority = priority or PRIORITY
+    names = ["label", "start", "end", *[c for c in order if c not in ("start", "rank")]]
+    valid = spans.filter("start >= 0 and start < end").filter(F.col("label").isin(*priority)).select(*keys, *names).distinct()
+    rows = clusters(valid.withColumn("rank", label_rank(F.col("label"), priority)), list(keys))
+    item = F.struct((F.col("start") - F.col("end")).alias("size"), *order, *[c for c in ("start", "label", "end") if c not in order])
     held = rows.groupBy(*keys, "cluster").agg(F.sort_array(F.collect_list(item)).alias("c"))
     taken = F.aggregate("c", F.slice("c", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(x))))
     return held.select(*keys, F.explode(taken).alias("x")).select(*keys, F.col("x.label").alias("label"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
+def flat_drops(spans: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:
+    """One row: given, kept and dropped spans of ``select_flat``."""
+    kept = select_flat(spans, priority).agg(F.count("*").alias("kept"))
+    return spans.agg(F.count("*").alias("given")).crossJoin(kept).select("given", "kept", (F.col("given") - F.col("kept")).alias("dropped"))
+
+
 def greedy_pairs(gold: str = "golds", pred: str = "preds") -> Column:
     """Greedy one-to-one pairs of two arrays of (start, end, label) of one cluster, the best IoU first.
 
@@ -74,23 +97,27 @@ def greedy_pairs(gold: str = "golds", pred: str = "preds") -> Column:
 def align_bio(toks: DataFrame, spans: DataFrame) -> DataFrame:
     """``toks`` with ``tag``: the first span that ends after a token's start, if it overlaps.
 
-    B where the span starts within the token, else I; O without a span. Spans are flat.
+    B where the span starts within the token, else I; O without a span, and null for a token
+    without characters, which trainers skip (-100). Spans are flat.
     """
     own = spans.select(F.col("doc_id").alias("_d"), "label", F.col("start").alias("s"), F.col("end").alias("e"))
     hit = toks.join(own, (toks["doc_id"] == own["_d"]) & (own["s"] < toks["end"]) & (own["e"] > toks["start"]), "left")
     first = hit.groupBy("doc_id", "ord", "start", "end").agg(F.min(F.struct("e", "s", "label")).alias("f"))
     begins = (F.col("f.s") >= F.col("start")) & (F.col("f.s") < F.col("end"))
-    return first.select("doc_id", "ord", "start", "end", F.when(F.col("f.label").isNull(), "O").otherwise(F.concat(F.when(begins, "B-").otherwise("I-"), F.col("f.label"))).alias("tag"))
+    return first.select("doc_id", "ord", "start", "end", F.when(F.col("start") == F.col("end"), None).when(F.col("f.label").isNull(), "O").otherwise(F.concat(F.when(begins, "B-").otherwise("I-"), F.col("f.label"))).alias("tag"))
 
 
-def decode_bio(toks: DataFrame, end: str = "max") -> DataFrame:
+def decode_bio(toks: DataFrame, end: str = "max", labels: tuple[str, ...] | None = tuple(PRIORITY)) -> DataFrame:
     """Spans of runs of tags: a run starts at B, at another label, or after O.
 
-    toks: doc_id, ord, start, end, tag. ``end`` is the greatest end of the run, or with
-    "last" the end of its last token.
+    toks: doc_id, ord, start, end, tag; null tags are skipped. ``end`` is the greatest end of
+    the run, or with "last" the end of its last token. A tag that is neither O nor B or I with
+    one of ``labels`` is an error (with None all labels are taken).
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
-    rows = toks.withColumn("label", F.when(F.col("tag") != "O", F.substring("tag", 3, 100)))
+    known = F.col("tag").rlike("^[BI]-.") if labels is None else F.col("tag").isin(*[f"{p}-{x}" for p in "BI" for x in labels])
+    label = F.when(F.col("tag") == "O", None).when(known, F.substring("tag", 3, 100)).otherwise(F.raise_error(F.concat(F.lit("unsupported tag "), F.col("tag"))).cast("string"))
+    rows = toks.filter(F.col("tag").isNotNull()).withColumn("label", label)
     was = F.lag("label").over(order)
     opens = F.col("label").isNotNull() & (F.col("tag").startswith("B") | was.isNull() | (was != F.col("label")))
     rows = rows.withColumn("_o", opens.cast("int")).withColumn("run", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -130,13 +157,38 @@ def joined(rows: DataFrame, key: str, order: str, token: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(parts, "").alias("text"))
 
 
-def snap_words(spans: DataFrame, docs: DataFrame, flat: bool = True) -> DataFrame:
-    """Spans grown to word edges, and greedily made flat."""
-    grown = spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("w", tx.expand_to_word_edges(F.col("text"), F.col("start"), F.col("end")))
-    out = grown.select("doc_id", "label", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+def snap_words(spans: DataFrame, docs: DataFrame, flat: bool = True, suffix: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Spans grown to word edges (and over an attached suffix), and greedily made flat.
+
+    A document meets all its spans in one row, so its text is looked up once; further
+    columns ``keep`` stay only without ``flat``.
+    """
+    held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end", *keep)).alias("spans"))
+    rows = held.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", F.explode("spans").alias("x"))
+    rows = rows.withColumn("w", tx.expand_to_word_edges(F.col("text"), F.col("x.start"), F.col("x.end")))
+    end = tx.attach_suffix(F.col("text"), F.col("w.start"), F.col("w.end")) if suffix else F.col("w.end")
+    out = rows.select("doc_id", F.col("x.label").alias("label"), F.col("w.start").alias("start"), end.alias("end"), *[F.col(f"x.{c}").alias(c) for c in keep])
     return select_flat(out) if flat else out
 
 
+def labelled_windows(toks: DataFrame, spans: DataFrame, length: int, stride: int, special: int = 2) -> DataFrame:
+    """doc_id, window, labels (tags of its tokens in order; null for tokens without characters).
+
+    Windows in which no token has a tag are left out.
+    """
+    tagged = align_bio(toks, spans).select("doc_id", "ord", "tag")
+    body = max(length - special, 1)
+    step = max(body - min(stride, body - 1), 1)
+    rows = tagged.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1)
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    count = scores.window_count(n, length, stride, special)
+    last = F.least(F.floor(F.col("pos") / step), count - 1)
+    first = F.greatest(F.ceil((F.col("pos") - body + 1) / step), F.lit(0).cast("long"))
+    rows = rows.withColumn("window", F.explode(F.sequence(first, F.greatest(last, first)))).filter((F.col("pos") >= F.col("window") * step) & (F.col("pos") < F.col("window") * step + body))
+    tags = F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"])
+    return rows.groupBy("doc_id", "window").agg(tags.alias("labels"), F.count("tag").alias("n_tags")).filter("n_tags > 0").select("doc_id", "window", "labels")
+
+
 def mode_of(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, mode: the most frequent value; ties to the smaller absolute value, then the smaller."""
     n = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from spanforge.operators import spans as sp
 def gate_sweep(gold: DataFrame, pred: DataFrame, folds: DataFrame, taus: list[float]) -> DataFrame:
     """tau, split, tp, fp, fn, f1 (micro); pred holds conf; fold 0 is the analysis split.
 
-    0 is always swept. Confidences are computed once; each span is counted at the taus it
-    passes, so nothing is decoded twice and the plan has one shuffle of the spans.
+    0 is always swept. Confidences are computed once and counted by the greatest tau that they
+    pass, so the spans are shuffled once whatever the number of taus.
     """
     grid = sorted({0.0, *taus})
     part = folds.select("doc_id", F.when(F.col("fold") == 0, "analysis").otherwise("held").alias("split"))
@@ -24,8 +26,14 @@ def gate_sweep(gold: DataFrame, pred: DataFrame, folds: DataFrame, taus: list[fl
     g = gold.select(*keys).distinct().withColumns({"g": F.lit(1), "conf": F.lit(None).cast("double")})
     p = pred.groupBy(*keys).agg(F.max("conf").alias("conf")).withColumn("g", F.lit(0))
     both = g.unionByName(p).groupBy(*keys).agg(F.max("g").alias("g"), F.max("conf").alias("conf")).join(part, "doc_id")
-    at = both.withColumn("tau", F.explode(F.array(*map(F.lit, grid)))).withColumn("p", F.coalesce((F.col("conf").isNotNull() & ((F.col("tau") == 0) | (F.col("conf") >= F.col("tau")))).cast("int"), F.lit(0)))
-    return sc.with_prf(at.groupBy("tau", "split").agg(*sc.counts())).select("tau", "split", "tp", "fp", "fn", "f1")
+    # a histogram over the steps between the taus; what a tau lets pass is the sum of the steps above it
+    step = sum((F.when(F.col("conf") >= t, 1).otherwise(0) for t in grid[1:]), F.lit(0))
+    bars = both.groupBy("split", "g", F.when(F.col("conf").isNull(), -1).otherwise(step).alias("step")).agg(F.count("*").alias("n"))
+    at = bars.withColumn("k", F.explode(F.array(*map(F.lit, range(len(grid)))))).withColumn("p", (F.col("step") >= F.col("k")).cast("int"))
+    g, p_, n = F.col("g"), F.col("p"), F.col("n")
+    sums = [F.sum(g * p_ * n).alias("tp"), F.sum(p_ * (1 - g) * n).alias("fp"), F.sum(g * (1 - p_) * n).alias("fn")]
+    out = sc.with_prf(at.groupBy("k", "split").agg(*sums)).withColumn("tau", F.element_at(F.array(*map(F.lit, grid)), F.col("k") + 1))
+    return out.select("tau", "split", "tp", "fp", "fn", "f1")
 
 
 def pick_gate(sweep: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def pick_temperature(sweep: DataFrame, split: str = "analysis") -> DataFrame:
     return sweep.filter(F.col("split") == split).orderBy("ece", "nll", F.abs(F.col("temperature") - 1)).limit(1)
 
 
-POLICIES = ("identity", "word_snap", "global_offset", "label_offset", "mid_token_offset")
+POLICIES = ("identity", "word_snap", "word_suffix_snap", "global_offset", "joint_offset", "label_offset", "mid_token_offset")
 
 
 def policy_tournament(gold: DataFrame, pred: DataFrame, docs: DataFrame, folds: DataFrame) -> DataFrame:
@@ -61,17 +69,20 @@ def policy_tournament(gold: DataFrame, pred: DataFrame, docs: DataFrame, folds:
     """
     fit = folds.select(F.col("fold").alias("fit")).distinct()
     own = folds.select("doc_id", "fold")
-    modes = sc.offset_modes(sc.offset_pairs(gold, pred).join(own, "doc_id"), ["fold"]).withColumnRenamed("fold", "fit")
+    pairs = sc.offset_pairs(gold, pred).join(own, "doc_id")
+    modes = sc.offset_modes(pairs, ["fold"]).withColumnRenamed("fold", "fit")
     overall = modes.filter("label = 'ALL'").select("fit", F.col("d_start").alias("all_s"), F.col("d_end").alias("all_e"))
+    joint = sc.joint_offset_mode(pairs, ["fold"]).select(F.col("fold").alias("fit"), F.col("d_start").alias("both_s"), F.col("d_end").alias("both_e"))
     by_label = modes.select("fit", "label", "d_start", "d_end")
     others = lambda df: df.join(own, "doc_id").crossJoin(F.broadcast(fit)).filter("fit <> fold").drop("fold")
     text = F.col("text")
     measured = pred.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "label", "start", "end", F.length("text").alias("n"), tx.mid_token(text, F.col("start")).alias("mid_s"), tx.mid_token(text, F.col("end")).alias("mid_e"))
-    rows = others(measured).join(overall, "fit", "left").join(by_label, ["fit", "label"], "left")
+    rows = others(measured).join(overall, "fit", "left").join(joint, "fit", "left").join(by_label, ["fit", "label"], "left")
     zero = F.lit(0)
     a, b = F.coalesce("all_s", zero), F.coalesce("all_e", zero)
     moves = {
         "global_offset": (a, b),
+        "joint_offset": (F.coalesce("both_s", zero), F.coalesce("both_e", zero)),
         "label_offset": (F.coalesce("d_start", a), F.coalesce("d_end", b)),
         "mid_token_offset": (F.when(F.col("mid_s"), a).otherwise(0), F.when(F.col("mid_e"), b).otherwise(0)),
     }
@@ -79,12 +90,25 @@ def policy_tournament(gold: DataFrame, pred: DataFrame, docs: DataFrame, folds:
     moved = rows.select("fit", "doc_id", "label", each.alias("x")).select("fit", "x.policy", "doc_id", "label", F.col("x.m.start").alias("start"), F.col("x.m.end").alias("end"))
     moved = sp.select_flat(moved, keys=("fit", "policy", "doc_id"))
     cols = ["fit", "policy", *sc.KEYS]
-    fixed = others(pred).withColumn("policy", F.lit("identity")).select(*cols).unionByName(others(sp.snap_words(pred, docs)).withColumn("policy", F.lit("word_snap")).select(*cols))
+    fixed = others(pred).withColumn("policy", F.lit("identity")).select(*cols)
+    for name, suffix in (("word_snap", False), ("word_suffix_snap", True)):
+        fixed = fixed.unionByName(others(sp.snap_words(pred, docs, suffix=suffix)).withColumn("policy", F.lit(name)).select(*cols))
     truth = others(gold).withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).select(*cols)
     found = sc.sides(truth, moved.select(*cols).unionByName(fixed), sc.KEYS, ["policy", "fit"])
     return sc.with_prf(found.groupBy("policy", "fit").agg(*sc.counts())).select("policy", F.col("fit").alias("fold"), "tp", "fp", "fn", "f1")
 
 
+def calibrated_gate(logits: DataFrame, gated: Callable[[float], DataFrame], temperatures: list[float]) -> DataFrame:
+    """One row: the temperature of the least analysis error, and the gate chosen at that temperature.
+
+    ``gated`` gives the sweep of gates (see ``gate_sweep``) of spans decoded at a temperature; it
+    is asked once, so nothing is decoded at the temperatures that lose.
+    """
+    best = pick_temperature(temperature_sweep(logits, temperatures)).first()
+    row = F.struct(*[F.lit(best[c]).alias(c) for c in ("temperature", "ece", "nll")])
+    return pick_gate(gated(best["temperature"])).select(row.alias("t"), "*").select("t.*", "tau", "analysis_f1", "held_f1", "held_delta")
+
+
 def summarize(scored: DataFrame, keys: list[str], value: str) -> DataFrame:
     mean, std = scores.mean_std(F.col(value))
     return scored.groupBy(*keys).agg(mean.alias("mean"), std.alias("std"))

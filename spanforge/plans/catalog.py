@@ -6,9 +6,7 @@ to SQL over the same tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import scores
@@ -21,46 +19,10 @@ from spanforge.operators import scoring as sc
 from spanforge.operators import spans as sp
 from spanforge.operators import tuning as tu
 from spanforge.plans import views as vw
-from spanforge.plans.oracle import COUNTS, F1, NORM, PRF, PROBS, RUNS, SPANS, TOK, fold
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, others as double with six digits, start and end as s and e."""
-    names = {"start": "s", "end": "e"}
-    out = []
-    for c, t in df.dtypes:
-        col = F.col(f"`{c}`")
-        if t in ("int", "smallint", "tinyint", "bigint"):
-            col = col.cast("long")
-        elif t in ("float", "double"):
-            col = F.round(col.cast("double"), 6)
-        out.append(col.alias(names.get(c, c)))
-    return df.select(*out)
-
-
-def query(sql: str | None = None):
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = lambda spark, d: tidy(f(spark, d))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
+from spanforge.plans.oracle import COUNTS, F1, NORM, PRF, PROBS, RUNS, SPANS, TOK, WHITE, fold
+from spanforge.plans.register import R, oracle_sql, queries, query
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-R = lambda x, n: f"round({x}, 6) AS {n}"
+__all__ = ["oracle_sql", "queries"]
 
 # scoring
 
@@ -119,7 +81,7 @@ _MODE = lambda c: f"""(SELECT label, arg_max(v, struct_pack(a := n, b := -abs(v)
 
 
 @query(f"""WITH {SPANS}, {_PAIRS.format(more="", g="rg", p="rp")},
-q AS (SELECT v.gl AS label, v.ps - v.gs AS ds, v.pe - v.ge AS de FROM taken), o AS (SELECT * FROM q UNION ALL SELECT 'ALL', ds, de FROM q)
+q AS (SELECT v.gl AS label, v.ps - v.gs AS ds, v.pe - v.ge AS de FROM taken WHERE v.gl = v.pl), o AS (SELECT * FROM q UNION ALL SELECT 'ALL', ds, de FROM q)
 SELECT x.label, x.m AS d_start, y.m AS d_end FROM {_MODE("ds")} x JOIN {_MODE("de")} y USING (label)""")
 def offset_modes(spark, d):
     _, gold, pred = vw.both(spark, d)
@@ -137,19 +99,19 @@ def hash_set_diff(spark, d):
 
 # sequences
 
-_ALL = "al AS (SELECT DISTINCT * FROM (SELECT * FROM gold UNION ALL SELECT * FROM pred UNION ALL SELECT doc_id, label, s, e + 3 FROM gold))"
+_ALL = "al AS (SELECT DISTINCT * FROM (SELECT * FROM gold UNION ALL SELECT * FROM pred UNION ALL SELECT doc_id, label, s, e + 3 FROM gold UNION ALL SELECT doc_id, 'LOC', s, e + 9 FROM gold))"
 
 
 def _nms_sql(order: str) -> str:
     rank = f"CASE label {' '.join(f'WHEN {x!r} THEN {k}' for k, x in enumerate(order.split()))} ELSE 3 END"
     return f"""WITH {SPANS}, {_ALL},
-h AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, s := s, r := {rank}, label := label, e := e))) AS arr FROM al WHERE s >= 0 AND s < e GROUP BY doc_id),
+h AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, s := s, r := {rank}, label := label, e := e))) AS arr FROM al WHERE s >= 0 AND s < e AND label IN ('ORG', 'NAME', 'GEO') GROUP BY doc_id),
 t AS ({fold("h", "a.s < x.e AND x.s < a.e")}) SELECT doc_id, v.label AS label, v.s AS s, v.e AS e FROM t"""
 
 
 def _crowded(spark, d) -> DataFrame:
     _, gold, pred = vw.both(spark, d)
-    return gold.unionByName(pred).unionByName(gold.withColumn("end", F.col("end") + 3))
+    return gold.unionByName(pred).unionByName(gold.withColumn("end", F.col("end") + 3)).unionByName(gold.withColumns({"end": F.col("end") + 9, "label": F.lit("LOC")}))
 
 
 @query(_nms_sql("ORG NAME GEO"))
@@ -241,7 +203,7 @@ _W = "\\p{L}\\p{N}''ʼʻ‘’`´\\-‑"
 
 
 @query(f"""WITH {SPANS}, t AS (SELECT p.*, text FROM pred p JOIN documents USING (doc_id)),
-g AS (SELECT doc_id, label, s - length(regexp_extract(substr(text, greatest(s - 256, 0) + 1, least(s, 256)), '[{_W}]*$')) AS s, e + length(regexp_extract(substr(text, e + 1, 256), '^[{_W}]*')) AS e FROM t)
+g AS (SELECT doc_id, label, s - length(regexp_extract(substr(text, 1, s), '[{_W}]*$')) AS s, e + length(regexp_extract(substr(text, e + 1), '^[{_W}]*')) AS e FROM t)
 SELECT label, count(*) AS n, CAST(sum(s) AS BIGINT) AS sum_s, CAST(sum(e) AS BIGINT) AS sum_e FROM g GROUP BY label""")
 def word_snap(spark, d):
     docs, _, pred = vw.both(spark, d)
@@ -273,7 +235,7 @@ _LENS = [len(x) for x in sorted(tx.SUFFIXES, key=lambda x: (-len(x), x))]
 
 @query(f"""WITH {SPANS}, t AS (SELECT p.*, text, substr(text, e + 1, 1) AS nxt, substr(text, e, 1) AS last, substr(text, e + 1, 32) AS rest FROM pred p JOIN documents USING (doc_id)),
 m AS (SELECT *, regexp_extract(rest, '(?i)^([''ʼʻ‘’`´]?(?:{_SUF}))(?:[^\\p{{L}}]|$)', 1) AS hit FROM t),
-r AS (SELECT CASE WHEN e = length(text) THEN 'eos' WHEN regexp_matches(nxt, '^[ \\t\\n\\x0B\\f\\r]$') THEN 'space' WHEN instr('«»"“”()[]{{}}', nxt) > 0 THEN 'quote' WHEN NOT regexp_matches(last, '^[{_W}]$') THEN 'punct' WHEN hit = '' THEN 'none' ELSE 'extended' END AS reason, hit FROM m)
+r AS (SELECT CASE WHEN e = length(text) THEN 'eos' WHEN regexp_matches(nxt, '^[{WHITE}]$') THEN 'space' WHEN instr('«»"“”()[]{{}}', nxt) > 0 THEN 'quote' WHEN NOT regexp_matches(last, '^[{_W}]$') THEN 'punct' WHEN hit = '' THEN 'none' ELSE 'extended' END AS reason, hit FROM m)
 SELECT reason, lower(CASE WHEN reason = 'extended' THEN hit ELSE '' END) AS form, count(*) AS n FROM r GROUP BY 1, 2""")
 def suffix_rewrite(spark, d):
     docs, _, pred = vw.both(spark, d)
@@ -318,7 +280,7 @@ def nearest_rank(spark, d):
     return pf.nearest_rank(vw.table(spark, d, "lineitem"), "l_quantity", [0.5, 0.9, 0.99])
 
 
-@query(r"""WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS n FROM documents) SELECT CAST(sum(CASE WHEN n > 300 THEN 1 ELSE 0 END) AS BIGINT) AS over_300, CAST(sum(CASE WHEN n > 400 THEN 1 ELSE 0 END) AS BIGINT) AS over_400, CAST(sum(n) AS BIGINT) AS words FROM w""")
+@query(f"""WITH w AS (SELECT len(regexp_extract_all(text, '[^{WHITE}]+')) AS n FROM documents) SELECT CAST(sum(CASE WHEN n > 300 THEN 1 ELSE 0 END) AS BIGINT) AS over_300, CAST(sum(CASE WHEN n > 400 THEN 1 ELSE 0 END) AS BIGINT) AS over_400, CAST(sum(n) AS BIGINT) AS words FROM w""")
 def long_docs(spark, d):
     n = vw.documents(spark, d).select(tx.word_count(F.col("text")).alias("n"))
     return n.agg(F.count_if(F.col("n") > 300).alias("over_300"), F.count_if(F.col("n") > 400).alias("over_400"), F.sum("n").alias("words"))
@@ -380,7 +342,7 @@ def _broken(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query(f"""WITH {SPANS}, b AS (SELECT doc_id, CASE WHEN s % 11 = 0 THEN 'LOC' ELSE label END AS label, CASE WHEN s % 11 = 1 THEN e ELSE s END AS s, CASE WHEN s % 11 = 2 THEN e + 40000 ELSE e END AS e FROM pred),
 j AS (SELECT b.*, text FROM b JOIN documents USING (doc_id)),
-r AS (SELECT CASE WHEN label NOT IN ('ORG', 'NAME', 'GEO') THEN 'label' WHEN s < 0 OR s >= e THEN 'offsets' WHEN e > length(text) THEN 'length' WHEN trim(substr(text, s + 1, e - s)) = '' THEN 'blank' ELSE 'ok' END AS error FROM j),
+r AS (SELECT CASE WHEN label NOT IN ('ORG', 'NAME', 'GEO') THEN 'label' WHEN s < 0 OR s >= e THEN 'offsets' WHEN e > length(text) THEN 'length' ELSE 'ok' END AS error FROM j),
 w AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e, label) AS pe FROM b)
 SELECT error, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'duplicate', count(*) FROM (SELECT 1 FROM b GROUP BY doc_id, label, s, e HAVING count(*) > 1) UNION ALL SELECT 'overlap', count(*) FROM w WHERE pe > s""")
 def validation_errors(spark, d):
@@ -422,33 +384,42 @@ def etl_conservation(spark, d):
     return etl.conservation(silver.select("doc_id", "source", "text"), gold)
 
 
+#: items that may be broadcast, and short items that may be sought in every document
+BROADCAST_ITEMS, SHORT_ITEMS = 100_000, 1_000
+
+
 @query("SELECT item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def benchmark_containment(spark, d):
     """Items whose text stands in a document.
 
     An item meets a document by its second to fifth words, which stand between separators in
-    both; an item of fewer than six words meets every document in a broadcast of such items.
+    both. Few probes are broadcast, so that only the runs that meet one are kept; with many,
+    both sides are dealt by the probe. Items of fewer than six words have no such probe and
+    are sought in every document; more than ``SHORT_ITEMS`` of them are an error.
     """
     words = lambda c: F.split(c, "[ \n]")
     bench = vw.table(spark, d, "benchmark").withColumnRenamed("text", "needle").withColumn("w", words("needle"))
+    sizes = bench.agg(F.count_if(F.size("w") >= 6).alias("long"), F.count_if(F.size("w") < 6).alias("short")).first()
+    if sizes["short"] > SHORT_ITEMS:
+        raise ValueError(f"{sizes['short']} items of fewer than six words")
     docs = vw.documents(spark, d).select("doc_id", "text")
     fours = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(w) - 3, 1)), i -> array_join(slice(w, i, 4), ' '))"))).alias("probe"))
     probes = bench.filter("size(w) >= 6").select("item_id", "needle", F.array_join(F.slice("w", 2, 4), " ").alias("probe"))
-    hits = fours.join(probes, "probe").join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("item_id", "doc_id").distinct()
-    short = docs.join(F.broadcast(bench.filter("size(w) < 6").select("item_id", "needle")), F.contains("text", F.col("needle"))).select("item_id", "doc_id")
-    return hits.unionByName(short).groupBy("item_id").agg(F.count("*").alias("docs"))
+    few = sizes["long"] <= BROADCAST_ITEMS
+    hits = fours.join(F.broadcast(probes) if few else probes, "probe").join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("item_id", "doc_id").distinct()
+    if sizes["short"]:
+        short = F.broadcast(bench.filter("size(w) < 6").select("item_id", "needle"))
+        hits = hits.unionByName(docs.join(short, F.contains("text", F.col("needle"))).select("item_id", "doc_id"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
-_LEX = [("the that", "ORG"), ("that", "NAME"), ("the", "GEO"), ("und der", "ORG"), ("que", "NAME")]
-_LEXSQL = ", ".join(f"('{s}', '{label}', {k})" for k, (s, label) in enumerate(_LEX))
+_LEX = [("the that", "ORG"), ("hat", "NAME"), ("the", "GEO"), ("und der", "ORG"), ("que", "NAME"), ("Jahr", "LOC"), ("tha", "GEO")]
+_LEXSQL = ", ".join(f"('{s}', '{label}', {k})" for k, (s, label) in enumerate(_LEX) if label != "LOC")
 
 
 @query(f"""WITH lex(w, label, k) AS (VALUES {_LEXSQL}),
-x AS (SELECT doc_id, label, w, string_split(text, w) AS ps FROM documents JOIN lex ON contains(text, w)),
-p AS (SELECT doc_id, label, w, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i, len(ps) AS n FROM x),
-c AS (SELECT *, sum(length(piece) + length(w)) OVER (PARTITION BY doc_id, w ORDER BY i) - length(w) AS s FROM p),
-h AS (SELECT doc_id, label, CAST(s AS BIGINT) AS s, CAST(s + length(w) AS BIGINT) AS e FROM c WHERE i < n AND CASE WHEN piece = '' THEN i = 1 ELSE NOT regexp_matches(right(piece, 1), '^\\p{{L}}$') END),
-a AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, s := s, r := CASE label WHEN 'ORG' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END, label := label, e := e))) AS arr FROM h GROUP BY doc_id),
+h AS (SELECT doc_id, label, k, CAST(i AS BIGINT) AS s, CAST(i + length(w) AS BIGINT) AS e FROM (SELECT doc_id, text, w, label, k, unnest(range(length(text))) AS i FROM documents JOIN lex ON contains(text, w)) WHERE substr(text, i + 1, length(w)) = w),
+a AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, k := k, s := s, label := label, e := e))) AS arr FROM h GROUP BY doc_id),
 t AS ({fold("a", "a.s < x.e AND x.s < a.e")}) SELECT v.label AS label, count(*) AS n, CAST(sum(v.s) AS BIGINT) AS sum_s FROM t GROUP BY 1""")
 def gazetteer_hits(spark, d):
     docs = vw.documents(spark, d).select("doc_id", "text")
@@ -554,21 +525,35 @@ _FOLD = "fd AS (SELECT doc_id, CAST((row_number() OVER (ORDER BY md5('42|' || do
 _TAUS = [0.3, 0.5, 0.7]
 
 
-@query(f"""WITH {SPANS}, {_CONF}, {_FOLD}, b AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS g, conf FROM (SELECT DISTINCT * FROM gold) g FULL JOIN pc p ON g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s AND g.e = p.e),
+_SWEEP = f"""WITH {SPANS}, {_CONF}, {_FOLD}, b AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS g, conf FROM (SELECT DISTINCT * FROM gold) g FULL JOIN pc p ON g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s AND g.e = p.e),
 a AS (SELECT tau, CASE WHEN fold = 0 THEN 'analysis' ELSE 'held' END AS split, g, CASE WHEN conf IS NOT NULL AND (tau = 0 OR conf >= tau) THEN 1 ELSE 0 END AS p FROM b JOIN fd USING (doc_id), (VALUES (0.0::DOUBLE), (0.3), (0.5), (0.7)) t(tau)),
-c AS (SELECT tau, split, {COUNTS} FROM a GROUP BY 1, 2), m AS (SELECT *, {PRF} FROM c) SELECT tau, split, tp, fp, fn, {R(F1, 'f1')} FROM m""")
+c AS (SELECT tau, split, {COUNTS} FROM a GROUP BY 1, 2), m AS (SELECT *, {PRF} FROM c), sw AS (SELECT tau, split, tp, fp, fn, {F1} AS f1 FROM m)"""
+
+
+@query(f"{_SWEEP} SELECT tau, split, tp, fp, fn, {R('f1', 'f1')} FROM sw")
 def tau_sweep(spark, d):
     docs, gold, pred = _with_conf(spark, d)
     return tu.gate_sweep(gold, pred, etl.folds(docs, "doc_id", 5, 42), _TAUS)
 
 
-@query()
+@query(f"""WITH {SPANS}, {_BUCKETS},
+w AS (SELECT (SELECT count(*) FROM sides WHERE g = 1 AND p = 1) AS exact_match, (SELECT count(*) FROM sh) AS type_mismatch, (SELECT count(*) FROM taken WHERE v.gl = v.pl) AS partial_same_type, (SELECT count(*) FROM taken WHERE v.gl <> v.pl) AS partial_diff_type,
+  (SELECT count(*) FROM ug) - (SELECT count(*) FROM taken) AS missed, (SELECT count(*) FROM up) - (SELECT count(*) FROM taken) AS spurious),
+b AS (SELECT doc_id, s, e, max(g) AS g, max(p) AS p FROM sides GROUP BY 1, 2, 3), c AS (SELECT {COUNTS} FROM b), m AS (SELECT {F1} AS boundary_f1 FROM (SELECT *, {PRF} FROM c)),
+ga AS (SELECT doc_id, s, e, min(label) AS x FROM gold GROUP BY 1, 2, 3 HAVING count(DISTINCT label) = 1), pa AS (SELECT doc_id, s, e, min(label) AS y FROM pred GROUP BY 1, 2, 3 HAVING count(DISTINCT label) = 1),
+ta AS (SELECT sum(CASE WHEN x = y THEN 1.0 ELSE 0 END) / count(*) AS type_accuracy FROM ga JOIN pa USING (doc_id, s, e)),
+z AS (SELECT *, exact_match + type_mismatch + partial_same_type + partial_diff_type AS found FROM w, m, ta)
+SELECT exact_match, type_mismatch, partial_same_type, partial_diff_type, missed, spurious, {R("boundary_f1", "boundary_f1")}, {R("type_accuracy", "type_accuracy")},
+  CASE WHEN found + missed = 0 AND spurious = 0 THEN 'empty' WHEN type_mismatch >= 1 AND type_mismatch / found >= 0.25 AND type_mismatch >= partial_same_type THEN 'type_confusion'
+  WHEN partial_same_type >= 1 AND (partial_same_type + partial_diff_type) / (found + missed) >= 0.15 AND partial_same_type >= type_mismatch THEN 'boundary_jitter'
+  WHEN missed / (found + missed) >= 0.35 OR (spurious > exact_match AND exact_match < (found + missed) * 0.5) THEN 'detection_gap' WHEN type_accuracy >= 0.9 AND boundary_f1 >= 0.7 THEN 'healthy' ELSE 'mixed' END AS reading FROM z""")
 def error_analysis(spark, d):
     _, gold, pred = vw.both(spark, d)
     return sc.error_analysis(gold, pred)
 
 
-@query()
+@query(f"""{_SWEEP}, best AS (SELECT tau, f1 AS analysis_f1 FROM sw WHERE split = 'analysis' ORDER BY f1 DESC, tau LIMIT 1)
+SELECT tau, {R("analysis_f1", "analysis_f1")}, {R("h.f1", "held_f1")}, {R("h.f1 - b.f1", "held_delta")} FROM best JOIN (SELECT tau, f1 FROM sw WHERE split = 'held') h USING (tau), (SELECT f1 FROM sw WHERE split = 'held' AND tau = 0) b""")
 def tau_choice(spark, d):
     docs, gold, pred = _with_conf(spark, d)
     return tu.pick_gate(tu.gate_sweep(gold, pred, etl.folds(docs, "doc_id", 5, 42), _TAUS))
@@ -577,7 +562,7 @@ def tau_choice(spark, d):
 _TEMPS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0]
 
 
-@query(f"""WITH z AS (SELECT t, vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'analysis' ELSE 'held' END AS split, label AS gold, unnest(range(10)) AS k, CAST(unnest(embedding[1:10]) AS DOUBLE) AS z FROM embeddings, (VALUES {", ".join(f"({t}::DOUBLE)" for t in _TEMPS)}) x(t)),
+@query(f"""WITH z AS (SELECT t, vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'analysis' ELSE 'held' END AS split, label AS gold, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS z FROM embeddings, (VALUES {", ".join(f"({t}::DOUBLE)" for t in _TEMPS)}) x(t)),
 ex AS (SELECT *, exp((z - max(z) OVER (PARTITION BY t, id)) / t) AS e FROM z), pr AS (SELECT t, split, id, gold, k, e / sum(e) OVER (PARTITION BY t, id) AS p FROM ex),
 one AS (SELECT t, split, id, gold, max(p) AS conf, arg_max(k, struct_pack(a := p, b := -k)) AS pred, max(CASE WHEN k = gold THEN p END) AS pg, sum((p - CASE WHEN k = gold THEN 1 ELSE 0 END) ** 2) AS br FROM pr GROUP BY 1, 2, 3, 4),
 b AS (SELECT t, split, least(floor(least(greatest(conf, 0), 1 - 1e-12) * 10), 9) AS bin, count(*) AS n, avg(conf) - avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END) AS gap FROM one GROUP BY 1, 2, 3),
@@ -608,13 +593,16 @@ def latest_run(spark, d):
     return rn.latest(vw.runs(spark, d)).select("run_id", "created_at", "f1")
 
 
-@query(f"""WITH x AS (SELECT vec_id AS id, abs(CAST(embedding[1] AS DOUBLE)) * 4 - 0.1 AS f FROM embeddings) SELECT CASE WHEN f < 0.2 THEN 'broken' WHEN f < 0.45 THEN 'weak' WHEN f < 0.6 THEN 'baseline' WHEN f < 0.75 THEN 'competitive' WHEN f < 0.85 THEN 'strong' ELSE 'excellent' END AS band, count(*) AS n FROM x GROUP BY 1""")
+@query(f"""WITH x AS (SELECT vec_id AS id, abs(CAST(unnest(embedding) AS DOUBLE)) * 4 - 0.1 AS f FROM embeddings) SELECT CASE WHEN f < 0.2 THEN 'broken' WHEN f < 0.45 THEN 'weak' WHEN f < 0.6 THEN 'baseline' WHEN f < 0.75 THEN 'competitive' WHEN f < 0.85 THEN 'strong' ELSE 'excellent' END AS band, count(*) AS n FROM x GROUP BY 1""")
 def f1_bands(spark, d):
-    f = F.abs(F.col("embedding")[0].cast("double")) * 4 - 0.1
-    return vw.table(spark, d, "embeddings").groupBy(scores.band(f).alias("band")).agg(F.count("*").alias("n"))
+    f = F.abs(F.col("x").cast("double")) * 4 - 0.1
+    return vw.table(spark, d, "embeddings").select(F.explode("embedding").alias("x")).groupBy(scores.band(f).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SPANS}, {RUNS}, l AS (SELECT *, '{{run_id="' || run_id || '",model="' || replace(model, '"', '\\"') || '",split="' || split || '"}}' AS labels FROM runs)
 SELECT 'ner_precision' AS metric, run_id, labels, {R('precision_', 'value')} FROM l UNION ALL SELECT 'ner_recall', run_id, labels, round(recall_, 6) FROM l UNION ALL SELECT 'ner_f1', run_id, labels, round(f1, 6) FROM l""")
 def prometheus_rows(spark, d):
     return rn.exposition(vw.runs(spark, d))
+
+
+from spanforge.plans import more  # noqa: E402, F401  (registers its queries)

@@ -56,10 +56,13 @@ runs AS (
     CASE WHEN n % 7 = 3 THEN 'unknown' ELSE '2024-01-' || lpad(CAST(n % 27 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' END AS created_at,
     precision_, recall_, {F1} AS f1, tp, fp, fn FROM run_prf)"""
 
-NORM = r"""trim(regexp_replace(replace(lower(translate(text, 'ʼʻ‘’`´', '''''''''''''')), 'ß', 'ss'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
+#: what Python calls white space, as the inside of a character class
+WHITE = "\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+NORM = f"""trim(regexp_replace(replace(lower(translate(text, 'ʼʻ‘’`´', '''''''''''''')), 'ß', 'ss'), '[{WHITE}]+', ' ', 'g'))"""
 
 PROBS = """
-z AS (SELECT vec_id AS id, label AS gold, unnest(range(10)) AS k, CAST(unnest(embedding[1:10]) AS DOUBLE) AS z FROM embeddings),
+z AS (SELECT vec_id AS id, label AS gold, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS z FROM embeddings),
 ex AS (SELECT *, exp((z - max(z) OVER (PARTITION BY id)) / {t}) AS e FROM z),
 pr AS (SELECT id, gold, k, e / sum(e) OVER (PARTITION BY id) AS p FROM ex),
 one AS (

@@ -47,8 +47,8 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, gold, k, z: the first ten components of each vector."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("gold"), F.posexplode(F.slice("embedding", 1, 10)).alias("k", "z"))
+    """id, gold, k, z: the components of each vector, as logits of as many classes."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("gold"), F.posexplode("embedding").alias("k", "z"))
 
 
 def official(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +67,3 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sc.with_prf(rows).withColumn("created_at", F.when(n % 7 == 3, "unknown").otherwise(day))
     return rows.select(F.col("source").alias("run_id"), F.concat(F.lit('m"'), (n % 3).cast("string")).alias("model"), F.lit("dev").alias("split"), "created_at", "precision", "recall", "f1", "tp", "fp", "fn")
 
-
-def band_of(x):
-    return scores.band(x)

@@ -12,15 +12,22 @@ PRF = "precision double, recall double, f1 double, tp long, fp long, fn long"
 RUN = f"run_id string, model string, checkpoint string, created_at string, split string, hyperparams map<string, string>, metrics struct<records: long, by_label: map<string, struct<{PRF.replace(' double', ': double').replace(' long', ': long')}>>, micro: struct<{PRF.replace(' double', ': double').replace(' long', ': long')}>, macro: struct<precision: double, recall: double, f1: double>>"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lenient scan: blank lines are skipped, broken ones are null records in ``_corrupt_record``."""
+def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Lenient scan: blank lines are skipped, broken ones are null records in ``_corrupt_record``.
+
+    With ``limit`` the scan stops after that many records.
+    """
     schema = T.StructType([*RECORD.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return rows if limit is None else rows.limit(limit)
 
 
 def record_problems(spark: SparkSession, path: str) -> DataFrame:
     """problem, n: what a strict scan refuses. No rows, no problem."""
-    lines = spark.read.text(path)
+    return _problems(spark.read.text(path))
+
+
+def _problems(lines: DataFrame) -> DataFrame:
     rows = lines.filter(F.trim("value") != "").select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), F.expr("try_parse_json(value)").alias("v"))
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
     blank = count(lines.filter(F.trim("value") == ""), "blank line")
@@ -32,8 +39,17 @@ def record_problems(spark: SparkSession, path: str) -> DataFrame:
     return blank.unionByName(broken).unionByName(key).unionByName(text).unionByName(twice).filter("n > 0").unionByName(empty)
 
 
-def read_records_strict(spark: SparkSession, path: str) -> DataFrame:
-    """Like ``read_records``, but raises ValueError with the problems found."""
+def read_records_strict(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Like ``read_records``, but raises ValueError with the problems found.
+
+    With ``limit`` only that many lines are read and judged.
+    """
+    if limit is not None:
+        head = spark.read.text(path).limit(limit)
+        found = _problems(head).collect()
+        if found:
+            raise ValueError("; ".join(f"{r['problem']}: {r['n']}" for r in found))
+        return head.select(F.from_json("value", RECORD).alias("r")).select("r.*")
     found = record_problems(spark, path).collect()
     if found:
         raise ValueError("; ".join(f"{r['problem']}: {r['n']}" for r in found))
@@ -59,3 +75,42 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """train, dev (records), labels of a data manifest."""
     schema = "splits struct<train: struct<records: long>, dev: struct<records: long>>, schema struct<labels: array<string>>"
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("splits.train.records").alias("train"), F.col("splits.dev.records").alias("dev"), F.col("schema.labels").alias("labels"))
+
+
+SPAN_SOURCE = "id string, text string, entities array<struct<label: string, start: int, end: int, text: string>>, meta struct<is_synthetic: boolean, source_tier: string, id: string>"
+
+
+def read_span_source(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a span source with claimed texts and meta; blank lines are skipped."""
+    return spark.read.schema(SPAN_SOURCE).json(path).withColumnRenamed("id", "doc_id")
+
+
+def read_token_table(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ord, token, tag of a token table (Parquet or CSV) with Sentence, TokenOrder, Token, NER_Tag."""
+    rows = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    return rows.select(F.col("Sentence").cast("long").alias("doc_id"), F.col("TokenOrder").cast("int").alias("ord"), F.coalesce(F.col("Token").cast("string"), F.lit("")).alias("token"), F.coalesce(F.col("NER_Tag").cast("string"), F.lit("O")).alias("tag"))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """hash, entities of predictions; of repeated hashes the last in the file counts."""
+    rows = spark.read.schema(RECORD).json(path).select("hash", "entities", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("k"))
+    return rows.filter("hash is not null").groupBy("hash").agg(F.max_by("entities", F.struct("f", "k")).alias("entities"))
+
+
+def read_tensor_index(spark: SparkSession, path: str) -> DataFrame:
+    """name, shape of a checkpoint's tensors, from a JSON index; no weights are read."""
+    return spark.read.schema("name string, shape array<long>").json(path)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """One metrics row as one JSON document."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def union_in_order(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """All rows of several sources, with source and source_prio (their place in the list)."""
+    out = None
+    for k, (name, df) in enumerate(parts):
+        one = df.withColumns({"source": F.lit(name), "source_prio": F.lit(k)})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
