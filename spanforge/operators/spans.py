@@ -165,7 +165,8 @@ def snap_words(spans: DataFrame, docs: DataFrame, flat: bool = True, suffix: boo
     """
     held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end", *keep)).alias("spans"))
     rows = held.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", F.explode("spans").alias("x"))
-    rows = rows.withColumn("w", tx.expand_to_word_edges(F.col("text"), F.col("x.start"), F.col("x.end")))
+    # exploding keeps the edges from being worked out again for every place that they are used in
+    rows = rows.withColumn("w", F.explode(F.array(tx.expand_to_word_edges(F.col("text"), F.col("x.start"), F.col("x.end")))))
     end = tx.attach_suffix(F.col("text"), F.col("w.start"), F.col("w.end")) if suffix else F.col("w.end")
     out = rows.select("doc_id", F.col("x.label").alias("label"), F.col("w.start").alias("start"), end.alias("end"), *[F.col(f"x.{c}").alias(c) for c in keep])
     return select_flat(out) if flat else out
@@ -180,9 +181,9 @@ def labelled_windows(toks: DataFrame, spans: DataFrame, length: int, stride: int
     body = max(length - special, 1)
     step = max(body - min(stride, body - 1), 1)
     rows = tagged.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1)
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    count = scores.window_count(n, length, stride, special)
-    last = F.least(F.floor(F.col("pos") / step), count - 1)
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    rows = rows.withColumn("most", scores.window_count(F.col("n"), length, stride, special) - 1)
+    last = F.least(F.floor(F.col("pos") / step), F.col("most"))
     first = F.greatest(F.ceil((F.col("pos") - body + 1) / step), F.lit(0).cast("long"))
     rows = rows.withColumn("window", F.explode(F.sequence(first, F.greatest(last, first)))).filter((F.col("pos") >= F.col("window") * step) & (F.col("pos") < F.col("window") * step + body))
     tags = F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"])

@@ -1 +1,415 @@
-"""More registered queries."""
+"""More registered queries: decoding, guards, registry, profiles of sources, continuation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanforge.functions import scores
+from spanforge.functions import text as tx
+from spanforge.operators import calibration as cal
+from spanforge.operators import decode as dc
+from spanforge.operators import etl
+from spanforge.operators import external as ex
+from spanforge.operators import profile as pf
+from spanforge.operators import runs as rn
+from spanforge.operators import scoring as sc
+from spanforge.operators import spans as sp
+from spanforge.operators import tuning as tu
+from spanforge.plans import catalog as ca
+from spanforge.plans import views as vw
+from spanforge.plans.oracle import COUNTS, F1, PRF, RUNS, SPANS, TOK, WHITE, fold
+from spanforge.plans.register import R, query
+
+BIG = lambda x, n: f"CAST({x} AS BIGINT) AS {n}"
+
+# decoding
+
+_Z = "((s * 37 + k * 53 + doc_id * 11) % 97) / 10.0"
+_LOGITS = f"""lg AS (SELECT doc_id, ord, s, e, list_transform(range(7), lambda k: {_Z}) AS z FROM tok),
+tg AS (SELECT doc_id, ord, s, e, z, list_position(z, list_max(z)) AS k, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS conf FROM lg),
+bio AS (SELECT doc_id, ord, s, e, k, conf, ['O', {", ".join(f"'{t}'" for t in dc.TAGS[1:])}][k] AS tag FROM tg),
+ru AS (SELECT *, CASE WHEN tag <> 'O' THEN substr(tag, 3) END AS label FROM bio), rw AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY ord) AS was FROM ru),
+ro AS (SELECT *, sum(CASE WHEN label IS NOT NULL AND (tag LIKE 'B%' OR was IS NULL OR was <> label) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM rw),
+raw AS (SELECT doc_id, min(label) AS label, min(s) AS s, max(e) AS e, avg(conf) AS conf FROM ro WHERE label IS NOT NULL GROUP BY doc_id, run)"""
+
+_SNAP = f"""wd AS (SELECT doc_id, label, s - length(regexp_extract(substr(text, 1, s), '[{ca._W}]*$')) AS s, e + length(regexp_extract(substr(text, e + 1), '^[{ca._W}]*')) AS e, text {{keep}} FROM {{t}} JOIN documents USING (doc_id)),
+sx AS (SELECT *, regexp_extract(substr(text, e + 1), '(?i)^([''ʼʻ‘’`´]?(?:{ca._SUF}))(?:[^\\p{{{{L}}}}]|$)', 1) AS suf FROM wd),
+sn AS (SELECT doc_id, label, s {{keep}}, CAST(e + CASE WHEN e < length(text) AND NOT regexp_matches(substr(text, e + 1, 1), '^[{WHITE.replace("{", "{{").replace("}", "}}")}]$') AND instr('«»"“”()[]{{{{}}}}', substr(text, e + 1, 1)) = 0 AND regexp_matches(substr(text, e, 1), '^[{ca._W}]$') THEN length(suf) ELSE 0 END AS BIGINT) AS e FROM sx)""".replace("\\p{L}\\p{N}", "\\p{{L}}\\p{{N}}")
+
+
+def _logits(spark, d) -> DataFrame:
+    """Seven made-up logits for each token."""
+    z = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: ((F.col("start") * 37 + k * 53 + F.col("doc_id") * 11) % 97) / F.lit(10.0))
+    return sp.tokens(vw.documents(spark, d)).select("doc_id", "ord", "start", "end", z.alias("logits"))
+
+
+@query(f"""WITH {TOK}, {_LOGITS}, rg AS (SELECT * FROM raw WHERE conf >= 0.6), {_SNAP.format(t="rg", keep="")},
+h AS (SELECT doc_id, list_sort(list(DISTINCT struct_pack(size := s - e, s := s, r := CASE label WHEN 'ORG' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END, label := label, e := e))) AS arr FROM sn GROUP BY doc_id),
+t AS ({fold("h", "a.s < x.e AND x.s < a.e")}) SELECT v.label AS label, count(*) AS n, {BIG("sum(v.s)", "sum_s")}, {BIG("sum(v.e)", "sum_e")} FROM t GROUP BY 1""")
+def decode_documents(spark, d):
+    """Logits to flat spans: softmax, tags, runs, gate at 0.6, word edges and suffixes."""
+    out = dc.decode_spans(_logits(spark, d), vw.documents(spark, d), gate=0.6)
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("start").alias("sum_s"), F.sum("end").alias("sum_e"))
+
+
+@query(f"""WITH {TOK}, {_LOGITS} SELECT doc_id, sha256(string_agg(CAST(k - 1 AS VARCHAR), ',' ORDER BY ord)) AS signature FROM tg GROUP BY 1""")
+def tag_signature(spark, d):
+    return dc.tag_signature(_logits(spark, d))
+
+
+@query(f"""WITH {SPANS}, {ca._CONF}, {_SNAP.format(t="pc", keep=", conf")}, c AS (SELECT conf, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS ok FROM sn LEFT JOIN (SELECT DISTINCT * FROM gold) g USING (doc_id, label, s, e))
+SELECT count(*) AS n, {R("avg(conf)", "mean_conf")}, {R("avg(ok)", "accuracy")}, {R("avg((conf - ok) ** 2)", "brier")} FROM c""")
+def entity_calibration(spark, d):
+    docs, gold, pred = ca._with_conf(spark, d)
+    return cal.binary(dc.entity_calibration(pred, docs, gold), "conf", "correct").select("n", "mean_conf", "accuracy", "brier")
+
+
+@query(f"""WITH {SPANS}, {ca._BIO}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM bio),
+f AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN n <= 126 THEN 1 ELSE CAST(1 + ceil((n - 126) / 94.0) AS BIGINT) END)) AS w FROM p)
+SELECT f.doc_id, CAST(w AS BIGINT) AS "window", md5(string_agg(tag, ',' ORDER BY pos)) AS tags, count(*) AS n FROM f JOIN p ON p.doc_id = f.doc_id AND pos >= w * 94 AND pos < w * 94 + 126 GROUP BY 1, 2""")
+def labelled_windows(spark, d):
+    docs, gold, _ = vw.both(spark, d)
+    out = sp.labelled_windows(sp.tokens(docs), gold, 128, 32)
+    return out.select("doc_id", "window", F.md5(F.array_join("labels", ",")).alias("tags"), F.size("labels").alias("n"))
+
+
+@query(f"""WITH {SPANS}, {ca._ALL}, v AS (SELECT doc_id, label, s, e FROM al WHERE s >= 0 AND s < e AND label IN ('ORG', 'NAME', 'GEO')),
+h AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, s := s, r := CASE label WHEN 'ORG' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END, label := label, e := e))) AS arr FROM v GROUP BY doc_id),
+t AS ({fold("h", "a.s < x.e AND x.s < a.e")}), n AS (SELECT (SELECT count(*) FROM gold) * 3 + (SELECT count(*) FROM pred) AS given, (SELECT count(*) FROM t) AS kept) SELECT given, kept, given - kept AS dropped FROM n""")
+def flat_drops(spark, d):
+    return sp.flat_drops(ca._crowded(spark, d))
+
+
+@query(f"""WITH {SPANS}, t AS (SELECT label, regexp_extract_all(substr(text, s + 1, e + 20 - s), '[{ca._W}]+') AS w FROM pred JOIN documents USING (doc_id)) SELECT label, {BIG("sum(len(w))", "words")}, {BIG("sum(length(array_to_string(w, '')))", "chars")} FROM t GROUP BY 1""")
+def span_words(spark, d):
+    docs, _, pred = vw.both(spark, d)
+    end = F.least(F.col("end") + 20, F.length("text"))
+    w = pred.join(docs.select("doc_id", "text"), "doc_id").select("label", F.explode(tx.words_in(F.col("text"), F.col("start"), end)).alias("w"))
+    return w.groupBy("label").agg(F.count("*").alias("words"), F.sum(F.col("w.end") - F.col("w.start")).alias("chars"))
+
+
+@query(f"""WITH {SPANS}, {ca._PAIRS.format(more="", g="rg", p="rp")}, q AS (SELECT v.ps - v.gs AS d_start, v.pe - v.ge AS d_end, count(*) AS n FROM taken WHERE v.gl = v.pl GROUP BY 1, 2)
+SELECT d_start, d_end FROM q ORDER BY n DESC, abs(d_start) + abs(d_end), d_start, d_end LIMIT 1""")
+def joint_offset(spark, d):
+    _, gold, pred = vw.both(spark, d)
+    return sc.joint_offset_mode(sc.offset_pairs(gold, pred))
+
+
+@query(f"""WITH {TOK}, n AS (SELECT doc_id, count(*) AS n, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS h FROM tok GROUP BY 1)
+SELECT row_number() OVER (ORDER BY h, doc_id) - 1 AS ord_doc, doc_id, {BIG("coalesce(sum(n) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", "ptr")}, n FROM n""")
+def pack_pointers(spark, d):
+    return dc.pack(sp.tokens(vw.documents(spark, d)))[0]
+
+
+@query(f"""WITH {SPANS}, k AS (SELECT DISTINCT doc_id FROM tok) SELECT (SELECT {BIG("sum(CASE WHEN s % 3 > 0 THEN 1 ELSE 0 END)", "x")} FROM tok) AS tokens, (SELECT count(*) FROM k ANTI JOIN gold USING (doc_id)) AS empty_docs""")
+def stacked_tokens(spark, d):
+    docs, gold, _ = vw.both(spark, d)
+    return dc.stacked(sp.tokens(docs).withColumn("gold", F.col("start") % 3 - 1), gold)
+
+
+@query(f"""WITH n AS (SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, {R("n / (SELECT sum(n) FROM n)", "accuracy")} FROM n ORDER BY n DESC, label LIMIT 1""")
+def majority_baseline(spark, d):
+    return dc.majority_baseline(vw.table(spark, d, "embeddings"), "label")
+
+
+def _masses(spark, d) -> DataFrame:
+    toks = sp.tokens(vw.documents(spark, d))
+    m = lambda k: ((F.col("start") * 29 + k * 17) % 101) / 100.0
+    return toks.select("doc_id", "start", "end", *[m(k).alias(f"mass_{x}") for k, x in enumerate(sp.PRIORITY)])
+
+
+_NEAR = f"""nb AS (SELECT doc_id, label, s, e, text, length(regexp_extract(substr(text, e + 1), '^[ \\t]*')) AS g1, length(regexp_extract(substr(text, 1, s), '[ \\t]*$')) AS g0 FROM (SELECT DISTINCT * FROM pred) JOIN documents USING (doc_id)),
+nw AS (SELECT doc_id, label, s, e, 1 AS side, e + g1 AS ws, e + g1 + length(regexp_extract(substr(text, e + g1 + 1), '^[{ca._W}]*')) AS we FROM nb WHERE g1 > 0
+  UNION ALL SELECT doc_id, label, s, e, 0, s - g0 - length(regexp_extract(substr(text, 1, s - g0), '[{ca._W}]*$')), s - g0 FROM nb WHERE g0 > 0),
+nf AS (SELECT * FROM nw WHERE ws < we AND NOT EXISTS (SELECT 1 FROM pred o WHERE o.doc_id = nw.doc_id AND nw.ws < o.e AND nw.we > o.s AND NOT (o.s = nw.s AND o.e = nw.e))),
+nm AS (SELECT nf.*, coalesce((SELECT avg(((t.s * 29 + (CASE nf.label WHEN 'ORG' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END) * 17) % 101) / 100.0) FROM tok t WHERE t.doc_id = nf.doc_id AND t.s < nf.we AND t.e > nf.ws), 0) AS mass FROM nf)"""
+
+
+@query(f"""WITH {SPANS}, {_NEAR}, b AS (SELECT doc_id, label, s, e, arg_max(struct_pack(side := side, ws := ws, we := we), struct_pack(m := mass, side := side)) AS b FROM nm WHERE mass >= 0.6 GROUP BY 1, 2, 3, 4),
+g AS (SELECT p.doc_id, p.label, CASE WHEN b.side = 0 THEN b.ws ELSE p.s END AS s, CASE WHEN b.side = 1 THEN b.we ELSE p.e END AS e FROM (SELECT DISTINCT * FROM pred) p LEFT JOIN b USING (doc_id, label, s, e))
+SELECT label, count(*) AS n, {BIG("sum(s)", "sum_s")}, {BIG("sum(e)", "sum_e")} FROM g GROUP BY 1""")
+def continued_spans(spark, d):
+    docs, _, pred = vw.both(spark, d)
+    out = dc.continue_spans(pred, docs, _masses(spark, d), 0.6, snap=False)
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("start").alias("sum_s"), F.sum("end").alias("sum_e"))
+
+
+@query()
+def leftover_mass(spark, d):
+    """Gold spans of two words, of which the prediction holds the first."""
+    docs, gold, _ = vw.both(spark, d)
+    wide = gold.join(docs.select("doc_id", "text"), "doc_id").withColumn("w", tx.neighbour_word(F.col("text"), F.col("start"), F.col("end"), "right")).filter("w is not null")
+    return dc.leftover_mass(wide.select("doc_id", "label", "start", F.col("w.end").alias("end")), gold, docs, _masses(spark, d), [0.3, 0.5, 0.7])
+
+
+@query()
+def continuation_grid(spark, d):
+    """F1 of grown spans by gate, direction and tau, as one union."""
+    docs, gold, pred = ca._with_conf(spark, d)
+    masses, out = _masses(spark, d), None
+    for gate in (0.0, 0.5):
+        kept = pred.filter(F.col("conf") >= gate).drop("conf") if gate else pred.drop("conf")
+        for direction in ("right", "both"):
+            for tau in (0.5, 0.8):
+                grown = dc.continue_spans(kept, docs, masses, tau, direction, snap=False).select(F.lit(gate).alias("gate"), F.lit(direction).alias("direction"), F.lit(tau).alias("tau"), *sc.KEYS)
+                out = grown if out is None else out.unionByName(grown)
+    grid = out.select("gate", "direction", "tau").distinct()
+    truth = gold.crossJoin(F.broadcast(grid)).select("gate", "direction", "tau", *sc.KEYS)
+    return sc.exact_metrics(truth, out, ["gate", "direction", "tau"]).filter("scope = 'micro'").select("gate", "direction", "tau", "tp", "fp", "fn", "f1")
+
+
+@query()
+def calibrated_gate(spark, d):
+    docs, gold, pred = ca._with_conf(spark, d)
+    rows = vw.logits(spark, d).withColumn("split", F.when(F.col("id") % 2 == 0, "analysis").otherwise("held"))
+    parts = etl.folds(docs, "doc_id", 5, 42)
+    return tu.calibrated_gate(rows, lambda t: tu.gate_sweep(gold, pred, parts, ca._TAUS), [0.1, 0.5, 1.0])
+
+
+# guards
+
+
+@query(f"""WITH {SPANS}, x AS (SELECT DISTINCT doc_id FROM labels), y AS (SELECT DISTINCT doc_id FROM pred)
+SELECT (SELECT count(*) FROM x ANTI JOIN y USING (doc_id)) AS missing, (SELECT count(*) FROM y ANTI JOIN x USING (doc_id)) AS extra, (SELECT count(*) FROM x SEMI JOIN y USING (doc_id)) AS "both\"""")
+def key_totals(spark, d):
+    _, _, pred = vw.both(spark, d)
+    return sc.key_totals(vw.table(spark, d, "labels"), pred, "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 9 <> 0 AND CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END <> text")
+def changed_texts(spark, d):
+    docs = vw.documents(spark, d)
+    own = F.when(F.col("doc_id") % 9 == 0, None).when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text"))
+    return sc.changed_texts(docs, docs.select("doc_id", own.alias("text")))
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT doc_id, CASE WHEN s % 11 = 1 THEN e ELSE s END AS s, e FROM pred), r AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE CAST(doc_id % 400 AS VARCHAR) END AS hash FROM documents)
+SELECT 'no hash' AS problem, count(*) AS n FROM r WHERE hash = '' UNION ALL SELECT 'repeated hash', count(*) FROM (SELECT hash FROM r GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'offsets', count(*) FROM b WHERE s >= e""")
+def batch_problems(spark, d):
+    docs, bad = ca._broken(spark, d)
+    held = bad.groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end")).alias("entities"))
+    name = F.when(F.col("doc_id") % 50 == 0, "").otherwise((F.col("doc_id") % 400).cast("string"))
+    return dc.batch_problems(docs.select("doc_id").join(held, "doc_id", "left").select(name.alias("hash"), "entities"))
+
+
+@query("SELECT doc_id AS ord, md5(text) AS hash, 'missing' AS side FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, md5(text || 'x'), 'extra' FROM documents WHERE doc_id % 10 = 0")
+def misaligned_batch(spark, d):
+    docs = vw.documents(spark, d)
+    got = F.when(F.col("doc_id") % 10 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text"))
+    return dc.misaligned(docs.select(F.col("doc_id").alias("ord"), F.md5("text").alias("hash")), docs.select(F.col("doc_id").alias("ord"), got.alias("hash")))
+
+
+# registry
+
+_SCOPES = f"""sc AS (SELECT d.source, label, {COUNTS} FROM sides JOIN documents d USING (doc_id) GROUP BY 1, 2),
+sl AS (SELECT source, dim.label AS scope, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM (SELECT DISTINCT source FROM sc) CROSS JOIN dim LEFT JOIN sc USING (source, label)),
+sa AS (SELECT * FROM sl UNION ALL SELECT source, 'micro', {BIG("sum(tp)", "tp")}, {BIG("sum(fp)", "fp")}, {BIG("sum(fn)", "fn")} FROM sl GROUP BY 1),
+sr AS (SELECT source, scope, precision_, recall_, {F1} AS f1 FROM (SELECT *, {PRF} FROM sa)), scopes AS (SELECT * FROM sr UNION ALL SELECT source, 'macro', sum(precision_) / 3, sum(recall_) / 3, sum(f1) / 3 FROM sr WHERE scope <> 'micro' GROUP BY 1),
+ids AS (SELECT run_id, created_at, 'run_id="' || run_id || '",model="' || replace(model, '"', '\\"') || '",split="' || split || '"' AS l FROM runs)"""
+
+
+def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs, gold, pred = vw.both(spark, d)
+    of = docs.select("doc_id", F.col("source").alias("run_id"))
+    scopes = sc.exact_metrics(gold.join(of, "doc_id"), pred.join(of, "doc_id"), ["run_id"])
+    return vw.runs(spark, d).withColumn("records", F.length("run_id")), scopes
+
+
+@query(f"""WITH {SPANS}, {RUNS}, {_SCOPES}, ts AS (SELECT run_id, l, coalesce(epoch(TRY_CAST(created_at AS TIMESTAMPTZ)), 0) AS ts FROM ids), newest AS (SELECT run_id FROM ts ORDER BY ts DESC, run_id DESC LIMIT 1)
+SELECT metric, run_id, labels, round(value, 6) AS value FROM (
+SELECT 'ner_eval_' || m AS metric, run_id, '{{' || l || ',label="' || scope || '"}}' AS labels, CASE m WHEN 'precision' THEN precision_ WHEN 'recall' THEN recall_ ELSE f1 END AS value FROM ids JOIN scopes ON source = run_id, (VALUES ('precision'), ('recall'), ('f1')) t(m)
+UNION ALL SELECT 'ner_eval_records', run_id, '{{' || l || '}}', length(run_id) FROM ids UNION ALL SELECT 'ner_eval_created_timestamp_seconds', run_id, '{{' || l || '}}', ts FROM ts
+UNION ALL SELECT 'ner_eval_latest', run_id, '{{' || l || '}}', CASE WHEN run_id IN (SELECT run_id FROM newest) THEN 1 ELSE 0 END FROM ids)""")
+def gauge_rows(spark, d):
+    return rn.gauges(*_runs(spark, d))
+
+
+@query(f"""WITH {SPANS}, {RUNS}, {_SCOPES}, newest AS (SELECT run_id FROM ids ORDER BY coalesce(epoch(TRY_CAST(created_at AS TIMESTAMPTZ)), 0) DESC, run_id DESC LIMIT 1)
+SELECT scope, round(f1, 6) AS value FROM scopes JOIN newest ON source = run_id""")
+def latest_samples(spark, d):
+    """F1 samples of the newest run, joined on its id."""
+    rows = rn.only_latest(rn.gauges(*_runs(spark, d))).filter("metric = 'ner_eval_f1'")
+    return rows.select(F.regexp_extract("labels", 'label="([^"]*)"', 1).alias("scope"), "value")
+
+
+@query(f"""WITH {SPANS}, c AS (SELECT label, {COUNTS} FROM sides GROUP BY label), m AS (SELECT {BIG("sum(tp)", "tp")}, {BIG("sum(fp)", "fp")}, {BIG("sum(fn)", "fn")} FROM c), r AS (SELECT *, {PRF} FROM m),
+l AS (SELECT {F1} AS f FROM (SELECT *, {PRF} FROM c)) SELECT 'run.1' AS run_id, {R("precision_", "micro_precision")}, {R("recall_", "micro_recall")}, round({F1}, 6) AS micro_f1, tp AS micro_tp, fp AS micro_fp, fn AS micro_fn, (SELECT round(sum(f) / 3, 6) FROM l) AS macro_f1 FROM r""")
+def flat_run(spark, d):
+    """A run built from scores, and its flat columns."""
+    docs, gold, pred = vw.both(spark, d)
+    return rn.flat_metrics(rn.build_run(sc.exact_metrics(gold, pred), 1, "run.1", "m", "2024-01-01T00:00:00Z"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', {a}::DOUBLE, {b}::DOUBLE)" for i, (n, a, b) in enumerate(scores.BANDS)) + ") t(ord, band, least, below)")
+def band_scale(spark, d):
+    return rn.scale(spark)
+
+
+@query(f"""WITH {SPANS}, {RUNS} SELECT run_id, model, {R("f1", "f1")} FROM runs WHERE run_id = 'src3'""")
+def run_detail(spark, d):
+    return rn.get_run(vw.runs(spark, d), "src3").select("run_id", "model", "f1")
+
+
+# profiles
+
+
+@query(f"WITH {SPANS} SELECT label, count(*) AS n, {R('count(*) * 100.0 / sum(count(*)) OVER ()', 'percent')} FROM pred GROUP BY 1")
+def class_shares(spark, d):
+    _, _, pred = vw.both(spark, d)
+    return pf.class_shares(pred)
+
+
+@query(f"WITH {SPANS}, {ca._SURF.format(t='pred')} SELECT label, count(DISTINCT surface) AS surfaces FROM sf GROUP BY 1")
+def unique_surfaces(spark, d):
+    docs, _, pred = vw.both(spark, d)
+    return pf.unique_surfaces(pf.surfaces(pred, docs))
+
+
+_SUFFIX = lambda x: "CASE " + " ".join(f"WHEN regexp_matches({x}, '^[^ ]{{2,}}[\\p{{L}}''ʼʻ‘’]{s}$') THEN '{s}'" for s in sorted(tx.SUFFIXES, key=lambda s: (-len(s), s))) + " ELSE '' END"
+
+
+@query(f"""WITH {SPANS}, {ca._SURF.format(t="gold")}, x AS (SELECT label, {_SUFFIX("trim(surface)")} AS suffix FROM sf), n AS (SELECT label, suffix, count(*) AS n FROM x WHERE suffix <> '' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, suffix) AS k FROM n) SELECT label, suffix, n FROM r WHERE k <= 12""")
+def suffix_counts(spark, d):
+    docs, gold, _ = vw.both(spark, d)
+    return pf.suffix_counts(pf.surfaces(gold, docs))
+
+
+@query(f"""WITH {SPANS}, {ca._SURF.format(t="pred")} SELECT label, CASE WHEN regexp_matches(surface, '[A-Za-zÀ-ÿ]') AND regexp_matches(surface, '[Ѐ-ӿ]') THEN 'mixed' WHEN regexp_matches(surface, '[A-Za-zÀ-ÿ]') THEN 'latin' WHEN regexp_matches(surface, '[Ѐ-ӿ]') THEN 'cyrillic' ELSE 'other' END AS script, count(*) AS n FROM sf GROUP BY 1, 2""")
+def entity_scripts(spark, d):
+    docs, _, pred = vw.both(spark, d)
+    return pf.entity_scripts(pf.surfaces(pred, docs))
+
+
+@query(f"WITH {SPANS} SELECT label, count(DISTINCT doc_id) AS docs, count(*) AS n FROM pred GROUP BY 1 UNION ALL SELECT 'ALL', count(DISTINCT doc_id), count(*) FROM pred")
+def label_totals(spark, d):
+    _, _, pred = vw.both(spark, d)
+    return pf.label_totals(pred)
+
+
+_TAILS = "CASE " + " ".join(f"WHEN length(x) > {len(s) + 1} AND ends_with(x, '{s}') THEN '{s}'" for s in sorted(tx.SUFFIXES, key=lambda s: (-len(s), s))) + " ELSE '' END"
+
+
+@query(f"""WITH {SPANS}, t AS (SELECT s, e, text, lower(substr(text, s + 1, e - s)) AS x FROM gold JOIN documents USING (doc_id)), u AS (SELECT *, {_TAILS} AS suf FROM t),
+c AS (SELECT *, CASE WHEN suf = '' THEN e ELSE s + length(regexp_replace(substr(text, s + 1, e - s - length(suf)), '[''ʼʻ‘’`´]+$', '')) END AS cut FROM u),
+m AS (SELECT *, regexp_extract(substr(text, cut + 1, 32), '(?i)^([''ʼʻ‘’`´]?(?:{ca._SUF}))(?:[^\\p{{L}}]|$)', 1) AS hit FROM c),
+r AS (SELECT *, cut > s AND cut < length(text) AND NOT regexp_matches(substr(text, cut + 1, 1), '^[{WHITE}]$') AND instr('«»"“”()[]{{}}', substr(text, cut + 1, 1)) = 0 AND regexp_matches(substr(text, cut, 1), '^[{ca._W}]$') AND hit <> '' AS grown FROM m)
+SELECT count(*) AS entities, {BIG("sum(CASE WHEN suf <> '' THEN 1 ELSE 0 END)", "with_suffix")}, {BIG("sum(CASE WHEN suf <> '' AND grown AND cut + length(hit) = e THEN 1 ELSE 0 END)", "recovered")},
+ {BIG("sum(CASE WHEN suf = '' THEN 1 ELSE 0 END)", "without_suffix")}, {BIG("sum(CASE WHEN suf = '' AND grown THEN 1 ELSE 0 END)", "false_extend")} FROM r""")
+def suffix_selfcheck(spark, d):
+    docs, gold, _ = vw.both(spark, d)
+    return pf.suffix_selfcheck(gold, docs)
+
+
+@query(f"""WITH t AS (SELECT lang, greatest(length(text) // 4, 1) AS n, greatest(len(regexp_extract_all(text, '[^{WHITE}]+')), 1) AS w, greatest(length(text), 1) AS c FROM documents)
+SELECT lang, count(*) AS n, {R("avg(n / w)", "per_word")}, {R("avg(n / c)", "per_char")}, {BIG("sum(CASE WHEN n + 2 > 384 THEN 1 ELSE 0 END)", "over_384")}, {BIG("sum(CASE WHEN n + 2 > 512 THEN 1 ELSE 0 END)", "over_512")} FROM t GROUP BY 1""")
+def tokens_per_word(spark, d):
+    return pf.tokens_per_word(vw.documents(spark, d).withColumn("n_tok", F.expr("length(text) div 4")), ["lang"])
+
+
+@query("""WITH a AS (SELECT min(doc_id) AS x FROM documents WHERE n_chars > 500), b AS (SELECT min(doc_id) AS y FROM documents, a WHERE n_chars > 100 AND doc_id <> x), c AS (SELECT min(doc_id) AS z FROM documents, a, b WHERE doc_id NOT IN (x, y))
+SELECT 'long' AS name, x AS doc_id FROM a UNION ALL SELECT 'medium', y FROM b UNION ALL SELECT 'any', z FROM c""")
+def demo_records(spark, d):
+    return pf.demo_records(vw.documents(spark, d), "doc_id", {"long": F.col("n_chars") > 500, "medium": F.col("n_chars") > 100, "any": F.lit(True)})
+
+
+# sources from elsewhere
+
+_KIND = {"ORG": "ORG", "NAME": "PER", "GEO": "FAC"}
+_KINDS = "CASE label WHEN 'ORG' THEN 'ORG' WHEN 'NAME' THEN 'PER' ELSE 'FAC' END"
+
+
+def _records(spark, d) -> DataFrame:
+    """Records of a span source made of documents and predicted spans."""
+    docs, _, pred = vw.both(spark, d)
+    kind = F.when(F.col("label") == "ORG", "ORG").when(F.col("label") == "NAME", "PER").otherwise("FAC")
+    held = pred.groupBy("doc_id").agg(F.collect_list(F.struct(kind.alias("label"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("string").alias("text"))).alias("entities"))
+    meta = F.struct((F.col("doc_id") % 5 == 0).alias("is_synthetic"), F.when(F.col("doc_id") % 7 == 0, "synthetic").alias("source_tier"))
+    none = F.array().cast("array<struct<label:string,start:int,end:int,text:string>>")
+    return docs.join(held, "doc_id", "left").select("doc_id", "text", F.coalesce("entities", none).alias("entities"), meta.alias("meta"))
+
+
+_SHARE = lambda n, k: f"{n} AS entities, {k} AS kept, {n} - {k} AS dropped, round({k} * 100.0 / {n}, 6) AS keep_percent"
+
+
+@query(f"""WITH {SPANS}, x AS (SELECT {_KINDS} AS kind, {_SUFFIX("trim(lower(substr(text, p.s + 1, p.e - p.s)))")} AS suf FROM pred p JOIN documents USING (doc_id)),
+n AS (SELECT count(*) AS n, {BIG("sum(CASE WHEN kind <> 'FAC' THEN 1 ELSE 0 END)", "k")}, {BIG("sum(CASE WHEN suf <> '' THEN 1 ELSE 0 END)", "with_suffix")}, {BIG("sum(CASE WHEN kind = 'FAC' THEN 1 ELSE 0 END)", "facilities")} FROM x),
+s AS (SELECT doc_id, regexp_matches(text, '[A-Za-zÀ-ÿ]') AS l, regexp_matches(text, '[Ѐ-ӿ]') AS c FROM documents),
+q AS (SELECT count(*) AS docs, (SELECT count(DISTINCT doc_id) FROM pred) AS with_entities, {BIG("sum(CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 1 ELSE 0 END)", "synthetic")},
+ {BIG("sum(CASE WHEN l AND NOT c THEN 1 ELSE 0 END)", "latin")}, {BIG("sum(CASE WHEN c AND NOT l THEN 1 ELSE 0 END)", "cyrillic")}, {BIG("sum(CASE WHEN l AND c THEN 1 ELSE 0 END)", "mixed")}, {BIG("sum(CASE WHEN NOT l AND NOT c THEN 1 ELSE 0 END)", "other")} FROM s)
+SELECT q.*, {_SHARE("n", "k")}, with_suffix, facilities FROM q, n""")
+def span_source_profile(spark, d):
+    return ex.span_records(_records(spark, d))
+
+
+@query(f"""WITH {SPANS}, t AS (SELECT p.*, text, lower(substr(text, p.s + 1, p.e - p.s)) AS x, lower(substr(text, p.s + 1, p.e + 4 - p.s)) AS y FROM pred p JOIN documents USING (doc_id)),
+u AS (SELECT {_KINDS} AS kind, {_SUFFIX("trim(x)")} <> '' AS inside, e < length(text) AND {_SUFFIX("trim(y)")} <> '' AS longer FROM t),
+n AS (SELECT count(*) AS n, {BIG("sum(CASE WHEN kind <> 'FAC' THEN 1 ELSE 0 END)", "k")}, {BIG("sum(CASE WHEN inside THEN 1 ELSE 0 END)", "with_suffix")}, {BIG("sum(CASE WHEN longer AND NOT inside THEN 1 ELSE 0 END)", "left_outside")} FROM u)
+SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT doc_id) FROM pred) AS with_entities, {_SHARE("n", "k")}, with_suffix, left_outside FROM n""")
+def outside_suffixes(spark, d):
+    return ex.outside_suffixes(_records(spark, d))[0]
+
+
+@query(f"""WITH k AS (SELECT event_type, CASE event_type WHEN 'purchase' THEN 'PER' WHEN 'view' THEN 'DATE' END AS t FROM events), n AS (SELECT count(t) AS n, {BIG("sum(CASE WHEN t = 'PER' THEN 1 ELSE 0 END)", "k")} FROM k)
+SELECT (SELECT count(*) FROM events) AS tokens, (SELECT count(DISTINCT user_id) FROM events) AS sentences, {_SHARE("n", "k")} FROM n""")
+def token_source_profile(spark, d):
+    tag = F.when(F.col("event_type") == "purchase", "B-PER").when(F.col("event_type") == "view", "I_date").otherwise("O")
+    return ex.token_rows(vw.table(spark, d, "events").select(F.col("user_id").alias("sentence"), tag.alias("tag")))
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(['PERSON', 'LOC', 'DATE']) AS kind, unnest([source, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END, CASE WHEN doc_id % 4 = 0 THEN 'NaN' ELSE 'x' END]) AS m FROM documents),
+v AS (SELECT * FROM m WHERE m IS NOT NULL AND trim(m) <> '' AND lower(trim(m)) <> 'nan'), n AS (SELECT count(*) AS n, {BIG("sum(CASE WHEN kind <> 'DATE' THEN 1 ELSE 0 END)", "k")} FROM v)
+SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT doc_id) FROM v) AS with_mentions, {_SHARE("n", "k")} FROM n""")
+def mention_source_profile(spark, d):
+    k = F.col("doc_id")
+    ner = F.create_map(F.lit("PERSON"), F.array("source"), F.lit("LOC"), F.array(F.when(k % 3 == 0, " ").otherwise(F.col("lang"))), F.lit("DATE"), F.array(F.when(k % 4 == 0, "NaN").otherwise("x")))
+    return ex.mention_records(vw.documents(spark, d).select("doc_id", ner.alias("ner")))
+
+
+@query("""SELECT coalesce(CASE label WHEN 0 THEN 'O' WHEN 1 THEN 'B-PER' WHEN 2 THEN 'I-PER' END, CAST(label AS VARCHAR)) AS tag, count(*) AS n FROM embeddings GROUP BY 1""")
+def tag_id_counts(spark, d):
+    return ex.tag_ids(vw.table(spark, d, "embeddings").select(F.array("label").alias("tags")), ["O", "B-PER", "I-PER"])
+
+
+@query("SELECT 'train' AS split, count(*) AS rows FROM documents UNION ALL SELECT 'dev', count(*) FROM labels UNION ALL SELECT 'test', count(*) FROM benchmark")
+def split_sizes(spark, d):
+    return ex.splits({n: vw.table(spark, d, t) for n, t in (("train", "documents"), ("dev", "labels"), ("test", "benchmark"))})
+
+
+@query("""WITH t AS (SELECT role, count(*) AS n FROM conversations GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS seen, CAST(sum(CASE WHEN role = 'user' THEN n ELSE 0 END) AS BIGINT) AS with_person, CAST(sum(n) * 2 AS BIGINT) AS mentions,
+round(sum(CASE WHEN role = 'user' THEN n ELSE 0 END) * 100.0 / (sum(n) * 2), 2) AS person_percent FROM t""")
+def typed_source_profile(spark, d):
+    rows = vw.table(spark, d, "conversations")
+    return ex.typed_records(rows.select(F.col("conv_id").alias("doc_id"), F.array(F.when(F.col("role") == "user", "fio").otherwise("org"), F.lit("date")).alias("types")))
+
+
+@query("""SELECT count(*) AS tokens, count(DISTINCT user_id) AS docs, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS tagged FROM events""")
+def tag_row_profile(spark, d):
+    return ex.tag_rows(vw.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "click", "B-DRUG").otherwise("O").alias("tag")))
+
+
+@query(f"""WITH x AS (SELECT CASE l_returnflag WHEN 'A' THEN 'BANK' WHEN 'N' THEN 'PER' ELSE '' END AS label, l_quantity FROM lineitem), n AS (SELECT count(*) AS seen, {BIG("sum(CASE WHEN l_quantity < 10 THEN 1 ELSE 0 END)", "w")}, {BIG("sum(CASE WHEN label <> '' THEN 1 ELSE 0 END)", "n")}, {BIG("sum(CASE WHEN label = 'PER' THEN 1 ELSE 0 END)", "k")} FROM x)
+SELECT seen, w AS without_span, {_SHARE("n", "k")} FROM n""")
+def status_rows(spark, d):
+    li = vw.table(spark, d, "lineitem")
+    label = F.when(F.col("l_returnflag") == "A", "BANK").when(F.col("l_returnflag") == "N", "PER").otherwise("")
+    q = F.col("l_quantity")
+    return ex.status_rows(li.select(label.alias("label"), F.when(q < 5, None).when(q < 10, "").otherwise("1").alias("start"), F.lit("2").alias("end")), {"PER": "NAME"})
+
+
+@query("""SELECT source, CAST(substr(source, 4) AS BIGINT) % 2 AS source_prio, count(*) AS n FROM documents GROUP BY 1, 2""")
+def sources_in_order(spark, d):
+    """Two parts of the documents as one union, with the place of each part."""
+    from spanforge.sources.records import union_in_order
+
+    docs = vw.documents(spark, d).select("doc_id", F.col("source").alias("was"))
+    odd = F.substring("was", 4, 9).cast("long") % 2
+    both = union_in_order([("even", docs.filter(odd == 0)), ("odd", docs.filter(odd == 1))])
+    return both.groupBy(F.col("was").alias("source"), "source_prio").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT l_quantity AS q, CAST(l_linenumber AS BIGINT) AS k FROM lineitem) SELECT k, max(CASE WHEN q / 60 < 1 THEN printf('%.0f min', q / 60 * 60) ELSE printf('%.2f h', q / 60) END) AS longest, round(max(round(q * 100000000 / 1073741824, 3)), 6) AS gb FROM x WHERE q NOT IN (0.5) GROUP BY 1""")
+def sizes_and_hours(spark, d):
+    q = F.col("l_quantity")
+    return vw.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.max(scores.hours_text(q / 60)).alias("longest"), F.max(scores.gigabytes(q * 100000000)).alias("gb"))
