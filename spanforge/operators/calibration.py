@@ -78,3 +78,13 @@ def entity_mass(spans: DataFrame, toks: DataFrame) -> DataFrame:
     t = toks.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("mass").alias("_m"))
     touching = (F.col("doc_id") == F.col("_d")) & (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))
     return spans.join(t, touching, "left").groupBy(*spans.columns).agg(F.coalesce(F.avg("_m"), F.lit(0.0)).alias("mass"))
+
+
+def gold_tokens(toks: DataFrame, label: str = "gold") -> DataFrame:
+    """Tokens that count in training: those with a label of 0 or more."""
+    return toks.filter(F.col(label) >= 0)
+
+
+def slim(metrics: DataFrame, columns: tuple[str, ...] = ("bins",)) -> DataFrame:
+    """Metrics without their long columns."""
+    return metrics.drop(*columns)

@@ -67,10 +67,22 @@ def finalize(spans: DataFrame, docs: DataFrame, rewrite: bool = True) -> DataFra
     """Spans with attached suffixes, without outer blanks, made flat."""
     rows = spans.join(docs.select("doc_id", "text"), "doc_id")
     end = tx.rewrite_span_end(F.col("text"), F.col("start"), F.col("end"))["end"] if rewrite else F.col("end")
-    rows = rows.withColumn("end", end).withColumn("s", tx.slice_text(F.col("text"), F.col("start"), F.col("end"))).filter(r"s rlike '^\\S(?:[\\s\\S]*\\S)?$'")
+    rows = rows.withColumn("end", end).withColumn("s", tx.slice_text(F.col("text"), F.col("start"), F.col("end"))).filter(F.col("s").rlike(rf"^[^{tx.WHITE}](?:[\s\S]*[^{tx.WHITE}])?\z"))
     return sp.select_flat(rows.select("doc_id", "label", "start", "end"), sp.FLAT_PRIORITY)
 
 
+def canonical(spans: DataFrame) -> DataFrame:
+    """doc_id, entities: sorted by start, end, label."""
+    order = F.sort_array(F.collect_list(F.struct("start", "end", "label")))
+    return spans.groupBy("doc_id").agg(F.transform(order, lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"))).alias("entities"))
+
+
+def finalized_records(spans: DataFrame, docs: DataFrame, source: str, rewrite: bool = True) -> DataFrame:
+    """hash, doc_id, text, entities of the records that keep a span."""
+    held = canonical(finalize(spans, docs, rewrite))
+    return docs.select("doc_id", "text").join(held, "doc_id").select(tx.record_hash(F.lit(source), F.col("doc_id"), F.col("text")).alias("hash"), "doc_id", "text", "entities")
+
+
 def drop_leaks(rows: DataFrame, official: DataFrame) -> DataFrame:
     """``rows`` without texts that equal an official text, as they are or in normal form."""
     exact = official.select("text").distinct()
@@ -116,10 +128,10 @@ def folds(keys: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 
 def mix(gold: DataFrame, extra: DataFrame, key: str, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Gold and at most ``cap`` extra rows in seeded order, and the counts of both and of skipped ones."""
+    """Gold and at most ``cap`` extra rows, ``at`` giving the order of the shuffled mix, and the counts of both and of skipped ones."""
     fresh = extra.join(gold.select(key).distinct(), key, "left_anti")
     taken = fresh.orderBy(seeded_order(F.col(key), seed), key).limit(cap)
-    out = gold.withColumn("part", F.lit("gold")).unionByName(taken.withColumn("part", F.lit("extra")))
+    out = gold.withColumn("part", F.lit("gold")).unionByName(taken.withColumn("part", F.lit("extra"))).withColumn("at", seeded_order(F.col(key), seed + 1))
     skipped = extra.join(gold.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("skipped"))
     n = out.agg(F.count_if(F.col("part") == "gold").alias("gold"), F.count_if(F.col("part") == "extra").alias("extra"), F.count("*").alias("total"))
     return out, n.crossJoin(skipped)

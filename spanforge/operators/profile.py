@@ -50,18 +50,42 @@ def integrity(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return flags.crossJoin(pairs.agg(F.count("*").alias("overlap"), F.count_if(nested).alias("nested")))
 
 
-def numeric_summary(df: DataFrame, value: str) -> DataFrame:
-    x = F.col(value)
-    return df.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.percentile(x, 0.5).alias("p50"), F.avg(x).alias("mean"), F.percentile(x, 0.9).alias("p90"), F.percentile(x, 0.95).alias("p95"), F.percentile(x, 0.99).alias("p99"), F.max(x).alias("max"))
+def ranked_values(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, value, k (rows that have it), upto (rows up to it), n (all rows of the key).
+
+    Values are counted, and the counts summed in about 64 ranges of the values, so that no
+    task orders all different values of a key.
+    """
+    keys = keys or []
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("k"))
+    cuts = n.groupBy(*keys).agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1000).alias("cuts"), F.sum("k").alias("n"))
+    rows = n.join(F.broadcast(cuts), keys) if keys else n.crossJoin(F.broadcast(cuts))  # one row a key
+    rows = rows.withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows a key
+    base = rows.groupBy(*keys, "b").agg(F.sum("k").alias("s")).select(*keys, "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*keys, "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("w", F.sum("k").over(within)).join(base, [*keys, "b"]).select(*keys, "value", "k", (F.col("base") + F.col("w")).alias("upto"), "n")
+
+
+def numeric_summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, min, p50, mean, p90, p95, p99, max; percentiles lie between the two nearest ranks. Zeros and nulls without rows."""
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
+
+    def percentile(p: float) -> Column:
+        rank = F.lit(p) * (F.col("n") - 1)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        return (low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{round(p * 100)}")
+
+    v, k = F.col("value"), F.col("k")
+    out = ranked_values(df, value, keys).groupBy(*(keys or [])).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_"), F.min(v).alias("min"), percentile(0.5), (F.sum(v * k) / F.sum(k)).alias("mean"), percentile(0.9), percentile(0.95), percentile(0.99), F.max(v).alias("max"))
+    return out.withColumnRenamed("n_", "n")
 
 
 def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """p, value at rank round-half-even(p * (n - 1)), found by counts of values, not by one sorted task."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    upto = n.withColumn("upto", F.sum("k").over(Window.orderBy(value)))  # one row per distinct value
-    total = df.agg(F.count(value).alias("n"))
-    asked = total.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.bround(F.lit(p) * (F.col("n") - 1)).cast("long").alias("rank")) for p in shares])).alias("x")).select("x.p", "x.rank")
-    return asked.join(upto, F.col("rank") < F.col("upto")).groupBy("p").agg(F.min(value).alias("value"))
+    """p, value at rank round-half-even(p * (n - 1))."""
+    ranks = [F.bround(F.lit(p) * (F.col("n") - 1)) for p in shares]
+    wide = ranked_values(df, value).agg(*[F.min(F.when(F.col("upto") > r, F.col("value"))).alias(f"v{i}") for i, r in enumerate(ranks)])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"v{i}").alias("value")) for i, p in enumerate(shares)])).alias("x")).select("x.*").filter("value is not null")
 
 
 def surfaces(spans: DataFrame, docs: DataFrame) -> DataFrame:
@@ -124,6 +148,65 @@ def bucket_parameters(tensors: DataFrame) -> DataFrame:
 # further corpus profiles
 
 
+def corpus_profile(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """measure, value of a labelled corpus: documents, spans, lengths of both (by label too), long documents, attached suffixes, span issues."""
+    size = docs.select("doc_id", F.length("text").alias("chars"), tx.word_count(F.col("text")).alias("words"))
+    named = spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("surface", tx.slice_text(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    named = named.select("label", "doc_id", "surface", F.length("surface").alias("chars"), tx.word_count(F.col("surface")).alias("words"))
+    n = size.agg(F.count("*").alias("docs"), F.count_if(F.col("words") > 300).alias("docs_over_300_words"), F.count_if(F.col("words") > 400).alias("docs_over_400_words"))
+    e = named.agg(F.count("*").alias("entities"), F.count_distinct("doc_id").alias("docs_with_entities"), F.count_if(tx.surface_suffix(F.col("surface")) != "").alias("with_attached_suffix"))
+    both = n.crossJoin(e)
+    both = both.withColumns({
+        "docs_empty": F.col("docs") - F.col("docs_with_entities"), "empty_doc_percent": F.coalesce(F.round(F.try_divide((F.col("docs") - F.col("docs_with_entities")) * 100.0, F.col("docs")), 2), F.lit(0.0)),
+        "entities_per_doc": F.coalesce(F.round(F.try_divide(F.col("entities").cast("double"), F.col("docs")), 3), F.lit(0.0)), "attached_suffix_percent": F.coalesce(F.round(F.try_divide(F.col("with_attached_suffix") * 100.0, F.col("entities")), 2), F.lit(0.0)),
+    })
+    dupes = duplicate_spans(spans).agg(F.count("*").alias("duplicate_spans"))
+    issues = integrity(spans, docs).drop("n").crossJoin(dupes)
+
+    def long(df: DataFrame, prefix: Column | None = None) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("value")) for c in df.columns if c != "label"])).alias("x")
+        name = F.col("x.m") if prefix is None else F.concat(prefix, F.lit("."), F.col("x.m"))
+        return df.select(*(["label"] if "label" in df.columns else []), each).select(name.alias("measure"), "x.value")
+
+    out = long(both).unionByName(long(issues, F.lit("issues")))
+    for name, df, value in (("text_chars", size, "chars"), ("text_words", size, "words"), ("entity_chars", named, "chars"), ("entity_words", named, "words")):
+        out = out.unionByName(long(numeric_summary(df, value), F.lit(name)))
+    return out.unionByName(long(numeric_summary(named, "chars", ["label"]), F.concat(F.lit("entity_chars_by_label."), F.col("label"))))
+
+
+def markdown(rows: DataFrame, title: str, limit: int = 100) -> str:
+    """A small table as Markdown, at most ``limit`` rows in their order."""
+    cell = lambda v: ("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(limit).collect()]]) + "\n"
+
+
+def linear_probe(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label", rounds: int = 200) -> DataFrame:
+    """``test`` with pred of a logistic regression on frozen features (arrays), rows of a class weighted by its rarity.
+
+    With fewer than two classes every prediction is the only one.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    n = train.groupBy(label).agg(F.count("*").alias("_n"))
+    total = n.agg(F.sum("_n").alias("t"), F.count("*").alias("c"), F.min(label).alias("one")).first()
+    if not total["t"] or total["c"] < 2:
+        return test.withColumn("pred", F.lit(total["one"]))
+    weight = F.lit(float(total["t"])) / (F.lit(float(total["c"])) * F.col("_n"))
+    x = array_to_vector(F.col(features).cast("array<double>"))
+    rows = train.join(F.broadcast(n), label).select(x.alias("x"), F.col(label).cast("double").alias("y"), weight.alias("w"))
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, predictionCol="pred").fit(rows)
+    return fitted.transform(test.withColumn("x", x)).drop("x", "rawPrediction", "probability").withColumn("pred", F.col("pred").cast("long"))
+
+
+def probe_scores(predicted: DataFrame, label: str = "label") -> DataFrame:
+    """One row: n, accuracy of ``pred``, and the accuracy of always saying the most frequent label."""
+    top = predicted.groupBy(label).agg(F.count("*").alias("_k")).agg(F.max("_k").alias("top"))
+    n = predicted.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("pred") == F.col(label)).cast("double")), F.lit(0.0)).alias("accuracy"))
+    return n.crossJoin(top).select("n", "accuracy", F.coalesce(F.try_divide("top", "n"), F.lit(0.0)).alias("majority"))
+
+
 def class_shares(spans: DataFrame) -> DataFrame:
     """label, n, percent of all spans."""
     n = spans.groupBy("label").agg(F.count("*").alias("n"))

@@ -413,3 +413,25 @@ def sources_in_order(spark, d):
 def sizes_and_hours(spark, d):
     q = F.col("l_quantity")
     return vw.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.max(scores.hours_text(q / 60)).alias("longest"), F.max(scores.gigabytes(q * 100000000)).alias("gb"))
+
+
+_SUM = lambda t, v, p, g="": f"""SELECT unnest(['n', 'min', 'p50', 'mean', 'p90', 'p95', 'p99', 'max']) AS m, unnest([count({v})::DOUBLE, min({v}), quantile_cont({v}, 0.5), avg({v}), quantile_cont({v}, 0.9), quantile_cont({v}, 0.95), quantile_cont({v}, 0.99), max({v})]) AS value, {p} AS prefix FROM {t} {g}"""
+
+
+@query(f"""WITH {SPANS}, z AS (SELECT doc_id, length(text) AS c, len(regexp_extract_all(text, '[^{WHITE}]+')) AS w FROM documents),
+x AS (SELECT p.doc_id, label, substr(text, p.s + 1, p.e - p.s) AS t FROM pred p JOIN documents USING (doc_id)), u AS (SELECT *, length(t) AS c, len(regexp_extract_all(t, '[^{WHITE}]+')) AS w, {_SUFFIX("trim(lower(t))")} <> '' AS suf FROM x),
+d AS ({_SUM("z", "c", "'text_chars.'")} UNION ALL {_SUM("z", "w", "'text_words.'")} UNION ALL {_SUM("u", "c", "'entity_chars.'")} UNION ALL {_SUM("u", "w", "'entity_words.'")} UNION ALL {_SUM("u", "c", "'entity_chars_by_label.' || label || '.'", "GROUP BY label")}),
+k AS (SELECT (SELECT count(*) FROM z)::DOUBLE AS docs, (SELECT count(*) FROM z WHERE w > 300)::DOUBLE AS o3, (SELECT count(*) FROM z WHERE w > 400)::DOUBLE AS o4, count(*)::DOUBLE AS n, count(DISTINCT doc_id)::DOUBLE AS dw, sum(CASE WHEN suf THEN 1 ELSE 0 END)::DOUBLE AS suf FROM u)
+SELECT prefix || m AS measure, round(value, 6) AS value FROM d UNION ALL
+SELECT unnest(['docs', 'docs_over_300_words', 'docs_over_400_words', 'entities', 'docs_with_entities', 'with_attached_suffix', 'docs_empty', 'empty_doc_percent', 'entities_per_doc', 'attached_suffix_percent']),
+ unnest([docs, o3, o4, n, dw, suf, docs - dw, round((docs - dw) * 100 / docs, 2), round(n / docs, 3), round(suf * 100 / n, 2)]) FROM k""")
+def corpus_profile(spark, d):
+    docs, _, pred = vw.both(spark, d)
+    return pf.corpus_profile(docs, pred).filter("measure not like 'issues.%'")
+
+
+@query()
+def linear_probe(spark, d):
+    """A logistic regression on frozen vectors, fitted on even ids and scored on odd ones."""
+    rows = vw.table(spark, d, "embeddings").filter("embedding is not null and label is not null")
+    return pf.probe_scores(pf.linear_probe(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1"), "embedding", rounds=30))
