@@ -13,8 +13,9 @@ starts and ends with a blank; n-grams that hold a blank inside a word boundary
 
 Defined cases: null text, or text without a letter: ``und`` with score 0. No
 training rows: ``und`` everywhere. One learned language: score 1 minus its distance
-over the greatest possible one. Repeated rows are scored one by one. Further columns
-of the input do not matter.
+over the greatest possible one. Repeated rows are scored one by one. Texts of any length
+are read some characters at a time. Further columns of the input do not matter, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from spanforge.llm.common import spread
 
 TOP = 300
 MAX_DOCS_PER_LANG = 3000
+TEXT_BLOCK = 1 << 20  # characters of a text at a time
 
 
 @lru_cache(maxsize=1)
@@ -54,14 +56,25 @@ def gram_codes(text: str | None) -> np.ndarray:
     return np.concatenate((a[a != 32], two, three[a[1:-1] != 32]))
 
 
-def profile(codes: np.ndarray, top: int = TOP) -> np.ndarray:
+def gram_counts(text: str | None, size: int = TEXT_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of all n-grams, by code. Texts are cut at non-letters, which no n-gram spans."""
+    parts, at, text = [], 0, text or ""
+    while at < len(text):
+        end = min(at + size, len(text))
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        parts.append(np.unique(gram_codes(text[at:end]), return_counts=True))
+        at = end
+    if len(parts) < 2:
+        return parts[0] if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def profile(text: str | None, top: int = TOP) -> np.ndarray:
     """The codes of the ``top`` most frequent n-grams, by rank."""
-    if not len(codes):
-        return codes
-    s = np.sort(codes)
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    counts = np.diff(np.append(first, len(s)))
-    return s[first[np.argsort(-counts, kind="stable")[:top]]]
+    codes, counts = gram_counts(text)
+    return codes[np.argsort(-counts, kind="stable")[:top]]
 
 
 def learn_profiles(docs: DataFrame, train: Column, top: int = TOP, max_docs: int = MAX_DOCS_PER_LANG) -> dict[str, np.ndarray]:
@@ -80,11 +93,12 @@ def learn_profiles(docs: DataFrame, train: Column, top: int = TOP, max_docs: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(gram_codes(text))
+                by.setdefault(lang, []).append(gram_counts(text))
             for lang, parts in by.items():
-                code, n = np.unique(np.concatenate(parts), return_counts=True)
+                code, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([p[1] for p in parts]), len(code))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = spread(rows.select("text", "lang")).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -113,7 +127,7 @@ class Ranker:
         return np.where(theirs < 0, self.top, apart).sum(0)
 
     def judge(self, text: str | None) -> tuple[str, float]:
-        own = profile(gram_codes(text), self.top)
+        own = profile(text, self.top)
         if not len(own) or not self.names:
             return "und", 0.0
         d = self.distances(own)

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import materialize
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: pages of a host from which on it may be dealt out, hosts that are (the largest), and tasks for each
+HOST_PAGES, HOT_HOSTS, SALTS = 10_000, 1_000, 32
 DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-6, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -111,7 +113,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, threshol
     share = lambda v: F.avg(F.when(F.col("fit.verdict") == v, 1.0).otherwise(0.0))
     seeds = split.filter(F.col("host") != "").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     ranks = spread_trust(edges, seeds)
-    of = ranks.select(F.col("host").alias("_host"), "trust", "distrust")
-    out = split.join(of, split["host"] == of["_host"], "left")
+    # a host with a great share of the pages is dealt to several tasks, and its row goes to each
+    parts = split.filter(F.col("host") != "").groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("_parts")).filter("_parts > 1")
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))
+    hot = F.broadcast(parts.orderBy(F.desc("_parts"), "host").limit(HOT_HOSTS).select(F.col("host").alias("_hot")))  # a bounded number; others have few pages each
+    split = split.join(hot, F.col("host") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0)))
+    of = ranks.join(hot, F.col("host") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    of = of.select(F.col("host").alias("_host"), F.col("_salt").cast("long").alias("_of"), "trust", "distrust")
+    out = split.join(of, (split["host"] == of["_host"]) & (split["_salt"] == of["_of"]), "left")
     own = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"), "trust", "distrust")

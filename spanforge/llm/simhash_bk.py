@@ -27,6 +27,7 @@ result. Further columns, of whatever names, do not matter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,44 +40,55 @@ from spanforge.llm.common import materialize, spread
 
 SHARD_LIMIT = 4096
 SEARCH_BLOCK = 1024
-BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 22  # bytes of a text at a time, so that a text of any length needs bounded memory
+_BLANK = re.compile(rb"[ \t\n\x0b\f\r]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """XXH64, seed 42, of each ``k``-word shingle, repeats included."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+def hash_blocks(text: str | None, k: int, size: int = TEXT_BLOCK) -> Iterator[np.ndarray]:
+    """XXH64, seed 42, of each ``k``-word shingle, repeats included, of some bytes of the text at a time."""
+    raw = (text or "").encode("utf-8", "replace")
+    at, held, any_yet = 0, [], False
     digest = xxhash.xxh64_intdigest
-    if len(words) <= k:
-        return np.array([digest(b" ".join(words), 42)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - k + 1)
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + size) if at + size < len(raw) else None
+        end = cut.end() if cut else len(raw)
+        words = held + raw[at:end].lower().split()
+        at = end
+        if len(words) < k:
+            held = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+        yield np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - k + 1)
+        held, any_yet = words[len(words) - k + 1 :], True
+    if held and not any_yet:
+        yield np.array([digest(b" ".join(held), 42)], np.uint64)
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """The hashes of all blocks."""
+    return np.concatenate([np.empty(0, np.uint64), *hash_blocks(text, k)])
 
 
 def fingerprint(text: str | None, k: int = 3, words: int = 1) -> np.ndarray:
     """``words`` 64-bit words; the first is the plain SimHash."""
-    return of_hashes(shingle_hashes(text, k), words)
+    return of_hashes(hash_blocks(text, k), words)
 
 
-def of_hashes(h: np.ndarray, words: int) -> np.ndarray:
-    out = np.zeros(words, np.uint64)
-    for w in range(words):
-        if w:
-            h = h * _MIX + np.uint64(w)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        if len(h):
-            counts = np.zeros(64, np.int64)
-            for at in range(0, len(h), BLOCK):  # bounded memory for texts of any length
-                part = np.ascontiguousarray(h[at : at + BLOCK])
-                counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[w] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+def of_hashes(blocks: Iterator[np.ndarray], words: int) -> np.ndarray:
+    counts, n = np.zeros((words, 64), np.int64), 0
+    for h in blocks:
+        n += len(h)
+        for w in range(words):
+            if w:
+                h = h * _MIX + np.uint64(w)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+            counts[w] += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
@@ -318,7 +330,7 @@ def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
             cid = np.zeros(len(texts), np.uint64)
             for i, t in enumerate(texts):
                 own = shingle_set(t, shingle)
-                fp[i], cid[i] = of_hashes(own, SET_WORDS), xxhash.xxh64_intdigest(own.tobytes())
+                fp[i], cid[i] = of_hashes(iter((own,)), SET_WORDS), xxhash.xxh64_intdigest(own.tobytes())
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * SET_WORDS, pa.int32()), pa.array(fp.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cid.view(np.int64)), rows], names=["doc_id", "th", "cid", "fp"])
 

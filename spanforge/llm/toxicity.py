@@ -14,7 +14,8 @@
 Defined cases: null text counts as empty; empty texts get the classifier's probability
 without any hit. Without labelled rows of both classes the lexicon is empty, and every
 score is the share of label 1 (0 without any). Rows are scored one by one, repeated ones
-too; further columns do not matter. Labels, lang, source and doc_id are no inputs of a
+too, texts of any length in blocks; further columns do not matter, and an empty table gives
+an empty result. Labels, lang, source and doc_id are no inputs of a
 score.
 """
 
@@ -35,12 +36,21 @@ MAX_TRAIN_DOCS = 6000
 MAX_VOTERS = 400
 STEMS = (4, 5, 6, 7)
 TIMES = (1, 2, 4)
+TEXT_BLOCK = 1 << 20  # characters of a text at a time
+_BLANK = re.compile(r"\s")
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"\b\w[*@#$]+\w|\b\w[*@#$]{2,}")
 
 
-def tokens(text: str | None) -> Counter[str]:
-    return Counter(_WORD.findall((text or "").lower()))
+def tokens(text: str | None, size: int = TEXT_BLOCK) -> Counter[str]:
+    """Words and their counts, of some characters at a time; cuts are at white space."""
+    text, at, out = text or "", 0, Counter()
+    while at < len(text):
+        cut = _BLANK.search(text, at + size) if at + size < len(text) else None
+        end = cut.end() if cut else len(text)
+        out.update(_WORD.findall(text[at:end].lower()))
+        at = end
+    return out
 
 
 def forms(word: str) -> list[str]:
@@ -127,6 +137,16 @@ class Model:
         self.lexicon = {f: i for i, f in enumerate(dict.fromkeys(f for f, _ in self.times))}
         self.known = {}
 
+    @staticmethod
+    def _shared(resid: np.ndarray, least: float) -> np.ndarray:
+        """Per voter the sum of its correlations of ``least`` or more, its own included."""
+        cov = resid.T @ resid / max(len(resid), 1)
+        sd = np.sqrt(np.diag(cov)) + 1e-6
+        corr = np.clip(cov / sd[:, None] / sd, 0, 1)
+        np.fill_diagonal(corr, 1)
+        corr[corr < least] = 0
+        return corr.sum(1)
+
     @staticmethod
     def label_model(votes: np.ndarray, share: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posterior of each row; per voter the rates of 1/0/nothing by class; and its redundancy.
@@ -135,23 +155,18 @@ class Model:
         """
         n, m = votes.shape
         said = np.stack([votes == v for v in (1, 0, -1)], 2).astype(float)
-        good, bad = (votes == 1).sum(1), (votes == 0).sum(1)
-        q = np.where(good > bad, 0.9, np.where(bad > good, 0.02, share))
-        spare = np.ones(m)
+        fired = (votes == 1).astype(float) - (votes == 0)
+        # voters that nearly always say the same count as one from the start, else they would become the class
+        spare = Model._shared(fired - fired.mean(0), 0.98)
+        lean = fired @ (1 / spare)
+        q = np.where(lean > 0, 0.9, np.where(lean < 0, 0.02, share))
         rates = np.zeros((m, 3, 2))
         for k in range(rounds):
             for c, w in ((1, q), (0, 1 - q)):
                 rates[:, :, c] = (np.einsum("n,nmv->mv", w, said) + 0.5) / (w.sum() + 1.5)
             if k in (2, 8):  # correlations given the class, from the residuals
-                fired = (votes == 1).astype(float) - (votes == 0)
                 mean1, mean0 = (q @ fired) / max(q.sum(), 1e-9), ((1 - q) @ fired) / max((1 - q).sum(), 1e-9)
-                resid = fired - q[:, None] * mean1 - (1 - q)[:, None] * mean0
-                cov = resid.T @ resid / n
-                sd = np.sqrt(np.diag(cov)) + 1e-6
-                corr = np.clip(cov / sd[:, None] / sd, 0, 1)
-                np.fill_diagonal(corr, 1)
-                corr[corr < 0.1] = 0
-                spare = corr.sum(1)
+                spare = Model._shared(fired - q[:, None] * mean1 - (1 - q)[:, None] * mean0, 0.1)
             log = np.log(rates[:, :, 1]) - np.log(rates[:, :, 0])
             evidence = np.einsum("nmv,mv->n", said, log / spare[:, None])
             prior = np.log(share / (1 - share))

@@ -276,7 +276,7 @@ def test_language_profiles(spark):
     assert got[len(ODD)]["lang_pred"] == "en" and got[len(ODD) + 1]["lang_pred"] == "de"
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, len(ODD) + 2))
     assert language_id.learn_profiles(docs, F.lit(False)) == {}
-    one = language_id.profile(language_id.gram_codes("abab a"), 3)
+    one = language_id.profile("abab a", 3)
     assert len(one) == 3
 
 
