@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import materialize
 
 BLOCK = 8
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 STRIDE = 1_000
 FAN = 1_024
 #: integer parts of the production mix; a source that is not named has the default

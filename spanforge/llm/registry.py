@@ -117,13 +117,11 @@ s AS (SELECT doc_id, n, unnest(list_prepend(0, list_filter(list_transform(t, lam
 c AS (SELECT doc_id, unnest(range(a, b, 32)) AS a FROM (SELECT doc_id, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS b FROM s)),
 g AS (SELECT doc_id, a, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c),
 h AS (SELECT g.doc_id, a, left(md5(array_to_string(w[a + 1 : coalesce(b, n)], ' ')), 16) AS h FROM g JOIN e USING (doc_id)),
-y AS (SELECT h.*, array_to_string(w[h.a + 1 : coalesce(lead(h.a) OVER o, n)], ' ') AS piece, coalesce(lead(h.a) OVER o, n) - h.a AS c FROM h JOIN e USING (doc_id) WINDOW o AS (PARTITION BY h.doc_id ORDER BY h.a)),
-x AS (SELECT *, lead(h) OVER o AS nxt, lag(h) OVER o AS prv, coalesce(lag(h) OVER o, '') AS before, coalesce(lead(h) OVER o, '') AS after,
-  c + coalesce(lead(c) OVER o, 0) AS own, coalesce(lag(c) OVER o, 0) AS lw, coalesce(lead(c, 2) OVER o, 0) AS rw FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
-f AS (SELECT *, min(struct_pack(d := doc_id, a := a, before := before, after := after, lw := lw, rw := rw)) OVER (PARTITION BY h) AS p FROM x WHERE (nxt IS NULL AND prv IS NULL) OR h <= nxt OR h <= prv),
-l AS (SELECT DISTINCT doc_id AS q, p.d AS p, a - p.a AS shift FROM f WHERE (doc_id > p.d OR (doc_id = p.d AND a > p.a)) AND (before = p.before OR after = p.after OR own + least(lw, p.lw) + least(rw, p.rw) >= 50)),
+x AS (SELECT *, lead(h) OVER o AS nxt, lag(h) OVER o AS prv FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+f AS (SELECT *, min(struct_pack(d := doc_id, a := a)) OVER (PARTITION BY h) AS p FROM x WHERE (nxt IS NULL AND prv IS NULL) OR h <= nxt OR h <= prv),
+l AS (SELECT doc_id AS q, p.d AS p, a - p.a AS shift, min(a) AS lo, max(a) AS hi FROM f WHERE doc_id > p.d OR (doc_id = p.d AND a > p.a) GROUP BY 1, 2, 3),
 w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM e),
-m AS (SELECT q, p, shift, y.k FROM l JOIN w y ON y.doc_id = q JOIN w z ON z.doc_id = p AND z.k = y.k - shift AND z.word = y.word),
+m AS (SELECT q, p, shift, y.k FROM l JOIN w y ON y.doc_id = q JOIN w z ON z.doc_id = p AND z.k = y.k - shift AND z.word = y.word WHERE (shift = 0 AND (SELECT text FROM documents t WHERE t.doc_id = q) = (SELECT text FROM documents t WHERE t.doc_id = p)) OR (y.k >= lo - 512 AND y.k < hi + 576)),
 i AS (SELECT *, k - row_number() OVER (PARTITION BY q, p, shift ORDER BY k) AS island FROM m),
 r AS (SELECT q, min(k) AS lo, max(k) AS hi FROM i GROUP BY q, p, shift, island HAVING count(*) >= 50),
 gone AS (SELECT DISTINCT q AS doc_id, unnest(range(lo, hi + 1)) AS k FROM r),
