@@ -39,7 +39,7 @@ LIST_SIZE = 160
 MAX_LISTS = 65_536
 REPLICAS, CLOSURE = 3, 1.08
 DEGREE = 24
-TARGET = 0.92
+TARGET, QUERIES = 0.94, 400
 BATCH = 1_024
 BLOCK_CELLS = 4_000_000  # scores held at once
 
@@ -154,7 +154,9 @@ class Index:
         self.norm = norm
         x = self.lift(sample)
         k = min(list_count(n), len(x))
-        self.graph = CentroidGraph(balanced_centroids(x, k, norm, seed=seed))
+        # the ratio is fitted to queries that the centroids have not seen, where the sample allows it
+        apart = QUERIES if len(x) >= max(4 * QUERIES, 2 * k) else 0
+        self.graph = CentroidGraph(balanced_centroids(x[apart:], k, norm, seed=seed))
         self.floor = 0.0  # a query closer to a centroid than is usual reads as if it were at the usual distance
         self.ratio, self.width = self._fit(sample, x, target, n)
 
@@ -185,7 +187,7 @@ class Index:
             out += [row[m] for row, m in zip(near, ok, strict=True)]
         return out
 
-    def _fit(self, sample: np.ndarray, x: np.ndarray, target: float, n: int, queries: int = 400, k: int = 20) -> tuple[float, int]:
+    def _fit(self, sample: np.ndarray, x: np.ndarray, target: float, n: int, queries: int = QUERIES, k: int = 20) -> tuple[float, int]:
         """The least ratio that reaches ``target`` of the true neighbours in the sample, and the lists that nearly all queries then read.
 
         Of the k nearest of n vectors a sample holds the share that it is of them, so it is
