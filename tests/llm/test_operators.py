@@ -414,7 +414,8 @@ def cut_by_definition(texts, span, longest):
     return cut, words
 
 
-def test_lines_against_the_definition(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_lines_against_the_definition(spark, native):
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefghij") * rng.randrange(1, 4)
     passage = [" ".join(word() for _ in range(14)) + "." for _ in range(12)]
@@ -425,7 +426,7 @@ def test_lines_against_the_definition(spark):
         texts.append(f"{own} mid {' '.join(some)} line {own[::-1]}" if some else own)
     texts += [texts[3], texts[5] + " more", " \n " + texts[7], "For " * 300, *ODD]
     docs = frame(spark, texts).withColumnsRenamed({"lang": "gone", "source": "th"})
-    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, span=50).collect()}
+    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, 50, native).collect()}
     cut, words = cut_by_definition(texts, 50, line_winnow.LONGEST)
     assert len(cut) > 10
     for i, t in enumerate(texts):
@@ -434,10 +435,10 @@ def test_lines_against_the_definition(spark):
         assert got[i]["n_deleted"] == len(cut.get(i, ()))
         if i not in cut:
             assert got[i]["text"] == t
-    assert got[50]["text"] == "" and line_winnow.dedup_lines(docs).columns == [*docs.columns, "n_deleted"]
+    assert got[50]["text"] == "" and line_winnow.dedup_lines(docs, 50, native).columns == [*docs.columns, "n_deleted"]
     twice = docs.unionAll(docs)
-    assert sorted(str(r["text"]) for r in line_winnow.dedup_lines(twice).collect()) == sorted(2 * [str(r["text"]) for r in got.values()])
-    assert line_winnow.dedup_lines(docs.limit(0)).count() == 0
+    assert sorted(str(r["text"]) for r in line_winnow.dedup_lines(twice, 50, native).collect()) == sorted(2 * [str(r["text"]) for r in got.values()])
+    assert line_winnow.dedup_lines(docs.limit(0), 50, native).count() == 0
 
 
 def test_passages_inside_lines_are_found(spark):
