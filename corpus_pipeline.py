@@ -27,7 +27,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of runs of 50 words or more."""
-    cut = line_winnow.dedup_lines(docs)
+    cut = line_winnow.dedup_lines(docs, native=True)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
