@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_cnn, language_id, line_winnow, link_trust, pfair_mix, piece_bpe, posting_ann, simhash_bk, threshold_topk, toxicity
+from spanforge.llm import byte_cnn, language_id, line_winnow, link_trust, merkle_paths, pfair_mix, piece_bpe, posting_ann, simhash_bk, threshold_topk, toxicity
 from spanforge.llm.common import at_random, fold_of, table
 
 
@@ -74,8 +74,15 @@ def op10_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_deleted", F.md5("text").alias("text_md5"))
 
 
+def op11_merkle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    entries = merkle_paths.manifest(table(spark, sf_dir, "documents"), {"text": merkle_paths.ascii_lower(F.col("text"))}, tampered)
+    proof = F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256")
+    return merkle_paths.proofs(entries).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_posting_ann, op2_piece_dropout, op3_threshold_topk, op4_link_trust, op5_weak_toxicity, op6_pfair_mix, op7_rank_order_language, op8_simhash_bktree, op9_byte_cnn, op10_line_winnow]
+    own = [op1_posting_ann, op2_piece_dropout, op3_threshold_topk, op4_link_trust, op5_weak_toxicity, op6_pfair_mix, op7_rank_order_language, op8_simhash_bktree, op9_byte_cnn, op10_line_winnow, op11_merkle_paths]
     return {f.__name__: f for f in own}
 
 
@@ -132,5 +139,49 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(CAST(strlen({x}) AS VARCHAR) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}")) + ")"
+
+
+def _merkle_sql(levels: int) -> str:
+    """Trees of up to 8 ** ``levels`` documents a lang, level by level: every node beside its siblings.
+
+    A row a document goes up with idx (of its ancestor), own (hash of its ancestor), fold and
+    proof so far; the nodes of a level are the distinct ancestors.
+    """
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        "WITH bits AS (SELECT CAST(range AS UINTEGER) AS b FROM range(256)), "
+        + "s0 AS (SELECT b, b AS c FROM bits), "
+        + ", ".join(f"s{k + 1} AS (SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END AS c FROM s{k})" for k in range(8)),
+        "steps AS (SELECT list(c ORDER BY b) AS t FROM s8)",
+        "d AS (SELECT row_number() OVER () AS rid, * FROM documents)",
+        "crc AS (SELECT rid, xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UINTEGER))), lambda a, x: xor(t[CAST(xor(a, x) & 255 AS INTEGER) + 1], a >> 8)), 4294967295::UINTEGER) AS crc FROM d, steps)",
+        f"l AS (SELECT rid, doc_id, lang, {_LEAF.format(text='text')} AS leaf, CASE WHEN crc % 3 = 0 THEN {_LEAF.format(text=lower)} ELSE {_LEAF.format(text='text')} END AS start FROM d LEFT JOIN crc USING (rid))",
+        "u0 AS (SELECT rid, doc_id, leaf, lang AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, leaf AS own, start AS fold, '' AS proof FROM l)",
+    ]
+
+    def rise(a: str, b: str) -> list[str]:
+        """``b``: the rows of ``a`` one level up; those whose tree has one node left stay."""
+        return [
+            f"{a}n AS (SELECT DISTINCT tree, idx, n, own FROM {a} WHERE n > 1)",
+            f"{a}p AS (SELECT tree, idx // 8 AS up, string_agg(own, '' ORDER BY idx) AS pre, list(own ORDER BY idx) AS kids FROM {a}n GROUP BY 1, 2)",
+            f"{b} AS (SELECT rid, doc_id, leaf, a.tree, CASE WHEN n > 1 THEN idx // 8 ELSE idx END AS idx, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE n END AS n, CASE WHEN n > 1 THEN sha256(pre) ELSE own END AS own, "
+            f"CASE WHEN n > 1 THEN sha256(array_to_string(list_transform(kids, lambda h, i: CASE WHEN i - 1 = idx % 8 THEN fold ELSE h END), '')) ELSE fold END AS fold, "
+            f"CASE WHEN n > 1 THEN proof || array_to_string(list_filter(kids, lambda h, i: i - 1 <> idx % 8), '') ELSE proof END AS proof "
+            f"FROM {a} a LEFT JOIN {a}p p ON p.tree IS NOT DISTINCT FROM a.tree AND p.up = a.idx // 8)",
+        ]
+
+    for k in range(levels):
+        parts += rise(f"u{k}", f"u{k + 1}")
+    parts.append("r AS (SELECT tree, dense_rank() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx FROM (SELECT DISTINCT tree FROM u0))")
+    parts.append(f"t0 AS (SELECT rid, doc_id, leaf, own AS subroot, 0 AS tree, r.idx, (SELECT count(*) FROM r) AS n, own, fold, proof FROM u{levels} u JOIN r ON r.tree IS NOT DISTINCT FROM u.tree)")
+    for k in range(3):
+        parts += [x.replace("SELECT rid, doc_id, leaf, a.tree", "SELECT rid, doc_id, leaf, subroot, a.tree") for x in rise(f"t{k}", f"t{k + 1}")]
+    return ",\n".join(parts) + "\nSELECT doc_id, leaf, subroot, own AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = own AS verified FROM t3"
+
+
+OP11_SQL = _merkle_sql(7)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_topk": OP3_SQL, "op6_pfair_mix": OP6_SQL, "op10_line_winnow": OP10_SQL}
+    return {"op3_threshold_topk": OP3_SQL, "op6_pfair_mix": OP6_SQL, "op10_line_winnow": OP10_SQL, "op11_merkle_paths": OP11_SQL}
