@@ -42,6 +42,11 @@ def fold_of(column: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % k, F.lit(-1))
 
 
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z alone in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

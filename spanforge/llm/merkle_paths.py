@@ -36,7 +36,6 @@ from spanforge.llm.common import materialize, numbered
 ARITY, WIDTH = 8, 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 MANY, SALTS = 100_000, 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def leaf_of(values: dict[str, Column]) -> Column:
@@ -148,6 +147,3 @@ def proofs(entries: DataFrame) -> DataFrame:
     rows = entries.withColumns({"siblings": siblings("path", "slots"), "start": F.coalesce("other", "leaf")})
     return rows.withColumn("folded_root", fold("start", "path", "slots")).drop("start")
 
-
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_cnn, language_id, line_winnow, link_trust, merkle_paths, pfair_mix, piece_bpe, posting_ann, simhash_bk, threshold_topk, toxicity
-from spanforge.llm.common import at_random, fold_of, table
+from spanforge.llm import block_max, byte_cnn, language_id, line_winnow, link_trust, merkle_paths, multiset_hash, pfair_mix, piece_bpe, posting_ann, simhash_bk, threshold_topk, toxicity
+from spanforge.llm.common import ascii_lower, at_random, fold_of, materialize, table
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str, max_docs: int, train: Column | None = None) -> DataFrame:
@@ -76,13 +76,32 @@ def op10_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_merkle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
-    entries = merkle_paths.manifest(table(spark, sf_dir, "documents"), {"text": merkle_paths.ascii_lower(F.col("text"))}, tampered)
+    entries = merkle_paths.manifest(table(spark, sf_dir, "documents"), {"text": ascii_lower(F.col("text"))}, tampered)
     proof = F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256")
     return merkle_paths.proofs(entries).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = block_max.build(table(spark, sf_dir, "documents"))
+    return block_max.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited text's fingerprint is the own one without the paragraphs that go, and with those that come."""
+    edited = multiset_hash.exchanged(multiset_hash.successors(table(spark, sf_dir, "documents")))
+    rows = edited.select("uid", "next_uid", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("shared", "own", "new")).alias("part", "text"))
+    keys = ["uid", "next_uid", "doc_id", "n_chars", "edited_sha256"]
+    parts = multiset_hash.vectors(rows, [*keys, "part"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "vector"))).alias("p"))
+    whole = parts.withColumn("vector", multiset_hash.plus("p[0].vector", "p[1].vector"))
+    both = whole.withColumn("less", multiset_hash.minus("vector", "p[1].vector")).withColumn("edited", multiset_hash.plus("less", "p[2].vector")).drop("p", "less")
+    done = materialize(both, "multiset-hashes")
+    after = done.select(F.col("uid").alias("next_uid"), F.col("vector").alias("next"))
+    near = [multiset_hash.likeness("vector", c).alias(f"near_{c}") for c in ("edited", "next")]
+    return done.join(after, "next_uid").select("doc_id", "n_chars", "edited_sha256", multiset_hash.digits("vector").alias("fingerprint"), multiset_hash.digits("edited").alias("edited_fingerprint"), *near)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_posting_ann, op2_piece_dropout, op3_threshold_topk, op4_link_trust, op5_weak_toxicity, op6_pfair_mix, op7_rank_order_language, op8_simhash_bktree, op9_byte_cnn, op10_line_winnow, op11_merkle_paths]
+    own = [op1_posting_ann, op2_piece_dropout, op3_threshold_topk, op4_link_trust, op5_weak_toxicity, op6_pfair_mix, op7_rank_order_language, op8_simhash_bktree, op9_byte_cnn, op10_line_winnow, op11_merkle_paths, op12_block_max, op13_multiset_hash]
     return {f.__name__: f for f in own}
 
 
@@ -182,6 +201,51 @@ def _merkle_sql(levels: int) -> str:
 
 OP11_SQL = _merkle_sql(7)
 
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + block_max.TERMS + "')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+p AS (SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+f AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term), c GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+_HEX = "CAST('0x' || substr({x}, {a}, {n}) AS UBIGINT)"
+
+
+def _multiset_sql(equal: int, wide: int) -> str:
+    lane = lambda i: f"sum({_HEX.format(x='g', a=1 + 8 * i, n=8)}) % 4294967296"
+    half = wide // 2
+    bits = ", ".join(f"sum(({c} >> {j}) & 1)" for c in ("lo", "hi") for j in range(half))
+    dot = "list_sum(list_transform(list_zip(a.l, {b}.l), lambda z: CAST((2 * z[1] - a.n) * (2 * z[2] - {b}.n) AS HUGEINT)))"
+    own = "list_sum(list_transform({a}.l, lambda x: CAST((2 * x - {a}.n) * (2 * x - {a}.n) AS HUGEINT)))"
+    near = lambda b: f"CASE WHEN {own.format(a='a')} + {own.format(a=b)} = 0 THEN 1 ELSE greatest(2 * CAST({dot.format(b=b)} AS DOUBLE) / CAST({own.format(a='a')} + {own.format(a=b)} AS DOUBLE), 0) END"
+    digits = lambda a: f"array_to_string(list_transform(list_concat([{a}.n], {a}.e, {a}.l), lambda x: printf('%08x', x)), '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, length(text) AS n, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text) AS k, count(*) OVER () AS c FROM d),
+x AS (SELECT a.k, a.k % a.c + 1 AS nk, a.doc_id, a.n, a.text, left(a.text, a.n - a.n // 2) || left(b.text, a.n // 2) AS edited FROM o a JOIN o b ON b.k = a.k % a.c + 1),
+t AS (SELECT k, 0 AS v, text FROM x UNION ALL SELECT k, 1, edited FROM x),
+p AS (SELECT k, v, p FROM (SELECT k, v, unnest(string_split(text, chr(10))) AS p FROM t) WHERE p <> ''),
+g AS (SELECT k, v, sha256('0' || p) || sha256('1' || p) AS g FROM p),
+e AS (SELECT k, v, [{", ".join(map(lane, range(equal)))}] AS e FROM g GROUP BY 1, 2),
+w AS (SELECT k, v, p, string_split(p, ' ') AS w FROM p),
+s AS (SELECT k, v, md5(unnest(CASE WHEN len(w) < 3 THEN [p] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS m FROM w),
+m AS (SELECT k, v, {_HEX.format(x="m", a=1, n=16)} AS lo, {_HEX.format(x="m", a=17, n=16)} AS hi FROM s),
+l AS (SELECT k, v, count(*) AS n, [{bits}] AS l FROM m GROUP BY 1, 2),
+f AS (SELECT k, v, CAST(coalesce(l.n, 0) AS BIGINT) AS n, CAST(coalesce(e, list_transform(range({equal}), lambda i: 0)) AS BIGINT[]) AS e, CAST(coalesce(l, list_transform(range({wide}), lambda i: 0)) AS BIGINT[]) AS l FROM t LEFT JOIN l USING (k, v) LEFT JOIN e USING (k, v))
+SELECT doc_id, CAST(x.n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {digits("a")} AS fingerprint, {digits("b")} AS edited_fingerprint, {near("b")} AS near_edited, {near("y")} AS near_next
+FROM x JOIN f a ON a.k = x.k AND a.v = 0 JOIN f b ON b.k = x.k AND b.v = 1 JOIN f y ON y.k = x.nk AND y.v = 0
+"""
+
+
+OP13_SQL = _multiset_sql(multiset_hash.EQUAL, multiset_hash.WIDE)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_topk": OP3_SQL, "op6_pfair_mix": OP6_SQL, "op10_line_winnow": OP10_SQL, "op11_merkle_paths": OP11_SQL}
+    return {"op3_threshold_topk": OP3_SQL, "op6_pfair_mix": OP6_SQL, "op10_line_winnow": OP10_SQL, "op11_merkle_paths": OP11_SQL, "op12_block_max": OP12_SQL, "op13_multiset_hash": OP13_SQL}
