@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import scores
+from spanforge.operators import spans as sp
 
 
 def probabilities(logits: DataFrame, keys: list[str], temperature: Column | float = 1.0) -> DataFrame:
@@ -67,17 +68,13 @@ def merged_probabilities(windows: DataFrame) -> DataFrame:
 
 def entity_confidence(spans: DataFrame, toks: DataFrame, mode: str = "mean") -> DataFrame:
     """``spans`` with conf: mean or max over the tokens inside (0 without one); toks: doc_id, start, end, conf."""
-    t = toks.filter("start < end").select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("conf").alias("_c"))
-    inside = (F.col("doc_id") == F.col("_d")) & (F.col("_s") >= F.col("start")) & (F.col("_e") <= F.col("end"))
-    agg = F.avg("_c") if mode == "mean" else F.max("_c")
-    return spans.join(t, inside, "left").groupBy(*spans.columns).agg(F.coalesce(agg, F.lit(0.0)).alias("conf"))
+    agg = F.avg("conf") if mode == "mean" else F.max("conf")
+    return sp.meetings(toks, spans, ["conf"], inside=True).groupBy(*spans.columns).agg(F.coalesce(agg, F.lit(0.0)).alias("conf"))
 
 
 def entity_mass(spans: DataFrame, toks: DataFrame) -> DataFrame:
     """``spans`` with mass: mean over the overlapping tokens; toks: doc_id, start, end, mass."""
-    t = toks.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("mass").alias("_m"))
-    touching = (F.col("doc_id") == F.col("_d")) & (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))
-    return spans.join(t, touching, "left").groupBy(*spans.columns).agg(F.coalesce(F.avg("_m"), F.lit(0.0)).alias("mass"))
+    return sp.meetings(toks, spans, ["mass"], inside=False).groupBy(*spans.columns).agg(F.coalesce(F.avg("mass"), F.lit(0.0)).alias("mass"))
 
 
 def gold_tokens(toks: DataFrame, label: str = "gold") -> DataFrame:

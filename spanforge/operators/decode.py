@@ -33,14 +33,11 @@ def tagged_tokens(toks: DataFrame, temperature: float = 1.0, tags: tuple[str, ..
 def decode_spans(toks: DataFrame, docs: DataFrame | None = None, temperature: float = 1.0, gate: float = 0.0, mode: str = "mean", snap: bool = True, suffix: bool = True, tags: tuple[str, ...] = TAGS) -> DataFrame:
     """doc_id, label, start, end and, without ``snap``, conf: tags to runs, gate on confidence, then edges.
 
-    A span's confidence is the mean (or max) over its tokens, taken before its edges move.
+    A span's confidence is the mean (or max) over the tokens of its run, taken before its edges move.
     Documents without tokens have no spans.
     """
-    from spanforge.operators import calibration as cal
-
     tagged = tagged_tokens(toks, temperature, tags)
-    found = sp.decode_bio(tagged.select("doc_id", "ord", "start", "end", "tag"))
-    found = cal.entity_confidence(found, tagged.select("doc_id", "start", "end", "conf"), mode)
+    found = sp.decode_bio(tagged.select("doc_id", "ord", "start", "end", "tag", "conf"), conf=mode)
     if gate > 0:
         found = found.filter(F.col("conf") >= gate)
     return sp.snap_words(found.drop("conf"), docs, suffix=suffix) if snap else found
@@ -177,10 +174,11 @@ def word_mass(words: DataFrame, toks: DataFrame, keys: list[str]) -> DataFrame:
 
     toks: doc_id, start, end and mass_<label> columns.
     """
-    t = toks.filter("start <> end").select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), *[F.col(f"mass_{x}").alias(f"_m{x}") for x in sp.PRIORITY])
-    m = F.coalesce(*[F.when(F.col("label") == x, F.col(f"_m{x}")) for x in sp.PRIORITY])
-    hit = words.join(t, (F.col("doc_id") == F.col("_d")) & (F.col("_s") < F.col("we")) & (F.col("_e") > F.col("ws")), "left")
-    return hit.groupBy(*keys, "label", "ws", "we").agg(F.coalesce(F.avg(m), F.lit(0.0)).alias("mass"), F.count("_s").alias("n_tok"))
+    values = [f"mass_{x}" for x in sp.PRIORITY]
+    row = F.struct(*keys, "label", "ws", "we").alias("row")
+    met = sp.meetings(toks.withColumn("one", F.lit(1)), words.select("doc_id", F.col("ws").alias("start"), F.col("we").alias("end"), row), [*values, "one"], inside=False)
+    m = F.coalesce(*[F.when(F.col("row.label") == x, F.col(f"mass_{x}")) for x in sp.PRIORITY])
+    return met.groupBy("row").agg(F.coalesce(F.avg(m), F.lit(0.0)).alias("mass"), F.count("one").alias("n_tok")).select("row.*", "mass", "n_tok")
 
 
 def label_masses(tagged: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
@@ -189,14 +187,21 @@ def label_masses(tagged: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
     return tagged.select("doc_id", "start", "end", *[(F.element_at("p", at[f"B-{x}"]) + F.element_at("p", at[f"I-{x}"])).alias(f"mass_{x}") for x in sp.PRIORITY])
 
 
-def neighbours(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, label, start, end, side (1 right, 0 left), ws, we of the words next to spans that touch no other span."""
+def neighbour_words(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``spans`` with side (1 right, 0 left), ws, we of the words next to each span."""
     rows = spans.distinct().join(docs.select("doc_id", "text"), "doc_id")
     both = F.array(*[F.struct(F.lit(k).alias("side"), tx.neighbour_word(F.col("text"), F.col("start"), F.col("end"), n).alias("w")) for k, n in ((1, "right"), (0, "left"))])
-    words = rows.select("doc_id", "label", "start", "end", F.explode(both).alias("x")).filter("x.w is not null").select("doc_id", "label", "start", "end", "x.side", F.col("x.w.start").alias("ws"), F.col("x.w.end").alias("we"))
-    other = spans.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
-    clash = (F.col("doc_id") == F.col("_d")) & (F.col("ws") < F.col("_e")) & (F.col("we") > F.col("_s")) & ~((F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end")))
-    return words.join(other, clash, "left_anti")
+    return rows.select(*spans.columns, F.explode(both).alias("x")).filter("x.w is not null").select(*spans.columns, "x.side", F.col("x.w.start").alias("ws"), F.col("x.w.end").alias("we"))
+
+
+def neighbours(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, label, start, end, side (1 right, 0 left), ws, we of the words next to spans that touch no other span."""
+    words = neighbour_words(spans.select("doc_id", "label", "start", "end"), docs)
+    # words and spans meet in cells of offsets, so that a long document is dealt out too
+    own = words.withColumn("cell", sp.cells(F.col("ws"), F.col("we")))
+    other = spans.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct().withColumn("cell", sp.cells(F.col("_s"), F.col("_e")))
+    hit = own.join(other, ["doc_id", "cell"], "left").withColumn("clash", (F.col("ws") < F.col("_e")) & (F.col("we") > F.col("_s")) & ~((F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end"))))
+    return hit.groupBy(*words.columns).agg(F.count_if("clash").alias("n")).filter("n = 0").drop("n")
 
 
 def continue_spans(spans: DataFrame, docs: DataFrame, masses: DataFrame, tau: float, direction: str = "both", labels: tuple[str, ...] | None = None, snap: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
+from spanforge.operators import spans as sp
 from spanforge.operators.scoring import LABELS
 
 
@@ -43,9 +44,8 @@ def integrity(spans: DataFrame, docs: DataFrame) -> DataFrame:
         F.count_if(F.col("s").rlike(r"[ \t\n]$")).alias("trailing_space"),
         F.count_if(F.col("s").rlike("^[«»\"'“”()\\[\\]{}#@.,;:!?…]|[«»\"'“”()\\[\\]{}#@.,;:!?…]$")).alias("edge_punct"),
     )
-    a, b = spans.alias("a"), spans.alias("b")
     before = F.struct("a.start", "a.end", "a.label") < F.struct("b.start", "b.end", "b.label")
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & before & (F.col("b.start") < F.col("a.end")) & (F.col("a.start") < F.col("b.end")))
+    pairs = sp.overlapping_pairs(spans, spans).filter(before)
     nested = (F.col("a.start") <= F.col("b.start")) & (F.col("b.end") <= F.col("a.end")) | (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
     return flags.crossJoin(pairs.agg(F.count("*").alias("overlap"), F.count_if(nested).alias("nested")))
 

@@ -17,27 +17,51 @@ PRIORITY = {"ORG": 0, "NAME": 1, "GEO": 2}
 FLAT_PRIORITY = {"NAME": 0, "ORG": 1, "GEO": 2}
 
 
-#: elements in one running sum; longer arrays are summed stretch by stretch
-STRETCH = 512
+#: pieces whose places are summed in one go; longer arrays are summed stretch by stretch
+STRETCH = 256
 
 
-def with_starts(rows: DataFrame, sizes: str, starts: str) -> DataFrame:
-    """``rows`` with the array of the sums before each element of the array ``sizes``.
+def tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, ord, start, end, surface of the pieces between blanks and newlines.
 
-    Everything stays in the row, so nothing is shuffled; each step is a column of its own,
-    so that none is computed twice, and stretches keep the time linear.
+    Nothing is shuffled. Places are summed within stretches of ``STRETCH`` pieces, and each
+    stretch goes on as a row with its own base, so the time is linear in the text, and the
+    sums of the stretches are worked out once a document (inside the function of a token
+    they would be worked out again for each).
     """
-    rows = rows.withColumn("_b", F.expr(f"transform(sequence(0, (size({sizes}) - 1) div {STRETCH}), k -> aggregate(slice({sizes}, cast(k * {STRETCH} as int) + 1, {STRETCH}), array(0), (a, x) -> concat(a, array(element_at(a, -1) + x))))"))
-    rows = rows.withColumn("_e", F.expr("aggregate(_b, array(0), (a, x) -> concat(a, array(element_at(a, -1) + element_at(x, -1))))"))
-    return rows.withColumn(starts, F.expr("flatten(transform(_b, (x, k) -> transform(slice(x, 1, size(x) - 1), v -> v + _e[k])))")).drop("_b", "_e")
+    pieces = F.split("text", "[ \n]", -1)
+    sums = f"transform(sequence(0, (size(p) - 1) div {STRETCH}), k -> aggregate(slice(p, cast(k * {STRETCH} as int) + 1, {STRETCH}), array(0), (a, x) -> concat(a, array(element_at(a, -1) + length(x) + 1))))"
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", pieces.alias("p"))
+    rows = rows.select("doc_id", "p", F.expr(sums).alias("s"))
+    # ``s`` is used twice, which keeps the optimizer from writing it into the second use
+    cut = F.expr(f"transform(sequence(0, (size(p) - 1) div {STRETCH}), k -> slice(p, cast(k * {STRETCH} as int) + 1, {STRETCH}))")
+    bases = F.expr("aggregate(transform(s, x -> element_at(x, -1)), array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))")
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(cut.alias("p"), F.col("s"), bases.alias("base"))).alias("k", "x"))
+    rows = rows.select("doc_id", "k", F.col("x.base").alias("base"), F.posexplode(F.arrays_zip(F.col("x.p").alias("p"), F.col("x.s").alias("s"))).alias("j", "x")).filter("x.p <> ''")
+    start = F.col("base") + F.col("x.s")
+    return rows.select("doc_id", (F.col("k") * STRETCH + F.col("j")).alias("ord"), start.alias("start"), (start + F.length("x.p")).alias("end"), F.col("x.p").alias("surface"))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, start, end, surface of the pieces between blanks and newlines."""
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", "[ \n]", -1).alias("p"))
-    rows = with_starts(rows.withColumn("n", F.transform("p", lambda x: F.length(x) + 1)), "n", "s")
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("p", "s")).alias("ord", "x")).filter("x.p <> ''")
-    return rows.select("doc_id", "ord", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.p")).alias("end"), F.col("x.p").alias("surface"))
+#: offsets in a cell of the grid in which intervals meet
+CELL = 64
+
+
+def cells(start: Column, end: Column, width: int = CELL) -> Column:
+    """The cells that an interval reaches, one row each."""
+    first = F.floor(start / width)
+    return F.explode(F.sequence(first, F.greatest(F.floor((end - 1) / width), first)))
+
+
+def overlapping_pairs(a: DataFrame, b: DataFrame, width: int = CELL) -> DataFrame:
+    """a and b (structs of the rows) of all intervals of one document that overlap.
+
+    A grid join: an interval stands in every cell that it reaches, and a pair counts in one of
+    the cells they share, that in which the later one begins. So a long document is dealt to
+    many tasks, and an interval meets only those near it. ``a`` and ``b`` hold doc_id, start, end.
+    """
+    left, right = (x.select("doc_id", cells(F.col("start"), F.col("end"), width).alias("cell"), F.struct(*x.columns).alias(n)) for x, n in ((a, "a"), (b, "b")))
+    home = F.floor(F.greatest("a.start", "b.start") / width)
+    return left.join(right, ["doc_id", "cell"]).filter((F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")) & (F.col("cell") == home)).select("doc_id", "a", "b")
 
 
 def clusters(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,25 +118,77 @@ def greedy_pairs(gold: str = "golds", pred: str = "preds") -> Column:
     return F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: same(a, x, "g") | same(a, x, "p")), acc).otherwise(F.concat(acc, F.array(x))))
 
 
+def swept(toks: DataFrame, spans: DataFrame, carry: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """``toks`` with ``span``: of the spans that end after a token's start, the first by end, then ``ties``, or null.
+
+    A merge sweep: tokens (by their start) and spans (by their end) are one union ordered from
+    the end of a document to its beginning, and the span met last is carried along. Nothing is
+    joined, and the work is linear in tokens and spans but for the sort. ``carry`` names the
+    columns of ``spans`` that come with it.
+    """
+    item = F.struct(*[F.col(c) for c in carry])
+    none = F.lit(None)
+    kind = spans.select(item.alias("x")).schema["x"].dataType
+    own = [c for c in toks.columns if c != "doc_id"]
+    row = F.struct(*[F.col(f"`{c}`") for c in own])
+    left = toks.select("doc_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("side"), row.alias("row"), none.cast(kind).alias("span"))
+    right = spans.select("doc_id", F.col("end").cast("long").alias("at"), F.lit(1).alias("side"), none.cast(toks.select(row.alias("x")).schema["x"].dataType).alias("row"), item.alias("span"))
+    # of spans with one end the first is met last; a token comes before the spans that end where it starts
+    upto = Window.partitionBy("doc_id").orderBy(F.desc("at"), "side", *[F.desc(f"span.{c}") for c in ties]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = left.unionByName(right).withColumn("span", F.last("span", ignorenulls=True).over(upto))
+    return both.filter("side = 0").select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in own], "span")
+
+
 def align_bio(toks: DataFrame, spans: DataFrame) -> DataFrame:
     """``toks`` with ``tag``: the first span that ends after a token's start, if it overlaps.
 
     B where the span starts within the token, else I; O without a span, and null for a token
     without characters, which trainers skip (-100). Spans are flat.
     """
-    own = spans.select(F.col("doc_id").alias("_d"), "label", F.col("start").alias("s"), F.col("end").alias("e"))
-    hit = toks.join(own, (toks["doc_id"] == own["_d"]) & (own["s"] < toks["end"]) & (own["e"] > toks["start"]), "left")
-    first = hit.groupBy("doc_id", "ord", "start", "end").agg(F.min(F.struct("e", "s", "label")).alias("f"))
-    begins = (F.col("f.s") >= F.col("start")) & (F.col("f.s") < F.col("end"))
-    return first.select("doc_id", "ord", "start", "end", F.when(F.col("start") == F.col("end"), None).when(F.col("f.label").isNull(), "O").otherwise(F.concat(F.when(begins, "B-").otherwise("I-"), F.col("f.label"))).alias("tag"))
+    rows = swept(toks.select("doc_id", "ord", "start", "end"), spans, ["start", "end", "label"], ("start", "label"))
+    begins = F.col("span.start") >= F.col("start")
+    tag = F.when(F.col("start") == F.col("end"), None).when(F.col("span").isNull() | (F.col("span.start") >= F.col("end")), "O").otherwise(F.concat(F.when(begins, "B-").otherwise("I-"), F.col("span.label")))
+    return rows.select("doc_id", "ord", "start", "end", tag.alias("tag"))
+
 
+def meetings(toks: DataFrame, spans: DataFrame, values: list[str], inside: bool) -> DataFrame:
+    """The columns of ``spans`` and ``values`` of every token inside a span (or that overlaps it), and one row of nulls a span.
 
-def decode_bio(toks: DataFrame, end: str = "max", labels: tuple[str, ...] | None = tuple(PRIORITY)) -> DataFrame:
+    No join: spans that overlap one another become one cluster, clusters are carried to the
+    tokens by a sweep, and a token looks at the few spans of its cluster. A token may also
+    overlap clusters that begin within it; these get it from a second sweep, the other way
+    round. Tokens do not overlap one another.
+    """
+    names = spans.columns
+    item = F.struct(*[F.col(f"`{c}`") for c in names])
+    held = clusters(spans.filter("start < end"), ["doc_id"]).groupBy("doc_id", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set(item).alias("held"))
+    some = toks.filter("start < end").select("doc_id", "start", "end", *values)
+    met = swept(some, held, ["start", "end", "held"]).filter("span.start < end")
+    fits = (lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"])) if inside else (lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    own = [F.col(v).alias(f"_{v}") for v in values]
+    out = met.select(F.explode(F.filter("span.held", fits)).alias("s"), *own)
+    if not inside:
+        # the token in which a cluster begins; if the cluster before it ends within the token, the sweep above met only that one
+        before = F.lag("end").over(Window.partitionBy("doc_id").orderBy("start"))
+        none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+        later = held.withColumn("before", before).filter("before is not null").select("doc_id", F.col("start").cast("long").alias("at"), F.lit(1).alias("side"), "held", "before")
+        row = some.select("doc_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("side"), F.struct("start", "end", *values).alias("tok"))
+        both = later.select("*", none(row, "tok")).unionByName(row.select("*", none(later, "held"), none(later, "before")))
+        upto = Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        begun = both.withColumn("tok", F.last("tok", ignorenulls=True).over(upto)).filter("side = 1 and tok.end > at and before > tok.start")
+        begun = begun.select("held", F.col("tok.start").alias("start"), F.col("tok.end").alias("end"), *[F.col(f"tok.{v}").alias(f"_{v}") for v in values])
+        out = out.unionByName(begun.select(F.explode(F.filter("held", fits)).alias("s"), *[f"_{v}" for v in values]))
+    base = spans.select(item.alias("s"), *[F.lit(None).cast(some.schema[v].dataType).alias(f"_{v}") for v in values]).distinct()
+    return out.unionByName(base).select("s.*", *[F.col(f"_{v}").alias(v) for v in values])
+
+
+def decode_bio(toks: DataFrame, end: str = "max", labels: tuple[str, ...] | None = tuple(PRIORITY), conf: str | None = None) -> DataFrame:
     """Spans of runs of tags: a run starts at B, at another label, or after O.
 
     toks: doc_id, ord, start, end, tag; null tags are skipped. ``end`` is the greatest end of
     the run, or with "last" the end of its last token. A tag that is neither O nor B or I with
-    one of ``labels`` is an error (with None all labels are taken).
+    one of ``labels`` is an error (with None all labels are taken). ``conf`` ("mean" or "max")
+    adds a column of that name over the column of the run's tokens that have characters (0 without one).
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     known = F.col("tag").rlike("^[BI]-.") if labels is None else F.col("tag").isin(*[f"{p}-{x}" for p in "BI" for x in labels])
@@ -122,7 +198,10 @@ def decode_bio(toks: DataFrame, end: str = "max", labels: tuple[str, ...] | None
     opens = F.col("label").isNotNull() & (F.col("tag").startswith("B") | was.isNull() | (was != F.col("label")))
     rows = rows.withColumn("_o", opens.cast("int")).withColumn("run", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     stop = F.max("end") if end == "max" else F.max_by("end", "ord")
-    return rows.filter("label is not null").groupBy("doc_id", "run").agg(F.first("label").alias("label"), F.min_by("start", "ord").alias("start"), stop.alias("end")).select("doc_id", "label", "start", "end")
+    also = {} if conf is None else {"conf": F.coalesce((F.avg if conf == "mean" else F.max)(F.when(F.col("start") < F.col("end"), F.col("conf"))), F.lit(0.0))}
+    # the label is the same in a whole run, so it is a key rather than an aggregate of texts
+    runs = rows.filter("label is not null").groupBy("doc_id", "run", "label").agg(F.min_by("start", "ord").alias("start"), stop.alias("end"), *[c.alias(n) for n, c in also.items()])
+    return runs.select("doc_id", "label", "start", "end", *also)
 
 
 def token_windows(toks: DataFrame, length: int, stride: int, special: int = 2) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import scores
 from spanforge.functions import text as tx
 from spanforge.operators import calibration as cal
+from spanforge.operators import decode as dc
 from spanforge.operators import scoring as sc
 from spanforge.operators import spans as sp
+from spanforge.sources.shared import written
 
 
 def gate_sweep(gold: DataFrame, pred: DataFrame, folds: DataFrame, taus: list[float]) -> DataFrame:
@@ -61,41 +63,128 @@ def pick_temperature(sweep: DataFrame, split: str = "analysis") -> DataFrame:
 POLICIES = ("identity", "word_snap", "word_suffix_snap", "global_offset", "joint_offset", "label_offset", "mid_token_offset")
 
 
+def fitted_moves(pairs: DataFrame, fits: list) -> dict[tuple[str, tuple], list]:
+    """The folds of every different move: (policy, ((label, d_start, d_end), ...)) of the offset policies.
+
+    ``pairs`` (label, d_start, d_end, fold) are counted once, by fold; what comes to the driver
+    is a few numbers a fold. Folds whose fits agree share a move, so that it is tried once.
+    """
+    modes = sc.offset_modes(pairs, ["fold"]).collect()
+    both = {r["fold"]: (r["d_start"], r["d_end"]) for r in sc.joint_offset_mode(pairs, ["fold"]).collect()}
+    found = {(r["fold"], r["label"]): (r["d_start"], r["d_end"]) for r in modes}
+    out: dict[tuple[str, tuple], list] = {}
+    for fit in fits:
+        every = found.get((fit, "ALL"), (0, 0))
+        of = {
+            "global_offset": [every] * len(sc.LABELS),
+            "joint_offset": [both.get(fit, (0, 0))] * len(sc.LABELS),
+            "label_offset": [found.get((fit, x), every) for x in sc.LABELS],
+            "mid_token_offset": [every] * len(sc.LABELS),
+        }
+        for policy, moves in of.items():
+            out.setdefault((policy, tuple((x, *m) for x, m in zip(sc.LABELS, moves, strict=True))), []).append(fit)
+    return out
+
+
 def policy_tournament(gold: DataFrame, pred: DataFrame, docs: DataFrame, folds: DataFrame) -> DataFrame:
     """policy, fold, tp, fp, fn, f1: offsets are fitted on a fold and scored on all others.
 
-    The fold that an offset comes from is a column, so all folds and policies are one plan:
-    a span stands once for each fold that is not its own, and for each policy.
+    Scores are additive: every different move is made once on every span and counted by the
+    fold of its document, and what a fit scores on the other folds is the total less its own.
+    Spans are written once, as several branches read them; the texts are read once, for the
+    edges of words, and all policies are columns of that one pass.
+    """
+    gold = written(gold.select(*sc.KEYS).distinct(), "gold")
+    pred = written(pred.select(*sc.KEYS).distinct(), "predicted")
+    own = written(folds.select("doc_id", "fold"), "folds")
+    fits = [r["fold"] for r in own.select("fold").distinct().orderBy("fold").collect()]  # as many as folds
+    moves = fitted_moves(written(sc.offset_pairs(gold, pred).join(own, "doc_id"), "offset-pairs"), fits)
+
+    held = pred.groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end")).alias("spans")).join(docs.select("doc_id", "text"), "doc_id")
+    rows = held.select("doc_id", "text", F.length("text").alias("n"), F.explode("spans").alias("x")).select("doc_id", "text", "n", "x.*")
+    text, start, end = F.col("text"), F.col("start"), F.col("end")
+    # exploding keeps the edges from being worked out again for every place that they are used in
+    seen = F.struct(tx.expand_to_word_edges(text, start, end).alias("w"), tx.mid_token(text, start).alias("s"), tx.mid_token(text, end).alias("e"))
+    rows = rows.withColumn("m", F.explode(F.array(seen))).withColumn("suffix", tx.attach_suffix(text, F.col("m.w.start"), F.col("m.w.end"))).drop("text")
+
+    def moved(policy: str, of: tuple) -> tuple[Column, Column]:
+        a, b = (F.coalesce(*[F.when(F.col("label") == x[0], x[k]) for x in of], F.lit(0)) for k in (1, 2))
+        if policy == "mid_token_offset":
+            a, b = F.when(F.col("m.s"), a).otherwise(0), F.when(F.col("m.e"), b).otherwise(0)
+        to = scores.shift_span(start, end, a, b, F.col("n"))
+        return to["start"], to["end"]
+
+    ends = {"identity": (start, end), "word_snap": (F.col("m.w.start"), F.col("m.w.end")), "word_suffix_snap": (F.col("m.w.start"), F.col("suffix"))}
+    tries = [(p, [*fits], ends[p]) for p in ends] + [(p, at, moved(p, of)) for (p, of), at in moves.items()]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("try"), s.cast("long").alias("start"), e.cast("long").alias("end")) for i, (_, _, (s, e)) in enumerate(tries)]))
+    rows = rows.select("doc_id", "label", each.alias("x")).select("x.try", "doc_id", "label", "x.start", "x.end")
+    flat = sp.select_flat(rows.filter("try > 0"), keys=("try", "doc_id")).unionByName(rows.filter("try = 0"))
+
+    hit = flat.distinct().join(gold.withColumn("g", F.lit(1)), sc.KEYS, "left")
+    found = hit.groupBy("try", "doc_id").agg(F.count("*").alias("n"), F.count("g").alias("tp")).join(own, "doc_id").groupBy("try", "fold").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+    truth = gold.groupBy("doc_id").agg(F.count("*").alias("n")).join(own, "doc_id").groupBy("fold").agg(F.sum("n").alias("gold"))
+    # one row a try and fold from here on
+    got = {(r["try"], r["fold"]): (r["n"], r["tp"]) for r in found.collect()}
+    want = {r["fold"]: r["gold"] for r in truth.collect()}
+    out = []
+    for i, (policy, at, _) in enumerate(tries):
+        for fit in at:
+            n, tp = (sum(got.get((i, f), (0, 0))[k] for f in fits if f != fit) for k in (0, 1))
+            out.append((policy, fit, tp, n - tp, sum(v for f, v in want.items() if f != fit) - tp))
+    frame = gold.sparkSession.createDataFrame(out, f"policy string, fold {own.schema['fold'].dataType.simpleString()}, tp long, fp long, fn long")
+    return sc.with_prf(frame).select("policy", "fold", "tp", "fp", "fn", "f1")
+
+
+DIRECTIONS = ("right", "left", "both")
+
+
+def continuation_sweep(gold: DataFrame, spans: DataFrame, docs: DataFrame, masses: DataFrame, gates: list[float], taus: list[float], directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
+    """gate, direction, tau, tp, fp, fn, precision, recall, f1 of spans grown by a neighbouring word.
+
+    spans: doc_id, label, start, end, conf. Of the spans whose conf passes the gate, one grows
+    by the word next to it whose mass is ``tau`` or more and that touches no other of them (the
+    greater mass of both sides, ties to the right). So with tau a span changes once, where tau
+    passes the mass of its word: it stands grown up to there and as it is beyond. A key (span
+    on whatever side) is there for tau up to the greatest mass that leads to it, and beyond the
+    least that leads away from it. These two breakpoints are counted in one histogram, and the
+    sums of its steps give the scores of all taus, so words are looked up and weighed once
+    whatever the number of gates, directions and taus.
     """
-    fit = folds.select(F.col("fold").alias("fit")).distinct()
-    own = folds.select("doc_id", "fold")
-    pairs = sc.offset_pairs(gold, pred).join(own, "doc_id")
-    modes = sc.offset_modes(pairs, ["fold"]).withColumnRenamed("fold", "fit")
-    overall = modes.filter("label = 'ALL'").select("fit", F.col("d_start").alias("all_s"), F.col("d_end").alias("all_e"))
-    joint = sc.joint_offset_mode(pairs, ["fold"]).select(F.col("fold").alias("fit"), F.col("d_start").alias("both_s"), F.col("d_end").alias("both_e"))
-    by_label = modes.select("fit", "label", "d_start", "d_end")
-    others = lambda df: df.join(own, "doc_id").crossJoin(F.broadcast(fit)).filter("fit <> fold").drop("fold")
-    text = F.col("text")
-    measured = pred.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "label", "start", "end", F.length("text").alias("n"), tx.mid_token(text, F.col("start")).alias("mid_s"), tx.mid_token(text, F.col("end")).alias("mid_e"))
-    rows = others(measured).join(overall, "fit", "left").join(joint, "fit", "left").join(by_label, ["fit", "label"], "left")
-    zero = F.lit(0)
-    a, b = F.coalesce("all_s", zero), F.coalesce("all_e", zero)
-    moves = {
-        "global_offset": (a, b),
-        "joint_offset": (F.coalesce("both_s", zero), F.coalesce("both_e", zero)),
-        "label_offset": (F.coalesce("d_start", a), F.coalesce("d_end", b)),
-        "mid_token_offset": (F.when(F.col("mid_s"), a).otherwise(0), F.when(F.col("mid_e"), b).otherwise(0)),
-    }
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), scores.shift_span(F.col("start"), F.col("end"), s, e, F.col("n")).alias("m")) for n, (s, e) in moves.items()]))
-    moved = rows.select("fit", "doc_id", "label", each.alias("x")).select("fit", "x.policy", "doc_id", "label", F.col("x.m.start").alias("start"), F.col("x.m.end").alias("end"))
-    moved = sp.select_flat(moved, keys=("fit", "policy", "doc_id"))
-    cols = ["fit", "policy", *sc.KEYS]
-    fixed = others(pred).withColumn("policy", F.lit("identity")).select(*cols)
-    for name, suffix in (("word_snap", False), ("word_suffix_snap", True)):
-        fixed = fixed.unionByName(others(sp.snap_words(pred, docs, suffix=suffix)).withColumn("policy", F.lit(name)).select(*cols))
-    truth = others(gold).withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).select(*cols)
-    found = sc.sides(truth, moved.select(*cols).unionByName(fixed), sc.KEYS, ["policy", "fit"])
-    return sc.with_prf(found.groupBy("policy", "fit").agg(*sc.counts())).select("policy", F.col("fit").alias("fold"), "tp", "fp", "fn", "f1")
+    grid, limits = sorted(set(taus)), sorted(set(gates))
+    spans = written(spans.select(*sc.KEYS, "conf").groupBy(*sc.KEYS).agg(F.max("conf").alias("conf")), "spans")
+    words = written(dc.word_mass(dc.neighbour_words(spans, docs), masses, [*sc.KEYS[:1], "start", "end", "conf", "side"]), "words")
+    # the greatest conf of the other spans that a word touches: from that gate down it is not free
+    own = words.withColumn("cell", sp.cells(F.col("ws"), F.col("we")))
+    other = spans.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("conf").alias("_c")).withColumn("cell", sp.cells(F.col("_s"), F.col("_e")))
+    touched = (F.col("ws") < F.col("_e")) & (F.col("we") > F.col("_s")) & ~((F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end")))
+    free = own.join(other, ["doc_id", "cell"], "left").groupBy(*words.columns).agg(F.max(F.when(touched, F.col("_c"))).alias("taken"))
+    word = F.struct("mass", "side", "ws", "we", "taken")
+    beside = free.groupBy(*sc.KEYS).agg(F.collect_list(word).alias("words"))
+    rows = spans.join(beside, sc.KEYS, "left")
+    passes = F.filter(F.array(*[F.lit(float(g)) for g in limits]), lambda g: (g == 0) | (F.col("conf") >= g))
+    rows = rows.select(*sc.KEYS, "words", F.explode(passes).alias("gate"), F.lit(list(directions)).alias("d")).select(*sc.KEYS, "words", "gate", F.explode("d").alias("direction"))
+    side = F.when(F.col("direction") == "right", 1).when(F.col("direction") == "left", 0)
+    fits = F.filter("words", lambda w: (w["taken"].isNull() | ((w["taken"] < F.col("gate")) & (F.col("gate") > 0))) & F.coalesce(w["side"] == side, F.lit(True)))
+    rows = rows.withColumn("best", F.explode(F.array(F.array_max(fits))))
+    keys = ["gate", "direction", *sc.KEYS]
+    grown = {"start": F.when(F.col("best.side") == 0, F.col("best.ws")).otherwise(F.col("start")), "end": F.when(F.col("best.side") == 1, F.col("best.we")).otherwise(F.col("end"))}
+    step = lambda c: sum((F.when(c >= t, 1).otherwise(0) for t in grid), F.lit(0))
+    # upto: at the taus before it a span leads here; since: from it on one has not left
+    stays = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(0).alias("upto"), F.coalesce(step(F.col("best.mass")), F.lit(0)).alias("since"))
+    goes = F.struct(grown["start"].cast("long").alias("start"), grown["end"].cast("long").alias("end"), step(F.col("best.mass")).alias("upto"), F.lit(len(grid)).alias("since"))
+    places = F.when(F.col("best").isNull(), F.array(stays)).otherwise(F.array(stays, goes))
+    there = rows.select("gate", "direction", "doc_id", "label", F.explode(places).alias("x")).select("gate", "direction", "doc_id", "label", "x.*")
+    there = there.groupBy(*keys).agg(F.max("upto").alias("upto"), F.min("since").alias("since"))
+    truth = written(gold.select(*sc.KEYS).distinct(), "gold")
+    flagged = there.join(truth.withColumn("g", F.lit(1)), sc.KEYS, "left")
+    bars = flagged.groupBy("gate", "direction", F.coalesce("g", F.lit(0)).alias("g"), "upto", "since").agg(F.count("*").alias("n"))
+    total = truth.agg(F.count("*").alias("gold"))
+    at = bars.withColumn("k", F.explode(F.lit(list(range(len(grid)))))).filter("k < upto or k >= since")
+    sums = at.groupBy("gate", "direction", "k").agg(F.sum(F.col("g") * F.col("n")).alias("tp"), F.sum((1 - F.col("g")) * F.col("n")).alias("fp"))
+    every = gold.sparkSession.createDataFrame([(float(g), d, k, float(t)) for g in limits for d in directions for k, t in enumerate(grid)], "gate double, direction string, k int, tau double")
+    out = F.broadcast(every).join(sums, ["gate", "direction", "k"], "left").crossJoin(F.broadcast(total))  # one row
+    tp = F.coalesce("tp", F.lit(0))
+    return sc.with_prf(out.select("gate", "direction", "tau", tp.alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), (F.col("gold") - tp).alias("fn")))
 
 
 def calibrated_gate(logits: DataFrame, gated: Callable[[float], DataFrame], temperatures: list[float]) -> DataFrame:

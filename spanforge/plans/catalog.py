@@ -573,13 +573,6 @@ def temperature_sweep(spark, d):
     return tu.temperature_sweep(rows, _TEMPS)
 
 
-@query()
-def policy_kfold(spark, d):
-    docs, gold, pred = vw.both(spark, d)
-    scored = tu.policy_tournament(gold, pred, docs, etl.folds(docs, "doc_id", 5, 42))
-    return tu.summarize(scored, ["policy"], "f1")
-
-
 # registry
 
 
@@ -605,4 +598,4 @@ def prometheus_rows(spark, d):
     return rn.exposition(vw.runs(spark, d))
 
 
-from spanforge.plans import more  # noqa: E402, F401  (registers its queries)
+from spanforge.plans import grids, more  # noqa: E402, F401  (register their queries)

@@ -135,38 +135,6 @@ def continued_spans(spark, d):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("start").alias("sum_s"), F.sum("end").alias("sum_e"))
 
 
-@query()
-def leftover_mass(spark, d):
-    """Gold spans of two words, of which the prediction holds the first."""
-    docs, gold, _ = vw.both(spark, d)
-    wide = gold.join(docs.select("doc_id", "text"), "doc_id").withColumn("w", tx.neighbour_word(F.col("text"), F.col("start"), F.col("end"), "right")).filter("w is not null")
-    return dc.leftover_mass(wide.select("doc_id", "label", "start", F.col("w.end").alias("end")), gold, docs, _masses(spark, d), [0.3, 0.5, 0.7])
-
-
-@query()
-def continuation_grid(spark, d):
-    """F1 of grown spans by gate, direction and tau, as one union."""
-    docs, gold, pred = ca._with_conf(spark, d)
-    masses, out = _masses(spark, d), None
-    for gate in (0.0, 0.5):
-        kept = pred.filter(F.col("conf") >= gate).drop("conf") if gate else pred.drop("conf")
-        for direction in ("right", "both"):
-            for tau in (0.5, 0.8):
-                grown = dc.continue_spans(kept, docs, masses, tau, direction, snap=False).select(F.lit(gate).alias("gate"), F.lit(direction).alias("direction"), F.lit(tau).alias("tau"), *sc.KEYS)
-                out = grown if out is None else out.unionByName(grown)
-    grid = out.select("gate", "direction", "tau").distinct()
-    truth = gold.crossJoin(F.broadcast(grid)).select("gate", "direction", "tau", *sc.KEYS)
-    return sc.exact_metrics(truth, out, ["gate", "direction", "tau"]).filter("scope = 'micro'").select("gate", "direction", "tau", "tp", "fp", "fn", "f1")
-
-
-@query()
-def calibrated_gate(spark, d):
-    docs, gold, pred = ca._with_conf(spark, d)
-    rows = vw.logits(spark, d).withColumn("split", F.when(F.col("id") % 2 == 0, "analysis").otherwise("held"))
-    parts = etl.folds(docs, "doc_id", 5, 42)
-    return tu.calibrated_gate(rows, lambda t: tu.gate_sweep(gold, pred, parts, ca._TAUS), [0.1, 0.5, 1.0])
-
-
 # guards
 
 

@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The documents, dealt anew if the files give fewer partitions than the session can run at once."""
+    docs = table(spark, sf_dir, "documents")
+    slots = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= slots else docs.repartition(slots)
 
 
 def kind(n):
@@ -28,17 +31,20 @@ def next_label(label):
 
 def annotated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gold and predicted spans of ``docs``: capitalised token heads, and a fixed disturbance of them."""
-    toks = sp.tokens(docs).withColumn("lead", F.regexp_extract("surface", r"^\p{Lu}\p{L}+", 0)).withColumn("n", F.length("lead"))
-    gold = toks.filter("n > 0").select("doc_id", kind(F.col("n")).alias("label"), "start", (F.col("start") + F.col("n")).cast("int").alias("end"))
+    toks = sp.tokens(docs).withColumn("n", F.length(F.regexp_extract("surface", r"^\p{Lu}\p{L}+", 0)))
+    head = (F.col("start") + F.col("n")).cast("int")
+    gold = toks.filter("n > 0").select("doc_id", kind(F.col("n")).alias("label"), "start", head.alias("end"))
+    # both kinds of predictions come from one pass over the tokens
     r = (F.col("doc_id") * 31 + F.col("start")) % 10
+    spurious = (F.col("n") == 0) & (F.length("surface") >= 4) & ((F.col("doc_id") * 17 + F.col("start")) % 40 == 7)
+    rows = toks.filter(((F.col("n") > 0) & (r != 0)) | spurious).withColumns({"r": r, "label": kind(F.col("n")), "end": F.when(F.col("n") > 0, head).otherwise(F.col("end"))})
     long_ = (F.col("end") - F.col("start")) > 2
-    pred = gold.withColumn("r", r).filter("r <> 0").select(
-        "doc_id", F.when(F.col("r").isin(1, 4), next_label(F.col("label"))).otherwise(F.col("label")).alias("label"),
-        F.when((F.col("r") == 3) & long_, F.col("start") + 1).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("r").isin(2, 4) & long_, F.col("end") - 1).otherwise(F.col("end")).alias("end"),
+    pred = rows.select(
+        "doc_id", F.when(F.col("n") == 0, "GEO").when(F.col("r").isin(1, 4), next_label(F.col("label"))).otherwise(F.col("label")).alias("label"),
+        F.when((F.col("n") > 0) & (F.col("r") == 3) & long_, F.col("start") + 1).otherwise(F.col("start")).alias("start"),
+        F.when((F.col("n") > 0) & F.col("r").isin(2, 4) & long_, F.col("end") - 1).otherwise(F.col("end")).alias("end"),
     )
-    spurious = toks.filter((F.col("n") == 0) & (F.length("surface") >= 4) & ((F.col("doc_id") * 17 + F.col("start")) % 40 == 7)).select("doc_id", F.lit("GEO").alias("label"), "start", "end")
-    return gold, pred.unionByName(spurious)
+    return gold, pred
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
