@@ -19,8 +19,8 @@ fingerprints, about the shared part for others, about 0 for unrelated texts, wit
 error of about ``WIDE ** -0.5`` there.
 
 All work is done by DataFrame functions. Lanes are sums in one hash aggregate, combined
-before the shuffle, so what is shuffled is a vector a text. ``successors`` shuffles the texts
-once, into bins of consecutive ids. Bins come from percentiles of the ids, each divided
+before a shuffle, so at most a vector a text is shuffled. ``successors`` shuffles the texts
+once, into bins of consecutive ids, and ``edits`` needs no other shuffle. Bins come from percentiles of the ids, each divided
 evenly, so that their number follows the number of rows; ids that hold more than one part in
 ``PARTS`` of the rows, and null ids, are divided by text hash besides.
 
@@ -35,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import materialize
+
 EQUAL, WIDE = 16, 128
 MASK = (1 << 32) - 1
 PARTS, ROWS, MOST = 256, 500, 4096
@@ -94,11 +96,10 @@ def bin_of(docs: DataFrame) -> Column:
     cuts = sorted(set(found))
     common = [c for c in cuts if found.count(c) > 1]
     subs = min(max(stats["n"] // (PARTS * ROWS), 1), MOST)
-    ends = [*cuts[1:], (stats["most"] or 0) + 1]
-    widths = [max(-(-(b - a) // subs), 1) for a, b in zip(cuts, ends, strict=True)]
     split = F.shiftright("th", 56) + 128
     if not cuts:
         return -1 - split
+    widths = [max(-(-(b - a) // subs), 1) for a, b in zip(cuts, [*cuts[1:], stats["most"] + 1], strict=True)]
     numbers = lambda x: F.array(*[F.lit(v).cast("long") for v in x])
     did = F.col("did")
     part = F.size(F.filter(numbers(cuts), lambda c: c <= did))
@@ -108,7 +109,10 @@ def bin_of(docs: DataFrame) -> Column:
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, text and next_uid, next_text: of every document and of the next one by descending doc_id; the first follows the last."""
+    """bin, k, uid, doc_id, text, next_uid, next_text: every document beside the next one by descending doc_id; the first follows the last.
+
+    k counts the documents of a bin; the result is dealt by bin.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     # the same columns in every use, so that the exchange is planned once
@@ -120,7 +124,7 @@ def successors(docs: DataFrame) -> DataFrame:
     bins = firsts.select("bin").withColumns({"after": F.lead("bin").over(Window.orderBy(F.desc("bin"))), "top": F.max("bin").over(Window.partitionBy())})
     edges = bins.select("bin", F.coalesce("after", "top").alias("to")).join(firsts.select(F.col("bin").alias("to"), "first"), "to").select("bin", "first")
     whole = placed.join(edges, "bin").withColumn("next", F.coalesce("next", "first"))
-    return whole.select("uid", F.col("did").alias("doc_id"), "text", F.col("next.uid").alias("next_uid"), F.col("next.text").alias("next_text"))
+    return whole.select("bin", "k", "uid", F.col("did").alias("doc_id"), "text", F.col("next.uid").alias("next_uid"), F.col("next.text").alias("next_text"))
 
 
 def exchanged(pairs: DataFrame) -> DataFrame:
@@ -132,3 +136,27 @@ def exchanged(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("n", F.length("text")).withColumn("kept", F.expr("left(text, n - n div 2)"))
     rows = rows.withColumns({"edited": F.expr("concat(kept, left(next_text, n div 2))"), "same": F.expr(r"length(kept) - length(substring_index(kept, '\n', -1))")})
     return rows.withColumns({"shared": F.expr("left(text, same)"), "own": F.expr("substring(text, same + 1)"), "new": F.expr("substring(edited, same + 1)")})
+
+
+def edits(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, vector, edited (vectors), near_edited, near_next of every document.
+
+    The edited text is that of ``exchanged``; its fingerprint is the own one without the
+    paragraphs that go and with those that come. The texts stay where ``successors`` has dealt
+    them: a bin is part of every key, so vectors are summed, put together and compared with
+    the next document's without another shuffle. Only the last document of a bin, whose next
+    one lies in another, is compared afterwards: one row a bin.
+    """
+    rows = exchanged(successors(docs))
+    keys = ["bin", "k", "uid", "next_uid", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.select(*keys[:5], F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("shared", "own", "new")).alias("part", "text"))
+    parts = vectors(rows, [*keys, "part"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "vector"))).alias("p"))
+    whole = parts.withColumn("vector", plus("p[0].vector", "p[1].vector"))
+    whole = whole.withColumn("less", minus("vector", "p[1].vector")).withColumn("edited", plus("less", "p[2].vector")).drop("p", "less")
+    whole = whole.withColumn("next", F.lead("vector").over(Window.partitionBy("bin").orderBy("k")))
+    near = F.when(F.col("next").isNotNull(), likeness("vector", "next"))
+    done = materialize(whole.withColumns({"near_edited": likeness("vector", "edited"), "near_next": near}).drop("next"), "multiset-hashes")
+    firsts = done.filter("k = 1").select(F.col("uid").alias("next_uid"), F.col("vector").alias("next"))
+    lasts = done.filter("near_next is null").join(firsts, "next_uid").withColumn("near_next", likeness("vector", "next"))
+    columns = ["doc_id", "n_chars", "edited_sha256", "vector", "edited", "near_edited", "near_next"]
+    return done.filter("near_next is not null").select(*columns).unionByName(lasts.select(*columns))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import block_max, byte_cnn, language_id, line_winnow, link_trust, merkle_paths, multiset_hash, pfair_mix, piece_bpe, posting_ann, simhash_bk, threshold_topk, toxicity
-from spanforge.llm.common import ascii_lower, at_random, fold_of, materialize, table
+from spanforge.llm.common import ascii_lower, at_random, fold_of, table
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str, max_docs: int, train: Column | None = None) -> DataFrame:
@@ -87,17 +87,8 @@ def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited text's fingerprint is the own one without the paragraphs that go, and with those that come."""
-    edited = multiset_hash.exchanged(multiset_hash.successors(table(spark, sf_dir, "documents")))
-    rows = edited.select("uid", "next_uid", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("shared", "own", "new")).alias("part", "text"))
-    keys = ["uid", "next_uid", "doc_id", "n_chars", "edited_sha256"]
-    parts = multiset_hash.vectors(rows, [*keys, "part"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "vector"))).alias("p"))
-    whole = parts.withColumn("vector", multiset_hash.plus("p[0].vector", "p[1].vector"))
-    both = whole.withColumn("less", multiset_hash.minus("vector", "p[1].vector")).withColumn("edited", multiset_hash.plus("less", "p[2].vector")).drop("p", "less")
-    done = materialize(both, "multiset-hashes")
-    after = done.select(F.col("uid").alias("next_uid"), F.col("vector").alias("next"))
-    near = [multiset_hash.likeness("vector", c).alias(f"near_{c}") for c in ("edited", "next")]
-    return done.join(after, "next_uid").select("doc_id", "n_chars", "edited_sha256", multiset_hash.digits("vector").alias("fingerprint"), multiset_hash.digits("edited").alias("edited_fingerprint"), *near)
+    done = multiset_hash.edits(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", "edited_sha256", multiset_hash.digits("vector").alias("fingerprint"), multiset_hash.digits("edited").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
