@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
+from spanforge.operators import gazetteer as gz
 from spanforge.operators import spans as sp
 
 # fixed values: the sources' entity types and ours
@@ -83,12 +84,64 @@ def finalized_records(spans: DataFrame, docs: DataFrame, source: str, rewrite: b
     return docs.select("doc_id", "text").join(held, "doc_id").select(tx.record_hash(F.lit(source), F.col("doc_id"), F.col("text")).alias("hash"), "doc_id", "text", "entities")
 
 
+#: bits of a filter for each official text, and the most that one filter may have (16 MB)
+BITS_A_TEXT, MOST_BITS = 10, 1 << 27
+_BUCKET = 1 << 15  # bits of one bitmap
+
+
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of the normal form: what stands for a text in shuffles."""
+    return F.sha2(tx.normalize_text(text), 256)
+
+
+def bloom_filter(digests: DataFrame, bits: int) -> DataFrame:
+    """One row: a Bloom filter of the column ``d`` with three places a digest, as an array of bitmaps.
+
+    The bitmaps are built by an aggregate, so only set bits are shuffled, and none twice from one task.
+    """
+    places = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.pmod(F.xxhash64("d", i), F.lit(bits)))
+    held = digests.select(F.explode(places).alias("at")).groupBy(F.expr(f"at div {_BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % _BUCKET).alias("bitmap"))
+    every = digests.sparkSession.range(bits // _BUCKET).withColumnRenamed("id", "bucket").join(held, "bucket", "left")
+    order = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("bitmap", F.lit(bytearray())).alias("bitmap"))))
+    return every.agg(F.transform(order, lambda x: x["bitmap"]).alias("bits"))
+
+
+def may_hold(bits: int) -> Column:
+    """Whether the filter in column ``bits`` may hold the digest ``d``."""
+
+    def one(i: int) -> Column:
+        at = F.pmod(F.xxhash64("d", F.lit(i)), F.lit(bits))
+        octet = F.substring(F.get("bits", (at / _BUCKET).cast("int")), ((at % _BUCKET) / 8).cast("int") + 1, F.lit(1))
+        return F.coalesce(F.conv(F.hex(octet), 16, 10).cast("int"), F.lit(0)).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+
+    return one(0) & one(1) & one(2)
+
+
+def leak_flags(rows: DataFrame, official: DataFrame) -> DataFrame:
+    """``rows`` (with text) with d (digest) and leak: whether the text's normal form is that of an official one.
+
+    Equal texts have equal normal forms, so this is the whole test. A Bloom filter of the
+    official texts lets nearly all others pass where they are read; the rest, the candidates,
+    meet the official texts by digest and are compared in full. So what is shuffled is official
+    texts and candidates, and no text is a key. A filter holds ``MOST_BITS`` at most (further
+    official texts make it let through more candidates, never fewer leaks).
+    """
+    own = rows.withColumn("d", text_digest(F.col("text")))
+    known = official.filter(F.col("text").isNotNull()).select(text_digest(F.col("text")).alias("d"), tx.normalize_text(F.col("text")).alias("_norm"))
+    n = known.count()
+    bits = _BUCKET
+    while bits < min(n * BITS_A_TEXT, MOST_BITS):
+        bits *= 2
+    seen = own.crossJoin(F.broadcast(bloom_filter(known.select("d"), bits))).withColumn("_may", F.coalesce(may_hold(bits), F.lit(False))).drop("bits")
+    texts = known.groupBy("d").agg(F.first("_norm").alias("_norm"), F.lit(True).alias("_hit"))
+    met = seen.filter("_may").join(texts, "d", "left").withColumn("leak", F.coalesce(F.col("_hit") & (F.col("_norm") == tx.normalize_text(F.col("text"))), F.lit(False)))
+    columns = [*rows.columns, "d", "leak"]
+    return seen.filter("not _may").withColumn("leak", F.lit(False)).select(*columns).unionByName(met.select(*columns))
+
+
 def drop_leaks(rows: DataFrame, official: DataFrame) -> DataFrame:
-    """``rows`` without texts that equal an official text, as they are or in normal form."""
-    exact = official.select("text").distinct()
-    norm = official.select(tx.normalize_text(F.col("text")).alias("norm")).distinct()
-    out = rows.filter(F.col("text").isNotNull()).join(exact, "text", "left_anti")
-    return out.withColumn("norm", tx.normalize_text(F.col("text"))).join(norm, "norm", "left_anti")
+    """``rows`` (of those with a text) without texts that equal an official text, as they are or in normal form."""
+    return leak_flags(rows.filter(F.col("text").isNotNull()), official).filter("not leak").select(*rows.columns)
 
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -97,14 +150,36 @@ def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def conservation(rows: DataFrame, official: DataFrame) -> DataFrame:
-    """source, docs_in, official, cross_source, kept; the last three add up to the first."""
-    exact = official.select("text", F.lit(1).alias("e")).distinct()
-    norm = official.select(tx.normalize_text(F.col("text")).alias("norm"), F.lit(1).alias("m")).distinct()
-    own = rows.withColumn("norm", tx.normalize_text(F.col("text"))).join(exact, "text", "left").join(norm, "norm", "left")
-    own = own.withColumn("leak", F.coalesce("e", "m").isNotNull())
-    first = own.filter(~F.col("leak")).groupBy("norm").agg(F.min(F.struct("source", "doc_id")).alias("first"))
-    own = own.join(first, "norm", "left").withColumn("kept", ~F.col("leak") & (F.struct("source", "doc_id") == F.col("first")))
-    return own.groupBy("source").agg(F.count("*").alias("docs_in"), F.count_if("leak").alias("official"), F.count_if(~F.col("leak") & ~F.coalesce("kept", F.lit(False))).alias("cross_source"), F.count_if("kept").alias("kept"))
+    """source, docs_in, official, cross_source, kept; the last three add up to the first.
+
+    Of the rows of one normal form the first by (source, doc_id) is kept; rows without a text
+    are not. Rows are counted by digest and source, so a text that many rows share is as many
+    rows as it has sources.
+    """
+    n = leak_flags(rows.select("source", "doc_id", "text"), official).groupBy("d", "source", "leak").agg(F.count("*").alias("n"))
+    first = F.min("source").over(Window.partitionBy("d", "leak")) == F.col("source")
+    kept = F.when(~F.col("leak") & F.col("d").isNotNull() & first, 1).otherwise(0)
+    n = n.withColumn("kept", kept).groupBy("source").agg(F.sum("n").alias("docs_in"), F.sum(F.when(F.col("leak"), F.col("n")).otherwise(0)).alias("official"), F.sum("kept").alias("kept"))
+    return n.select("source", "docs_in", "official", (F.col("docs_in") - F.col("official") - F.col("kept")).alias("cross_source"), "kept")
+
+
+def write_kept(rows: DataFrame, official: DataFrame, path: str, sources: list[str]) -> list[dict]:
+    """Writes the rows that ``conservation`` keeps, and returns its counters: they come with the write, not from a second scan.
+
+    rows: source, doc_id, text and more. ``sources`` are those to be counted; the counters of
+    any other are not asked for, but its rows are written too.
+    """
+    seen, left = Observation(), Observation()
+    count = lambda name, ok: [F.count_if((F.col("source") == s) & ok).alias(f"{name}_{i}") for i, s in enumerate(sources)]
+    flagged = leak_flags(rows, official).observe(seen, F.count("*").alias("all"), *count("in", F.lit(True)), *count("official", F.col("leak")))
+    kept = first_wins(flagged.filter("not leak and d is not null"), "d", ["source", "doc_id"]).select(*rows.columns)
+    kept.observe(left, F.count("*").alias("all"), *count("kept", F.lit(True))).write.mode("overwrite").parquet(path)
+    a, b = seen.get, left.get
+    out = []
+    for i, s in enumerate(sources):
+        n, gone, stay = a[f"in_{i}"], a[f"official_{i}"], b[f"kept_{i}"]
+        out.append({"source": s, "docs_in": n, "official": gone, "cross_source": n - gone - stay, "kept": stay})
+    return out
 
 
 def seeded_order(key: Column, seed: int) -> Column:
@@ -141,12 +216,16 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(seeded_order(F.col(key), seed), key).limit(n)
 
 
-def gazetteer_spans(docs: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
-    """Flat hits of a short lexicon anywhere in a text: longer surfaces first, then its order, then earlier hits."""
-    lexicon = [(s, label) for s, label in lexicon if s and label in sp.PRIORITY]
-    if not lexicon:
-        return docs.limit(0).select("doc_id", F.lit("").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    hits = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("k"), F.lit(len(s)).alias("n"), tx.all_hits(F.col("text"), F.lit(s)).alias("at")) for k, (s, label) in enumerate(lexicon)])
-    rows = docs.filter(F.greatest(*[F.instr("text", s) for s, _ in lexicon], F.lit(0)) > 0).select("doc_id", F.explode(hits).alias("h"))
-    rows = rows.select("doc_id", "h.label", "h.k", F.explode("h.at").alias("start"), "h.n").select("doc_id", "label", "k", "start", (F.col("start") + F.col("n")).alias("end"))
+def gazetteer_spans(docs: DataFrame, lexicon: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """Flat hits of a lexicon anywhere in a text: longer surfaces first, then the lexicon's order, then earlier hits.
+
+    A lexicon is a list of (surface, label), or rows of surface, label and k, by which they are
+    ordered. It is joined to the hits by surface: what is joined is hits, not texts.
+    """
+    if isinstance(lexicon, list):
+        rows = [(s, label, k) for k, (s, label) in enumerate(lexicon)]
+        lexicon = docs.sparkSession.createDataFrame(rows, "surface string, label string, k int")
+    lexicon = lexicon.filter(F.col("label").isin(*sp.PRIORITY) & (F.col("surface") != ""))
+    hits = gz.lexicon_hits(docs, lexicon)
+    rows = hits.join(lexicon.select("surface", "label", "k"), "surface").select("doc_id", "label", "k", "start", "end")
     return sp.select_flat(rows, order=("k", "start"))

@@ -413,17 +413,29 @@ def benchmark_containment(spark, d):
     return hits.groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
-_LEX = [("the that", "ORG"), ("hat", "NAME"), ("the", "GEO"), ("und der", "ORG"), ("que", "NAME"), ("Jahr", "LOC"), ("tha", "GEO")]
-_LEXSQL = ", ".join(f"('{s}', '{label}', {k})" for k, (s, label) in enumerate(_LEX) if label != "LOC")
+#: shorter names are left out of the lexicon
+_LEAST = 4
 
 
-@query(f"""WITH lex(w, label, k) AS (VALUES {_LEXSQL}),
-h AS (SELECT doc_id, label, k, CAST(i AS BIGINT) AS s, CAST(i + length(w) AS BIGINT) AS e FROM (SELECT doc_id, text, w, label, k, unnest(range(length(text))) AS i FROM documents JOIN lex ON contains(text, w)) WHERE substr(text, i + 1, length(w)) = w),
+def _lexicon(spark, d) -> DataFrame:
+    """surface, label, k of all gold surfaces, in the order of the surfaces."""
+    docs, gold, _ = vw.both(spark, d)
+    names = gold.filter(F.col("end") - F.col("start") >= _LEAST).join(docs.select("doc_id", "text"), "doc_id")
+    surface = tx.slice_text(F.col("text"), F.col("start"), F.col("end"))
+    return names.select(surface.alias("surface"), "label").distinct().withColumn("k", F.col("surface"))
+
+
+# the SQL looks up the first four characters from every place, and then the whole surface
+@query(f"""WITH {SPANS}, lex AS (SELECT DISTINCT substr(text, s + 1, e - s) AS w, label FROM gold JOIN documents USING (doc_id) WHERE e - s >= {_LEAST}),
+ch AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE text <> '')),
+pos AS (SELECT doc_id, i, c || lead(c, 1) OVER o || lead(c, 2) OVER o || lead(c, 3) OVER o AS p FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, label, w AS k, CAST(i AS BIGINT) AS s, CAST(i + length(w) AS BIGINT) AS e FROM pos JOIN lex ON p = substr(w, 1, 4) JOIN documents USING (doc_id) WHERE substr(text, i + 1, length(w)) = w),
 a AS (SELECT doc_id, list_sort(list(struct_pack(size := s - e, k := k, s := s, label := label, e := e))) AS arr FROM h GROUP BY doc_id),
 t AS ({fold("a", "a.s < x.e AND x.s < a.e")}) SELECT v.label AS label, count(*) AS n, CAST(sum(v.s) AS BIGINT) AS sum_s FROM t GROUP BY 1""")
 def gazetteer_hits(spark, d):
+    """Flat hits of the gold names of the whole table, anywhere in its texts."""
     docs = vw.documents(spark, d).select("doc_id", "text")
-    return etl.gazetteer_spans(docs, _LEX).groupBy("label").agg(F.count("*").alias("n"), F.sum("start").alias("sum_s"))
+    return etl.gazetteer_spans(docs, _lexicon(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.sum("start").alias("sum_s"))
 
 
 @query("""WITH g AS (SELECT DISTINCT doc_id FROM labels), x AS (SELECT doc_id FROM documents),

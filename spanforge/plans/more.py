@@ -311,6 +311,20 @@ def span_source_profile(spark, d):
     return ex.span_records(_records(spark, d))
 
 
+@query(f"""WITH {SPANS}, r AS (SELECT DISTINCT doc_id, label, s, e, text FROM pred JOIN documents USING (doc_id) WHERE label <> 'GEO' AND doc_id % 5 <> 0 AND doc_id % 7 <> 0),
+x AS (SELECT *, CASE WHEN e < length(text) AND NOT regexp_matches(substr(text, e + 1, 1), '^[{WHITE}]$') AND instr('«»"“”()[]{{}}', substr(text, e + 1, 1)) = 0 AND regexp_matches(substr(text, e, 1), '^[{ca._W}]$')
+  THEN length(regexp_extract(substr(text, e + 1, 32), '(?i)^([''ʼʻ‘’`´]?(?:{ca._SUF}))(?:[^\\p{{L}}]|$)', 1)) ELSE 0 END AS more FROM r),
+y AS (SELECT doc_id, label, s, CAST(e + more AS BIGINT) AS e FROM x WHERE NOT regexp_matches(substr(text, s + 1, e + more - s), '^[{WHITE}]|[{WHITE}]$') AND e + more > s),
+h AS (SELECT doc_id, list_sort(list(DISTINCT struct_pack(size := s - e, s := s, r := CASE label WHEN 'NAME' THEN 0 WHEN 'ORG' THEN 1 ELSE 2 END, label := label, e := e))) AS arr FROM y GROUP BY doc_id),
+t AS ({fold("h", "a.s < x.e AND x.s < a.e")}), c AS (SELECT doc_id, string_agg(concat_ws(':', v.label, v.s, v.e), ',' ORDER BY v.s, v.e, v.label) AS entities FROM t GROUP BY 1)
+SELECT 'sv' || sha1(concat_ws(chr(10), 'records', CAST(doc_id AS VARCHAR), text)) AS hash, doc_id, entities FROM c JOIN documents USING (doc_id)""")
+def extracted_records(spark, d):
+    """Span records to finished ones: real records, mapped labels, attached suffixes, flat spans, sorted, with a hash."""
+    rows = _records(spark, d)
+    done = etl.finalized_records(etl.span_source(rows), rows.select("doc_id", "text"), "records")
+    return done.select("hash", "doc_id", F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string"))), ",").alias("entities"))
+
+
 @query(f"""WITH {SPANS}, t AS (SELECT p.*, text, lower(substr(text, p.s + 1, p.e - p.s)) AS x, lower(substr(text, p.s + 1, p.e + 4 - p.s)) AS y FROM pred p JOIN documents USING (doc_id)),
 u AS (SELECT {_KINDS} AS kind, {_SUFFIX("trim(x)")} <> '' AS inside, e < length(text) AND {_SUFFIX("trim(y)")} <> '' AS longer FROM t),
 n AS (SELECT count(*) AS n, {BIG("sum(CASE WHEN kind <> 'FAC' THEN 1 ELSE 0 END)", "k")}, {BIG("sum(CASE WHEN inside THEN 1 ELSE 0 END)", "with_suffix")}, {BIG("sum(CASE WHEN longer AND NOT inside THEN 1 ELSE 0 END)", "left_outside")} FROM u)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.sources import strict
+
 ENTITY = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 RECORD = T.StructType([T.StructField("hash", T.StringType()), T.StructField("text", T.StringType()), T.StructField("entities", T.ArrayType(ENTITY))])
 PRF = "precision double, recall double, f1 double, tp long, fp long, fn long"
@@ -23,36 +25,25 @@ def read_records(spark: SparkSession, path: str, limit: int | None = None) -> Da
 
 
 def record_problems(spark: SparkSession, path: str) -> DataFrame:
-    """problem, n: what a strict scan refuses. No rows, no problem."""
-    return _problems(spark.read.text(path))
-
-
-def _problems(lines: DataFrame) -> DataFrame:
-    rows = lines.filter(F.trim("value") != "").select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), F.expr("try_parse_json(value)").alias("v"))
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
-    blank = count(lines.filter(F.trim("value") == ""), "blank line")
-    broken = count(rows.filter("v is null"), "bad json")
-    key = count(rows.filter("v is not null and coalesce(r.hash, '') = ''"), "no hash")
-    text = count(rows.filter("v is not null and r.text is null"), "no text")
-    twice = count(rows.filter("r.hash is not null").groupBy("r.hash").count().filter("count > 1"), "duplicate hash")
-    empty = lines.agg(F.count("*").alias("c")).filter("c = 0").select(F.lit("empty file").alias("problem"), F.lit(1).cast("long").alias("n"))
-    return blank.unionByName(broken).unionByName(key).unionByName(text).unionByName(twice).filter("n > 0").unionByName(empty)
+    """problem, n: what a strict scan refuses, each line by the first rule that it breaks. No rows, no problem."""
+    rows = strict.judged(strict.located_lines(spark, path))
+    kind = F.when(F.col("problem").startswith("entity"), F.regexp_replace("problem", "^entity [0-9]+ ", "entity ")).otherwise(F.col("problem"))
+    found = rows.groupBy(kind.alias("problem")).agg(F.count("*").alias("n"))
+    twice = strict.repeated(rows).agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("duplicate hash").alias("problem"), "n")
+    empty = rows.agg(F.count("*").alias("c")).filter("c = 0").select(F.lit("no records").alias("problem"), F.lit(1).cast("long").alias("n"))
+    return found.filter("problem is not null").unionByName(twice).unionByName(empty)
 
 
-def read_records_strict(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Like ``read_records``, but raises ValueError with the problems found.
+def read_records_strict(spark: SparkSession, path: str, limit: int | None = None, require_entities: bool = True) -> DataFrame:
+    """Like ``read_records``, but raises ValueError with the file, the line and the rule of the first problem.
 
     With ``limit`` only that many lines are read and judged.
     """
-    if limit is not None:
-        head = spark.read.text(path).limit(limit)
-        found = _problems(head).collect()
-        if found:
-            raise ValueError("; ".join(f"{r['problem']}: {r['n']}" for r in found))
-        return head.select(F.from_json("value", RECORD).alias("r")).select("r.*")
-    found = record_problems(spark, path).collect()
+    found = strict.first_problem(spark, path, require_entities, limit)
     if found:
-        raise ValueError("; ".join(f"{r['problem']}: {r['n']}" for r in found))
+        raise ValueError(found)
+    if limit is not None:
+        return spark.read.text(path).limit(limit).select(F.from_json("value", RECORD).alias("r")).select("r.*")
     return read_records(spark, path).drop("_corrupt_record")
 
 
