@@ -127,28 +127,19 @@ SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(block * p // parts A
        CAST(row_number() OVER (ORDER BY slot, n % 8) - 1 AS BIGINT) AS position FROM b
 """.format(parts="CASE source " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in pfair_mix.WEIGHTS.items()) + f" ELSE {pfair_mix.DEFAULT} END")
 
+#: by the definition: what stands in a run of 50 words that stood earlier goes
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*') AS t FROM documents WHERE text IS NOT NULL),
-e AS (SELECT doc_id, t, len(t) AS n, list_transform(t, lambda x: rtrim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS w FROM d WHERE len(t) > 0),
-s AS (SELECT doc_id, n, unnest(list_prepend(0, list_filter(list_transform(t, lambda x, i: CASE WHEN contains(x, chr(10)) OR right(w[i], 1) IN ('.', '!', '?') THEN i END), lambda i: i IS NOT NULL AND i < n))) AS a FROM e),
-c AS (SELECT doc_id, unnest(range(a, b, 32)) AS a FROM (SELECT doc_id, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS b FROM s)),
-g AS (SELECT doc_id, a, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c),
-h AS (SELECT g.doc_id, a, left(md5(array_to_string(w[a + 1 : coalesce(b, n)], ' ')), 16) AS h FROM g JOIN e USING (doc_id)),
-x AS (SELECT *, lead(h) OVER o AS nxt, lag(h) OVER o AS prv FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
-f AS (SELECT *, min(struct_pack(d := doc_id, a := a)) OVER (PARTITION BY h) AS p FROM x WHERE (nxt IS NULL AND prv IS NULL) OR h <= nxt OR h <= prv),
-l AS (SELECT doc_id AS q, p.d AS p, a - p.a AS shift, min(a) AS lo, max(a) AS hi FROM f WHERE doc_id > p.d OR (doc_id = p.d AND a > p.a) GROUP BY 1, 2, 3),
-w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM e),
-m AS (SELECT q, p, shift, y.k FROM l JOIN w y ON y.doc_id = q JOIN w z ON z.doc_id = p AND z.k = y.k - shift AND z.word = y.word WHERE (shift = 0 AND (SELECT text FROM documents t WHERE t.doc_id = q) = (SELECT text FROM documents t WHERE t.doc_id = p)) OR (y.k >= lo - 512 AND y.k < hi + 576)),
-i AS (SELECT *, k - row_number() OVER (PARTITION BY q, p, shift ORDER BY k) AS island FROM m),
-r AS (SELECT q, min(k) AS lo, max(k) AS hi FROM i GROUP BY q, p, shift, island HAVING count(*) >= 50),
-gone AS (SELECT DISTINCT q AS doc_id, unnest(range(lo, hi + 1)) AS k FROM r),
-tok AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) - 1 AS k FROM e),
+tok AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM d WHERE len(t) > 0),
+w AS (SELECT doc_id, list(rtrim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) ORDER BY k) AS w FROM tok GROUP BY 1),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+late AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM late),
 kept AS (SELECT tok.doc_id, count(gone.k) AS n_deleted, coalesce(string_agg(CASE WHEN gone.k IS NULL THEN x END, '' ORDER BY tok.k), '') AS rest FROM tok LEFT JOIN gone USING (doc_id, k) GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n_deleted, 0) AS INTEGER) AS n_deleted, md5(CASE WHEN coalesce(n_deleted, 0) = 0 THEN text ELSE regexp_extract(text, '^[ \t\n\x0B\f\r]*') || rest END) AS text_md5
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
-
 _LEAF = "sha256(" + " || ".join(f"coalesce(CAST(strlen({x}) AS VARCHAR) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}")) + ")"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -381,41 +382,21 @@ def test_byte_network_and_gradient_against_loops():
             assert (up - down) / (2 * step) == pytest.approx(g[i], abs=5e-3)
 
 
-def cut_by_definition(texts, span, longest):
-    """What fingerprints of sentence pieces, aligned with their first place and extended, delete."""
-    import hashlib
-    import re
-
-    cut, first, later = {}, {}, []
+def cut_by_definition(texts, span):
+    """The words of every window of ``span`` words that stands earlier, by document and place."""
+    cut, seen = {}, set()
     words = {i: re.findall(r"[^ \t\n\x0b\f\r]+", t or "") for i, t in enumerate(texts)}
-    for i, t in enumerate(texts):
-        tok = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*", t or "")
-        ends = [k + 1 for k, x in enumerate(tok) if "\n" in x or x.rstrip()[-1] in ".!?"]
-        s = [a for a in [0, *ends] if a < len(tok)]
-        if not tok:
-            continue
-        s = [c for a, b in zip(s, [*s[1:], len(tok)], strict=True) for c in range(a, b, longest)]
-        h = [hashlib.md5(" ".join(words[i][a : ([*s[2:], len(tok), len(tok)])[k]]).encode()).hexdigest()[:16] for k, a in enumerate(s)]
-        for k, a in enumerate(s):
-            if len(h) == 1 or (k + 1 < len(h) and h[k] <= h[k + 1]) or (k and h[k] <= h[k - 1]):
-                if h[k] in first:
-                    later.append((i, *first[h[k]][:1], a - first[h[k]][1]))
-                else:
-                    first[h[k]] = (i, a)
-    for q, p, d in set(later):
-        run = []
-        for k in range(len(words[q]) + 1):
-            if k < len(words[q]) and 0 <= k - d < len(words[p]) and words[q][k] == words[p][k - d]:
-                run.append(k)
-            else:
-                if len(run) >= span:
-                    cut.setdefault(q, set()).update(run)
-                run = []
+    for i, w in words.items():
+        for k in range(len(w) - span + 1):
+            window = tuple(w[k : k + span])
+            if window in seen:
+                cut.setdefault(i, set()).update(range(k, k + span))
+            seen.add(window)
     return cut, words
 
 
-@pytest.mark.parametrize("native", [False, True])
-def test_lines_against_the_definition(spark, native):
+def test_lines_against_the_definition(spark):
+    """Passages that lie in one another: nothing else is cut, and of their outermost words next to all; both forms cut the same."""
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefghij") * rng.randrange(1, 4)
     passage = [" ".join(word() for _ in range(14)) + "." for _ in range(12)]
@@ -426,31 +407,59 @@ def test_lines_against_the_definition(spark, native):
         texts.append(f"{own} mid {' '.join(some)} line {own[::-1]}" if some else own)
     texts += [texts[3], texts[5] + " more", " \n " + texts[7], "For " * 300, *ODD]
     docs = frame(spark, texts).withColumnsRenamed({"lang": "gone", "source": "th"})
-    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, 50, native).collect()}
-    cut, words = cut_by_definition(texts, 50, line_winnow.LONGEST)
+    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, 50).collect()}
+    native = {r["doc_id"]: r for r in line_winnow.dedup_lines(docs, 50, native=True).collect()}
+    assert {i: (r["text"], r["n_deleted"]) for i, r in got.items()} == {i: (r["text"], r["n_deleted"]) for i, r in native.items()}
+    cut, words = cut_by_definition(texts, 50)
     assert len(cut) > 10
     for i, t in enumerate(texts):
-        left = None if t is None else [w for k, w in enumerate(words[i]) if k not in cut.get(i, ())]
-        assert (None if got[i]["text"] is None else got[i]["text"].split()) == left, i
-        assert got[i]["n_deleted"] == len(cut.get(i, ()))
-        if i not in cut:
+        left = None if got[i]["text"] is None else got[i]["text"].split()
+        if t is None:
+            assert left is None and not got[i]["n_deleted"]
+            continue
+        gone = cut.get(i, set())
+        assert len(words[i]) - len(left) == got[i]["n_deleted"] <= len(gone) <= got[i]["n_deleted"] + 2, i
+        stay, rest = [w for k, w in enumerate(words[i]) if k not in gone], iter(left)
+        assert all(w in rest for w in stay)  # what is not a later copy stays, in its order
+        if not gone:
             assert got[i]["text"] == t
-    assert got[50]["text"] == "" and line_winnow.dedup_lines(docs, 50, native).columns == [*docs.columns, "n_deleted"]
+    assert got[50]["text"] == "" and line_winnow.dedup_lines(docs, 50).columns == [*docs.columns, "n_deleted"]
     twice = docs.unionAll(docs)
-    assert sorted(str(r["text"]) for r in line_winnow.dedup_lines(twice, 50, native).collect()) == sorted(2 * [str(r["text"]) for r in got.values()])
-    assert line_winnow.dedup_lines(docs.limit(0), 50, native).count() == 0
+    assert sorted(str(r["text"]) for r in line_winnow.dedup_lines(twice, 50).collect()) == sorted(2 * [str(r["text"]) for r in got.values()])
+    assert line_winnow.dedup_lines(docs.limit(0), 50).count() == line_winnow.dedup_lines(docs.limit(0), 50, native=True).count() == 0
 
 
-def test_passages_inside_lines_are_found(spark):
-    """Nine tenths of the words of planted passages of 60 to 120 words that start and end inside lines."""
+@pytest.mark.parametrize("native", [False, True])
+def test_runs_are_found_wherever_they_begin(spark, native):
+    """Runs of 50 to 120 words in one-line texts without stops, at all shifts, and inside long sentences."""
     rng = random.Random(10)
-    prose = lambda n: " ".join(("".join(rng.choice("abcdefgh") for _ in range(5))) + (rng.choice([".", ".", "!", "?", "\n"]) if rng.random() < 0.1 else "") for _ in range(n))
-    planted = [prose(rng.randrange(60, 120)) for _ in range(12)]
-    texts = [f"{prose(80)} {planted[i % 12]} {prose(80)}" for i in range(60)]
-    got = line_winnow.dedup_lines(frame(spark, texts)).collect()
-    found = sum(r["n_deleted"] for r in got)
-    assert found >= 0.9 * sum(len(planted[i % 12].split()) for i in range(12, 60))
-    assert all(r["n_deleted"] == 0 for r in got if r["doc_id"] < 12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    stops = lambda n, every: " ".join(word() + ("." if k % every == every - 1 else "") for k in range(n))
+    texts = []
+    for shift in range(64):
+        run = plain(50 + shift)
+        texts += [f"{plain(40)} {run} {plain(30)}", f"{plain(40 + shift)} {run} {plain(9)}"]
+    for start in range(0, 26, 3):  # a run that begins inside a sentence of 26 words
+        run = " ".join(stops(26 * 4, 26).split()[start : start + 70])
+        texts += [f"{stops(52, 26)} {run}\n{stops(52, 26)}", f"{stops(31, 26)} {run} {stops(20, 7)}"]
+    got = {r["doc_id"]: r["n_deleted"] for r in line_winnow.dedup_lines(frame(spark, texts), 50, native).collect()}
+    cut, _ = cut_by_definition(texts, 50)
+    assert {i: n for i, n in got.items() if n} == {i: len(c) for i, c in cut.items()} and len(cut) == len(texts) // 2
+
+
+def test_fingerprints_are_guaranteed():
+    rng = random.Random(11)
+    for letters in ("a", "ab", "abcdefghij"):
+        text = [rng.choice(letters) * rng.randrange(1, 3) for _ in range(400)]
+        keys, at, n = line_winnow.minima(" ".join(text).encode())
+        held = set(at)
+        assert n == 400 and all(any(k <= p and p + line_winnow.GRAM <= k + 50 for p in held) for k in range(351))
+        for k in (0, 13, 200):  # the same run elsewhere has the same fingerprints
+            other = ["x"] * 37 + text[k : k + 50] + ["y"] * 5
+            keys2, at2, _ = line_winnow.minima(" ".join(other).encode())
+            mine = {(h, p - k) for h, p in zip(keys, at, strict=True) if k <= p and p + line_winnow.GRAM <= k + 50}
+            assert mine & {(h, p - 37) for h, p in zip(keys2, at2, strict=True)}
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
