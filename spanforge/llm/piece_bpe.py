@@ -41,8 +41,8 @@ from spanforge.llm.common import spread
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
 KEEP_NODES = 600_000
-BLOCK_CHARS = 2_000_000
-BLOCK_WORDS = 200_000
+BLOCK_CHARS = 1_000_000
+BLOCK_WORDS = 100_000
 SPACE = "▁"
 _LITERAL = "\ud800"  # stands for a U+2581 of the text until it is written as bytes; no text holds a lone surrogate
 _NONE = np.int32(2**31 - 1)
@@ -440,22 +440,30 @@ def encode_documents(docs: DataFrame, proto: bytes, dropout: float = DROPOUT, se
     shared = docs.sparkSession.sparkContext.broadcast(proto)
     kept = [f"carry{i}" for i in range(len(carry))]
 
+    def encoded(encoder: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column("text").to_pylist()
+        flat, sizes = encoder.encode_flat(texts, b.column("key").to_pylist())
+        ends = np.cumsum(sizes)
+        none = np.array([t is None for t in texts], bool)
+        good = [encoder.decode(flat[e - n : e]) == t if t is not None else True for t, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)] if check else [None] * len(texts)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(none))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(good, pa.bool_()), *map(b.column, kept)], names=["doc_id", "ids", "n_ids", "lossless", *carry])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a reused worker may still hold what earlier stages left
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         encoder = _encoder(shared.value, dropout, seed)
         gc.disable()  # nothing here is cyclic, and passes over the kept words cost much
-        for batch in batches:
-            at, chars = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            while at < batch.num_rows:  # so many bytes at a time, or one longer text
-                stop = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BLOCK_CHARS, side="right")))
-                b = batch.slice(at, stop - at)
-                at = stop
-                texts = b.column("text").to_pylist()
-                flat, sizes = encoder.encode_flat(texts, b.column("key").to_pylist())
-                ends = np.cumsum(sizes)
-                none = np.array([t is None for t in texts], bool)
-                good = [encoder.decode(flat[e - n : e]) == t if t is not None else True for t, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)] if check else [None] * len(texts)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(good, pa.bool_()), *map(b.column, kept)], names=["doc_id", "ids", "n_ids", "lossless", *carry])
+        try:
+            for batch in batches:
+                at, chars = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                while at < batch.num_rows:  # so many bytes at a time, or one longer text
+                    stop = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BLOCK_CHARS, side="right")))
+                    yield encoded(encoder, batch.slice(at, stop - at))
+                    at = stop
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, kept, strict=True)])
     schema = "doc_id long, ids array<int>, n_ids int, lossless boolean"
