@@ -160,10 +160,32 @@ def stacked(toks: DataFrame, gold: DataFrame) -> DataFrame:
     return kept.crossJoin(empty)
 
 
+def _smaller(rows: DataFrame, column: str) -> list[Column]:
+    """An order in which the smaller value is the greater: for numbers, and for texts by their code points."""
+    if dict(rows.dtypes)[column] == "string":
+        points = F.transform(F.split(F.coalesce(column, F.lit("")), ""), lambda c: -F.ascii(c))
+        return [F.concat(points, F.array(F.lit(1)))]
+    return [-F.col(column)]
+
+
 def majority_baseline(labelled: DataFrame, label: str = "gold") -> DataFrame:
     """label, n, accuracy of always saying the most frequent label (ties: the smaller)."""
     n = labelled.groupBy(label).agg(F.count("*").alias("n"))
-    return n.agg(F.max_by(F.struct(label, "n"), F.struct("n", -F.col(label))).alias("m"), F.sum("n").alias("t")).select(F.col(f"m.{label}").alias("label"), "m.n", (F.col("m.n") / F.col("t")).alias("accuracy"))
+    return n.agg(F.max_by(F.struct(label, "n"), F.struct("n", *_smaller(n, label))).alias("m"), F.sum("n").alias("t")).select(F.col(f"m.{label}").alias("label"), "m.n", (F.col("m.n") / F.col("t")).alias("accuracy"))
+
+
+def majority_tagger(toks: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: the most frequent tag (ties: the smaller), n, accuracy, and tp, fp, fn of the spans that it gives when every token gets it.
+
+    toks: doc_id, ord, start, end, tag.
+    """
+    from spanforge.operators import scoring as sc
+
+    top = majority_baseline(toks.filter(F.col("tag").isNotNull()).select(F.col("tag").alias("gold")))
+    said = toks.drop("tag").crossJoin(F.broadcast(top.select(F.col("label").alias("tag"))))  # one row
+    pred = sp.decode_bio(said.select("doc_id", "ord", "start", "end", "tag"))
+    score = sc.sides(gold, pred, sc.KEYS).agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in zip(sc.counts(), ("tp", "fp", "fn"), strict=True)])
+    return top.withColumnRenamed("label", "tag").crossJoin(score)
 
 
 # continuation: words beside a span

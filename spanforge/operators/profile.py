@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
 from spanforge.operators import spans as sp
 from spanforge.operators.scoring import LABELS
+from spanforge.sources.shared import written
 
 
 def record_error(hash_: Column, text: Column) -> Column:
@@ -59,7 +62,7 @@ def ranked_values(df: DataFrame, value: str, keys: list[str] | None = None) -> D
     keys = keys or []
     n = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("k"))
     cuts = n.groupBy(*keys).agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1000).alias("cuts"), F.sum("k").alias("n"))
-    rows = n.join(F.broadcast(cuts), keys) if keys else n.crossJoin(F.broadcast(cuts))  # one row a key
+    rows = n.join(cuts, keys) if keys else n.crossJoin(F.broadcast(cuts))  # one row a key; without keys one row
     rows = rows.withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows a key
     base = rows.groupBy(*keys, "b").agg(F.sum("k").alias("s")).select(*keys, "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
@@ -92,15 +95,51 @@ def surfaces(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "label", F.lower(tx.slice_text(F.col("text"), F.col("start"), F.col("end"))).alias("surface"))
 
 
+#: buckets that surfaces are counted in first, and how many of the fullest are counted exactly at once
+BUCKETS, FULLEST = 1 << 16, 1024
+
+
+def _bucketed(named: DataFrame) -> DataFrame:
+    return named.select("label", "surface", F.pmod(F.xxhash64("surface"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+
+
+def _survivors(rows: DataFrame, sizes: DataFrame, by: list[str], count: Callable[[DataFrame], DataFrame], kth: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Exact counts (``count``) of all surfaces that can be among the first, and of few others.
+
+    A heavy-hitter sketch: sizes (by, bucket, n) hold how many surfaces fell into each bucket, so
+    none of a bucket is more frequent than the bucket is full. The surfaces of the fullest
+    buckets are counted exactly; ``kth`` gives the count that is needed to come in. Buckets
+    less full than that hold no surface that does, and the others, if any are left, are counted
+    too. Ties with the k-th are kept. What is shuffled is a bounded table of buckets and the
+    surfaces of these buckets, not all surfaces.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "bucket"))
+    ranked_ = sizes.withColumn("k", rank)
+    some = lambda buckets: count(rows.join(F.broadcast(buckets.select(*by, "bucket")), [*by, "bucket"]))  # noqa: E731  (BUCKETS rows a key at most)
+    got = written(some(ranked_.filter(F.col("k") <= FULLEST)), "heavy")
+    need = kth(got)
+    left = ranked_.filter(F.col("k") > FULLEST)
+    left = written((left.join(F.broadcast(need), by, "left") if by else left.crossJoin(F.broadcast(need))).filter(F.col("n") >= F.coalesce("need", F.lit(0))), "left")
+    return got.unionByName(some(left)) if left.limit(1).count() else got
+
+
 def ambiguous(named: DataFrame, limit: int = 40) -> DataFrame:
     """surface, labels, total of surfaces with several labels, the most frequent first."""
-    return named.groupBy("surface").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("total")).filter("labels > 1").orderBy(F.desc("total"), F.desc(F.length("surface")), "surface").limit(limit)
+    rows = _bucketed(named)
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).filter("labels > 1").select("bucket", "n"), "buckets")
+    count = lambda df: df.groupBy("surface").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("total")).filter("labels > 1")
+    kth = lambda got: got.orderBy(F.desc("total")).limit(limit).agg(F.when(F.count("*") == limit, F.min("total")).otherwise(0).alias("need"))
+    return _survivors(rows, sizes, [], count, kth).orderBy(F.desc("total"), F.desc(F.length("surface")), "surface").limit(limit)
 
 
 def top_per_label(named: DataFrame, k: int = 25) -> DataFrame:
-    n = named.groupBy("label", "surface").agg(F.count("*").alias("n"))
+    """label, surface, n, rank of the k most frequent surfaces of each label, ties in the order of the surfaces."""
+    rows = _bucketed(named)
+    sizes = written(rows.groupBy("label", "bucket").agg(F.count("*").alias("n")), "buckets")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "surface"))
-    return n.withColumn("rank", rank).filter(F.col("rank") <= k)
+    count = lambda df: df.groupBy("label", "surface").agg(F.count("*").alias("n"))
+    kth = lambda got: got.withColumn("rank", rank).filter(F.col("rank") == k).select("label", F.col("n").alias("need"))
+    return _survivors(rows, sizes, ["label"], count, kth).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def inflected_pairs(named: DataFrame, endings: list[str], least: int = 3) -> DataFrame:
@@ -175,10 +214,15 @@ def corpus_profile(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def markdown(rows: DataFrame, title: str, limit: int = 100) -> str:
-    """A small table as Markdown, at most ``limit`` rows in their order."""
+    """A small table as Markdown; of more than ``limit`` rows the first, and a line that says that there are more.
+
+    ``sources.text_sink.write_report`` writes tables of any size.
+    """
     cell = lambda v: ("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
     lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(limit).collect()]]) + "\n"
+    held = rows.limit(limit + 1).collect()
+    more = [f"(more than {limit} rows)"] if len(held) > limit else []
+    return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in held[:limit]], *more]) + "\n"
 
 
 def linear_probe(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label", rounds: int = 200) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import scores
 from spanforge.functions import text as tx
+from spanforge.sources.text_sink import write_lines
 
 SORT_KEYS = ("f1", "precision", "recall", "created_at", "model", "split", "run_id")
 
@@ -25,9 +26,17 @@ def ranked(runs: DataFrame, key: str = "f1", descending: bool = True) -> DataFra
 
 
 def leaderboard(runs: DataFrame, limit: int | None = None) -> DataFrame:
-    """rank, run_id, f1, band of all runs, or of the ``limit`` best."""
+    """rank, run_id, f1, band of all runs, or of the ``limit`` best.
+
+    Ranks come from counts in 64 ranges of F1 and a rank within each, so no task orders all runs.
+    """
     top = runs if limit is None else runs.orderBy(F.desc("f1"), "run_id").limit(limit)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("f1"), "run_id")).alias("rank"), "run_id", "f1", scores.band(F.col("f1")).alias("band"))
+    top = top.select("run_id", "f1", F.least(F.greatest(F.floor(F.coalesce("f1", F.lit(0.0)) * 64), F.lit(0)), F.lit(64)).alias("range"))
+    sizes = top.groupBy("range").agg(F.count("*").alias("n"))  # 65 rows
+    above = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("f1"), "run_id"))
+    ranked_ = top.withColumn("k", within).join(F.broadcast(above), "range")
+    return ranked_.select((F.col("above") + F.col("k")).alias("rank"), "run_id", "f1", scores.band(F.col("f1")).alias("band"))
 
 
 def latest(runs: DataFrame) -> DataFrame:
@@ -83,14 +92,29 @@ def gauges(runs: DataFrame, scopes: DataFrame, diagnostics: DataFrame | None = N
     return out.select("x.metric", "run_id", "labels", "x.value")
 
 
+def exposition_lines(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(metric_no, part, run_id, labels, line) of the text format, and the columns that order it: help, type, then samples by run and labels.
+
+    Gauges without a sample have no lines.
+    """
+    spark = rows.sparkSession
+    about = spark.createDataFrame([(i, name, f"# HELP {name} {text}") for i, (name, text) in enumerate(GAUGES.items())], "metric_no int, metric string, help string")
+    known = F.broadcast(about)  # the gauges' names
+    heads = rows.select("metric").distinct().join(known, "metric")
+    heads = heads.select("metric_no", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("help").alias("line")), F.struct(F.lit(1).alias("part"), F.concat(F.lit("# TYPE "), "metric", F.lit(" gauge")).alias("line")))).alias("x")).select("metric_no", "x.*")
+    samples = rows.join(known, "metric").select("metric_no", F.lit(2).alias("part"), "run_id", "labels", "value", F.concat("metric", "labels", F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return samples.unionByName(heads, allowMissingColumns=True), ["metric_no", "part", "run_id", "labels", "value"]
+
+
+def write_exposition(rows: DataFrame, path: str) -> None:
+    """The text format of gauges, of any number of samples, as an ordered text in the folder ``path``."""
+    write_lines(*exposition_lines(rows), path)
+
+
 def exposition_text(rows: DataFrame) -> str:
-    """The text format of gauges: help, type, then the samples in the order of run and labels."""
-    out = []
-    held = {r["metric"]: r["lines"] for r in rows.groupBy("metric").agg(F.transform(F.sort_array(F.collect_list(F.struct("run_id", "labels", "value"))), lambda x: F.concat(x["labels"], F.lit(" "), x["value"].cast("string"))).alias("lines")).collect()}
-    for name, about in GAUGES.items():
-        if name in held:
-            out += [f"# HELP {name} {about}", f"# TYPE {name} gauge", *[name + x for x in held[name]]]
-    return "\n".join(out) + "\n"
+    """The text format of gauges as one string, for a registry that fits one (see ``write_exposition``)."""
+    lines, order = exposition_lines(rows)
+    return "".join(r["line"] + "\n" for r in lines.orderBy(*order).toLocalIterator()) or "\n"
 
 
 def only_latest(samples: DataFrame) -> DataFrame:
@@ -144,6 +168,12 @@ def scale(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *b) for i, b in enumerate(scores.BANDS)], "ord int, band string, least double, below double")
 
 
+def band_counts(runs: DataFrame) -> DataFrame:
+    """ord, band, least, below, runs, best: how many runs each band of F1 holds (0 for none), and the best of them."""
+    n = runs.groupBy(scores.band(F.col("f1")).alias("band")).agg(F.count("*").alias("runs"), F.max("f1").alias("best"))
+    return F.broadcast(scale(runs.sparkSession)).join(n, "band", "left").select("ord", "band", "least", "below", F.coalesce("runs", F.lit(0)).alias("runs"), "best")
+
+
 def upsert(spark, runs: DataFrame, path: str) -> None:
     """Write runs as partitions by run_id; runs that are written again replace the old ones."""
     runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)

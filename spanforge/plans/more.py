@@ -209,9 +209,24 @@ def flat_run(spark, d):
     return rn.flat_metrics(rn.build_run(sc.exact_metrics(gold, pred), 1, "run.1", "m", "2024-01-01T00:00:00Z"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', {a}::DOUBLE, {b}::DOUBLE)" for i, (n, a, b) in enumerate(scores.BANDS)) + ") t(ord, band, least, below)")
+_SCALE = "(VALUES " + ", ".join(f"({i}::BIGINT, '{n}', {a}::DOUBLE, {b}::DOUBLE)" for i, (n, a, b) in enumerate(scores.BANDS)) + ") t(ord, band, least, below)"
+
+
+@query(f"""WITH {SPANS}, {RUNS} SELECT ord, band, least, below, (SELECT count(*) FROM runs WHERE f1 >= least AND f1 < below) AS runs, (SELECT round(max(f1), 6) FROM runs WHERE f1 >= least AND f1 < below) AS best FROM {_SCALE}""")
 def band_scale(spark, d):
-    return rn.scale(spark)
+    """The bands of F1, and the runs in each."""
+    return rn.band_counts(vw.runs(spark, d))
+
+
+@query(f"""WITH {SPANS}, {ca._BIO}, n AS (SELECT tag, count(*) AS n FROM bio GROUP BY 1), m AS (SELECT tag, n, n / (SELECT sum(n) FROM n) AS accuracy FROM n ORDER BY n DESC, tag LIMIT 1),
+l AS (SELECT doc_id, ord, s, e, CASE WHEN tag <> 'O' THEN substr(tag, 3) END AS label, tag LIKE 'B%' AS b FROM tok, (SELECT tag FROM m)), w AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY ord) AS was FROM l),
+o AS (SELECT *, sum(CASE WHEN label IS NOT NULL AND (b OR was IS NULL OR was <> label) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM w),
+p AS (SELECT doc_id, min(label) AS label, min(s) AS s, max(e) AS e FROM o WHERE label IS NOT NULL GROUP BY doc_id, run), gd AS (SELECT DISTINCT * FROM gold), h AS (SELECT count(*) AS tp FROM p JOIN gd USING (doc_id, label, s, e))
+SELECT tag, n, {R("accuracy", "accuracy")}, tp, (SELECT count(*) FROM p) - tp AS fp, (SELECT count(*) FROM gd) - tp AS fn FROM m, h""")
+def majority_tagger(spark, d):
+    """Every token gets the most frequent tag: accuracy by token, and what the span scorer says of it."""
+    docs, gold, _ = vw.both(spark, d)
+    return dc.majority_tagger(sp.align_bio(sp.tokens(docs), gold), gold)
 
 
 @query(f"""WITH {SPANS}, {RUNS} SELECT run_id, model, {R("f1", "f1")} FROM runs WHERE run_id = 'src3'""")
