@@ -153,6 +153,43 @@ def read_pack(spark, path: str, records: DataFrame | None = None) -> DataFrame:
     return rows
 
 
+def save_pack(toks: DataFrame, name: str, buckets: int = 64) -> None:
+    """The two tables of ``pack`` as ``name``_documents and ``name``_tokens, in buckets of doc_id with one sorted file each.
+
+    What is saved by ``save_records`` in as many buckets meets them without a shuffle.
+    """
+    docs, rows = pack(toks)
+    _bucketed(docs, f"{name}_documents", buckets, ["doc_id"])
+    _bucketed(rows, f"{name}_tokens", buckets, ["doc_id", "row"])
+
+
+def save_records(records: DataFrame, table: str, buckets: int = 64) -> None:
+    _bucketed(records, table, buckets, ["doc_id"])
+
+
+def _bucketed(df: DataFrame, table: str, buckets: int, order: list[str]) -> None:
+    df.repartition(buckets, "doc_id").write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy(*order).saveAsTable(table)
+
+
+def load_pack(spark, name: str, records: str | None = None) -> DataFrame:
+    """Token rows of a saved pack, of the documents of the table ``records`` if given; raises if the counts do not fit.
+
+    Tokens and records lie in the same buckets, so they are joined bucket by bucket.
+    """
+    docs, rows = spark.table(f"{name}_documents"), spark.table(f"{name}_tokens")
+    last = docs.agg(F.coalesce(F.max(F.col("ptr") + F.col("n")), F.lit(0)).alias("end"), F.count("*").alias("docs")).first()
+    have = rows.count()
+    if last["end"] != have:
+        raise ValueError(f"the documents hold {last['end']} tokens, the pack {have}")
+    if records is None:
+        return rows
+    wanted = spark.table(records).select("doc_id").distinct()
+    n = wanted.count()
+    if n != last["docs"]:
+        raise ValueError(f"{n} records, {last['docs']} documents in the pack")
+    return rows.join(wanted, "doc_id", "left_semi")
+
+
 def stacked(toks: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: tokens with a gold label of 0 or more, and documents without gold spans."""
     kept = toks.agg(F.count_if(F.col("gold") >= 0).alias("tokens"))

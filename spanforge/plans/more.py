@@ -15,6 +15,7 @@ from spanforge.operators import profile as pf
 from spanforge.operators import runs as rn
 from spanforge.operators import scoring as sc
 from spanforge.operators import spans as sp
+from spanforge.operators import subword as sw
 from spanforge.operators import tuning as tu
 from spanforge.plans import catalog as ca
 from spanforge.plans import views as vw
@@ -285,10 +286,35 @@ def suffix_selfcheck(spark, d):
     return pf.suffix_selfcheck(gold, docs)
 
 
-@query(f"""WITH t AS (SELECT lang, greatest(length(text) // 4, 1) AS n, greatest(len(regexp_extract_all(text, '[^{WHITE}]+')), 1) AS w, greatest(length(text), 1) AS c FROM documents)
+# pieces of the words of ``benchmark``: what no word of it covers goes character by character
+_PIECES = f"""voc AS (SELECT DISTINCT v FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS v FROM benchmark) WHERE length(v) > 1), lens AS (SELECT DISTINCT length(v) AS n FROM voc),
+ty AS (SELECT DISTINCT surface FROM tok), mx AS (SELECT surface, p, max(lens.n) AS n FROM (SELECT surface, unnest(range(length(surface))) AS p FROM ty) x JOIN lens ON p + lens.n <= length(surface) JOIN voc ON v = substr(surface, p + 1, lens.n) AND length(v) = lens.n GROUP BY 1, 2),
+seg AS (SELECT surface, CAST(0 AS BIGINT) AS p FROM ty UNION ALL SELECT surface, q FROM (SELECT seg.surface, seg.p + coalesce(mx.n, 1) AS q FROM seg LEFT JOIN mx ON mx.surface = seg.surface AND mx.p = seg.p) WHERE q < length(surface))"""
+
+
+def _pieces(spark, d) -> DataFrame:
+    """Pieces of all documents, of a vocabulary that is the words of ``benchmark``."""
+    words = sp.tokens(vw.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    return sw.pieces(sp.tokens(vw.documents(spark, d)), words.filter(F.length("surface") > 1).select(F.col("surface").alias("piece")))
+
+
+@query(f"""WITH RECURSIVE {TOK}, {_PIECES}, k AS (SELECT surface, count(*) AS n FROM seg GROUP BY 1), c AS (SELECT doc_id, sum(k.n) AS n FROM tok JOIN k USING (surface) GROUP BY 1),
+t AS (SELECT lang, greatest(coalesce(c.n, 0), 1) AS n, greatest(len(regexp_extract_all(text, '[^{WHITE}]+')), 1) AS w, greatest(length(text), 1) AS c FROM documents LEFT JOIN c USING (doc_id))
 SELECT lang, count(*) AS n, {R("avg(n / w)", "per_word")}, {R("avg(n / c)", "per_char")}, {BIG("sum(CASE WHEN n + 2 > 384 THEN 1 ELSE 0 END)", "over_384")}, {BIG("sum(CASE WHEN n + 2 > 512 THEN 1 ELSE 0 END)", "over_512")} FROM t GROUP BY 1""")
 def tokens_per_word(spark, d):
-    return pf.tokens_per_word(vw.documents(spark, d).withColumn("n_tok", F.expr("length(text) div 4")), ["lang"])
+    """Pieces a word and a character, by language."""
+    n = _pieces(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_tok"))
+    docs = vw.documents(spark, d).select("doc_id", "lang", "text").join(n, "doc_id", "left").withColumn("n_tok", F.coalesce("n_tok", F.lit(0)))
+    return pf.tokens_per_word(docs, ["lang"])
+
+
+@query(f"""WITH RECURSIVE {TOK}, {_PIECES}, z AS (SELECT surface, p, coalesce(lead(p) OVER (PARTITION BY surface ORDER BY p), length(surface)) AS q FROM seg),
+a AS (SELECT doc_id, ord, s + p AS s, s + q AS e FROM tok JOIN z USING (surface)), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM a),
+f AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN n <= 126 THEN 1 ELSE CAST(1 + ceil((n - 126) / 94.0) AS BIGINT) END)) AS w FROM p)
+SELECT f.doc_id, CAST(f.w AS BIGINT) AS "window", min(pos) AS first, max(pos) AS last, count(*) AS n_tokens, {BIG("min(s)", "s")}, {BIG("max(e)", "e")} FROM f JOIN p ON p.doc_id = f.doc_id AND pos >= w * 94 AND pos < w * 94 + 126 GROUP BY 1, 2""")
+def piece_windows(spark, d):
+    """Windows of 128 pieces with a stride of 32."""
+    return sp.token_windows(_pieces(spark, d), 128, 32)
 
 
 @query("""WITH a AS (SELECT min(doc_id) AS x FROM documents WHERE n_chars > 500), b AS (SELECT min(doc_id) AS y FROM documents, a WHERE n_chars > 100 AND doc_id <> x), c AS (SELECT min(doc_id) AS z FROM documents, a, b WHERE doc_id NOT IN (x, y))
