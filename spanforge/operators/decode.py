@@ -19,10 +19,15 @@ TAGS = ("O", "B-ORG", "I-ORG", "B-NAME", "I-NAME", "B-GEO", "I-GEO")
 
 
 def tagged_tokens(toks: DataFrame, temperature: float = 1.0, tags: tuple[str, ...] = TAGS) -> DataFrame:
-    """``toks`` with tag (the first of the greatest logits), conf (its probability) and p (of all tags)."""
+    """``toks`` with tag (the first of the greatest logits), conf (its probability) and p (of all tags).
+
+    Tokens with another number of logits than there are tags are an error.
+    """
     if temperature <= 0:
         raise ValueError("the temperature must be positive")
-    rows = toks.filter(F.size("logits") == len(tags)).withColumn("top", F.array_max("logits"))
+    wrong = F.raise_error(F.concat(F.lit("logits of document "), F.col("doc_id").cast("string"), F.lit(": "), F.size("logits").cast("string"), F.lit(f" numbers for {len(tags)} tags")))
+    rows = toks.withColumn("logits", F.when(F.size("logits") == len(tags), F.col("logits")).otherwise(wrong.cast(toks.schema["logits"].dataType)))
+    rows = rows.withColumn("top", F.array_max("logits"))
     rows = rows.withColumn("e", F.expr(f"transform(logits, x -> exp((double(x) - double(top)) / {float(temperature)}D))"))
     rows = rows.withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     k = F.array_position("logits", F.col("top")).cast("int")

@@ -36,7 +36,7 @@ def leaderboard(runs: DataFrame, limit: int | None = None) -> DataFrame:
     above = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
     within = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("f1"), "run_id"))
     ranked_ = top.withColumn("k", within).join(F.broadcast(above), "range")
-    return ranked_.select((F.col("above") + F.col("k")).alias("rank"), "run_id", "f1", scores.band(F.col("f1")).alias("band"))
+    return ranked_.select((F.col("above") + F.col("k")).alias("rank"), "run_id", "f1", scores.band(F.col("f1")).alias("band")).orderBy("rank")
 
 
 def latest(runs: DataFrame) -> DataFrame:

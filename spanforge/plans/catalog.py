@@ -13,6 +13,7 @@ from spanforge.functions import scores
 from spanforge.functions import text as tx
 from spanforge.operators import calibration as cal
 from spanforge.operators import etl
+from spanforge.operators import gazetteer as gz
 from spanforge.operators import profile as pf
 from spanforge.operators import runs as rn
 from spanforge.operators import scoring as sc
@@ -384,8 +385,8 @@ def etl_conservation(spark, d):
     return etl.conservation(silver.select("doc_id", "source", "text"), gold)
 
 
-#: items that may be broadcast, and short items that may be sought in every document
-BROADCAST_ITEMS, SHORT_ITEMS = 100_000, 1_000
+#: items that may be broadcast
+BROADCAST_ITEMS = 100_000
 
 
 @query("SELECT item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
@@ -395,21 +396,20 @@ def benchmark_containment(spark, d):
     An item meets a document by its second to fifth words, which stand between separators in
     both. Few probes are broadcast, so that only the runs that meet one are kept; with many,
     both sides are dealt by the probe. Items of fewer than six words have no such probe and
-    are sought in every document; more than ``SHORT_ITEMS`` of them are an error.
+    are found by an automaton, all in one pass over the texts. Empty items are left out.
     """
     words = lambda c: F.split(c, "[ \n]")
     bench = vw.table(spark, d, "benchmark").withColumnRenamed("text", "needle").withColumn("w", words("needle"))
     sizes = bench.agg(F.count_if(F.size("w") >= 6).alias("long"), F.count_if(F.size("w") < 6).alias("short")).first()
-    if sizes["short"] > SHORT_ITEMS:
-        raise ValueError(f"{sizes['short']} items of fewer than six words")
     docs = vw.documents(spark, d).select("doc_id", "text")
     fours = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(w) - 3, 1)), i -> array_join(slice(w, i, 4), ' '))"))).alias("probe"))
     probes = bench.filter("size(w) >= 6").select("item_id", "needle", F.array_join(F.slice("w", 2, 4), " ").alias("probe"))
     few = sizes["long"] <= BROADCAST_ITEMS
     hits = fours.join(F.broadcast(probes) if few else probes, "probe").join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("item_id", "doc_id").distinct()
     if sizes["short"]:
-        short = F.broadcast(bench.filter("size(w) < 6").select("item_id", "needle"))
-        hits = hits.unionByName(docs.join(short, F.contains("text", F.col("needle"))).select("item_id", "doc_id"))
+        short = bench.filter("size(w) < 6").select("item_id", F.col("needle").alias("surface"))
+        found = gz.lexicon_hits(docs, short).select("doc_id", "surface").distinct()
+        hits = hits.unionByName(found.join(short.distinct(), "surface").select("item_id", "doc_id"))
     return hits.groupBy("item_id").agg(F.count("*").alias("docs"))
 
 

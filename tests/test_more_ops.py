@@ -222,3 +222,21 @@ def test_packs_in_buckets_meet_without_a_shuffle(spark):
         spark.conf.set(join, size)
         for t in ("pack_a_documents", "pack_a_tokens", "records_a", "records_b"):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_wrong_numbers_of_logits_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 1, [0.0] * 7), (2, 0, 0, 1, [0.0] * 6)], "doc_id long, ord int, start int, end int, logits array<double>")
+    assert dc.tagged_tokens(rows.filter("doc_id = 1")).first()["tag"] == "O"
+    with pytest.raises(Exception, match="document 2: 6 numbers for 7 tags"):
+        dc.tagged_tokens(rows).collect()
+
+
+def test_items_of_any_length_are_found(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["one two three four five six seven", "xone two\nthree", "a b", "", None, "needle"]
+    items = [(0, "two three four five six seven"), (1, "one two"), (2, "needle"), (3, "eedl"), (4, "none"), (5, "a b"), (6, "a b")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: r["docs"] for r in entry.queries()["benchmark_containment"](spark, str(tmp_path)).collect()}
+    assert got == {i: n for i, x in items if (n := sum(x in (t or "") for t in texts))}
