@@ -21,6 +21,7 @@ from spanforge.plans import catalog as ca
 from spanforge.plans import views as vw
 from spanforge.plans.oracle import COUNTS, F1, PRF, RUNS, SPANS, TOK, WHITE, fold
 from spanforge.plans.register import R, query
+from spanforge.sources.shared import written
 
 BIG = lambda x, n: f"CAST({x} AS BIGINT) AS {n}"
 
@@ -179,10 +180,13 @@ ids AS (SELECT run_id, created_at, 'run_id="' || run_id || '",model="' || replac
 
 
 def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Runs and their scopes, a few rows a source, written once, as are the spans that both are counted from."""
     docs, gold, pred = vw.both(spark, d)
+    gold, pred = written(gold, "gold"), written(pred, "predicted")
     of = docs.select("doc_id", F.col("source").alias("run_id"))
     scopes = sc.exact_metrics(gold.join(of, "doc_id"), pred.join(of, "doc_id"), ["run_id"])
-    return vw.runs(spark, d).withColumn("records", F.length("run_id")), scopes
+    runs = vw.runs(spark, d, (gold, pred)).withColumn("records", F.length("run_id"))
+    return written(runs, "runs"), written(scopes, "scopes")
 
 
 @query(f"""WITH {SPANS}, {RUNS}, {_SCOPES}, ts AS (SELECT run_id, l, coalesce(epoch(TRY_CAST(created_at AS TIMESTAMPTZ)), 0) AS ts FROM ids), newest AS (SELECT run_id FROM ts ORDER BY ts DESC, run_id DESC LIMIT 1)

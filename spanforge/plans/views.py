@@ -63,9 +63,10 @@ def official(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run per source: the exact micro metrics of its documents."""
-    docs, gold, pred = both(spark, sf_dir)
+def runs(spark: SparkSession, sf_dir: str, spans: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One run per source: the exact micro metrics of its documents; ``spans`` are its gold and predicted ones, if they are at hand."""
+    docs = documents(spark, sf_dir)
+    gold, pred = spans or annotated(docs)
     of = docs.select("doc_id", "source")
     rows = sc.sides(gold, pred, sc.KEYS).join(of, "doc_id").groupBy("source").agg(*sc.counts())
     n = F.regexp_extract("source", r"\d+", 0).cast("int")
