@@ -284,9 +284,9 @@ def continue_spans(spans: DataFrame, docs: DataFrame, masses: DataFrame, tau: fl
 
 def best_container(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """doc_id, label, gs, ge, ps, pe: the narrower predicted span of the same label within a gold span with the best IoU (ties: earlier, shorter)."""
-    g = gold.distinct().select("doc_id", "label", F.col("start").alias("gs"), F.col("end").alias("ge"))
-    p = pred.distinct().select("doc_id", "label", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    inside = g.join(p, ["doc_id", "label"]).filter("ps >= gs and pe <= ge and ps < pe and not (ps = gs and pe = ge)")
+    own, other = (df.select("doc_id", "label", "start", "end").distinct() for df in (gold, pred))
+    within = "a.label = b.label and b.start >= a.start and b.end <= a.end and b.start < b.end and not (b.start = a.start and b.end = a.end)"
+    inside = sp.overlapping_pairs(own, other).filter(within).select("doc_id", "a.label", F.col("a.start").alias("gs"), F.col("a.end").alias("ge"), F.col("b.start").alias("ps"), F.col("b.end").alias("pe"))
     score = scores.iou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))
     return inside.groupBy("doc_id", "label", "gs", "ge").agg(F.max_by(F.struct("ps", "pe"), F.struct(score, -F.col("ps"), -F.col("pe"))).alias("b")).select("doc_id", "label", "gs", "ge", "b.ps", "b.pe")
 
