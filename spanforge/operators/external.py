@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as tx
 from spanforge.operators import etl
 from spanforge.operators import profile as pf
+from spanforge.operators import spans as sp
 
 # fixed values: type map, and the types that name a person
 LEGAL_MAP = {"PER": "NAME", "ORG": "ORG", "LOC": "GEO"}
@@ -22,10 +23,10 @@ def mapped_share(kinds: DataFrame, kind: str, mapping: dict[str, str]) -> DataFr
 
 
 def _entities(records: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """doc_id, kind, label, surface, start, end, text of records (doc_id, text, entities of label, start, end, text)."""
-    each = records.select("doc_id", "text", F.explode("entities").alias("e"))
-    surface = F.coalesce(F.when(F.col("e.text") != "", F.col("e.text")), tx.slice_text(F.col("text"), F.col("e.start"), F.col("e.end")), F.lit(""))
-    return each.select("doc_id", "text", F.col("e.label").alias("kind"), etl.mapped(F.col("e.label"), mapping).alias("label"), surface.alias("surface"), F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    """doc_id, kind, label, surface, start, end and context (ctx, base, n) of records (doc_id, text, entities of label, start, end, text)."""
+    each = sp.contexts(records, "entities", "doc_id").withColumnRenamed("x", "e")
+    surface = F.coalesce(F.when(F.col("e.text") != "", F.col("e.text")), tx.slice_text(F.col("ctx"), F.col("e.start") - F.col("base"), F.col("e.end") - F.col("base")), F.lit(""))
+    return each.select("doc_id", F.col("e.label").alias("kind"), etl.mapped(F.col("e.label"), mapping).alias("label"), F.explode(F.array(surface)).alias("surface"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), "ctx", "base", "n")
 
 
 def known_surfaces(found: DataFrame, official: DataFrame) -> DataFrame:
@@ -94,11 +95,17 @@ def tag_rows(rows: DataFrame) -> DataFrame:
 def outside_suffixes(records: DataFrame, mapping: dict[str, str] = LEGAL_MAP, k: int = 8) -> tuple[DataFrame, DataFrame]:
     """Counters of records, and the first k spans that leave an attached suffix outside: doc_id, start, surface, context."""
     found = _entities(records, mapping)
-    inside = tx.surface_suffix(F.col("surface")) != ""
-    longer = F.concat("surface", F.substring("text", F.col("end") + 1, F.lit(4)))
-    left = (F.col("end") < F.length("text")) & (tx.surface_suffix(longer) != "") & ~inside
-    n = records.agg(F.count("*").alias("docs"), F.count_if(F.size("entities") > 0).alias("with_entities")).crossJoin(mapped_share(found, "kind", mapping)).crossJoin(found.agg(F.count_if(inside).alias("with_suffix"), F.count_if(left).alias("left_outside")))
-    some = found.filter(left).select("doc_id", "start", "surface", tx.slice_text(F.col("text"), F.col("start"), F.least(F.col("end") + 6, F.length("text"))).alias("context"))
+    start, end = (F.col(c) - F.col("base") for c in ("start", "end"))
+    longer = F.concat("surface", F.substring("ctx", end + 1, F.lit(4)))
+    seen = F.struct((tx.surface_suffix(F.col("surface")) != "").alias("inside"), (tx.surface_suffix(longer) != "").alias("longer"))
+    found = found.withColumn("s", F.explode(F.array(seen)))  # so that suffixes are looked up once
+    left = (F.col("end") < F.col("n")) & F.col("s.longer") & ~F.col("s.inside")
+    kept = F.count_if(F.col("label").isNotNull())
+    # all counters of the spans in one pass
+    of = found.agg(F.count("kind").alias("entities"), kept.alias("kept"), F.count_if("s.inside").alias("with_suffix"), F.count_if(left).alias("left_outside"))
+    of = of.select("entities", "kept", (F.col("entities") - F.col("kept")).alias("dropped"), F.coalesce(F.try_divide(F.col("kept") * 100.0, F.col("entities")), F.lit(0.0)).alias("keep_percent"), "with_suffix", "left_outside")
+    n = records.agg(F.count("*").alias("docs"), F.count_if(F.size("entities") > 0).alias("with_entities")).crossJoin(of)
+    some = found.filter(left).select("doc_id", "start", "surface", tx.slice_text(F.col("ctx"), start, F.least(F.col("end") + 6, F.col("n")) - F.col("base")).alias("context"))
     return n, pf.first_examples(some, [], ["doc_id", "start"], k)
 
 
