@@ -70,3 +70,20 @@ def test_suffix_of_a_surface_is_the_longest_that_fits(spark):
     # one pattern, not one a suffix
     plan = spark.range(1).select(tx.surface_suffix(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert "regexp_extract" in plan and "RLIKE" not in plan
+
+
+def test_a_lexicon_made_from_the_texts_is_worked_out_once(spark):
+    from spanforge.operators import etl
+
+    docs = spark.createDataFrame([(1, "Ali va Toshkent"), (2, "Toshkentda Ali")], "doc_id int, text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    names = spark.createDataFrame([("Ali", "NAME", "a"), ("Toshkent", "GEO", "b")], "surface string, label string, k string").coalesce(1).mapInArrow(seen, "surface string, label string, k string")
+    found = {tuple(r) for r in etl.gazetteer_spans(docs, names).select("doc_id", "label", "start", "end").collect()}
+    assert found == {(1, "NAME", 0, 3), (1, "GEO", 7, 15), (2, "GEO", 0, 8), (2, "NAME", 11, 14)}
+    assert made.value == 2
