@@ -70,7 +70,7 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_winnow.dedup_lines(table(spark, sf_dir, "documents"))
+    cut = line_winnow.dedup_lines(table(spark, sf_dir, "documents"), native=True)
     return cut.select("doc_id", "n_deleted", F.md5("text").alias("text_md5"))
 
 
